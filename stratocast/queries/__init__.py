@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["strategies"]
+MODULES = ["scans", "strategies"]
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
