@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scans", "strategies"]
+MODULES = ["scalars", "joins"]
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")

@@ -58,9 +58,9 @@ FROM events WHERE event_type = 'purchase'""",
 SELECT city, day, di, settle_f, hour, epoch_us(CAST(day AS TIMESTAMP)) + hour * 3600000000 AS us
 FROM v_settle, range(10, 24) r(hour)""",
     "v_probs0": """
-SELECT vec_id, label, list_transform(embedding[1:7], x -> abs(CAST(x AS DOUBLE))) AS r FROM embeddings""",
+SELECT vec_id, label, list_transform(embedding[1:7], lambda x: abs(CAST(x AS DOUBLE))) AS r FROM embeddings""",
     "v_probs": """
-SELECT vec_id, list_transform(r, x -> x / list_sum(r)) AS p, [-3,-2,-1,0,1,2,3] AS classes,
+SELECT vec_id, list_transform(r, lambda x: x / list_sum(r)) AS p, [-3,-2,-1,0,1,2,3] AS classes,
   ((label % 7) + 7) % 7 - 3 AS y, 60 + vec_id % 40 AS t_base FROM v_probs0""",
     "v_probs_long": """
 SELECT vec_id, y, t_base, i - 1 AS i, p[i] AS p, i - 4 AS k FROM v_probs, range(1, 8) r(i)""",
