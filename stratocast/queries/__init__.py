@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "joins"]
+MODULES = ["scans", "filters", "scalars", "joins", "aggregates", "strategies"]
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")
