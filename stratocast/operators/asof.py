@@ -26,7 +26,11 @@ def asof(left, right, keys, left_us, right_us, values, tie=None, tolerance=None,
     l = left.select(*keys, (sign * col(left_us)).alias("_t"), F.lit(1).alias("_s"),
                     F.lit(None).cast("long").alias("_tie"), payload.alias("_l"),
                     F.lit(None).alias("_r"))
-    r = right.filter(col(right_us).isNotNull()).select(
+    # As in SQL, a NULL key matches nothing.
+    known = col(right_us).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    r = right.filter(known).select(
         *keys, (sign * col(right_us)).alias("_t"), F.lit(side).alias("_s"),
         (col(tie).cast("long") if tie is not None else F.lit(0).cast("long")).alias("_tie"),
         F.lit(None).alias("_l"), item.alias("_r"))

@@ -22,6 +22,20 @@ def time_chunk(us, width=CHUNK_US):
     return F.floor(col(us) / F.lit(width)).cast("long")
 
 
+def chunked(df, keys, chunk):
+    """Mark rows with their key (``_k``, equal also for NULL keys) and chunk (``_c``).
+
+    Scans that are given ``"_c"`` as chunk reuse the marks, and with them the
+    shuffle and sort of the scan before.
+    """
+    k = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumns({"_k": k, "_c": chunk})
+
+
+def unchunk(df):
+    return df.drop("_k", "_c")
+
+
 def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     """Running aggregates per key in ``order``.
 
@@ -29,57 +43,34 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     count, max, min, last, first; last and first skip NULLs. ``chunk`` must be
     monotonic in ``order``. With ``inclusive=False`` the row itself is left out.
     """
-    keys, order = list(keys), [col(o) for o in order]
-    part = [*keys, "_c"]
+    order = [col(o) for o in order]
+    reuse = isinstance(chunk, str)
+    part = ["_k", "_c"]
+    base = df if reuse else chunked(df, list(keys), chunk)
     names = {n: f"_v{i}" for i, n in enumerate(specs)}
-    base = df.withColumns({"_c": chunk, **{names[n]: col(c) for n, (_, c) in specs.items()}})
+    base = base.withColumns({names[n]: col(c) for n, (_, c) in specs.items()})
+    pick = {"last": F.last, "first": F.first}
 
     pos = F.struct(*order)
-    partial = []
+    partial, carried, running, final = [], [], {}, []
+    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
     for n, (kind, _) in specs.items():
         v = F.col(names[n])
-        if kind in ("last", "first"):
+        if kind in pick:
             by = F.max_by if kind == "last" else F.min_by
             partial.append(by(v, F.when(v.isNotNull(), pos)).alias(names[n]))
-        elif kind == "count":
-            partial.append(F.count(v).alias(names[n]))
-        else:
-            partial.append(MERGE[kind](v).alias(names[n]))
-    totals = base.groupBy(*part).agg(*partial)
-
-    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
-    for n, (kind, _) in specs.items():
-        v = F.col(names[n])
-        if kind in ("last", "first"):
-            pick = F.last if kind == "last" else F.first
-            carried.append(pick(v, ignorenulls=True).over(before).alias("_p" + names[n]))
+            carried.append(pick[kind](v, ignorenulls=True).over(before).alias("_p" + names[n]))
+            running["_i" + names[n]] = pick[kind](v, ignorenulls=True).over(inside)
         else:
+            one = F.count if kind == "count" else MERGE[kind]
+            partial.append(one(v).alias(names[n]))
             carried.append(MERGE[kind](v).over(before).alias("_p" + names[n]))
-    carry = totals.select(*part, *carried)
-
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
-    running = {}
-    for n, (kind, _) in specs.items():
-        v = F.col(names[n])
-        if kind in ("last", "first"):
-            pick = F.last if kind == "last" else F.first
-            running["_i" + names[n]] = pick(v, ignorenulls=True).over(inside)
-        elif kind == "count":
-            running["_i" + names[n]] = F.count(v).over(inside)
-        else:
-            running["_i" + names[n]] = MERGE[kind](v).over(inside)
-
-    out = base.withColumns(running).join(carry, part)
-    final = []
-    for n, (kind, _) in specs.items():
+            running["_i" + names[n]] = one(v).over(inside)
         i, p = F.col("_i" + names[n]), F.col("_p" + names[n])
-        if kind == "last":
-            e = F.coalesce(i, p)
-        elif kind == "first":
-            e = F.coalesce(p, i)
+        if kind in pick:
+            e = F.coalesce(i, p) if kind == "last" else F.coalesce(p, i)
         elif kind == "count":
             e = F.coalesce(i, F.lit(0)) + F.coalesce(p, F.lit(0))
         elif kind == "sum":
@@ -87,7 +78,11 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
         else:
             e = (F.greatest if kind == "max" else F.least)(i, p)
         final.append(e.alias(n))
-    return out.select(*[c for c in df.columns if c not in specs], *final)
+
+    carry = base.groupBy(*part).agg(*partial).select(*part, *carried)
+    out = base.withColumns(running).join(carry, part)
+    kept = [c for c in df.columns if c not in specs]
+    return out.select(*kept, *final)
 
 
 def numbered(df, keys, order, chunk, name="rn"):
@@ -131,7 +126,7 @@ def row_framed(df, keys, rn, exprs, before, after=0, size=CHUNK_ROWS):
 def runs(df, keys, order, chunk, value, name="run_id"):
     """Number maximal runs of equal consecutive ``value`` per key (NULL = NULL)."""
     v = F.struct(col(value).alias("v"))
-    prev = prefix_scan(df, keys, order, chunk, {"_prev": ("last", v)}, inclusive=False)
+    prev = prefix_scan(chunked(df, keys, chunk), keys, order, "_c", {"_prev": ("last", v)}, inclusive=False)
     start = F.when(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(col(value)), 1).otherwise(0)
-    return prefix_scan(prev.withColumn("_start", start), keys, order, chunk,
-                       {name: ("sum", F.col("_start"))}).drop("_start", "_prev")
+    return unchunk(prefix_scan(prev.withColumn("_start", start), keys, order, "_c",
+                               {name: ("sum", F.col("_start"))}).drop("_start", "_prev"))

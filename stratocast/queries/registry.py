@@ -2,7 +2,8 @@
 
 A query declares its result columns once, as ``"city s, n i, x f"``; both the
 Spark result and the oracle are projected through that list so that names and
-types agree (s text, i integer, f double at six places (ties nudged up so that last-bit noise cannot split them), d date text,
+types agree (s text, i integer, f double at six places (ties nudged up so that last-bit noise cannot split them),
+h double at three places, d date text,
 t timestamp text, u microseconds shown as timestamp text).
 """
 
@@ -30,6 +31,8 @@ def _spark_project(df, cols):
             c = c.cast("long")
         elif k == "f":
             c = F.floor(c.cast("double") * 1e6 + 0.5001) / F.lit(1e6)
+        elif k == "h":
+            c = F.floor(c.cast("double") * 1e3 + 0.5001) / F.lit(1e3)
         elif k == "d":
             c = F.date_format(c, "yyyy-MM-dd")
         elif k == "t":
@@ -45,6 +48,7 @@ def _spark_project(df, cols):
 def _sql_project(sql, cols):
     f = {
         "i": "CAST({0} AS BIGINT)", "f": "floor(CAST({0} AS DOUBLE) * 1e6 + 0.5001e0) / 1e6 + 0.0e0",
+        "h": "floor(CAST({0} AS DOUBLE) * 1e3 + 0.5001e0) / 1e3 + 0.0e0",
         "d": "strftime({0}, '%Y-%m-%d')", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S')",
         "u": "strftime(make_timestamp({0}), '%Y-%m-%d %H:%M:%S')", "s": "CAST({0} AS VARCHAR)",
     }
