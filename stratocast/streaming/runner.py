@@ -30,3 +30,16 @@ def use_rocksdb(spark):
     """Large keyed state belongs in RocksDB rather than on the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_updates(spark, stream, keys, label):
+    """Drain an update-mode aggregation; the newest update of each key is its state."""
+    from pyspark.sql import functions as F
+
+    def save(df, i, root):
+        df.withColumn("_batch", F.lit(i)).write.mode("overwrite").parquet(f"{root}/out/_b={i}")
+
+    root = run_batches(spark, stream, save, label, mode="update")
+    rest = [c for c in stream.columns if c not in keys]
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
