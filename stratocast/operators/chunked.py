@@ -39,45 +39,49 @@ def unchunk(df):
 def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     """Running aggregates per key in ``order``.
 
-    ``specs`` maps an output name to (kind, column) with kind one of sum,
-    count, max, min, last, first; last and first skip NULLs. ``chunk`` must be
-    monotonic in ``order``. With ``inclusive=False`` the row itself is left out.
+    ``specs`` maps an output name to (kind, column) with kind one of sum, count,
+    max, min, last, first, prev (last before this row) and next (first from this
+    row on); the positional kinds skip NULLs. ``chunk`` must be monotonic in
+    ``order``. With ``inclusive=False`` the row itself is left out.
+
+    The input appears twice in the plan (rows and chunk totals); long chains of
+    scans should start from a written table.
     """
     order = [col(o) for o in order]
-    reuse = isinstance(chunk, str)
     part = ["_k", "_c"]
-    base = df if reuse else chunked(df, list(keys), chunk)
+    base = df if isinstance(chunk, str) else chunked(df, list(keys), chunk)
     names = {n: f"_v{i}" for i, n in enumerate(specs)}
     base = base.withColumns({names[n]: col(c) for n, (_, c) in specs.items()})
-    pick = {"last": F.last, "first": F.first}
 
     pos = F.struct(*order)
+    lead_in = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    lead_out = Window.partitionBy("_k").orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*part).orderBy(*order)
+    down = Window.partitionBy(*part).orderBy(*[o.desc() for o in order])
+    to_here = up.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     partial, carried, running, final = [], [], {}, []
-    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
     for n, (kind, _) in specs.items():
-        v = F.col(names[n])
-        if kind in pick:
-            by = F.max_by if kind == "last" else F.min_by
-            partial.append(by(v, F.when(v.isNotNull(), pos)).alias(names[n]))
-            carried.append(pick[kind](v, ignorenulls=True).over(before).alias("_p" + names[n]))
-            running["_i" + names[n]] = pick[kind](v, ignorenulls=True).over(inside)
-        else:
-            one = F.count if kind == "count" else MERGE[kind]
-            partial.append(one(v).alias(names[n]))
-            carried.append(MERGE[kind](v).over(before).alias("_p" + names[n]))
-            running["_i" + names[n]] = one(v).over(inside)
-        i, p = F.col("_i" + names[n]), F.col("_p" + names[n])
-        if kind in pick:
-            e = F.coalesce(i, p) if kind == "last" else F.coalesce(p, i)
+        v, t, i, p = F.col(names[n]), names[n], F.col("_i" + names[n]), F.col("_p" + names[n])
+        at = F.when(v.isNotNull(), pos)
+        if kind in ("last", "prev"):
+            frame = to_here if kind == "last" else up.rowsBetween(Window.unboundedPreceding, -1)
+            parts = F.max_by(v, at), F.last(v, True).over(lead_in), F.last(v, True).over(frame), F.coalesce(i, p)
+        elif kind == "first":
+            parts = F.min_by(v, at), F.first(v, True).over(lead_in), F.first(v, True).over(to_here), F.coalesce(p, i)
+        elif kind == "next":
+            # Read backwards, so that the frame grows row by row instead of being rescanned.
+            here = down.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+            parts = F.min_by(v, at), F.last(v, True).over(lead_out), F.last(v, True).over(here), F.coalesce(i, p)
         elif kind == "count":
-            e = F.coalesce(i, F.lit(0)) + F.coalesce(p, F.lit(0))
-        elif kind == "sum":
-            e = F.coalesce(i + p, i, p)
+            parts = F.count(v), F.sum(v).over(lead_in), F.count(v).over(to_here), F.coalesce(i, F.lit(0)) + F.coalesce(p, F.lit(0))
         else:
-            e = (F.greatest if kind == "max" else F.least)(i, p)
-        final.append(e.alias(n))
+            f = MERGE[kind]
+            joined = F.coalesce(i + p, i, p) if kind == "sum" else (F.greatest if kind == "max" else F.least)(i, p)
+            parts = f(v), f(v).over(lead_in), f(v).over(to_here), joined
+        partial.append(parts[0].alias(t))
+        carried.append(parts[1].alias("_p" + t))
+        running["_i" + t] = parts[2]
+        final.append(parts[3].alias(n))
 
     carry = base.groupBy(*part).agg(*partial).select(*part, *carried)
     out = base.withColumns(running).join(carry, part)

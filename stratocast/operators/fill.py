@@ -34,9 +34,8 @@ def fill_latest(df, keys, us, tie, x, since_us, out):
 def sides(df, keys, rn, x, names=("_p", "_n")):
     """Nearest non-NULL (rn, value) at or before and at or after each row."""
     item = F.when(col(x).isNotNull(), F.struct(col(rn).alias("rn"), col(x).alias("v")))
-    size = F.lit(CHUNK_ROWS)
-    d = prefix_scan(df, keys, [rn], F.floor(col(rn) / size).cast("long"), {names[0]: ("last", item)})
-    return prefix_scan(d, keys, [-col(rn)], F.floor(-col(rn) / size).cast("long"), {names[1]: ("last", item)})
+    chunk = F.floor(col(rn) / F.lit(CHUNK_ROWS)).cast("long")
+    return prefix_scan(df, keys, [rn], chunk, {names[0]: ("last", item), names[1]: ("next", item)})
 
 
 def _between(rn):

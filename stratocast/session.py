@@ -40,3 +40,13 @@ def shared_dir(spark):
 def scratch(spark, label):
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df, label):
+    """Write a stage result below the shared folder and continue from the table.
+
+    Cuts the plan, keeps columnar pruning, and survives lost executors.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
