@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scans", "filters", "scalars", "joins", "aggregates", "windows", "trading", "strategies", "streams", "datasets"]
+MODULES = ["scans", "filters", "scalars", "joins", "aggregates", "windows", "trading", "strategies", "streams", "datasets", "models"]
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}")

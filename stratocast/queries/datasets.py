@@ -82,15 +82,16 @@ def parity_check(t):
 def registry_features(t):
     """What each registered group adds, with the number of observations it reads."""
     s, ctx = D.hourly(t.settle), D.inputs(t)
-    done = build(s, ctx)
+    kinds = {n: k for n, (k, _) in GROUPS.items()}
+    d = build(s, ctx, [n for n, k in kinds.items() if k != "columns"])
     items = []
     for name, (kind, fn) in GROUPS.items():
         if kind == "columns":
-            n = len(set(fn(done, ctx).columns)) - len(s.columns)
-        elif kind == "event":
-            n = len(fn(ctx).columns) - 2
+            before = len(d.columns)
+            d = fn(d, ctx)
+            n = len(d.columns) - before
         else:
-            n = len(fn(ctx).values)
+            n = len(fn(ctx).columns) - 2 if kind == "event" else len(fn(ctx).values)
         items.append(F.struct(N(name).alias("grp"), N(kind).alias("kind"), N(n).alias("n_new")))
     return t.obs.agg(F.count(N(1)).alias("n_rows")).select("n_rows", F.explode(F.array(*items)).alias("g")).select("g.*", "n_rows")
 
