@@ -100,10 +100,10 @@ class TradeFilter:
 
 def evaluation(scored, classes, y="y"):
     """Delta and ordinal metrics plus log loss, in one row."""
-    a = M.delta_metrics(scored, y, "pred")
-    b = M.ordinal_metrics(scored, y).drop("n")
-    c = M.log_loss(scored, y).drop("n")
-    return a.join(b, F.lit(True)).join(c, F.lit(True))
+    o = M.ordinal_metrics(scored, y)
+    return M.delta_metrics(scored, y, "pred").withColumns({
+        "mean_rank_error": o.select("mean_rank_error").scalar(), "ordinal_loss": o.select("ordinal_loss").scalar(),
+        "log_loss": M.log_loss(scored, y).select("log_loss").scalar()})
 
 
 def importances(model, names):

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import HOUR, col
 
 CHUNK_US = 6 * HOUR
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 500_000
+EVEN_CHUNKS = 10_000
 MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
@@ -22,6 +23,16 @@ def time_chunk(us, width=CHUNK_US):
     return F.floor(col(us) / F.lit(width)).cast("long")
 
 
+def even_chunk(df, pos, parts=EVEN_CHUNKS):
+    """Chunk of an integer position: equal slices of its range, so that the carry table
+    has at most ``parts`` rows per key however long the series grows. The range is one
+    min/max aggregate over the source."""
+    lo, hi = df.agg(F.min(pos), F.max(pos)).first()
+    if lo is None:
+        return F.lit(0).cast("long")
+    return F.floor((col(pos) - F.lit(lo)) / F.lit((hi - lo) // parts + 1)).cast("long")
+
+
 def chunked(df, keys, chunk):
     """Mark rows with their key (``_k``, equal also for NULL keys) and chunk (``_c``).
 

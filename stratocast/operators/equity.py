@@ -5,27 +5,37 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import col
-from .chunked import chunked, prefix_scan, unchunk
+from .chunked import chunked, even_chunk, prefix_scan, unchunk
 
 
-def cumulative_pnl(trades, keys, order, chunk, pnl, limit):
+def day_chunk(df, day, pos, parts=64):
+    """Chunk for rows ordered by (day, pos): each day in ``parts`` slices of ``pos``."""
+    d = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long")
+    return d * (parts + 1) + even_chunk(df, pos, parts)
+
+
+def cumulative_pnl(trades, keys, order, pnl, limit):
     """Running P&L per key and whether the loss limit has been reached."""
+    chunk = even_chunk(trades, order[0])
     d = prefix_scan(trades, keys, order, chunk, {"cum_pnl": ("sum", pnl)})
     return d.withColumn("halted", (F.col("cum_pnl") <= -abs(limit)).cast("int"))
 
 
-def open_positions(opens, closes, keys, pos, ids, chunk_width, limits):
+def open_positions(opens, closes, keys, pos, ids, limits):
     """Open count after each event, in total per ``keys`` prefix and per key."""
     ev = opens.select(*keys, *ids, col(pos).alias("pos_at"), F.lit(1).alias("sign")).unionByName(
         closes.select(*keys, *ids, col(pos).alias("pos_at"), F.lit(-1).alias("sign")))
     order = ["pos_at", "sign", *ids]
-    ev = prefix_scan(ev, keys, order, F.floor(F.col("pos_at") / chunk_width).cast("long"), {"n_open": ("sum", "sign")})
-    ev = prefix_scan(ev, [], order + list(keys), F.floor(F.col("pos_at") / chunk_width).cast("long"), {"n_total": ("sum", "sign")})
+    chunk = even_chunk(ev, "pos_at")
+    ev = prefix_scan(ev, keys, order, chunk, {"n_open": ("sum", "sign")})
+    ev = prefix_scan(ev, [], order + list(keys), chunk, {"n_total": ("sum", "sign")})
     return ev.withColumn("allowed", ((F.col("n_open") < limits[0]) & (F.col("n_total") < limits[1])).cast("int"))
 
 
-def drawdown(trades, keys, order, chunk, pnl, day, start=10000.0):
-    """Equity curve summary: final equity, drawdown, profit factor, daily Sharpe."""
+def drawdown(trades, keys, order, pnl, day, start=10000.0):
+    """Equity curve summary: final equity, drawdown, profit factor, daily Sharpe.
+    ``order`` is the day followed by an integer position."""
+    chunk = day_chunk(trades, day, order[1])
     d = prefix_scan(chunked(trades, keys, chunk), keys, order, "_c", {"_cum": ("sum", pnl)})
     d = d.withColumn("equity", F.col("_cum") + start)
     d = unchunk(prefix_scan(d, keys, order, "_c", {"_pk": ("max", "equity")}))

@@ -112,6 +112,6 @@ def risk_multipliers(skill, baseline="0-2h"):
     ``skill`` has one row per bucket."""
     base = skill.filter(F.col("bucket") == baseline).agg(F.coalesce(F.max("raw_std"), F.lit(1.0)).alias("_b"))
     v, b = F.col("raw_std"), F.col("_b")
-    return skill.filter(v.isNotNull() & (v > 0)).join(base, F.lit(True)).select(
+    return skill.filter(v.isNotNull() & (v > 0)).withColumn("_b", base.scalar()).select(
         "bucket", v, F.least(F.lit(1.0), F.greatest(F.lit(0.05), b * b / (v * v))).alias("size_mult"),
         F.greatest(F.lit(1.0), F.least(F.lit(3.0), v / b)).alias("edge_mult"))

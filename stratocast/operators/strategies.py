@@ -123,4 +123,4 @@ def param_sweep(fcst, settle, market, grid, cutoff):
         F.count_if(train).alias("n_train"), F.sum(F.when(train, F.col("pnl")).otherwise(0.0)).alias("train_pnl"),
         F.count_if(~train).alias("n_test"), F.sum(F.when(~train, F.col("pnl")).otherwise(0.0)).alias("test_pnl"))
     best = s.agg(F.max_by("pid", F.struct(F.round("train_pnl", 6), -F.col("pid"))).alias("_b"))
-    return s.join(best, F.lit(True)).withColumn("best", (F.col("pid") == F.col("_b")).cast("int")).drop("_b")
+    return s.withColumn("best", (F.col("pid") == best.scalar()).cast("int"))

@@ -228,7 +228,7 @@ WITH b AS (SELECT k, CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n,
 SELECT count(*) AS n, avg(-ln(greatest(1e-15, least(1 - 1e-15, p)))) AS log_loss, (SELECT sum(n * abs(mp - ob)) / sum(n) FROM b) AS ece FROM v_probs_long WHERE y = k""")
 def agg_logloss_ece(t):
     e = M.expected_calibration_error(t.probs_long.withColumn("hit", F.col("y") == F.col("k")))
-    return M.log_loss(t.probs).join(e, N(True))
+    return M.log_loss(t.probs).withColumn("ece", e.scalar())
 
 
 @query("agg_calibration_curve", "bin i, n i, mean_pred f, observed f", """
@@ -305,7 +305,7 @@ SELECT *, (thr = (SELECT thr FROM s WHERE n >= 100 ORDER BY sharpe DESC, thr LIM
 def agg_threshold_sweep(t):
     s = sweep(t.bt, F.abs("edge"), [i * 0.5 for i in range(25)])
     best = s.filter("n >= 100").agg(F.max_by("thr", F.struct(F.col("sharpe"), -F.col("thr"))).alias("_b"))
-    return s.join(best, N(True)).withColumn("best", F.col("thr") == F.col("_b"))
+    return s.withColumn("best", F.col("thr") == best.scalar())
 
 
 def sweep(bt, value, thresholds, by=()):
@@ -406,9 +406,8 @@ def agg_opportunity_summary(t):
 @query("agg_date_overlap", "d0 d, d1 d, n_days i", """
 SELECT greatest(a0, b0) AS d0, least(a1, b1) AS d1, least(a1, b1) - greatest(a0, b0) + 1 AS n_days FROM (SELECT min(CAST(o_orderdate AS DATE)) a0, max(CAST(o_orderdate AS DATE)) a1 FROM orders), (SELECT min(CAST(l_shipdate AS DATE)) b0, max(CAST(l_shipdate AS DATE)) b1 FROM lineitem)""")
 def agg_date_overlap(t):
-    a = t.orders.agg(F.to_date(F.min("o_orderdate")).alias("a0"), F.to_date(F.max("o_orderdate")).alias("a1"))
-    b = t.lineitem.agg(F.to_date(F.min("l_shipdate")).alias("b0"), F.to_date(F.max("l_shipdate")).alias("b1"))
-    j = a.join(b, N(True)).select(F.greatest("a0", "b0").alias("d0"), F.least("a1", "b1").alias("d1"))
+    span = lambda df, c: df.agg(F.to_date(F.min(c)).alias("lo"), F.to_date(F.max(c)).alias("hi"))
+    j = span(t.orders, "o_orderdate").union(span(t.lineitem, "l_shipdate")).agg(F.max("lo").alias("d0"), F.min("hi").alias("d1"))
     return j.withColumn("n_days", F.datediff("d1", "d0") + 1)
 
 

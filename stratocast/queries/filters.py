@@ -175,7 +175,7 @@ def set_intersect_check(t):
     n = tr.intersect(te).agg(F.count(N(1)).alias("n_overlap"))
     m = p.agg(F.max(F.when(F.col("part") == "train", F.col("day"))).alias("train_max"),
               F.min(F.when(F.col("part") == "test", F.col("day"))).alias("test_min"))
-    return n.join(m, N(True)).withColumn("ordered", F.col("train_max") < F.col("test_min"))
+    return m.withColumn("n_overlap", n.scalar()).withColumn("ordered", F.col("train_max") < F.col("test_min"))
 
 
 @query("split_by_date", "part s, n i", "SELECT CASE WHEN day < DATE '2024-01-21' THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM v_obs GROUP BY 1")

@@ -72,7 +72,7 @@ def ml_score_and_compare(t):
         s = m.transform(test).select("won", vector_to_array("probability")[1].alias("q"))
         e = F.col("q") - F.col("won")
         top = max(ML.importances(m, names), key=lambda x: x[1])
-        r = auc(s, "q", "won").join(s.agg(F.count(N(1)).alias("n"), F.avg(e * e).alias("brier")), N(True)).select(
+        r = s.agg(F.count(N(1)).alias("n"), F.avg(e * e).alias("brier")).withColumn("auc", auc(s, "q", "won").select("auc").scalar()).select(
             N(name).alias("model"), "n", "auc", "brier", N(top[0]).alias("top_feature"), N(top[1]).alias("top_weight"))
         out = r if out is None else out.unionByName(r)
     return out

@@ -316,7 +316,7 @@ ORD = ["ok", "ln", "pk", "sk"]
 SELECT city, day, ok, ln, pk, sk, sum(pnl) OVER w AS cum_pnl, (sum(pnl) OVER w <= -300)::INT AS halted FROM v_bt WINDOW w AS (PARTITION BY city, day ORDER BY ok, ln, pk, sk ROWS UNBOUNDED PRECEDING)""")
 def win_cumulative_pnl(t):
     b = t.bt.select("city", "day", *ORD, "pnl")
-    return E.cumulative_pnl(b, ["city", "day"], ORD, F.floor(F.col("ok") / 50_000).cast("long"), "pnl", 300)
+    return E.cumulative_pnl(b, ["city", "day"], ORD, "pnl", 300)
 
 
 @query("win_position_limits", "city s, ok i, ln i, pk i, sk i, pos_at i, sign i, n_open i, n_total i, allowed i", """
@@ -326,7 +326,7 @@ SELECT city, ok, ln, pk, sk, at_ AS pos_at, sign, n_open, n_total, (n_open < 3 A
 def win_position_limits(t):
     o = t.bt.withColumn("p", F.col("ok") * 10)
     c = t.bt.withColumn("p", F.col("ok") * 10 + F.col("n"))
-    return E.open_positions(o, c, ["city"], "p", ORD, 100_000, (3, 12))
+    return E.open_positions(o, c, ["city"], "p", ORD, (3, 12))
 
 
 @query("win_equity_drawdown", "city s, n i, final_equity f, max_dd f, max_dd_pct f, profit_factor f, avg_win f, avg_loss f, sharpe f", """
@@ -336,8 +336,7 @@ a AS (SELECT city, count(*) AS n, 10000 + sum(pnl) AS final_equity, min(eq - pk_
 SELECT a.city, n, final_equity, max_dd, max_dd * 100.0e0 / at_ AS max_dd_pct, profit_factor, avg_win, avg_loss, sharpe FROM a JOIN sh USING (city)""")
 def win_equity_drawdown(t):
     b = t.bt.select("city", "day", *ORD, "pnl")
-    chunk = F.floor(F.datediff("day", N("1970-01-01").cast("date")) / 7).cast("long")
-    return E.drawdown(b, ["city"], ["day", *ORD], chunk, "pnl", "day")
+    return E.drawdown(b, ["city"], ["day", *ORD], "pnl", "day")
 
 
 @query("win_equity_kelly_fold", "city s, day d, ok i, ln i, pk i, sk i, bet f, equity f", """

@@ -70,17 +70,21 @@ def extend_dense(spark, bars, batch_id, root, key, prices, close, us="bucket_us"
     The state is one row per market (its last minute and prices), written per
     cycle; rows already emitted are never rewritten.
     """
-    now = bars.agg(F.max(us).alias("_now"))
+    now = bars.agg(F.max(us)).first()[0]
+    if now is None:
+        if batch_id > 0:
+            spark.read.parquet(f"{root}/last/cycle={batch_id - 1}").write.mode("overwrite").parquet(f"{root}/last/cycle={batch_id}")
+        return
     bars = bars.withColumn("_real", F.lit(1))
     if batch_id > 0:
         prior = spark.read.parquet(f"{root}/last/cycle={batch_id - 1}")
         bars = bars.unionByName(prior.withColumn("_real", F.lit(0)), allowMissingColumns=True)
-    span = bars.groupBy(key).agg(F.min(us).alias("_lo"), F.max(close).alias(close)).join(now, F.lit(True))
-    top = F.least("_now", close)
+    span = bars.groupBy(key).agg(F.min(us).alias("_lo"), F.max(close).alias(close))
+    top = F.least(F.lit(now), F.col(close))
     grid = span.filter(top >= F.col("_lo")).select(key, close, F.explode(F.sequence("_lo", top, F.lit(MINUTE))).alias(us))
     from ..operators.chunked import prefix_scan, time_chunk
     d = grid.join(bars.drop(close), [key, us], "left")
-    d = prefix_scan(d, [key], [us], time_chunk(us), {p: ("last", p) for p in prices})
+    d = prefix_scan(d, [key], [us, F.coalesce("_real", F.lit(0))], time_chunk(us), {p: ("last", p) for p in prices})
     d.filter(F.coalesce("_real", F.lit(2)) != 0).withColumn("is_synthetic", F.col("_real").isNull().cast("int")).select(
         key, us, *prices, "is_synthetic").write.mode("overwrite").parquet(f"{root}/dense/cycle={batch_id}")
     d.groupBy(key).agg(F.max(us).alias(us), F.max(close).alias(close), *[F.max_by(p, us).alias(p) for p in prices]).write.mode(
