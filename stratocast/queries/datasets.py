@@ -9,25 +9,47 @@ from ..functions import probs as PR
 from ..operators import audit as A
 from ..plans import datasets as D
 from ..plans import views as V
-from .registry import query
+from .registry import RAW_SQL, query
 from .scalars import _RULE_SQL
+from .strategies import _T3
 
 N = F.lit
 
 
-@query("feature_snapshot", "city s, event_date d, us u, num_samples_sofar i, vc_max_f_sofar f, vc_std_f_sofar f, temp_rate_last_30min h, minutes_since_max_observed f, fcst_prev_max_f f, fcst_multi_ema f, err_mean_sofar f, station_city_temp_gap f, market_yes_bid f, humidity_last_obs f, wetbulb_last_obs f, obs_fcst_max_gap f, is_heating_phase i, log_abs_obs_fcst_gap f, temp_x_hours_remaining f, settle_f i, delta i")
+_SNAP = """
+WITH s AS (SELECT city, day, settle_f, epoch_us(day::TIMESTAMP) - 50400000000 AS lo, epoch_us(day::TIMESTAMP) + 86100000000 AS cl, epoch_us(day::TIMESTAMP) - 50400000000 + i * 1800000000 AS us FROM v_settle, range(76) r(i)),
+r AS (SELECT *, ((temp_f - 32) * 5 / 9 * atan(0.151977e0 * sqrt(humidity + 8.313659e0)) + atan((temp_f - 32) * 5 / 9 + humidity) - atan(humidity - 1.676331e0) + 0.00391838e0 * pow(humidity, 1.5e0) * atan(0.023101e0 * humidity) - 4.686035e0) * 9 / 5 + 32 AS wb,
+ CASE WHEN count(*) OVER q >= 2 THEN covar_samp(temp_f, (us - 1704067200000000) / 6e7) OVER q / var_pop((us - 1704067200000000) / 6e7) OVER q * 60 END AS rate FROM v_obs WINDOW q AS (PARTITION BY city ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)),
+a AS (SELECT s.city, s.day, s.us, count(*) AS n, max(temp_f) AS mx, coalesce(stddev_samp(temp_f), 0) AS sd, last(rate ORDER BY r.us) AS rate, arg_max(humidity, r.us) AS hum, arg_max(wb, r.us) AS wb, max(r.us) AS lu FROM s JOIN r ON r.city = s.city AND r.us BETWEEN s.lo AND s.us GROUP BY s.city, s.day, s.us),
+x AS (SELECT a.city, a.day, a.us, (any_value(a.lu) - max(r.us)) / 6e7 AS sm FROM a JOIN r ON r.city = a.city AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us AND abs(r.temp_f - a.mx) < 0.01e0 GROUP BY a.city, a.day, a.us),
+f AS (SELECT city, day, max(temp_f) AS fm FROM v_fcst_hourly GROUP BY city, day), h AS (SELECT city, day, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS ema FROM v_fcst GROUP BY city, day),
+eh AS (SELECT f.city, f.day, epoch_us(f.day::TIMESTAMP) + (f.hour + 1) * 3600000000 AS t, o.m - f.temp_f AS e FROM v_fcst_hourly f JOIN (SELECT city, day, hour, sum(CAST(round(temp_f * 100) AS BIGINT)) / count(temp_f) / 100 AS m FROM v_obs GROUP BY ALL) o USING (city, day, hour)),
+er AS (SELECT s.city, s.day, s.us, avg(e) AS em FROM s JOIN eh ON eh.city = s.city AND eh.day = s.day AND eh.t <= s.us GROUP BY s.city, s.day, s.us),
+g AS (SELECT s.city, s.day, s.us, arg_max(p.temp_f - q.temp_f, p.us) AS gap FROM s JOIN v_obs p ON p.city = s.city AND p.us BETWEEN s.lo AND s.us JOIN v_obs2 q ON q.event_id = p.event_id GROUP BY s.city, s.day, s.us),
+m AS (SELECT s.city, s.day, s.us, arg_max(bid, struct_pack(a := c.bucket_us, b := c.j)) AS bid FROM s JOIN v_candle c ON c.city = s.city AND c.day = s.day AND c.bucket_us < s.us GROUP BY s.city, s.day, s.us)
+SELECT s.city, s.day AS event_date, s.us, a.n AS num_samples_sofar, mx AS vc_max_f_sofar, sd AS vc_std_f_sofar, rate AS temp_rate_last_30min, sm AS minutes_since_max_observed, fm AS fcst_prev_max_f, ema AS fcst_multi_ema, em AS err_mean_sofar, gap AS station_city_temp_gap, bid AS market_yes_bid,
+ hum AS humidity_last_obs, wb AS wetbulb_last_obs, fm - mx AS obs_fcst_max_gap, CASE WHEN rate > 0.5 THEN 1 WHEN rate IS NOT NULL THEN 0 WHEN hour(make_timestamp(s.us)) < 11 THEN 1 ELSE 0 END AS is_heating_phase, ln(1 + abs(fm - mx)) AS log_abs_obs_fcst_gap, mx * ((cl - s.us) / 3.6e9) AS temp_x_hours_remaining,
+ s.settle_f, s.settle_f - CAST(round_even(fm, 0) AS BIGINT) AS delta
+FROM s LEFT JOIN a ON a.city = s.city AND a.us = s.us AND a.day = s.day LEFT JOIN x ON x.city = s.city AND x.us = s.us AND x.day = s.day LEFT JOIN f ON f.city = s.city AND f.day = s.day LEFT JOIN h ON h.city = s.city AND h.day = s.day
+ LEFT JOIN er ON er.city = s.city AND er.day = s.day AND er.us = s.us LEFT JOIN g ON g.city = s.city AND g.day = s.day AND g.us = s.us LEFT JOIN m ON m.city = s.city AND m.day = s.day AND m.us = s.us"""
+
+
+@query("feature_snapshot", "city s, event_date d, us u, num_samples_sofar i, vc_max_f_sofar f, vc_std_f_sofar f, temp_rate_last_30min h, minutes_since_max_observed f, fcst_prev_max_f f, fcst_multi_ema f, err_mean_sofar f, station_city_temp_gap f, market_yes_bid f, humidity_last_obs f, wetbulb_last_obs f, obs_fcst_max_gap f, is_heating_phase i, log_abs_obs_fcst_gap f, temp_x_hours_remaining f, settle_f i, delta i", _SNAP)
 def feature_snapshot(t):
     """All feature groups on a half-hourly spine."""
     return build(D.snapshots(t.settle, 30), D.inputs(t))
 
 
-@query("dataset_market_clock", "city s, event_date d, n i, avg_max f, avg_gap f, sum_delta i, n_features i")
+@query("dataset_market_clock", "city s, event_date d, n i, avg_max f, avg_gap f, sum_delta i", """
+WITH s AS (SELECT city, day, settle_f, epoch_us(day::TIMESTAMP) - 50400000000 AS lo, epoch_us(day::TIMESTAMP) - 50400000000 + i * 300000000 AS us FROM v_settle, range(456) r(i)),
+a AS (SELECT s.city, s.day, s.us, any_value(s.settle_f) AS settle_f, max(o.temp_f) AS mx FROM s JOIN v_obs o ON o.city = s.city AND o.us BETWEEN s.lo AND s.us GROUP BY s.city, s.day, s.us),
+f AS (SELECT city, day, max(temp_f) AS fm FROM v_fcst_hourly GROUP BY city, day)
+SELECT a.city, a.day AS event_date, count(*) AS n, avg(mx) AS avg_max, avg(fm - mx) AS avg_gap, sum(settle_f - CAST(round_even(fm, 0) AS BIGINT)) AS sum_delta FROM a JOIN f USING (city, day) GROUP BY a.city, a.day""")
 def dataset_market_clock(t):
     """Five-minute dataset of every event with lags, summarised per event."""
     d = D.market_clock_dataset(t.settle, D.inputs(t), 5)
-    num, cat = feature_columns(d)
     return d.groupBy("city", "event_date").agg(F.count(N(1)).alias("n"), F.avg("vc_max_f_sofar").alias("avg_max"), F.avg("obs_fcst_max_gap").alias("avg_gap"),
-                                               F.sum("delta").alias("sum_delta")).withColumn("n_features", N(len(num) + len(cat)))
+                                               F.sum("delta").alias("sum_delta"))
 
 
 @query("dataset_hourly_snapshots", "city s, event_date d, us u, num_samples_sofar i, vc_max_f_sofar f, vc_min_f_sofar f, vc_mean_f_sofar f, intraday_range_sofar f, last_temp_f f, temp_mean_last_60min f, temp_max_last_30min f, humidity_mean_last_60min f, cloudcover_last_obs f, fcst_prev_max_f f, fcst_prev_q50_f f, obs_fcst_max_gap f, market_yes_bid f, market_yes_ask f, settle_f_lag1 i, delta i, delta_obs i", """
@@ -105,7 +127,12 @@ def registry_rules(t):
     return r.groupBy("rule").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
 
 
-@query("registry_strategies", "strategy s, n i, total_pnl f")
+_RUNS = {"open_maker_base": _T3, "open_maker_next_over": RAW_SQL["strategy_next_over"] + " UNION ALL SELECT city, day, ticker, NULL, NULL, 0, pnl FROM (" + _T3 + ") WHERE city NOT IN ('click', 'view')",
+         "open_maker_curve_gap": RAW_SQL["strategy_curve_gap"], "midnight": RAW_SQL["strategy_midnight"]}
+
+
+@query("registry_strategies", "strategy s, n i, total_pnl f",
+       " UNION ALL ".join(f"SELECT '{k}' AS strategy, count(*) AS n, sum(pnl) AS total_pnl FROM ({v})" for k, v in _RUNS.items()))
 def registry_strategies(t):
     from ..plans.strategies import STRATEGIES, run_strategy
     out = None

@@ -17,6 +17,7 @@ from .oracle_views import VIEWS
 
 QUERIES = {}
 ORACLE = {}
+RAW_SQL = {}
 
 
 def _columns(spec):
@@ -77,6 +78,7 @@ def query(name, spec, sql=None):
         assert name not in QUERIES, name
         QUERIES[name] = run
         if sql:
+            RAW_SQL[name] = sql
             ORACLE[name] = _sql_project(sql, cols)
         return fn
 
