@@ -7,22 +7,21 @@ from ..functions.strikes import contains, type_priority
 from ..functions.timeutil import col
 
 
-def join_bracket(df, markets, keys, value, id_cols, cols, mode="real", kinds=None):
-    """One bracket per row: equi join on the event, range filter, best type first.
+def join_bracket(df, markets, keys, value, cols, mode="real", kinds=None):
+    """One bracket per row: equi join on the event, best matching type first.
 
-    An event has a fixed handful of brackets, so the equi key bounds the fan-out
-    and the pick is a hash aggregate with map-side combine, not a sort.
+    The few brackets of an event are packed into one ordered array row, so the
+    join keeps one row per input row and needs no aggregation afterwards. Rows
+    outside every bracket are dropped.
     """
     m = markets if kinds is None else markets.filter(col("strike_type").isin(*kinds))
-    m = m.select(*keys, "strike_type", "floor_s", "cap_s", *[c for c in cols if c not in ("strike_type", "floor_s", "cap_s")])
-    hit = contains("strike_type", "floor_s", "cap_s", value, mode)
-    j = df.join(m, list(keys)).filter(hit)
-    rank = F.struct(type_priority("strike_type").alias("r"), F.coalesce(col("floor_s"), F.lit(-1e9)).alias("f"))
-    rest = [c for c in df.columns if c not in id_cols]
-    return j.groupBy(*id_cols).agg(
-        *[F.first(c).alias(c) for c in rest],
-        F.min_by(F.struct(*cols), rank).alias("_b")
-    ).select(*df.columns, *[F.col(f"_b.{c}").alias(c) for c in cols])
+    own = [c for c in cols if c not in ("strike_type", "floor_s", "cap_s")]
+    item = F.struct(type_priority("strike_type").alias("_r"), F.coalesce(col("floor_s"), F.lit(-1e9)).alias("_f"),
+                    "strike_type", "floor_s", "cap_s", *own)
+    ev = m.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_b"))
+    hit = F.get(F.filter("_b", lambda b: contains(b["strike_type"], b["floor_s"], b["cap_s"], value, mode)), F.lit(0))
+    j = df.join(ev, list(keys)).withColumn("_h", hit).filter("_h IS NOT NULL")
+    return j.select(*df.columns, *[F.col(f"_h.{c}").alias(c) for c in cols])
 
 
 def neighbours(markets, keys, name="ticker"):

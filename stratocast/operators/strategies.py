@@ -17,7 +17,7 @@ def forecast_at_basis(fcst, offset=1):
 def fixed_entry(fcst, settle, market, bias=0.0, entry=30.0, budget=100.0, offset=1):
     """Forecast + bias picks a bracket, bought at a fixed price and held to settlement."""
     f = forecast_at_basis(fcst, offset).withColumn("adj_f", F.bround(F.col("fcst_f") + bias, 0))
-    pick = join_bracket(f, market, ["city", "day"], "adj_f", ["city", "day"],
+    pick = join_bracket(f, market, ["city", "day"], "adj_f",
                         ["ticker", "mkt", "strike_type", "floor_s", "cap_s"])
     t = pick.join(settle.select("city", "day", "settle_f"), ["city", "day"])
     n = T.contracts_for_budget(F.lit(entry), budget)
@@ -50,7 +50,7 @@ def midnight(fcst, settle, market, candles, alpha, beta, budget=100.0):
     t0, t1, t2 = F.col("t0"), F.coalesce("t1", "t0"), F.coalesce("t2", "t0")
     adj = t0 + alpha * ((t0 + t1 + t2) / 3 - t0) + beta * (F.greatest(t0, t1, t2) - F.least(t0, t1, t2))
     p = p.select("city", "day", adj.alias("adj_f"))
-    pick = join_bracket(p, market, ["city", "day"], "adj_f", ["city", "day"], ["ticker", "mkt", "strike_type", "floor_s", "cap_s"], mode="half_open")
+    pick = join_bracket(p, market, ["city", "day"], "adj_f", ["ticker", "mkt", "strike_type", "floor_s", "cap_s"], mode="half_open")
     first = candles.groupBy("mkt").agg(F.min_by("bid", "bucket_us").alias("entry"))
     t = pick.join(first, "mkt").join(settle.select("city", "day", "settle_f"), ["city", "day"])
     t = t.withColumns({"n": T.contracts_for_budget("entry", budget), "won": contains("strike_type", "floor_s", "cap_s", "settle_f", "half_open")})
@@ -113,7 +113,7 @@ def param_sweep(fcst, settle, market, grid, cutoff):
     ev = f.groupBy("city", "day").agg(F.map_from_entries(F.collect_list(F.struct("offset", "fcst_f"))).alias("_f"))
     ev = ev.select("city", "day", "_f", g.alias("g")).select("city", "day", "g.*", F.col("_f")[F.col("g.offset")].alias("fcst_f"))
     ev = ev.withColumn("adj_f", F.bround(F.col("fcst_f") + F.col("bias"), 0))
-    pick = join_bracket(ev, market, ["city", "day"], "adj_f", ["city", "day", "pid"], ["strike_type", "floor_s", "cap_s"])
+    pick = join_bracket(ev, market, ["city", "day"], "adj_f", ["strike_type", "floor_s", "cap_s"])
     t = pick.join(settle.select("city", "day", "settle_f"), ["city", "day"])
     t = t.withColumn("n", F.greatest(F.floor(100.0 / (F.col("entry") / 100)), F.lit(1)))
     t = t.withColumn("won", contains("strike_type", "floor_s", "cap_s", "settle_f"))

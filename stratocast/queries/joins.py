@@ -99,7 +99,7 @@ QUALIFY row_number() OVER (PARTITION BY o.event_id ORDER BY CASE m.strike_type W
 @query("join_bracket_range", "event_id i, ticker s, strike_type s", _BR)
 def join_bracket_range(t):
     o = t.obs.select("event_id", "city", "day", F.bround("temp_f", 0).alias("x"))
-    return B.join_bracket(o, t.market, ["city", "day"], "x", ["event_id"], ["ticker", "strike_type"])
+    return B.join_bracket(o, t.market, ["city", "day"], "x", ["ticker", "strike_type"])
 
 
 @query("join_atm_bracket", "city s, day d, fcst_f f, ticker s", """
@@ -107,7 +107,7 @@ SELECT f.city, f.day, f.tempmax_f AS fcst_f, m.ticker FROM v_fcst f JOIN v_marke
 WHERE f.lead = 1 AND m.strike_type = 'between' AND f.tempmax_f + 0.5 > m.floor_s AND f.tempmax_f + 0.5 <= m.cap_s""")
 def join_atm_bracket(t):
     f = t.fcst.filter("lead = 1").select("city", "day", F.col("tempmax_f").alias("fcst_f"), (F.col("tempmax_f") + 0.5).alias("x"))
-    return B.join_bracket(f, t.market, ["city", "day"], "x", ["city", "day"], ["ticker"], mode="left_open", kinds=["between"])
+    return B.join_bracket(f, t.market, ["city", "day"], "x", ["ticker"], mode="left_open", kinds=["between"])
 
 
 @query("join_snapshot_obs", "city s, day d, hour i, n_today i, n_both i, max_today f, max_both f", """

@@ -89,21 +89,21 @@ def stream_first_seen(t):
 _CLOSED = "<= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type = 'purchase')"
 
 
-@query("stream_rolling_volume", "mkt s, end_ts t, contracts i", f"""
-WITH w AS (SELECT mkt, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE * (k + 1) AS end_ts, cnt FROM v_trade, range(0, 6) r(k)) SELECT mkt, end_ts, sum(cnt) AS contracts FROM w GROUP BY mkt, end_ts HAVING end_ts {_CLOSED}""")
+@query("stream_rolling_volume", "mkt s, end_us u, contracts i", f"""
+WITH w AS (SELECT mkt, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE * (k + 1) AS end_ts, cnt FROM v_trade, range(0, 6) r(k)) SELECT mkt, epoch_us(end_ts) AS end_us, sum(cnt) AS contracts FROM w GROUP BY mkt, end_ts HAVING end_ts {_CLOSED}""")
 def stream_rolling_volume(t):
     """Contracts of the last 30 minutes on a sliding window; late trades within 10 minutes count."""
     s = SRC.trades(events(t)).withWatermark("ets", "10 minutes").groupBy(F.window("ets", "30 minutes", "5 minutes").alias("w"), "mkt").agg(F.sum("cnt").alias("contracts"))
-    return R.run_to_parquet(t.spark, s.select("mkt", F.col("w.end").alias("end_ts"), "contracts"), "rolling_volume")
+    return R.run_to_parquet(t.spark, s.select("mkt", F.unix_micros("w.end").alias("end_us"), "contracts"), "rolling_volume")
 
 
-@query("stream_minute_candles", "mkt s, minute t, o i, h i, l i, c i, v i, n i", f"""
-SELECT mkt, date_trunc('minute', ts) AS minute, arg_min(price, us) AS o, max(price) AS h, min(price) AS l, arg_max(price, us) AS c, sum(cnt) AS v, count(*) AS n FROM v_trade GROUP BY 1, 2 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE {_CLOSED}""")
+@query("stream_minute_candles", "mkt s, minute u, o i, h i, l i, c i, v i, n i", f"""
+SELECT mkt, epoch_us(date_trunc('minute', ts)) AS minute, arg_min(price, us) AS o, max(price) AS h, min(price) AS l, arg_max(price, us) AS c, sum(cnt) AS v, count(*) AS n FROM v_trade GROUP BY mkt, date_trunc('minute', ts) HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE {_CLOSED}""")
 def stream_minute_candles(t):
     pos = F.struct("us", "seq")
     s = SRC.trades(events(t)).withWatermark("ets", "10 minutes").groupBy(F.window("ets", "1 minute").alias("w"), "mkt").agg(
         F.min_by("price", pos).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", pos).alias("c"), F.sum("cnt").alias("v"), F.count(N(1)).alias("n"))
-    return R.run_to_parquet(t.spark, s.select("mkt", F.col("w.start").alias("minute"), "o", "h", "l", "c", "v", "n"), "minute_candles")
+    return R.run_to_parquet(t.spark, s.select("mkt", F.unix_micros("w.start").alias("minute"), "o", "h", "l", "c", "v", "n"), "minute_candles")
 
 
 @query("stream_dense_fill", "mkt s, n i, n_synth i, bid_sum i, last_us u", f"""
@@ -175,7 +175,7 @@ SELECT city, day, sum(CAST(round(temp_f * 100) AS BIGINT) - 1500) AS pnl, (sum(C
 def stream_daily_loss(t):
     p = F.round(F.col("value") * 100).cast("long") - 1500
     s = events(t).withWatermark("ets", "1 day").groupBy(F.window("ets", "1 day").alias("w"), F.col("event_type").alias("city")).agg(F.sum(p).alias("pnl"))
-    s = s.select("city", F.to_date(F.col("w.start")).alias("day"), "pnl")
+    s = s.select("city", F.date_add(N("1970-01-01").cast("date"), F.floor(F.unix_seconds("w.start") / 86400).cast("int")).alias("day"), "pnl")
     return R.run_updates(t.spark, s, ["city", "day"], "daily_loss").withColumn("halted", (F.col("pnl") <= -10000).cast("int"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import col
+from ..functions.timeutil import col, epoch_us, from_us
 
 MINUTE_T = "datetimeEpoch bigint, temp double, humidity double, dew double, preciptype array<string>"
 TIMELINE = (f"days array<struct<datetime:string,tempmax:double,hours:array<struct<datetimeEpoch:bigint,"
@@ -20,12 +20,11 @@ def timeline_minutes(df, text, keep, zone="UTC"):
     d = d.select(*keep, F.col("_d.datetime").alias("day"), F.explode_outer("_d.hours").alias("_h"))
     d = d.select(*keep, "day", "_h", F.explode_outer("_h.minutes").alias("_m"))
     epoch = F.coalesce("_m.datetimeEpoch", "_h.datetimeEpoch")
-    utc = F.timestamp_seconds(epoch)
     return d.select(*keep, "day", epoch.alias("epoch"),
                     F.coalesce("_m.temp", "_h.temp").alias("temp_f"),
                     F.col("_m.humidity").alias("humidity"),
                     F.concat_ws(",", "_m.preciptype").alias("preciptype"),
-                    F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz")).alias("local_ts"),
+                    F.convert_timezone(F.lit("UTC"), F.lit(zone), from_us(epoch * 1_000_000)).alias("local_ts"),
                     F.col("_m").isNull().cast("int").alias("from_hour")).filter("epoch IS NOT NULL")
 
 
@@ -37,7 +36,7 @@ def forecast_rows(df, text, keep):
     target = F.to_date(F.col("_d.datetime"))
     d = d.select(*keep, "basis", target.alias("target"), F.datediff(target, "basis").alias("lead_days"),
                  F.col("_d.tempmax").alias("tempmax_f"), F.explode_outer("_d.hours").alias("_h"))
-    b = F.unix_seconds(F.col("basis").cast("timestamp"))
+    b = F.floor(epoch_us(F.col("basis").cast("timestamp_ntz")) / 1_000_000)
     return d.select(*keep, "basis", "target", "lead_days", "tempmax_f",
                     F.col("_h.temp").alias("temp_f"),
                     F.floor((F.col("_h.datetimeEpoch") - b) / 3600).alias("lead_hours"))

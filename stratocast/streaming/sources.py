@@ -7,10 +7,10 @@ from ..sources.readers import SCHEMAS
 
 
 def read_events(spark, base, files_per_trigger=50):
-    """The event table as a stream, event time as an instant."""
+    """The event table as a stream; ``ets`` is the event time as an instant (the table is in UTC)."""
     s = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", files_per_trigger)
          .parquet(f"{base.rstrip('/')}/events.parquet*"))
-    return s.withColumns({"us": epoch_us("ts"), "ets": F.col("ts").cast("timestamp")})
+    return s.withColumns({"us": epoch_us("ts"), "ets": F.timestamp_micros(epoch_us("ts"))})
 
 
 def quotes(events):
