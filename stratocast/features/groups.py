@@ -8,13 +8,14 @@ so the many snapshots of an event multiply only narrow rows.
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import derived as X
 from ..functions import meteo
 from ..functions import timeutil as TU
 from ..functions.timeutil import DAY, HOUR, MINUTE
-from ..operators import stats
+from ..operators import rolling, stats
 from ..operators.asof import Source
 from ..operators.chunked import CHUNK_US, chunked, framed, prefix_scan, time_chunk, unchunk
 from ..operators.joins import lags_by_date
@@ -30,6 +31,7 @@ class Inputs:
     curve: Any = None
     candles: Any = None
     settle: Any = None
+    guidance: Any = None
     inclusive: bool = True
     open_hour: int = 10
 
@@ -86,12 +88,17 @@ def observed(ctx):
     v, h = F.col("temp_f"), F.floor(F.pmod(F.col("us"), F.lit(DAY)) / HOUR)
     o = chunked(o, KEY, time_chunk("us"))
     part = lambda c: ("max", F.when(c, v))
+    # Decayed means as running sums of growing weights; the growth cancels in the ratio.
+    d0 = F.datediff("event_date", F.lit("1970-01-01").cast("date")).cast("long") * DAY - DAY
+    grow = lambda half: F.exp((F.col("us") - d0) / F.lit(float(MINUTE)) * (0.6931471805599453 / half))
     o = prefix_scan(o, KEY, ["us"], "_c", {
         "num_samples_sofar": ("count", v), "_s": ("sum", v), "_ss": ("sum", v * v), "vc_max_f_sofar": ("max", v), "vc_min_f_sofar": ("min", v),
         "max_morning_f_sofar": part(h < 12), "max_afternoon_f_sofar": part((h >= 12) & (h < 17)), "max_evening_f_sofar": part(h >= 17),
-        "pred_c_first_sofar": ("max", X.via_celsius(v)), "_first": ("min", F.col("us")), "_prev": ("prev", F.col("us"))})
+        "pred_c_first_sofar": ("max", X.via_celsius(v)), "_first": ("min", F.col("us")), "_prev": ("prev", F.col("us")),
+        **{f"_w{m}": ("sum", grow(m)) for m in (30, 60)}, **{f"_wx{m}": ("sum", grow(m) * v) for m in (30, 60)}})
     near = F.when(F.abs(v - F.col("vc_max_f_sofar")) < 0.01, F.col("us"))
-    o = unchunk(prefix_scan(o, KEY, ["us"], "_c", {"_at": ("last", near), "_gap": ("max", F.col("us") - F.col("_prev"))}))
+    o = unchunk(prefix_scan(o, KEY, ["us"], "_c", {"_at": ("last", near), "_gap": ("max", F.col("us") - F.col("_prev")),
+        "hours_observed": ("sum", F.when(F.floor(F.col("_prev") / HOUR) == F.floor(F.col("us") / HOUR), 0).otherwise(1))}))
     n, mean = F.col("num_samples_sofar"), F.col("_s") / F.col("num_samples_sofar")
     var = F.greatest((F.col("_ss") - F.col("_s") * mean) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
     base = F.bround("vc_max_f_sofar", 0)
@@ -102,6 +109,8 @@ def observed(ctx):
         "temp_cv_sofar": F.when((mean > 0) & (n > 1), F.sqrt(var) / mean),
         "minutes_since_max_observed": (F.col("us") - F.col("_at")) / F.lit(float(MINUTE)),
         "missing_fraction_sofar": 1 - n / F.greatest(F.floor((F.col("us") - F.col("_first")) / (5 * MINUTE)) + 1, n),
+        "temp_ema_30min": F.col("_wx30") / F.col("_w30"), "temp_ema_60min": F.col("_wx60") / F.col("_w60"),
+        "hours_coverage_fraction": F.col("hours_observed") / 38.0,
         "max_gap_minutes": F.col("_gap") / F.lit(float(MINUTE)),
         "pred_max_round_sofar": base.cast("long"), "pred_ceil_max_sofar": F.ceil("vc_max_f_sofar"), "pred_floor_max_sofar": F.floor("vc_max_f_sofar"),
         "humidity_last_obs": F.col("humidity"), "windspeed_last_obs": F.col("wind"), "cloudcover_last_obs": F.col("cloud"),
@@ -154,9 +163,11 @@ def forecast_error(ctx):
     d0 = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long") * DAY
     e = e.select("city", F.col("day").alias("event_date"), (d0 + (F.col("hour") + 1) * HOUR).alias("t"), "e")
     # At most 24 completed hours per event.
+    w3 = Window.partitionBy(*KEY).orderBy("t").rowsBetween(-2, 0)
+    e = e.withColumn("err_last3h_mean", F.when(F.count("e").over(w3) == 3, F.avg("e").over(w3)))
     e = prefix_scan(e, KEY, ["t"], time_chunk("t", DAY), {"_n": ("count", "e"), "_s": ("sum", "e"), "_a": ("sum", F.abs("e")), "err_max_pos_sofar": ("max", "e"), "err_max_neg_sofar": ("min", "e")})
     e = e.select(*KEY, "t", (F.col("_s") / F.col("_n")).alias("err_mean_sofar"), (F.col("_a") / F.col("_n")).alias("err_abs_mean_sofar"),
-                 "err_max_pos_sofar", "err_max_neg_sofar", F.col("e").alias("err_last1h"))
+                 "err_max_pos_sofar", "err_max_neg_sofar", F.col("e").alias("err_last1h"), "err_last3h_mean")
     return Source(e, "t", {c: c for c in e.columns if c not in (*KEY, "t")})
 
 
@@ -198,6 +209,39 @@ def market(ctx):
     return Source(c, "bucket_us", {x: x for x in c.columns if x not in (*KEY, "bucket_us", "j")}, tie="j", inclusive=False)
 
 
+@feature_group("candles_micro", "series")
+def candles_micro(ctx):
+    """Fifteen-minute microstructure of the event's quotes (see ``rolling.microstructure``)."""
+    c = ctx.candles.select("city", F.col("day").alias("event_date"), "bucket_us", (F.col("bucket_us") + F.col("j")).alias("_t"), "bid", "ask", "volume")
+    m = rolling.microstructure(c, KEY, "_t", 15, own_row=True)
+    names = {"c_logit_mid_last": "logit_last", "c_logit_mom_15m": "logit_mom", "c_logit_vol_15m": "logit_vol", "c_logit_surprise_15m": "logit_surprise",
+             "c_spread_pct_mean_15m": "spread_pct", "c_mid_range_pct_15m": "mid_range_pct", "c_trade_frac_15m": "trade_frac"}
+    m = m.select(*KEY, "bucket_us", "_t", *[F.col(c).alias(n) for n, c in names.items()])
+    return Source(m, "bucket_us", {n: n for n in names}, tie="_t", inclusive=False)
+
+
+@feature_group("guidance", "event")
+def guidance(ctx):
+    """Latest high of each model, its revision, and z-scores against the 15:00 history."""
+    if ctx.guidance is None:
+        return ctx.settle.select("city", F.col("day").alias("event_date"))
+    two = stats.latest_two(ctx.guidance, ["city", "day", "model"], "run_id", "peak_f")
+    at = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    g = two.groupBy("city", "day").agg(*[at(m, c).alias(f"_{m}_{c}") for m in ("nbm", "hrrr", "ndfd") for c in ("latest", "previous")])
+    t15 = ctx.obs.filter("hour = 15 AND minute(ts) <= 15").groupBy("city", "day").agg(F.min_by("temp_f", "us").alias("x"))
+    h = stats.prior_days(ctx.settle.select("city", "day", "di").join(t15, ["city", "day"], "left"), "city", "di", "x").drop("x", "di")
+    g = h.join(g, ["city", "day"], "left")
+    x = {m: X.guidance(f"_{m}_latest", f"_{m}_previous", "mean_f", "std_f") for m in ("nbm", "hrrr", "ndfd")}
+    return g.select("city", F.col("day").alias("event_date"),
+                    F.col("mean_f").alias("obs_t15_mean_30d_f"), F.col("std_f").alias("obs_t15_std_30d_f"),
+                    F.col("_nbm_latest").alias("nbm_peak_window_max_f"), x["nbm"]["revision"].alias("nbm_peak_window_revision_1h_f"),
+                    F.col("_hrrr_latest").alias("hrrr_peak_window_max_f"), x["hrrr"]["revision"].alias("hrrr_peak_window_revision_1h_f"),
+                    F.col("_ndfd_latest").alias("ndfd_tmax_T1_f"), x["ndfd"]["drift"].alias("ndfd_drift_T2_to_T1_f"),
+                    x["nbm"]["z"].alias("nbm_t15_z_30d_f"), x["hrrr"]["z"].alias("hrrr_t15_z_30d_f"),
+                    F.bround(x["hrrr"]["z"] - x["nbm"]["z"], 2).alias("hrrr_minus_nbm_t15_z_30d_f"),
+                    F.bround(F.col("_hrrr_latest") - F.col("_nbm_latest"), 2).alias("hrrr_minus_nbm_peak_window_max_f"))
+
+
 @feature_group("lags", "event")
 def lags(ctx):
     """Settled values of earlier calendar days (a missing day stays NULL)."""

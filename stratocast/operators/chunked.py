@@ -64,7 +64,8 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     names = {n: f"_v{i}" for i, n in enumerate(specs)}
     base = base.withColumns({names[n]: col(c) for n, (_, c) in specs.items()})
 
-    pos = F.struct(*order)
+    # A single ordering column keeps the partial aggregate on primitive buffers (hash, no sort).
+    pos = order[0] if len(order) == 1 else F.struct(*order)
     lead_in = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     lead_out = Window.partitionBy("_k").orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
     up = Window.partitionBy(*part).orderBy(*order)

@@ -137,9 +137,10 @@ def meteo_advanced(df, keys, us):
     return framed(d, keys, us, [us], exprs, 60 * MINUTE)
 
 
-def microstructure(candles, keys, us, minutes=15, bid="bid", ask="ask", min_rows=3):
+def microstructure(candles, keys, us, minutes=15, bid="bid", ask="ask", min_rows=3, own_row=False):
     """Logit-mid level, momentum, volatility and surprise plus spread, range and trade
-    shares of the window [t - n, t), at every row."""
+    shares of the window [t - n, t), at every row. ``own_row=True`` describes the n
+    minutes up to and including the row, which is the same window seen from the next minute."""
     mid = (col(bid) + col(ask)) * 0.5
     p = F.least(F.greatest(mid / 100.0, F.lit(1e-6)), F.lit(1 - 1e-6))
     d = candles.withColumns({"_mid": mid, "_lm": F.ln(p / (1 - p)), "_sp": (col(ask) - col(bid)) / F.greatest(mid, F.lit(1e-6))})
@@ -148,7 +149,7 @@ def microstructure(candles, keys, us, minutes=15, bid="bid", ask="ask", min_rows
         return {"_step": F.col("_lm") - F.lag("_lm").over(w)}
 
     def stats(w):
-        f = w.rangeBetween(-minutes * MINUTE, -1)
+        f = w.rangeBetween(-(minutes - 1) * MINUTE, 0) if own_row else w.rangeBetween(-minutes * MINUTE, -1)
         n = F.count("_lm").over(f)
         ok = n >= min_rows
         mom = F.last("_lm").over(f) - F.first("_lm").over(f)

@@ -131,3 +131,19 @@ def bracket_entropy(quotes, keys, index, bid):
     return d.select(*keys, (F.array_position(q, F.array_max(q)) - 1).alias("argmax_idx"), F.array_max(q).alias("max_prob"),
                     (-total(F.transform(q, lambda x: x * F.ln(x + 1e-10)))).alias("entropy"),
                     total(F.slice(q, F.floor(F.size(q) / 2).cast("int") + 1, F.size(q))).alias("upper_mass"))
+
+
+def latest_two(runs, keys, run, value):
+    """Newest and second newest run per key: the second is the newest among the rest,
+    so two hash aggregates suffice and no group is sorted."""
+    g = runs.groupBy(*keys).agg(F.max_by(F.struct(F.col(run).alias("r"), F.col(value).alias("v")), run).alias("_a"), F.count(F.lit(1)).alias("n"))
+    rest = runs.join(g.select(*keys, F.col("_a.r").alias("_top")), list(keys)).filter(F.col(run) < F.col("_top"))
+    rest = rest.groupBy(*keys).agg(F.max_by(value, run).alias("previous"))
+    return g.join(rest, list(keys), "left").select(*keys, F.col("_a.v").alias("latest"), "previous", "n")
+
+
+def prior_days(daily, key, index, value, days=30, min_days=10):
+    """Mean and population deviation over the prior calendar days. One row per day."""
+    w = Window.partitionBy(key).orderBy(index).rangeBetween(-days, -1)
+    ok = F.count(value).over(w) >= min_days
+    return daily.withColumns({"mean_f": F.when(ok, F.avg(value).over(w)), "std_f": F.when(ok, F.stddev_pop(value).over(w))})

@@ -9,7 +9,7 @@ from ..operators.spine import event_spine
 
 
 def inputs(t, inclusive=True):
-    return Inputs(obs=t.obs, city_obs=t.obs2, fcst=t.fcst, curve=t.fcst_hourly, candles=t.candle, settle=t.settle, inclusive=inclusive)
+    return Inputs(obs=t.obs, city_obs=t.obs2, fcst=t.fcst, curve=t.fcst_hourly, candles=t.candle, settle=t.settle, guidance=t.guidance, inclusive=inclusive)
 
 
 def snapshots(events, step_min=5):

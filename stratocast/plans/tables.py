@@ -9,7 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import HOUR, MINUTE, day_index, epoch_us, from_us
+from ..functions.timeutil import HOUR, MINUTE, day_index, epoch_us
 from ..sources.readers import read_table
 
 LEADS = range(7)
@@ -194,5 +194,12 @@ class Tables:
             F.array(F.lit("nbm"), F.lit("hrrr"), F.lit("ndfd"))[(F.col("o_orderkey") % 3).cast("int")].alias("model"),
             F.col("o_orderkey").alias("run_id"), (F.col("o_totalprice") / 5000).alias("peak_f"), c.alias("cust"))
 
-    def ts(self, us):
-        return from_us(us)
+    @cached_property
+    def guidance(self):
+        """Runs of three models for the observed cities, spread over January."""
+        o = F.col("o_orderkey")
+        return self.orders.select(
+            F.array(*[F.lit(c) for c in CITIES])[(F.col("o_custkey") % 5).cast("int")].alias("city"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (o % 30).cast("int")).alias("day"),
+            F.array(F.lit("nbm"), F.lit("hrrr"), F.lit("ndfd"))[(o % 3).cast("int")].alias("model"),
+            o.alias("run_id"), (F.col("o_totalprice") / 5000).alias("peak_f"))

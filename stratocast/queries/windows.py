@@ -53,10 +53,8 @@ def win_rolling_prior_rows(t):
 @query("win_rolling_prior_days", "city s, day d, mean_f f, std_f f", f"""
 SELECT a.city, a.day, CASE WHEN count(b.x) >= 10 THEN avg(b.x) END AS mean_f, CASE WHEN count(b.x) >= 10 THEN stddev_pop(b.x) END AS std_f FROM v_settle a LEFT JOIN ({_T15}) b ON a.city = b.city AND b.day BETWEEN a.day - 30 AND a.day - 1 GROUP BY a.city, a.day""")
 def win_rolling_prior_days(t):
-    d = t.settle.select("city", "day", "di").join(t15(t), ["city", "day"], "left")
-    w = Window.partitionBy("city").orderBy("di").rangeBetween(-30, -1)
-    ok = F.count("x").over(w) >= 10
-    return d.select("city", "day", F.when(ok, F.avg("x").over(w)).alias("mean_f"), F.when(ok, F.stddev_pop("x").over(w)).alias("std_f"))
+    from ..operators.stats import prior_days
+    return prior_days(t.settle.select("city", "day", "di").join(t15(t), ["city", "day"], "left"), "city", "di", "x")
 
 
 @query("win_locf", "event_id i, fixed f, filled i", f"""
@@ -215,11 +213,8 @@ def win_last_hour(t):
 @query("win_latest_two_runs", "city s, day d, model s, latest f, previous f, n i", """
 SELECT city, day, model, max(peak_f) FILTER (r = 1) AS latest, max(peak_f) FILTER (r = 2) AS previous, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY city, day, model ORDER BY run_id DESC) AS r, count(*) OVER (PARTITION BY city, day, model) AS n FROM v_run) GROUP BY ALL""")
 def win_latest_two_runs(t):
-    """The second newest is the newest among the rest: two hash aggregates, no sort."""
-    k = ["city", "day", "model"]
-    g = t.run.groupBy(*k).agg(F.max_by(F.struct("run_id", "peak_f"), "run_id").alias("a"), F.count(N(1)).alias("n"))
-    rest = t.run.join(g.select(*k, F.col("a.run_id").alias("_top")), k).filter("run_id < _top").groupBy(*k).agg(F.max_by("peak_f", "run_id").alias("previous"))
-    return g.join(rest, k, "left").select(*k, F.col("a.peak_f").alias("latest"), "previous", "n")
+    from ..operators.stats import latest_two
+    return latest_two(t.run, ["city", "day", "model"], "run_id", "peak_f")
 
 
 @query("win_microstructure", "mkt s, bucket_us u, logit_last f, logit_mom f, logit_vol f, logit_surprise f, spread_pct f, mid_range_pct f, trade_frac f", """
