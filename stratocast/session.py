@@ -24,17 +24,25 @@ def build_session(app="stratocast", master=None, shuffle_partitions=None):
     return b.getOrCreate()
 
 
+_LOCAL = {}
+
+
 def shared_dir(spark):
     """Folder every executor can reach, as named by the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; a local session without the
-    setting gets a fresh temporary folder, which is then remembered.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without the
+    setting gets a temporary folder, one per application; anywhere else a machine-local
+    folder would be invisible to the other executors, so its absence is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    if d:
+        return d
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL[app]
 
 
 def scratch(spark, label):
