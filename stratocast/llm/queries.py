@@ -1,8 +1,15 @@
 """Registered queries of the training-data operators: thin digests over whole tables."""
 
-from . import mixing, quality, toxicity
+from . import matroska, maxscore, mixing, quality, toxicity, word_bpe
 from .common import table
 
+
+def vocabulary():
+    """The public word-level vocabulary; any file of the same form may be given instead."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES = {}
 ORACLE = {}
 
@@ -30,3 +37,21 @@ def op9_poisson_mixing(spark, sf_dir):
 
 
 ORACLE["op9_poisson_mixing"] = mixing.ORACLE
+
+
+@query
+def op3_maxscore_topk(spark, sf_dir):
+    return maxscore.top_k(maxscore.integers(table(spark, sf_dir, "embeddings")))
+
+
+ORACLE["op3_maxscore_topk"] = maxscore.ORACLE
+
+
+@query
+def op4_matroska_packets(spark, sf_dir):
+    return matroska.features(matroska.media(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_trie_bpe(spark, sf_dir):
+    return word_bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
