@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: thin digests over whole tables."""
 
-from . import matroska, maxscore, mixing, quality, toxicity, word_bpe
+from . import matroska, maxscore, mixing, quality, simhash, toxicity, word_bpe
 from .common import table
 
 
@@ -55,3 +55,8 @@ def op4_matroska_packets(spark, sf_dir):
 @query
 def op7_trie_bpe(spark, sf_dir):
     return word_bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op8_simhash_gray_index(spark, sf_dir):
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
