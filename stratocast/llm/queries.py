@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: thin digests over whole tables."""
 
-from . import matroska, maxscore, mixing, quality, simhash, toxicity, word_bpe
+from . import language, matroska, maxscore, mixing, quality, simhash, toxicity, word_bpe
 from .common import table
 
 
@@ -60,3 +60,9 @@ def op7_trie_bpe(spark, sf_dir):
 @query
 def op8_simhash_gray_index(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_language_byte_gru(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.digest(language.score(docs, language.fit(docs)))
