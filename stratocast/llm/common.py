@@ -83,3 +83,31 @@ class Adam:
             self.v[k] += 0.001 * (g * g - self.v[k])
             m, v = self.m[k] / (1 - 0.9 ** self.t), self.v[k] / (1 - 0.999 ** self.t)
             self.p[k] -= ((rate or self.rate) * m / (np.sqrt(v) + 1e-8)).astype(self.p[k].dtype)
+
+
+def rewrite(docs, fn, max_bytes=8 << 20):
+    """``docs`` with ``fn(texts) -> texts or None`` applied to column ``text``.
+
+    A row whose result is None is dropped; all other columns pass through unchanged,
+    but for ``n_chars``, which follows a changed text. NULL texts reach ``fn`` as "".
+    """
+    names = list(docs.columns)
+    at = names.index("text")
+    n_at = names.index("n_chars") if "n_chars" in names else None
+    marker = object()
+
+    def run(iterator):
+        for b in batches(iterator, max_bytes):
+            old = b.column(at).to_pylist()
+            new = fn(["" if t is None else t for t in old], marker)
+            keep = [i for i, t in enumerate(new) if t is not None]
+            b = b.take(pa.array(keep, type=pa.int64()))
+            columns = list(b.columns)
+            if any(new[i] is not marker for i in keep):
+                columns[at] = pa.array([old[i] if new[i] is marker else new[i] for i in keep], type=columns[at].type)
+                if n_at is not None:
+                    was = columns[n_at].to_pylist()
+                    columns[n_at] = pa.array([was[j] if new[i] is marker else len(new[i]) for j, i in enumerate(keep)], type=columns[n_at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)

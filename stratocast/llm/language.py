@@ -49,8 +49,8 @@ def training_rows(docs, max_docs, max_chars):
     return [r for r in sample(rows, max_docs) if has_letter(r["text"])]
 
 
-def fit(docs, max_docs=3000, max_chars=20000, hidden=8, steps=500, batch=160, length=96, rate=0.02, seed=11):
-    """{"langs", "f", "b", "o"}: languages drawn evenly, windows drawn at random."""
+def fit(docs, max_docs=3000, max_chars=20000, hidden=8, steps=600, batch=160, length=96, rate=0.02, seed=11):
+    """{"langs", "f", "b", "o"}: languages drawn by the root of their share, windows at random."""
     rows = training_rows(docs, max_docs, max_chars)
     langs = sorted({r["lang"] for r in rows})
     rng = np.random.default_rng(seed)
@@ -59,14 +59,18 @@ def fit(docs, max_docs=3000, max_chars=20000, hidden=8, steps=500, batch=160, le
     if len(langs) < 2:
         return net
     texts = [[np.frombuffer(r["text"].encode(), dtype=np.uint8) for r in rows if r["lang"] == lang] for lang in langs]
+    share = np.sqrt([len(t) for t in texts])
+    share /= share.sum()
     adam = {k: Adam(net[k], rate) for k in ("f", "b", "o")}
     for step in range(steps):
-        y = rng.integers(0, len(langs), batch)
+        y = rng.choice(len(langs), batch, p=share)
         ids = np.full((length, batch), PAD, dtype=np.int64)
         for j, lang in enumerate(y):
             t = texts[lang][rng.integers(len(texts[lang]))]
-            a = rng.integers(max(1, len(t) - length // 2))
-            piece = t[a:a + length]
+            n, a = length, rng.integers(max(1, len(t) - length // 2))
+            if rng.random() < 0.3:  # short texts, with padding around
+                n, a = rng.integers(6, 48), 0 if rng.random() < 0.5 else a
+            piece = t[a:a + n]
             ids[:len(piece), j] = piece
         keep = ([], [])
         z, both = logits(ids, net, keep)

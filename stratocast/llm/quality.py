@@ -173,6 +173,17 @@ def line_marginals(texts, model):
     return good, length, lines
 
 
+def document_scores(texts, model):
+    """Length-weighted mean of P(good) of each text (bytes)."""
+    return aggregated(*line_marginals(texts, model))
+
+
+def aggregated(good, length, lines):
+    cut = np.cumsum(lines) - lines
+    weight = length + 1.0  # an empty line counts as one character
+    return np.clip(np.add.reduceat(good * weight, cut) / np.add.reduceat(weight, cut), 0, 1)
+
+
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_lines", pa.int64()), ("bad_lines", pa.int64())])
 
 
@@ -184,9 +195,7 @@ def score(docs, model):
         for b in batches(iterator, 4 << 20):
             good, length, lines = line_marginals(b.column(1).to_pylist(), model)
             cut = np.cumsum(lines) - lines
-            weight = length + 1.0  # an empty line counts as one character
-            value = np.add.reduceat(good * weight, cut) / np.add.reduceat(weight, cut)
-            yield record(SCORED, doc_id=b.column(0).to_pylist(), score=np.clip(value, 0, 1), n_lines=lines, bad_lines=np.add.reduceat((good < 0.5).astype(np.int64), cut))
+            yield record(SCORED, doc_id=b.column(0).to_pylist(), score=aggregated(good, length, lines), n_lines=lines, bad_lines=np.add.reduceat((good < 0.5).astype(np.int64), cut))
 
     return rows.mapInArrow(run, "doc_id long, score double, n_lines long, bad_lines long")
 

@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: thin digests over whole tables."""
 
-from . import language, matroska, maxscore, mixing, quality, simhash, toxicity, word_bpe
+from . import language, matroska, maxscore, mixing, pii, quality, simhash, toxicity, word_bpe
 from .common import table
 
 
@@ -39,6 +39,12 @@ def op9_poisson_mixing(spark, sf_dir):
 ORACLE["op9_poisson_mixing"] = mixing.ORACLE
 
 
+@query
+def op2_pii_bilstm_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.spans(docs, pii.fit(docs)))
+
+
 @query
 def op3_maxscore_topk(spark, sf_dir):
     return maxscore.top_k(maxscore.integers(table(spark, sf_dir, "embeddings")))
