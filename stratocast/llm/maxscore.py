@@ -72,61 +72,64 @@ def _pack(rows, size):
 
 
 class Shard:
-    """Postings of one block: per dimension and sign the rows, magnitudes and their bound."""
-
-    def __init__(self, ids, values):
-        self.ids, self.forward = ids, values
-        self.lists = {}
-        for d in range(values.shape[1]):
-            for sign in (1, -1):
-                rows = np.flatnonzero(values[:, d] * sign > 0)
-                if len(rows):
-                    size = values[rows, d] * sign
-                    self.lists[d, sign] = (rows, size, int(size.max()))
-
-    def search(self, query, own_id, k, best):
-        """Candidates (scores, ids) that may enter a top-k whose k-th score is ``best``."""
-        terms = []
-        for d in np.flatnonzero(query[:self.forward.shape[1]]):
-            hit = self.lists.get((int(d), 1 if query[d] > 0 else -1))
-            if hit:
-                terms.append((int(abs(query[d])) * hit[2], int(d), hit))
-        terms.sort(key=lambda t: t[0])
-        bounds = np.cumsum([0] + [t[0] for t in terms])
-        split = 0  # terms[:split] are non-essential
-        if best is not None:
-            split = int(np.searchsorted(bounds, best, side="left")) - 1 if best > 0 else 0
-            split = max(0, min(split, len(terms)))
-        if best is None or best <= 0:
-            rows = np.arange(len(self.ids))  # also vectors in no list compete
-        else:
-            seen = np.zeros(len(self.ids), dtype=bool)
-            for _, _, (posting, _, _) in terms[split:]:
-                seen[posting] = True
-            rows = np.flatnonzero(seen)
-        score = np.zeros(len(self.ids), dtype=np.int64)
-        for _, d, (posting, size, _) in terms[split:]:
-            score[posting] += abs(int(query[d])) * size
-        score = score[rows]
-        for i in range(split - 1, -1, -1):  # non-essential lists, largest bound first
-            alive = score + bounds[i + 1] >= best
-            rows, score = rows[alive], score[alive]
-            if not len(rows):
-                break
-            d = terms[i][1]
-            score = score + np.maximum(self.forward[rows, d] * int(query[d]), 0)
-        if best is not None:
-            alive = score >= best
-            rows, score = rows[alive], score[alive]
-        width = min(len(query), self.forward.shape[1])
-        falls = np.minimum(self.forward[rows, :width] * query[None, :width], 0).sum(1)
-        score = score + falls
-        keep = self.ids[rows] != own_id
-        if best is not None:
-            keep &= score >= best
-        rows, score = rows[keep], score[keep]
-        order = np.lexsort((self.ids[rows], -score))[:k]
-        return score[order], self.ids[rows[order]]
+    """Postings of one block of vectors.
+
+    List 2d holds the positive, list 2d + 1 the negative values of dimension d, as
+    magnitudes over the rows of the block (0: not in the list), with their bound.
+    """
+
+    def __init__(self, ids, values, n_dims):
+        self.ids = ids
+        self.forward = np.zeros((len(ids), n_dims), dtype=np.int64)
+        self.forward[:, :values.shape[1]] = values[:, :n_dims]
+        lists = np.empty((2 * n_dims, len(ids)), dtype=np.int64)
+        lists[0::2], lists[1::2] = np.maximum(self.forward.T, 0), np.maximum(-self.forward.T, 0)
+        self.lists, self.bound = lists, lists.max(1)
+
+    def search(self, queries, own, best, k):
+        """Yields (query, scores, ids) of candidates that may enter a query's top-k.
+
+        ``best``: k-th score so far per query, None where there are fewer.
+        """
+        n = len(queries)
+        weight = np.zeros((n, len(self.lists)), dtype=np.int64)
+        weight[:, 0::2], weight[:, 1::2] = np.maximum(queries, 0), np.maximum(-queries, 0)
+        bounds = weight * self.bound[None]
+        order = np.argsort(bounds, axis=1, kind="stable")
+        below = np.cumsum(np.take_along_axis(bounds, order, 1), axis=1)
+        # Lists whose bounds together stay under the threshold are non-essential.
+        threshold = np.array([0 if b is None else b for b in best], dtype=np.int64)
+        split = (below < threshold[:, None]).sum(1)
+        essential = weight.copy()
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
+        essential[rank < split[:, None]] = 0
+        # The essential lists of all queries are traversed together; floats are exact below 2^53.
+        exact = float(below[:, -1].max(initial=0)) < 2.0 ** 53
+        partial = essential.astype(float) @ self.lists.astype(float) if exact else essential @ self.lists
+        for i in range(n):
+            score, b = partial[i], best[i]
+            if b is None or b <= 0:  # vectors in no list compete as well
+                rows = np.arange(len(self.ids))
+            else:
+                rest = below[i, split[i] - 1] if split[i] else 0
+                rows = np.flatnonzero((score > 0) & (score + rest >= b))
+            score = score[rows].astype(np.int64)
+            for j in range(split[i] - 1, -1, -1):  # non-essential lists, largest bound first
+                if not len(rows):
+                    break
+                alive = score + below[i, j] >= b
+                rows, score = rows[alive], score[alive]
+                score = score + self.lists[order[i, j], rows] * weight[i, order[i, j]]
+            if b is not None:
+                alive = score >= b
+                rows, score = rows[alive], score[alive]
+            score = score + np.minimum(self.forward[rows] * queries[i][None], 0).sum(1)
+            keep = (self.ids[rows] != own[i]) & (True if b is None else score >= b)
+            rows, score = rows[keep], score[keep]
+            if len(rows):
+                top = np.lexsort((self.ids[rows], -score))[:k]
+                yield i, score[top], self.ids[rows[top]]
 
 
 def _merge(a, b, k):
@@ -167,10 +170,10 @@ def top_k(vectors, k=20, stride=20, shard_rows=SHARD_ROWS, query_rows=QUERY_ROWS
                     queries = np.frombuffer(batch.column("q_values")[r].as_py(), dtype=np.int64).reshape(len(own), batch.column("q_dims")[r].as_py())
                     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
                 ids = np.frombuffer(row["ids"], dtype=np.int64)
-                shard = Shard(ids, np.frombuffer(row["values"], dtype=np.int64).reshape(len(ids), row["dims"]))
-                for i, q in enumerate(queries):
-                    at = int(best[i][0][-1]) if len(best[i][0]) == k else None
-                    best[i] = _merge(best[i], shard.search(q, own[i], k, at), k)
+                values = np.frombuffer(row["values"], dtype=np.int64).reshape(len(ids), row["dims"])
+                at = [int(b[0][-1]) if len(b[0]) == k else None for b in best]
+                for i, score, found in Shard(ids, values, queries.shape[1]).search(queries, own, at, k):
+                    best[i] = _merge(best[i], (score, found), k)
         yield from flush()
 
     cols = ["q_block", "lane", "q_dims", "q_ids", "q_values", "dims", "ids", "values"]
