@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: thin digests over whole tables."""
 
-from . import language, matroska, maxscore, mixing, pii, quality, simhash, toxicity, word_bpe
+from . import language, matroska, maxscore, mixing, pii, quality, runlength, simhash, toxicity, word_bpe
 from .common import table
 
 
@@ -72,3 +72,8 @@ def op8_simhash_gray_index(spark, sf_dir):
 def op5_language_byte_gru(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.digest(language.score(docs, language.fit(docs)))
+
+
+@query
+def op10_run_length_repeats(spark, sf_dir):
+    return runlength.digest(runlength.remove_repeats(table(spark, sf_dir, "documents"), digest=True))
