@@ -2,7 +2,7 @@
 
 A text is cut into words by the vocabulary's own rules. The distinct words of a piece
 of the input (about 16 MB of text) form a trie, walked depth first; a node is a prefix
-and holds its last token and its whole encoding. The last token of a prefix is the one
+and holds its last token and the node where that begins. The last token is the one
 vocabulary suffix that may follow the last token before it, where a pair may follow
 when merging its joined text gives the pair back: BPE encodings are exactly the token
 sequences whose neighbours are all such pairs. A prefix shared by many words is
@@ -86,20 +86,19 @@ class WordTrie:
         return got
 
     def step(self, word, n, path, mark):
-        """(last token, encoding) of the first ``n`` letters, with ``mark`` at their end."""
+        """(last token, its id, where it begins) of the first ``n`` letters, ``mark`` at their end."""
         tokens, follows = self.tokens, self.follows
         for k in range(max(0, n - self.longest), n):
             t = word[k:n] + mark
             i = tokens.get(t)
             if i is not None:
-                last, ids = path[k]
-                if k == 0 or follows(last, t):
-                    return t, ids + (i,)
+                if k == 0 or follows(path[k][0], t):
+                    return t, i, k
         raise ValueError(f"no token ends {word[:n]!r}")
 
     def words(self, words):
         """{word: ids} of distinct words in byte letters, sharing the work on prefixes."""
-        out, path, before = {}, [(None, ())], ""
+        out, path, before = {}, [(None, -1, -1)], ""
         for word in sorted(words):
             n = 0
             for x, y in zip(before, word):
@@ -110,7 +109,12 @@ class WordTrie:
             del path[n + 1:]
             for m in range(n + 1, len(word)):
                 path.append(self.step(word, m, path, ""))
-            out[word] = self.step(word, len(word), path, END)[1]
+            _, i, k = self.step(word, len(word), path, END)
+            ids = [i]
+            while k:
+                _, i, k = path[k]
+                ids.append(i)
+            out[word] = ids[::-1]
             before = word
         return out
 
