@@ -134,6 +134,11 @@ def rules(s, ctx):
     return s.withColumns({"range_pred_rules_sofar": d["range_pred"], "num_distinct_preds_sofar": d["n_distinct"]})
 
 
+# Names of the feature contract that prefixing does not give.
+CONTRACT = {"drift_std": "fcst_drift_std_f", "n_leads": "fcst_drift_num_leads", "am_humidity": "fcst_humidity_morning_mean", "pm_humidity": "fcst_humidity_afternoon_mean",
+            "slope_per_lead": "fcst_drift_slope_f_per_lead", "drift": "fcst_multi_drift", "t1_t2_diff": "fcst_multi_t1_t2_diff"}
+
+
 @feature_group("forecast", "event")
 def forecast(ctx):
     """Static forecast curve, its peak, drift over leads and multivariate summary per event."""
@@ -144,13 +149,14 @@ def forecast(ctx):
         F.col("frac_part").alias("fcst_prev_frac_part"), F.col("t_base").alias("t_forecast_base"))
     pk = stats.peak_window(ctx.curve, k).select(*k, F.col("peak_hour").alias("fcst_peak_hour_float"), F.col("band_width_min").cast("double").alias("fcst_peak_band_width_min"))
     mv = stats.multivar(ctx.curve, k)
-    mv = mv.withColumnsRenamed({x: "fcst_" + x for x in mv.columns if x not in k})
+    mv = mv.withColumnsRenamed({x: CONTRACT.get(x, "fcst_" + x.replace("cloud_", "cloudcover_").replace("dew_", "dewpoint_")) for x in mv.columns if x not in k})
     per_event = c.join(pk, k).join(mv, k)
     if ctx.fcst is not None:
         mh = stats.multi_horizon(ctx.fcst, k)
-        mh = mh.withColumnsRenamed({x: x if x.startswith("fcst") else "fcst_" + x for x in mh.columns if x not in k})
-        dr = stats.drift(ctx.fcst, k)
-        dr = dr.withColumnsRenamed({x: "fcst_drift_" + x for x in dr.columns if x not in k})
+        mh = mh.withColumnsRenamed({x: CONTRACT.get(x, "fcst_" + x) for x in mh.columns if x not in k})
+        # Lead 0 is issued on the event day, after the first snapshots.
+        dr = stats.drift(ctx.fcst.filter("lead >= 1"), k)
+        dr = dr.withColumnsRenamed({x: CONTRACT.get(x, "fcst_drift_" + x + "_f") for x in dr.columns if x not in k})
         per_event = per_event.join(mh, k, "left").join(dr, k, "left")
     return per_event.withColumnRenamed("day", "event_date")
 
@@ -220,26 +226,49 @@ def candles_micro(ctx):
     return Source(m, "bucket_us", {n: n for n in names}, tie="_t", inclusive=False)
 
 
-@feature_group("guidance", "event")
-def guidance(ctx):
-    """Latest high of each model, its revision, and z-scores against the 15:00 history."""
-    if ctx.guidance is None:
-        return ctx.settle.select("city", F.col("day").alias("event_date"))
-    two = stats.latest_two(ctx.guidance, ["city", "day", "model"], "run_id", "peak_f")
-    at = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
-    g = two.groupBy("city", "day").agg(*[at(m, c).alias(f"_{m}_{c}") for m in ("nbm", "hrrr", "ndfd") for c in ("latest", "previous")])
+def guidance_runs(model):
+    """As-of source of one model: at every run its high and that of the run before.
+
+    An event has as many runs as the model has cycles in the days before it.
+    """
+    def source(ctx):
+        if ctx.guidance is None:
+            return None
+        w = Window.partitionBy("city", "day").orderBy("run_us", "run_id")
+        r = ctx.guidance.filter(F.col("model") == model).select("city", F.col("day").alias("event_date"), "run_us", "run_id", "peak_f", F.lag("peak_f").over(w).alias("before"))
+        return Source(r, "run_us", {f"_{model}_latest": "peak_f", f"_{model}_previous": "before"}, tie="run_id")
+    return source
+
+
+for _model in ("nbm", "hrrr", "ndfd"):
+    feature_group(f"guidance_{_model}", "series")(guidance_runs(_model))
+
+
+@feature_group("guidance_history", "event")
+def guidance_history(ctx):
+    """Mean and deviation of the 15:00 observation over the 30 days before."""
     t15 = ctx.obs.filter("hour = 15 AND minute(ts) <= 15").groupBy("city", "day").agg(F.min_by("temp_f", "us").alias("x"))
-    h = stats.prior_days(ctx.settle.select("city", "day", "di").join(t15, ["city", "day"], "left"), "city", "di", "x").drop("x", "di")
-    g = h.join(g, ["city", "day"], "left")
-    x = {m: X.guidance(f"_{m}_latest", f"_{m}_previous", "mean_f", "std_f") for m in ("nbm", "hrrr", "ndfd")}
-    return g.select("city", F.col("day").alias("event_date"),
-                    F.col("mean_f").alias("obs_t15_mean_30d_f"), F.col("std_f").alias("obs_t15_std_30d_f"),
-                    F.col("_nbm_latest").alias("nbm_peak_window_max_f"), x["nbm"]["revision"].alias("nbm_peak_window_revision_1h_f"),
-                    F.col("_hrrr_latest").alias("hrrr_peak_window_max_f"), x["hrrr"]["revision"].alias("hrrr_peak_window_revision_1h_f"),
-                    F.col("_ndfd_latest").alias("ndfd_tmax_T1_f"), x["ndfd"]["drift"].alias("ndfd_drift_T2_to_T1_f"),
-                    x["nbm"]["z"].alias("nbm_t15_z_30d_f"), x["hrrr"]["z"].alias("hrrr_t15_z_30d_f"),
-                    F.bround(x["hrrr"]["z"] - x["nbm"]["z"], 2).alias("hrrr_minus_nbm_t15_z_30d_f"),
-                    F.bround(F.col("_hrrr_latest") - F.col("_nbm_latest"), 2).alias("hrrr_minus_nbm_peak_window_max_f"))
+    h = stats.prior_days(ctx.settle.select("city", "day", "di").join(t15, ["city", "day"], "left"), "city", "di", "x")
+    return h.select("city", F.col("day").alias("event_date"), F.col("mean_f").alias("obs_t15_mean_30d_f"), F.col("std_f").alias("obs_t15_std_30d_f"))
+
+
+@feature_group("guidance")
+def guidance(s, ctx):
+    """High of each model's latest run at the snapshot, its revision and z-scores."""
+    models = ("nbm", "hrrr", "ndfd")
+    if f"_{models[0]}_latest" not in s.columns or "obs_t15_mean_30d_f" not in s.columns:
+        return s
+    x = {m: X.guidance(f"_{m}_latest", f"_{m}_previous", "obs_t15_mean_30d_f", "obs_t15_std_30d_f") for m in models}
+    s = s.withColumns({
+        "nbm_peak_window_max_f": F.col("_nbm_latest"), "nbm_peak_window_revision_1h_f": x["nbm"]["revision"],
+        "hrrr_peak_window_max_f": F.col("_hrrr_latest"), "hrrr_peak_window_revision_1h_f": x["hrrr"]["revision"],
+        "ndfd_tmax_T1_f": F.col("_ndfd_latest"), "ndfd_drift_T2_to_T1_f": x["ndfd"]["drift"],
+        "nbm_t15_z_30d_f": x["nbm"]["z"], "hrrr_t15_z_30d_f": x["hrrr"]["z"],
+        "hrrr_minus_nbm_t15_z_30d_f": F.bround(x["hrrr"]["z"] - x["nbm"]["z"], 2),
+        "hrrr_minus_nbm_peak_window_max_f": F.bround(F.col("_hrrr_latest") - F.col("_nbm_latest"), 2)})
+    c = lambda n: F.col(n) if n in s.columns else F.lit(None).cast("double")
+    s = s.withColumn("ndfd_minus_vc_T1_f", F.bround(F.col("_ndfd_latest") - c("fcst_prev_max_f"), 2))
+    return s.drop(*[f"_{m}_{k}" for m in models for k in ("latest", "previous")])
 
 
 @feature_group("lags", "event")

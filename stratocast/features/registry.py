@@ -49,6 +49,8 @@ def build(snapshots, ctx, names=None):
     sources = []
     for n, fn in pick("series"):
         src = fn(ctx)
+        if src is None:
+            continue
         src.df = written(src.df, f"series-{n}")
         sources.append(src)
     if sources:

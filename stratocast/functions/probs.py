@@ -106,6 +106,15 @@ def normal_cdf(z):
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def normal_cdf_array(z):
+    """The same approximation over a numpy array."""
+    import numpy as np
+    x = np.abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    upper = 0.3989422804014327 * np.exp(-x * x / 2) * np.polyval([1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530, 0.0], t)
+    return np.where(z >= 0, 1 - upper, upper)
+
+
 def edge_confidence(edge, unc_a, unc_b):
     """1 - 2 Phi(-|edge| / sqrt(a^2 + b^2)); one half when both are certain."""
     s = F.sqrt(col(unc_a) * col(unc_a) + col(unc_b) * col(unc_b))

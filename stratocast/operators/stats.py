@@ -54,6 +54,8 @@ def ema(df, keys, us, x, halflife_min):
 
 
 def multi_horizon(fcst, keys, decay=0.15):
+    """Leads 1 to 6: lead 0 is issued on the event day and known to no earlier snapshot."""
+    fcst = fcst.filter(F.col("lead").between(1, 6))
     w = F.exp(F.lit(-decay) * (F.col("lead") - 1))
     x = F.col("tempmax_f")
     at = lambda l: F.max(F.when(F.col("lead") == l, x))

@@ -48,9 +48,8 @@ class Tables:
 
     @cached_property
     def obs2(self):
-        """City-aggregate series: a thinned copy of the station series with an offset."""
-        return self.obs.filter("event_id % 3 <> 0").withColumn(
-            "temp_f", F.col("temp_f") - F.col("event_id") % 5)
+        """City-aggregate series: the station series with an offset."""
+        return self.obs.withColumn("temp_f", F.col("temp_f") - F.col("event_id") % 5)
 
     @cached_property
     def settle(self):
@@ -115,11 +114,11 @@ class Tables:
 
     @cached_property
     def quote(self):
-        """Raw quote ticks of two cities, spread over the six brackets of the day."""
+        """Raw quote ticks, spread over the six brackets of the day."""
         e = F.col("event_id")
         j = (F.col("user_id") % 6).cast("int")
         us = epoch_us("ts")
-        return self.events.filter(F.col("event_type").isin("click", "view")).select(
+        return self.events.select(
             F.col("event_type").alias("city"), F.to_date("ts").alias("day"), j.alias("j"),
             F.concat_ws("|", "event_type", F.date_format("ts", "yyyyMMdd"), j.cast("string")).alias("mkt"),
             us.alias("us"), (us - F.pmod(us, F.lit(MINUTE))).alias("bucket_us"), "event_id",
@@ -139,7 +138,7 @@ class Tables:
     def trade(self):
         e = F.col("event_id")
         j = (F.col("user_id") % 6).cast("int")
-        return self.events.filter("event_type = 'purchase'").select(
+        return self.events.select(
             F.col("event_type").alias("city"), F.to_date("ts").alias("day"), j.alias("j"),
             F.concat_ws("|", "event_type", F.date_format("ts", "yyyyMMdd"), j.cast("string")).alias("mkt"),
             "ts", epoch_us("ts").alias("us"), e.alias("seq"), (1 + e % 98).alias("price"),
@@ -155,8 +154,12 @@ class Tables:
 
     @cached_property
     def probs(self):
-        """Seven-class probability vectors, classes -3..3, with truth and base."""
-        raw = F.transform(F.slice("embedding", 1, 7), lambda x: F.abs(x.cast("double")))
+        """Seven-class probability vectors, classes -3..3: all components, folded by position modulo 7."""
+        def share(k):
+            own = F.filter("embedding", lambda x, i: i % 7 == k)
+            return F.aggregate(own, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+
+        raw = F.array(*[share(k) for k in range(7)])
         return self.embeddings.withColumn("_r", raw).withColumn(
             "_s", F.aggregate("_r", F.lit(0.0), lambda a, x: a + x)
         ).select(
@@ -202,4 +205,5 @@ class Tables:
             F.array(*[F.lit(c) for c in CITIES])[(F.col("o_custkey") % 5).cast("int")].alias("city"),
             F.date_add(F.lit("2024-01-01").cast("date"), (o % 30).cast("int")).alias("day"),
             F.array(F.lit("nbm"), F.lit("hrrr"), F.lit("ndfd"))[(o % 3).cast("int")].alias("model"),
-            o.alias("run_id"), (F.col("o_totalprice") / 5000).alias("peak_f"))
+            o.alias("run_id"), (F.col("o_totalprice") / 5000).alias("peak_f"),
+            ((F.datediff(F.lit("2024-01-01").cast("date"), F.lit("1970-01-01").cast("date")) + (o % 30)) * 24 * HOUR + (o % 45 - 24) * HOUR).cast("long").alias("run_us"))

@@ -337,7 +337,7 @@ def agg_forecast_drift(t):
 
 @query("agg_multi_horizon", "city s, day d, multi_mean f, multi_median f, multi_ema f, multi_std f, multi_range f, t1_t2_diff f, drift f", """
 SELECT city, day, avg(tempmax_f) AS multi_mean, median(tempmax_f) AS multi_median, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS multi_ema, coalesce(stddev_samp(tempmax_f), 0) AS multi_std, max(tempmax_f) - min(tempmax_f) AS multi_range,
- max(tempmax_f) FILTER (lead = 1) - max(tempmax_f) FILTER (lead = 2) AS t1_t2_diff, max(tempmax_f) FILTER (lead = 1) - max(tempmax_f) FILTER (lead = 6) AS drift FROM v_fcst GROUP BY city, day""")
+ max(tempmax_f) FILTER (lead = 1) - max(tempmax_f) FILTER (lead = 2) AS t1_t2_diff, max(tempmax_f) FILTER (lead = 1) - max(tempmax_f) FILTER (lead = 6) AS drift FROM v_fcst WHERE lead BETWEEN 1 AND 6 GROUP BY city, day""")
 def agg_multi_horizon(t):
     return S.multi_horizon(t.fcst, ["city", "day"])
 

@@ -4,13 +4,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..features import GROUPS, build
-from ..features.registry import feature_columns
+from ..features.registry import FAMILIES, KEY, feature_columns
 from ..functions import probs as PR
 from ..operators import audit as A
 from ..plans import datasets as D
 from ..plans import views as V
 from .registry import RAW_SQL, query
-from .scalars import _RULE_SQL
+from .scalars import _RULE_SQL, PHI_SQL
 from .strategies import _T3
 
 N = F.lit
@@ -23,7 +23,7 @@ r AS (SELECT *, ((temp_f - 32) * 5 / 9 * atan(0.151977e0 * sqrt(humidity + 8.313
 a AS (SELECT s.city, s.day, s.us, count(*) AS n, max(temp_f) AS mx, coalesce(stddev_samp(temp_f), 0) AS sd, last(rate ORDER BY r.us) AS rate, arg_max(humidity, r.us) AS hum, arg_max(wb, r.us) AS wb, max(r.us) AS lu FROM s JOIN r ON r.city = s.city AND r.us BETWEEN s.lo AND s.us GROUP BY s.city, s.day, s.us),
 x AS (SELECT a.city, a.day, a.us, (any_value(a.lu) - max(r.us)) / 6e7 AS sm FROM a JOIN r ON r.city = a.city AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us AND abs(r.temp_f - a.mx) < 0.01e0 GROUP BY a.city, a.day, a.us),
 y AS (SELECT a.city, a.day, a.us, sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7)) * temp_f) / sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7))) AS ema60, count(DISTINCT r.us // 3600000000) AS ho FROM a JOIN r ON r.city = a.city AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us GROUP BY a.city, a.day, a.us),
-f AS (SELECT city, day, max(temp_f) AS fm FROM v_fcst_hourly GROUP BY city, day), h AS (SELECT city, day, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS ema FROM v_fcst GROUP BY city, day),
+f AS (SELECT city, day, max(temp_f) AS fm FROM v_fcst_hourly GROUP BY city, day), h AS (SELECT city, day, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS ema FROM v_fcst WHERE lead BETWEEN 1 AND 6 GROUP BY city, day),
 eh AS (SELECT f.city, f.day, epoch_us(f.day::TIMESTAMP) + (f.hour + 1) * 3600000000 AS t, o.m - f.temp_f AS e FROM v_fcst_hourly f JOIN (SELECT city, day, hour, sum(CAST(round(temp_f * 100) AS BIGINT)) / count(temp_f) / 100 AS m FROM v_obs GROUP BY ALL) o USING (city, day, hour)),
 er AS (SELECT s.city, s.day, s.us, avg(e) AS em FROM s JOIN eh ON eh.city = s.city AND eh.day = s.day AND eh.t <= s.us GROUP BY s.city, s.day, s.us),
 g AS (SELECT s.city, s.day, s.us, arg_max(p.temp_f - q.temp_f, p.us) AS gap FROM s JOIN v_obs p ON p.city = s.city AND p.us BETWEEN s.lo AND s.us JOIN v_obs2 q ON q.event_id = p.event_id GROUP BY s.city, s.day, s.us),
@@ -101,22 +101,31 @@ def parity_check(t):
 
 # --- registries and function surface ---
 
-@query("registry_features", "grp s, kind s, n_new i, n_rows i")
+@query("registry_features", "grp s, kind s, column_name s, n_rows i, n_present i")
 def registry_features(t):
-    """What each registered group adds, with the number of observations it reads."""
+    """Every column that a registered group adds, with the rows that have a value."""
     s, ctx = D.hourly(t.settle), D.inputs(t)
-    kinds = {n: k for n, (k, _) in GROUPS.items()}
-    d = build(s, ctx, [n for n, k in kinds.items() if k != "columns"])
-    items = []
+    owner = {}
+    for name, (kind, fn) in GROUPS.items():
+        if kind == "series":
+            owner.update({c: (name, kind) for c in fn(ctx).values})
+        elif kind == "event":
+            owner.update({c: (name, kind) for c in fn(ctx).columns if c not in KEY})
+    d = build(s, ctx, [n for n, (k, _) in GROUPS.items() if k != "columns"])
     for name, (kind, fn) in GROUPS.items():
         if kind == "columns":
-            before = len(d.columns)
+            before = set(d.columns)
             d = fn(d, ctx)
-            n = len(d.columns) - before
-        else:
-            n = len(fn(ctx).columns) - 2 if kind == "event" else len(fn(ctx).values)
-        items.append(F.struct(N(name).alias("grp"), N(kind).alias("kind"), N(n).alias("n_new")))
-    return t.obs.agg(F.count(N(1)).alias("n_rows")).select("n_rows", F.explode(F.array(*items)).alias("g")).select("g.*", "n_rows")
+            owner.update({c: (name, kind) for c in d.columns if c not in before})
+    return per_column(d, [c for c in owner if c in d.columns]).join(
+        t.spark.createDataFrame([(c, *v) for c, v in owner.items()], "column_name string, grp string, kind string"), "column_name")
+
+
+def per_column(d, columns):
+    """(column_name, n_rows, n_present) in one aggregation of the rows."""
+    a = d.agg(F.count(N(1)).alias("n_rows"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(N(c).alias("column_name"), F.col(f"_{i}").alias("n_present")) for i, c in enumerate(columns)])
+    return a.select("n_rows", F.explode(cells).alias("c")).select("c.*", "n_rows")
 
 
 @query("registry_rules", "rule s, n i, total i", f"""
@@ -128,7 +137,7 @@ def registry_rules(t):
     return r.groupBy("rule").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
 
 
-_RUNS = {"open_maker_base": _T3, "open_maker_next_over": RAW_SQL["strategy_next_over"] + " UNION ALL SELECT city, day, ticker, NULL, NULL, 0, pnl FROM (" + _T3 + ") WHERE city NOT IN ('click', 'view')",
+_RUNS = {"open_maker_base": _T3, "open_maker_next_over": RAW_SQL["strategy_next_over"],
          "open_maker_curve_gap": RAW_SQL["strategy_curve_gap"], "midnight": RAW_SQL["strategy_midnight"]}
 
 
@@ -143,28 +152,26 @@ def registry_strategies(t):
     return out
 
 
-@query("select_feature_columns", "family s, n_numeric i, n_categorical i, n_rows i")
+@query("select_feature_columns", "column_name s, family s, n_rows i, n_present i")
 def select_feature_columns(t):
-    """Input columns left when one family is switched off."""
+    """Model inputs with the family whose switch removes them, and the rows that have a value."""
     d = D.hourly_dataset(t.settle, D.inputs(t))
-    fams = [("all", {})] + [(f, {f: False}) for f in ("forecast", "lags", "market", "momentum", "meteo")]
-    rows = [(f, *map(len, feature_columns(d, **kw))) for f, kw in fams]
-    a = F.array(*[F.struct(N(f).alias("family"), N(n).alias("n_numeric"), N(c).alias("n_categorical")) for f, n, c in rows])
-    return t.settle.agg(F.count(N(1)).alias("n_rows")).select("n_rows", F.explode(a).alias("x")).select("x.*", "n_rows")
+    num, cat = feature_columns(d)
+    family = {c: "always" for c in num + cat}
+    for f in FAMILIES:
+        kept = set(feature_columns(d, **{f: False})[0])
+        family.update({c: f for c in num if c not in kept})
+    return per_column(d, num + cat).join(t.spark.createDataFrame(list(family.items()), "column_name string, family string"), "column_name")
 
 
-@query("udf_normal_cdf", "n i, max_err f, ok i", "SELECT count(*) AS n, 0.0 AS max_err, 1 AS ok FROM v_obs")
+@query("udf_normal_cdf", "event_id i, cdf f", f"SELECT event_id, CASE WHEN z >= 0 THEN 1 - {PHI_SQL.format(z='abs(z)')} ELSE {PHI_SQL.format(z='abs(z)')} END AS cdf FROM (SELECT event_id, (temp_f - 20) / 7 AS z FROM v_obs)")
 def udf_normal_cdf(t):
-    """The Column form of the normal distribution function against math.erf."""
-    import math
-
+    """The normal distribution function as a vectorised UDF, value by value."""
     @F.pandas_udf("double")
     def phi(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
+        return pd.Series(PR.normal_cdf_array(z.to_numpy(dtype=float)))
 
-    z = t.obs.select(((F.col("temp_f") - 20) / 7).alias("z"))
-    e = F.abs(phi("z") - PR.normal_cdf("z"))
-    return z.select(e.alias("e")).agg(F.count(N(1)).alias("n"), F.max("e").alias("m")).select("n", F.round("m", 6).alias("max_err"), (F.col("m") < 1e-6).cast("int").alias("ok"))
+    return t.obs.select("event_id", phi((F.col("temp_f") - 20) / 7).alias("cdf"))
 
 
 @query("udaf_longest_run", "city s, day d, run_min i", """

@@ -37,9 +37,9 @@ def filter_valid_temp(t):
     return t.obs.filter(Q.valid_temp("raw_f"))
 
 
-@query("filter_valid_quote", "event_id i, bid i, ask i", "SELECT event_id, bid, ask FROM v_quote WHERE bid > 0 AND ask < 100 AND ask > bid AND bid % 3 > 0")
+@query("filter_valid_quote", "event_id i, bid i, ask i", "SELECT event_id, bid_n AS bid, ask FROM v_quote WHERE bid_n > 0 AND ask < 100 AND ask > bid_n")
 def filter_valid_quote(t):
-    return t.quote.filter(valid_quote("bid", "ask") & (F.col("bid") % 3 > 0))
+    return t.quote.select("event_id", F.col("bid_n").alias("bid"), "ask").filter(valid_quote("bid", "ask"))
 
 
 @query("sample_every_nth", "city s, day d, hour i", """
@@ -112,11 +112,10 @@ def clip_label_range(t):
 
 @query("filter_lead_band", "city s, lead i, n_days i, d0 d, d1 d", """
 SELECT city, lead_hours // 24 AS lead, count(DISTINCT day) AS n_days, min(day) AS d0, max(day) AS d1
-FROM (SELECT *, lead * 24 + hour AS lead_hours FROM (SELECT f.city, f.day, f.lead, h.hour FROM v_fcst f JOIN v_fcst_hourly h USING (city, day))
-  WHERE (hour + lead) % 7 <> 6) WHERE lead_hours // 24 BETWEEN 1 AND 3 GROUP BY 1, 2""")
+FROM (SELECT *, lead * 24 + hour AS lead_hours FROM (SELECT f.city, f.day, f.lead, h.hour FROM v_fcst f JOIN v_fcst_hourly h USING (city, day))) WHERE lead_hours // 24 BETWEEN 1 AND 3 GROUP BY 1, 2""")
 def filter_lead_band(t):
     h = t.fcst.select("city", "day", "lead").join(t.fcst_hourly.select("city", "day", "hour"), ["city", "day"])
-    h = h.filter("(hour + lead) % 7 <> 6").withColumn("lead_hours", F.col("lead") * 24 + F.col("hour"))
+    h = h.withColumn("lead_hours", F.col("lead") * 24 + F.col("hour"))
     band = h.filter((F.col("lead_hours") >= 24) & (F.col("lead_hours") < 96)).select(
         "city", "day", F.floor(F.col("lead_hours") / 24).alias("lead")).distinct()
     return band.groupBy("city", "lead").agg(F.count(N(1)).alias("n_days"), F.min("day").alias("d0"), F.max("day").alias("d1"))
@@ -152,17 +151,17 @@ def distinct_combos(t):
 
 
 @query("set_union_dates", "day d", """
-SELECT day FROM v_obs WHERE city = 'click' AND event_id % 2 = 0 UNION SELECT day FROM v_run WHERE city = '1-URGENT'""")
+SELECT day FROM v_obs WHERE city = 'click' UNION SELECT day FROM v_run WHERE city = '1-URGENT'""")
 def set_union_dates(t):
-    return t.obs.filter("city = 'click' AND event_id % 2 = 0").select("day").union(
+    return t.obs.filter("city = 'click'").select("day").union(
         t.run.filter("city = '1-URGENT'").select("day")).distinct()
 
 
-@query("set_except", "city s, lead i", """
-SELECT DISTINCT city, l AS lead FROM v_settle, range(7) r(l) WHERE di = 7 EXCEPT SELECT city, lead FROM v_fcst WHERE di = 7""")
+@query("set_except", "city s, day d, lead i", """
+SELECT DISTINCT city, day, l AS lead FROM v_settle, range(7) r(l) EXCEPT SELECT city, day, lead FROM v_fcst""")
 def set_except(t):
-    want = t.settle.filter("di = 7").select("city", F.explode(F.sequence(N(0), N(6))).alias("lead"))
-    return want.subtract(t.fcst.filter("di = 7").select("city", "lead"))
+    want = t.settle.select("city", "day", F.explode(F.sequence(N(0), N(6))).alias("lead"))
+    return want.subtract(t.fcst.select("city", "day", "lead"))
 
 
 @query("set_intersect_check", "n_overlap i, train_max d, test_min d, ordered i", """

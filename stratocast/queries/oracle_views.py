@@ -10,7 +10,7 @@ SELECT event_type AS city, ts, CAST(ts AS DATE) AS day, hour(ts) AS hour, epoch_
   CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 29 = 0 THEN -77.9 WHEN event_id % 31 = 0 THEN 151.0 ELSE value END::DOUBLE AS raw_f,
   CAST(user_id % 101 AS DOUBLE) AS humidity, CAST((event_id * 7) % 40 AS DOUBLE) AS wind, CAST((event_id * 13) % 101 AS DOUBLE) AS cloud
 FROM events""",
-    "v_obs2": "SELECT * REPLACE (temp_f - event_id % 5 AS temp_f) FROM v_obs WHERE event_id % 3 <> 0",
+    "v_obs2": "SELECT * REPLACE (temp_f - event_id % 5 AS temp_f) FROM v_obs",
     "v_settle": """
 SELECT city, day, CAST(round_even(max(temp_f), 0) AS BIGINT) AS settle_f, max(temp_f) AS vc_max_f, day - DATE '2024-01-01' AS di
 FROM v_obs GROUP BY city, day""",
@@ -44,7 +44,7 @@ SELECT event_type AS city, CAST(ts AS DATE) AS day, CAST(user_id % 6 AS INTEGER)
   epoch_us(ts) AS us, epoch_us(ts) - epoch_us(ts) % 60000000 AS bucket_us, event_id,
   1 + event_id % 90 AS bid, 1 + event_id % 90 + 1 + event_id % 7 AS ask,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE 1 + event_id % 90 END AS bid_n, user_id % 5 AS volume, event_id % 1000 AS oi
-FROM events WHERE event_type IN ('click', 'view')""",
+FROM events""",
     "v_candle": """
 SELECT city, day, j, mkt, bucket_us, arg_max(bid, event_id) AS bid, arg_max(ask, event_id) AS ask,
   arg_max(bid_n, event_id) FILTER (bid_n IS NOT NULL) AS bid_n, CAST(sum(volume) AS BIGINT) AS volume, arg_max(oi, event_id) AS oi
@@ -53,12 +53,12 @@ FROM v_quote GROUP BY city, day, j, mkt, bucket_us""",
 SELECT event_type AS city, CAST(ts AS DATE) AS day, CAST(user_id % 6 AS INTEGER) AS j,
   event_type || '|' || strftime(ts, '%Y%m%d') || '|' || (user_id % 6) AS mkt, ts, epoch_us(ts) AS us, event_id AS seq,
   1 + event_id % 98 AS price, 1 + user_id % 5 AS cnt
-FROM events WHERE event_type = 'purchase'""",
+FROM events""",
     "v_snap": """
 SELECT city, day, di, settle_f, hour, epoch_us(CAST(day AS TIMESTAMP)) + hour * 3600000000 AS us
 FROM v_settle, range(10, 24) r(hour)""",
     "v_probs0": """
-SELECT vec_id, label, list_transform(embedding[1:7], lambda x: abs(CAST(x AS DOUBLE))) AS r FROM embeddings""",
+SELECT vec_id, label, [list_sum([abs(embedding[i]::DOUBLE) for i in range(1, len(embedding) + 1) if (i - 1) % 7 = k]) for k in range(7)] AS r FROM embeddings""",
     "v_probs": """
 SELECT vec_id, list_transform(r, lambda x: x / list_sum(r)) AS p, [-3,-2,-1,0,1,2,3] AS classes,
   ((label % 7) + 7) % 7 - 3 AS y, 60 + vec_id % 40 AS t_base FROM v_probs0""",

@@ -54,7 +54,7 @@ def strategy_midnight(t):
 
 
 @query("strategy_next_over", "city s, day d, ticker s, own i, neighbour i, exited i, pnl f", f"""
-WITH t AS (SELECT b.*, epoch_us(b.day::TIMESTAMP) + 50400000000 AS dec FROM ({_T3}) b WHERE city IN ('click', 'view')), nb AS (SELECT mkt, lead(mkt) OVER (PARTITION BY city, day ORDER BY floor_s NULLS FIRST) AS up FROM v_market),
+WITH t AS (SELECT b.*, epoch_us(b.day::TIMESTAMP) + 50400000000 AS dec FROM ({_T3}) b), nb AS (SELECT mkt, lead(mkt) OVER (PARTITION BY city, day ORDER BY floor_s NULLS FIRST) AS up FROM v_market),
 x AS (SELECT t.*, nb.up FROM t LEFT JOIN nb USING (mkt)),
 o AS (SELECT x.*, CASE WHEN x.dec - c.bucket_us <= 28800000000 THEN coalesce(c.bid_n, c.ask) END AS own FROM x ASOF LEFT JOIN v_candle c ON c.mkt = x.mkt AND x.dec >= c.bucket_us),
 u AS (SELECT o.*, CASE WHEN o.dec - c.bucket_us <= 28800000000 THEN coalesce(c.bid_n, c.ask) END AS neighbour FROM o ASOF LEFT JOIN v_candle c ON c.mkt = o.up AND o.dec >= c.bucket_us)
@@ -62,8 +62,7 @@ SELECT city, day, ticker, own, neighbour, coalesce(neighbour >= 50 AND own <= 30
 def strategy_next_over(t):
     from ..functions.timeutil import HOUR, epoch_us
     from pyspark.sql import functions as F
-    tr = base(t).filter("city IN ('click', 'view')")
-    return S.next_over(tr, t.market, t.candle, epoch_us(F.col("day").cast("timestamp_ntz")) + 14 * HOUR, 8 * HOUR)
+    return S.next_over(base(t), t.market, t.candle, epoch_us(F.col("day").cast("timestamp_ntz")) + 14 * HOUR, 8 * HOUR)
 
 
 @query("strategy_curve_gap", "city s, day d, ticker s, new_ticker s, shifted i, obs_f f, fcst_at f, slope f, pnl f", f"""

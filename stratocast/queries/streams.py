@@ -38,7 +38,7 @@ def stream_raw_ingest(t):
 
 
 _SQ = """SELECT event_type AS city, CAST(ts AS DATE) AS day, event_type || '|' || strftime(ts, '%Y%m%d') || '|' || (user_id % 6) AS mkt, epoch_us(ts) AS us, event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 1 + event_id % 90 END AS bid,
- CASE WHEN event_id % 13 = 0 THEN NULL ELSE 2 + event_id % 90 + event_id % 7 END AS ask, user_id % 5 AS volume FROM events WHERE event_type IN ('click', 'view')"""
+ CASE WHEN event_id % 13 = 0 THEN NULL ELSE 2 + event_id % 90 + event_id % 7 END AS ask, user_id % 5 AS volume FROM events"""
 _ST = f"""SELECT mkt, arg_max(bid, us) FILTER (bid IS NOT NULL) AS bid, arg_max(ask, us) FILTER (ask IS NOT NULL) AS ask, arg_max(volume, us) AS volume, max(us) AS last_us, count(*) AS n_msgs FROM ({_SQ}) GROUP BY mkt"""
 
 
@@ -54,13 +54,13 @@ def stream_quote_state(t):
 
 
 @query("stream_book_top", "event_id i, best_bid i, best_ask i, spread i", """
-SELECT event_id, 1 + event_id % 90 AS best_bid, 2 + event_id % 90 + event_id % 7 AS best_ask, 1 + event_id % 7 AS spread FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 > 0 AND event_id % 5 > 0""")
+SELECT event_id, 1 + event_id % 90 AS best_bid, 2 + event_id % 90 + event_id % 7 AS best_ask, 1 + event_id % 7 AS spread FROM events WHERE event_id % 4 > 0 AND event_id % 5 > 0""")
 def stream_book_top(t):
     """Best prices of depth messages; updates with an empty side are skipped."""
     e = F.col("event_id")
     side = lambda top, n, step: F.transform(F.slice(F.sequence(N(0), N(4)), N(1), n.cast("int")), lambda i: F.array(top + step * i, 10 + i))
     msg = F.to_json(F.struct(F.struct(F.struct(side(1 + e % 90, e % 4, -1).alias("bid"), side(2 + e % 90 + e % 7, e % 5, 1).alias("ask")).alias("yes")).alias("msg")))
-    s = events(t).filter(F.col("event_type").isin("click", "view")).select("event_id", F.from_json(msg, "msg struct<yes:struct<bid:array<array<bigint>>,ask:array<array<bigint>>>>").alias("j"))
+    s = events(t).select("event_id", F.from_json(msg, "msg struct<yes:struct<bid:array<array<bigint>>,ask:array<array<bigint>>>>").alias("j"))
     b, a = F.col("j.msg.yes.bid"), F.col("j.msg.yes.ask")
     s = s.filter((F.size(b) > 0) & (F.size(a) > 0)).select("event_id", F.array_max(F.transform(b, lambda x: x[0])).alias("best_bid"), F.array_min(F.transform(a, lambda x: x[0])).alias("best_ask"))
     return R.run_to_parquet(t.spark, s.withColumn("spread", F.col("best_ask") - F.col("best_bid")), "book_top")
@@ -86,24 +86,21 @@ def stream_first_seen(t):
     return R.run_updates(t.spark, s, ["mkt"], "first_seen")
 
 
-_CLOSED = "<= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type = 'purchase')"
-
-
 @query("stream_rolling_volume", "mkt s, end_us u, contracts i", f"""
-WITH w AS (SELECT mkt, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE * (k + 1) AS end_ts, cnt FROM v_trade, range(0, 6) r(k)) SELECT mkt, epoch_us(end_ts) AS end_us, sum(cnt) AS contracts FROM w GROUP BY mkt, end_ts HAVING end_ts {_CLOSED}""")
+WITH w AS (SELECT mkt, date_trunc('minute', ts) + INTERVAL 1 MINUTE * (k + 1) AS end_ts, cnt FROM v_trade, range(0, 30) r(k)) SELECT mkt, epoch_us(end_ts) AS end_us, sum(cnt) AS contracts FROM w GROUP BY mkt, end_ts""")
 def stream_rolling_volume(t):
     """Contracts of the last 30 minutes on a sliding window; late trades within 10 minutes count."""
-    s = SRC.trades(events(t)).withWatermark("ets", "10 minutes").groupBy(F.window("ets", "30 minutes", "5 minutes").alias("w"), "mkt").agg(F.sum("cnt").alias("contracts"))
-    return R.run_to_parquet(t.spark, s.select("mkt", F.unix_micros("w.end").alias("end_us"), "contracts"), "rolling_volume")
+    s = SRC.trades(events(t)).withWatermark("ets", "10 minutes").groupBy(F.window("ets", "30 minutes", "1 minute").alias("w"), "mkt").agg(F.sum("cnt").alias("contracts"))
+    return R.run_updates(t.spark, s.select("mkt", F.unix_micros("w.end").alias("end_us"), "contracts"), ["mkt", "end_us"], "rolling_volume")
 
 
 @query("stream_minute_candles", "mkt s, minute u, o i, h i, l i, c i, v i, n i", f"""
-SELECT mkt, epoch_us(date_trunc('minute', ts)) AS minute, arg_min(price, us) AS o, max(price) AS h, min(price) AS l, arg_max(price, us) AS c, sum(cnt) AS v, count(*) AS n FROM v_trade GROUP BY mkt, date_trunc('minute', ts) HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE {_CLOSED}""")
+SELECT mkt, epoch_us(date_trunc('minute', ts)) AS minute, arg_min(price, us) AS o, max(price) AS h, min(price) AS l, arg_max(price, us) AS c, sum(cnt) AS v, count(*) AS n FROM v_trade GROUP BY mkt, date_trunc('minute', ts)""")
 def stream_minute_candles(t):
     pos = F.struct("us", "seq")
     s = SRC.trades(events(t)).withWatermark("ets", "10 minutes").groupBy(F.window("ets", "1 minute").alias("w"), "mkt").agg(
         F.min_by("price", pos).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", pos).alias("c"), F.sum("cnt").alias("v"), F.count(N(1)).alias("n"))
-    return R.run_to_parquet(t.spark, s.select("mkt", F.unix_micros("w.start").alias("minute"), "o", "h", "l", "c", "v", "n"), "minute_candles")
+    return R.run_updates(t.spark, s.select("mkt", F.unix_micros("w.start").alias("minute"), "o", "h", "l", "c", "v", "n"), ["mkt", "minute"], "minute_candles")
 
 
 @query("stream_dense_fill", "mkt s, n i, n_synth i, bid_sum i, last_us u", f"""
@@ -137,11 +134,11 @@ def stream_late_upsert(t):
 
 
 @query("stream_static_enrich", "event_id i, city s, day d, ticker s, fcst_f f, entry f", f"""
-SELECT o.event_id, p.city, p.day, p.ticker, p.fcst_f, 30.0 AS entry FROM v_obs o JOIN ({PICK.format(bias='1.0e0')}) p ON p.city = o.city AND p.day = o.day WHERE o.event_id % 10 = 0""")
+SELECT o.event_id, p.city, p.day, p.ticker, p.fcst_f, 30.0 AS entry FROM v_obs o JOIN ({PICK.format(bias='1.0e0')}) p ON p.city = o.city AND p.day = o.day""")
 def stream_static_enrich(t):
     """Market-open messages joined with the static strategy rows of their event."""
     static = base(t).select("city", "day", "ticker", "fcst_f", "entry")
-    s = events(t).filter("event_id % 10 = 0").select("event_id", F.col("event_type").alias("city"), F.to_date("ts").alias("day"))
+    s = events(t).select("event_id", F.col("event_type").alias("city"), F.to_date("ts").alias("day"))
     return R.run_to_parquet(t.spark, s.join(static, ["city", "day"]), "static_enrich")
 
 
@@ -160,12 +157,12 @@ def stream_market_snapshot(t):
 
 
 @query("stream_fill_matching", "order_id i, order_us u, fill_us u, taker i", """
-SELECT o.event_id // 5 AS order_id, epoch_us(o.ts) AS order_us, epoch_us(f.ts) AS fill_us, (f.user_id % 2 = 0)::INT AS taker FROM events o JOIN events f ON f.event_id // 5 = o.event_id // 5 AND o.event_id % 5 = 0 AND f.event_id % 5 = 2 AND f.ts BETWEEN o.ts AND o.ts + INTERVAL 30 MINUTE""")
+SELECT o.event_id // 2 AS order_id, epoch_us(o.ts) AS order_us, epoch_us(f.ts) AS fill_us, (f.user_id % 2 = 0)::INT AS taker FROM events o JOIN events f ON f.event_id // 2 = o.event_id // 2 AND o.event_id % 2 = 0 AND f.event_id % 2 = 1 AND f.ts BETWEEN o.ts AND o.ts + INTERVAL 30 MINUTE""")
 def stream_fill_matching(t):
     """Stream-stream join of fills to orders by id within 30 minutes."""
-    oid = F.floor(F.col("event_id") / 5)
-    o = events(t).filter("event_id % 5 = 0").select(oid.alias("order_id"), F.col("us").alias("order_us"), F.col("ets").alias("o_ts")).withWatermark("o_ts", "1 hour")
-    f = events(t).filter("event_id % 5 = 2").select(oid.alias("fill_id"), F.col("us").alias("fill_us"), F.col("ets").alias("f_ts"), (F.col("user_id") % 2 == 0).cast("int").alias("taker")).withWatermark("f_ts", "1 hour")
+    oid = F.floor(F.col("event_id") / 2)
+    o = events(t).filter("event_id % 2 = 0").select(oid.alias("order_id"), F.col("us").alias("order_us"), F.col("ets").alias("o_ts")).withWatermark("o_ts", "1 hour")
+    f = events(t).filter("event_id % 2 = 1").select(oid.alias("fill_id"), F.col("us").alias("fill_us"), F.col("ets").alias("f_ts"), (F.col("user_id") % 2 == 0).cast("int").alias("taker")).withWatermark("f_ts", "1 hour")
     j = o.join(f, F.expr("order_id = fill_id AND f_ts >= o_ts AND f_ts <= o_ts + INTERVAL 30 MINUTES"))
     return R.run_to_parquet(t.spark, j, "fill_matching")
 
@@ -179,10 +176,10 @@ def stream_daily_loss(t):
     return R.run_updates(t.spark, s, ["city", "day"], "daily_loss").withColumn("halted", (F.col("pnl") <= -10000).cast("int"))
 
 
-@query("stream_cooldown", "city s, bucket u", "SELECT DISTINCT city, us - us % 30000000 AS bucket FROM v_obs WHERE city IN ('click', 'view')")
+@query("stream_cooldown", "city s, bucket u", "SELECT DISTINCT city, us - us % 30000000 AS bucket FROM v_obs")
 def stream_cooldown(t):
     """At most one prediction per city in a 30-second bucket."""
-    s = events(t).filter(F.col("event_type").isin("click", "view")).select(F.col("event_type").alias("city"), (F.col("us") - F.pmod(F.col("us"), N(30_000_000))).alias("bucket"), "ets")
+    s = events(t).select(F.col("event_type").alias("city"), (F.col("us") - F.pmod(F.col("us"), N(30_000_000))).alias("bucket"), "ets")
     return R.run_to_parquet(t.spark, s.withWatermark("ets", "1 minute").dropDuplicatesWithinWatermark(["city", "bucket"]).select("city", "bucket"), "cooldown")
 
 

@@ -7,6 +7,7 @@ from ..functions import strikes
 from ..functions import trades as T
 from ..operators import edge as E
 from ..operators.asof import asof
+from ..plans.tables import CITIES
 from .aggregates import rule_stats
 from .joins import _SNAPJ, snap_markets
 from .registry import query
@@ -127,13 +128,13 @@ def trade_fees(t):
 
 
 @query("trade_role_ev", "event_id i, side s, action s, price i, role s, ev f", f"""
-WITH x AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS side, CASE WHEN event_id // 2 % 2 = 0 THEN 'buy' ELSE 'sell' END AS action, bid - 2 + event_id % 9 AS price, bid, ask, (event_id * 37 % 1000) / 1000.0e0 AS q FROM v_quote WHERE bid > 3),
+WITH x AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS side, CASE WHEN event_id // 2 % 2 = 0 THEN 'buy' ELSE 'sell' END AS action, greatest(bid - 2 + event_id % 9, 1) AS price, bid, ask, (event_id * 37 % 1000) / 1000.0e0 AS q FROM v_quote),
 r AS (SELECT *, CASE WHEN (side = 'yes' AND action = 'buy' AND price >= ask) OR (side = 'yes' AND action = 'sell' AND price <= bid) OR (side = 'no' AND action = 'buy' AND price >= 100 - bid) OR (side = 'no' AND action = 'sell' AND price <= 100 - ask) THEN 'taker' ELSE 'maker' END AS role FROM x)
 SELECT event_id, side, action, price, role, CASE WHEN action = 'buy' THEN 1 ELSE -1 END * ((CASE WHEN side = 'yes' THEN q ELSE 1 - q END) * 100 - price) - CASE WHEN role = 'taker' THEN {_FEE.format(p='price', n=1)} ELSE 0 END AS ev FROM r""")
 def trade_role_ev(t):
     e = F.col("event_id")
-    x = t.quote.filter("bid > 3").select("event_id", F.when(e % 2 == 0, "yes").otherwise("no").alias("side"), F.when(F.floor(e / 2) % 2 == 0, "buy").otherwise("sell").alias("action"),
-                                         (F.col("bid") - 2 + e % 9).alias("price"), "bid", "ask", (e * 37 % 1000 / 1000.0).alias("q"))
+    x = t.quote.select("event_id", F.when(e % 2 == 0, "yes").otherwise("no").alias("side"), F.when(F.floor(e / 2) % 2 == 0, "buy").otherwise("sell").alias("action"),
+                                         F.greatest(F.col("bid") - 2 + e % 9, N(1)).alias("price"), "bid", "ask", (e * 37 % 1000 / 1000.0).alias("q"))
     x = x.withColumn("role", T.liquidity_role("side", "action", "price", "bid", "ask"))
     return x.withColumn("ev", T.expected_value("side", "action", "price", "q", "role"))
 
@@ -238,9 +239,9 @@ def orders_from_probs(t):
 # Maker fill probabilities evaluated side by side.
 FILLS = [0.1, 0.2, 0.3, 0.4, 0.6, 1.0]
 _TR = f"""
-WITH e AS ({_EDGE}), s AS (SELECT e.*, p.vec_id, p.t_base, p.p FROM e JOIN v_probs p ON p.vec_id = (e.day - DATE '2024-01-01') * 24 + hour(make_timestamp(e.us))),
-b AS (SELECT s.city, s.day, s.us, s.edge, s.signal, q.mkt, q.bid, q.ask, k.strike_type, k.floor_s, k.cap_s, list_sum(list_transform([1,2,3,4,5,6,7], lambda i: CASE WHEN (k.strike_type = 'less' AND k.settle0 + i - 4 <= k.cap_s) OR (k.strike_type = 'greater' AND k.settle0 + i - 4 >= k.floor_s + 1) OR (k.strike_type = 'between' AND k.settle0 + i - 4 BETWEEN k.floor_s AND k.cap_s) THEN s.p[i] ELSE 0 END)) AS q
- FROM s JOIN ({_SQ}) q ON q.city = s.city AND q.day = s.day AND q.us = s.us JOIN (SELECT m.*, st.settle_f AS settle0 FROM v_market m JOIN v_settle st USING (city, day)) k ON k.mkt = q.mkt)"""
+WITH e AS ({_EDGE}), s AS (SELECT e.*, p.vec_id, p.t_base, p.p FROM e LEFT JOIN v_probs p ON p.vec_id = (((e.day - DATE '2024-01-01') * 14 + hour(make_timestamp(e.us)) - 10) * 5 + list_position(['click', 'error', 'purchase', 'signup', 'view'], e.city) - 1) % (SELECT count(*) FROM v_probs)),
+b AS (SELECT s.city, s.day, s.us, s.edge, s.signal, q.mkt, q.bid, q.ask, k.strike_type, k.floor_s, k.cap_s, list_sum(list_transform([1,2,3,4,5,6,7], lambda i: CASE WHEN (k.strike_type = 'less' AND round_even(s.fcst, 0) + i - 4 <= k.cap_s) OR (k.strike_type = 'greater' AND round_even(s.fcst, 0) + i - 4 >= k.floor_s + 1) OR (k.strike_type = 'between' AND round_even(s.fcst, 0) + i - 4 BETWEEN k.floor_s AND k.cap_s) THEN s.p[i] ELSE 0 END)) AS q
+ FROM s JOIN ({_SQ}) q ON q.city = s.city AND q.day = s.day AND q.us = s.us JOIN v_market k ON k.mkt = q.mkt)"""
 
 
 @query("edge_training_rows", "city s, day d, us u, signal s, edge f, " + ", ".join(f"ev_{int(f*100)} f" for f in FILLS) + ", mkt_best s", _TR + "".join(
@@ -248,14 +249,17 @@ b AS (SELECT s.city, s.day, s.us, s.edge, s.signal, q.mkt, q.bid, q.ask, k.strik
 SELECT x.city, x.day, x.us, x.signal, x.edge, """ + ", ".join(f"b{i}.ev AS ev_{int(f*100)}" for i, f in enumerate(FILLS)) + """, b5.mkt AS mkt_best FROM (SELECT DISTINCT city, day, us, signal, edge FROM b) x """ + " ".join(f"LEFT JOIN b{i} ON b{i}.city = x.city AND b{i}.day = x.day AND b{i}.us = x.us" for i in range(6)))
 def edge_training_rows(t):
     """Snapshot edges with the best trade under six maker fill probabilities at once:
-    the fill grid is a set of columns, each bracket row is scored once per grid value."""
-    s = edges(t).select("city", "day", "us", "edge", "signal")
+    the fill grid is a set of columns, each bracket row is scored once per grid value.
+    Class probabilities stand around the forecast base, half-even rounded; snapshots are
+    numbered by hour and city and take the vectors in turn, so that none is without."""
+    s = edges(t).select("city", "day", "us", "edge", "signal", F.bround("fcst", 0).alias("base_f"))
     p = t.probs.select("vec_id", "p", "classes")
-    key = F.datediff("day", N("2024-01-01").cast("date")) * 24 + F.floor(F.pmod(F.col("us"), N(86_400_000_000)) / 3_600_000_000)
-    s = s.withColumn("vec_id", key.cast("long")).join(p, "vec_id")
-    m = t.market.join(t.settle.select("city", "day", "settle_f"), ["city", "day"]).select("mkt", "strike_type", "floor_s", "cap_s", "settle_f")
+    hour = F.floor(F.pmod(F.col("us"), N(86_400_000_000)) / 3_600_000_000)
+    key = ((F.datediff("day", N("2024-01-01").cast("date")) * 14 + hour - 10) * 5 + F.array_position(F.array(*[N(c) for c in CITIES]), F.col("city")) - 1).cast("long")
+    s = s.withColumn("vec_id", F.pmod(key, N(max(1, t.embeddings.count())))).join(p, "vec_id", "left")
+    m = t.market.select("mkt", "strike_type", "floor_s", "cap_s")
     b = snap_quotes(t).join(m, "mkt").join(s, ["city", "day", "us"])
-    b = b.withColumn("q", E.strike_mass("p", "classes", "settle_f", "strike_type", "floor_s", "cap_s"))
+    b = b.withColumn("q", E.strike_mass("p", "classes", "base_f", "strike_type", "floor_s", "cap_s"))
     ev = {f"ev_{int(f * 100)}": T.best_trade("q", "bid", "ask", 3.0, f)["ev"] for f in FILLS}
     last = f"ev_{int(FILLS[-1] * 100)}"
     b = b.withColumns(ev)

@@ -35,11 +35,11 @@ def win_lag_calendar(t):
     return lags_by_date(daily(t), ["city"], "day", ["settle_f"], [1, 2, 7])
 
 
-_T15 = "SELECT city, day, arg_min(temp_f, struct_pack(a := us, b := event_id)) AS x FROM v_obs WHERE hour = 15 AND event_id % 3 > 0 GROUP BY city, day"
+_T15 = "SELECT city, day, arg_min(temp_f, struct_pack(a := us, b := event_id)) AS x FROM v_obs WHERE hour = 15 GROUP BY city, day"
 
 
 def t15(t):
-    return t.obs.filter("hour = 15 AND event_id % 3 > 0").groupBy("city", "day").agg(F.min_by("temp_f", F.struct("us", "event_id")).alias("x"))
+    return t.obs.filter("hour = 15").groupBy("city", "day").agg(F.min_by("temp_f", F.struct("us", "event_id")).alias("x"))
 
 
 @query("win_rolling_prior_rows", "city s, day d, mean_f f, std_f f", f"""

@@ -10,6 +10,7 @@ from ..session import scratch
 def run_to_parquet(spark, stream, label, mode="append"):
     """Drain the available input into a parquet sink and read the result back."""
     root = scratch(spark, label)
+    use_rocksdb(spark)
     q = (stream.writeStream.format("parquet").outputMode(mode)
          .option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
@@ -20,6 +21,7 @@ def run_to_parquet(spark, stream, label, mode="append"):
 def run_batches(spark, stream, fn, label, mode="append"):
     """Drain the input through ``fn(batch_df, batch_id)``; returns the output root."""
     root = scratch(spark, label)
+    use_rocksdb(spark)
     q = (stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: fn(df, i, root))
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()

@@ -14,9 +14,9 @@ def read_events(spark, base, files_per_trigger=50):
 
 
 def quotes(events):
-    """Quote messages of two cities; absent fields are NULL."""
+    """Quote messages; absent fields are NULL."""
     e = F.col("event_id")
-    return events.filter(F.col("event_type").isin("click", "view")).select(
+    return events.select(
         F.col("event_type").alias("city"), F.to_date("ts").alias("day"),
         F.concat_ws("|", "event_type", F.date_format("ts", "yyyyMMdd"), (F.col("user_id") % 6).cast("string")).alias("mkt"),
         "us", "ets", "event_id", F.when(e % 11 == 0, None).otherwise(1 + e % 90).alias("bid"),
@@ -25,7 +25,7 @@ def quotes(events):
 
 def trades(events):
     e = F.col("event_id")
-    return events.filter("event_type = 'purchase'").select(
+    return events.select(
         F.concat_ws("|", "event_type", F.date_format("ts", "yyyyMMdd"), (F.col("user_id") % 6).cast("string")).alias("mkt"),
         "us", "ets", e.alias("seq"), (1 + e % 98).alias("price"), (1 + F.col("user_id") % 5).alias("cnt"))
 

@@ -42,3 +42,15 @@ def test_every_oracle_has_a_query_and_parses(db):
 
 def test_entry(spark):
     assert entry(spark).count() == 5
+
+
+def test_every_snapshot_has_training_rows(spark):
+    keys = ["city", "day", "us"]
+    rows, edges = (queries()[n](spark, SF) for n in ("edge_training_rows", "edge_signal"))
+    assert rows.count() == edges.count() and edges.join(rows.where("ev_100 is not null or ev_10 is null"), keys, "left_anti").count() == 0
+
+
+def test_all_components_reach_the_class_shares(tables):
+    row = tables.embeddings.join(tables.probs, "vec_id").first()
+    want = [sum(abs(x) for x in row.embedding[k::7]) for k in range(7)]
+    assert row.p == pytest.approx([w / sum(want) for w in want])
