@@ -143,7 +143,7 @@ CONTRACT = {"drift_std": "fcst_drift_std_f", "n_leads": "fcst_drift_num_leads",
 def forecast(ctx):
     """Static forecast curve, its peak, drift over leads and multivariate summary per event."""
     k = ["city", "day"]
-    c = stats.partial_day(ctx.curve, k, "temp_f").select(
+    c = stats.partial_day(ctx.curve, k, "temp_f", bounded=True).select(
         *k, F.col("max_f").alias("fcst_prev_max_f"), F.col("min_f").alias("fcst_prev_min_f"), F.col("mean_f").alias("fcst_prev_mean_f"),
         F.col("std_f").alias("fcst_prev_std_f"), *[F.col(f"q{q}_f").alias(f"fcst_prev_q{q}_f") for q in (10, 25, 50, 75, 90)],
         F.col("frac_part").alias("fcst_prev_frac_part"), F.col("t_base").alias("t_forecast_base"))

@@ -1,5 +1,8 @@
 """Registry of feature groups and the columns a model may use."""
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
 from ..operators.asof import asof_many
 from ..session import written
 
@@ -46,13 +49,11 @@ def build(snapshots, ctx, names=None):
         if n not in GROUPS:
             raise KeyError(f"unknown feature group {n!r}; known: {sorted(GROUPS)}")
     pick = lambda kind: [(n, GROUPS[n][1]) for n in names if GROUPS[n][0] == kind]
-    sources = []
-    for n, fn in pick("series"):
-        src = fn(ctx)
-        if src is None:
-            continue
-        src.df = written(src.df, f"series-{n}")
-        sources.append(src)
+    sources = [(n, src) for n, fn in pick("series") if (src := fn(ctx)) is not None]
+    # The series do not depend on each other: their jobs share the cluster.
+    with ThreadPoolExecutor(4) as pool:
+        tables = list(pool.map(lambda s: written(s[1].df.select(*needed(s[1])), f"series-{s[0]}"), sources))
+    sources = [replace(src, df=df) for (_, src), df in zip(sources, tables)]
     if sources:
         snapshots = asof_many(snapshots, sources, KEY, "us")
     for _, fn in pick("event"):
@@ -62,6 +63,11 @@ def build(snapshots, ctx, names=None):
     return snapshots
 
 
+def needed(src):
+    """Columns of a source that the as-of join reads."""
+    return list(dict.fromkeys([*KEY, src.us, *([src.tie] if src.tie is not None else []), *src.values.values()]))
+
+
 def prefixed(df, cols, prefix):
     return df.withColumnsRenamed({c: prefix + c for c in cols})
 

@@ -33,11 +33,12 @@ def structural_nulls(df, zero=()):
 
 
 class Ordinal:
-    """K-1 binary models of y >= k; a threshold with too few rows of either side is a constant."""
+    """K-1 binary models of y >= k; a threshold whose smaller side has less than ``min_share``
+    of the rows is a constant, whatever the number of rows."""
 
-    def __init__(self, classes, min_side=20, make=None):
-        self.classes, self.min_side = classes, min_side
-        self.make = make or (lambda: LogisticRegression(maxIter=20, regParam=0.01))
+    def __init__(self, classes, min_share=0.005, make=None):
+        self.classes, self.min_share = classes, min_share
+        self.make = make or (lambda: LogisticRegression(maxIter=100, regParam=0.01))
         self.models = {}
 
     def fit(self, df, y="y", features="features"):
@@ -45,7 +46,7 @@ class Ordinal:
         ks = self.classes[1:]
         n, *pos = df.agg(F.count(F.lit(1)), *[F.count_if(F.col(y) >= k) for k in ks]).first()
         for k, c in zip(ks, pos):
-            if min(c, n - c) < self.min_side:
+            if min(c, n - c) < self.min_share * n or min(c, n - c) == 0:
                 self.models[k] = c / max(n, 1)
             else:
                 t = df.withColumn("_label", (F.col(y) >= k).cast("double"))
@@ -70,12 +71,16 @@ class Ordinal:
 
 
 class TradeFilter:
-    """Binary trade filter: model, isotonic calibration, probability cut by mean P&L."""
+    """Binary trade filter: model, isotonic calibration, probability cut by mean P&L.
+
+    Only cuts that leave ``min_trades`` calibration trades compete; if none does, the
+    threshold is None and ``take`` is NULL.
+    """
 
     def __init__(self, thresholds=None, min_trades=50, model=None):
         self.thresholds = thresholds or [i / 100 for i in range(5, 96, 5)]
         self.min_trades = min_trades
-        self.model = model or LogisticRegression(maxIter=20, regParam=0.01, elasticNetParam=0.5)
+        self.model = model or LogisticRegression(maxIter=100, regParam=0.01, elasticNetParam=0.5)
 
     def fit(self, train, calib, label="won"):
         t = train.withColumn("label", F.col(label).cast("double"))
@@ -84,14 +89,14 @@ class TradeFilter:
         self.iso = IsotonicRegression(featuresCol="_s", labelCol="label", predictionCol="prob_cal").fit(c)
         curve = self.curve(self.iso.transform(c))
         best = curve.filter(F.col("n") >= self.min_trades).orderBy(F.desc("mean_pnl"), "thr").select("thr").first()
-        self.threshold = best.thr if best else self.thresholds[len(self.thresholds) // 2]
+        self.threshold = best.thr if best else None
         return self
 
     def _score(self, df):
         return self.fitted.transform(df).withColumn("_s", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
 
     def transform(self, df):
-        return self.iso.transform(self._score(df)).withColumn("take", (F.col("prob_cal") >= self.threshold).cast("int"))
+        return self.iso.transform(self._score(df)).withColumn("take", (F.col("prob_cal") >= F.lit(self.threshold).cast("double")).cast("int"))
 
     def curve(self, scored, by=()):
         s = threshold_totals(scored, "prob_cal", self.thresholds, {"n": F.lit(1), "s": F.col("pnl"), "ss": F.col("pnl") * F.col("pnl"), "w": F.col("won")}, by)
@@ -113,4 +118,4 @@ def importances(model, names):
 
 
 def gbt(**kw):
-    return GBTClassifier(maxIter=5, maxDepth=3, seed=7, **kw)
+    return GBTClassifier(**{"maxIter": 30, "maxDepth": 5, "seed": 7, **kw})

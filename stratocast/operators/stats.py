@@ -4,22 +4,43 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import MINUTE, col
+from .chunked import prefix_scan
 
 QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
-def partial_day(df, keys, x, prefix=""):
+def quantiles(df, keys, x, width=1.0):
+    """Exact linear quantiles per key in ``_q``; no group sits in one buffer.
+
+    Equal values are counted first; the counts are accumulated over chunks of ``width``
+    value units, and the two neighbours of each rank are picked by an aggregate.
+    """
+    c = df.select(*keys, col(x).cast("double").alias("_x")).where("_x is not null").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    c = prefix_scan(c, list(keys), ["_x"], F.floor(F.col("_x") / width), {"_cum": ("sum", "_n")})
+    c = c.join(c.groupBy(*keys).agg(F.sum("_n").alias("_all")), list(keys))
+    at = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_x")))
+    out = []
+    for p in QUANTILES:
+        pos = F.lit(p) * (F.col("_all") - 1)
+        share = F.max(pos - F.floor(pos))
+        out.append(at(F.floor(pos)) + share * (at(F.ceil(pos)) - at(F.floor(pos))))
+    return c.groupBy(*keys).agg(F.array(*out).alias("_q"))
+
+
+def partial_day(df, keys, x, bounded=False):
     """max/min/mean/std/linear percentiles/count/half-even base/fraction.
 
-    ``percentile`` keeps a value-count map that merges map-side, so its size
-    follows the distinct values of a sensor, not the rows.
+    ``bounded`` says that a key has few rows (a day's 24 forecast hours): percentiles are
+    then taken in the same aggregation.
     """
-    x = col(x)
-    q = F.percentile(x, F.array(*[F.lit(p) for p in QUANTILES]))
+    name, x = x, col(x)
+    q = F.percentile(x, F.array(*[F.lit(p) for p in QUANTILES])) if bounded else F.lit(None).cast("array<double>")
     a = df.groupBy(*keys).agg(
         F.max(x).alias("max_f"), F.min(x).alias("min_f"), F.avg(x).alias("mean_f"),
         F.coalesce(F.stddev_samp(x), F.when(F.count(x) > 0, F.lit(0.0))).alias("std_f"), q.alias("_q"),
         F.count(x).alias("n"))
+    if not bounded:
+        a = a.drop("_q").join(quantiles(df, keys, name), list(keys), "left")
     base = F.bround("max_f", 0).cast("long")
     out = a.select("*", *[F.col("_q")[i].alias(f"q{int(p * 100)}_f") for i, p in enumerate(QUANTILES)],
                    base.alias("t_base"), (F.col("max_f") - base).alias("frac_part")).drop("_q")

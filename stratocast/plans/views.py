@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import HOUR, MINUTE, epoch_us
 from ..operators.asof import asof
 from ..operators.chunked import prefix_scan, time_chunk
+from ..session import written
 
 MIDNIGHT = """
 WITH path AS (
@@ -37,6 +38,7 @@ def midnight_path(t):
 
 def decision_points(t, window_min=60):
     """Three decision rows per event with forecast, observation and maximum at that time."""
+    t.settle = written(t.settle, "settle")  # it feeds nearly every other table
     b = midnight_path(t).select("city", "day", "t0", "weighted_hour", "settle_f")
     at = lambda h, name: F.struct(F.lit(name).alias("kind"), h.alias("hour_f"))
     w = F.col("weighted_hour")

@@ -117,7 +117,7 @@ SELECT *, (dist_int < 0.25)::INT AS near_flag FROM (SELECT city, day, max(temp_f
 def agg_forecast_static(t):
     c = t.fcst_hourly.withColumn("i", F.row_number().over(Window.partitionBy("city", "day").orderBy("hour")) - 1)
     top = c.groupBy("city", "day").agg(F.max_by("i", F.struct(F.col("temp_f"), -F.col("i"))).alias("hour_idx"))
-    s = S.partial_day(t.fcst_hourly, ["city", "day"], "temp_f").join(top, ["city", "day"])
+    s = S.partial_day(t.fcst_hourly, ["city", "day"], "temp_f", bounded=True).join(top, ["city", "day"])
     fr = F.col("max_f") - F.floor("max_f")
     return s.withColumn("dist_int", F.least(fr, 1 - fr)).withColumn("near_flag", F.col("dist_int") < 0.25)
 

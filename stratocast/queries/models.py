@@ -55,7 +55,7 @@ def ml_edge_filter(t):
     m = ML.TradeFilter().fit(b.filter("part = 'train'"), b.filter("part = 'calib'"))
     s = m.transform(b.filter("part <> 'train'"))
     return s.groupBy("part").agg(F.count(N(1)).alias("n"), F.sum("take").alias("taken"), F.avg(F.when(F.col("take") == 1, F.col("pnl"))).alias("mean_pnl"),
-                                 F.avg(F.when(F.col("take") == 1, F.col("won"))).alias("hit_rate")).withColumn("threshold", N(float(m.threshold)))
+                                 F.avg(F.when(F.col("take") == 1, F.col("won"))).alias("hit_rate")).withColumn("threshold", N(m.threshold).cast("double"))
 
 
 @query("ml_score_and_compare", "model s, n i, auc f, brier f, top_feature s, top_weight f")
@@ -67,7 +67,7 @@ def ml_score_and_compare(t):
     b = written(S.by_ratio(b, "day", 0.2).select("part", "features", "label", "won"), "compare")
     train, test = b.filter("part = 'train'"), b.filter("part = 'test'")
     out = None
-    for name, est in (("logistic", ML.LogisticRegression(maxIter=10)), ("gbt", ML.gbt())):
+    for name, est in (("logistic", ML.LogisticRegression(maxIter=100)), ("gbt", ML.gbt())):
         m = est.fit(train)
         s = m.transform(test).select("won", vector_to_array("probability")[1].alias("q"))
         e = F.col("q") - F.col("won")

@@ -107,11 +107,11 @@ def topk_rule_ranking(t):
     return s.filter("n > 0").withColumn("rnk", F.rank().over(Window.orderBy(F.desc("accuracy"))))
 
 
-@query("sample_trades", "ok i, ln i, pk i, sk i, pnl i")
+@query("sample_trades", "ok i, ln i, pk i, sk i, pnl i", "SELECT ok, ln, pk, sk, pnl FROM v_bt ORDER BY md5(concat_ws(':', ok, ln, pk, sk, 42)), ok, ln, pk, sk, pnl LIMIT 25")
 def sample_trades(t):
     """Reproducible sample: smallest hashes of the trade key, then sorted."""
     k = ["ok", "ln", "pk", "sk"]
-    return t.bt.select(*k, "pnl").orderBy(F.xxhash64(*k, N(42)), *k).limit(25).orderBy(*k)
+    return t.bt.select(*k, "pnl").orderBy(F.md5(F.concat_ws(":", *k, N(42)).cast("binary")), *k, "pnl").limit(25).orderBy(*k)
 
 
 @query("topk_mode_class", "vec_id i, cls i, prob f", "SELECT vec_id, list_position(p, list_max(p)) - 4 AS cls, list_max(p) AS prob FROM v_probs")
