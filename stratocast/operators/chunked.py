@@ -34,13 +34,11 @@ def even_chunk(df, pos, parts=EVEN_CHUNKS):
 
 
 def chunked(df, keys, chunk):
-    """Mark rows with their key (``_k``, equal also for NULL keys) and chunk (``_c``).
-
-    Scans that are given ``"_c"`` as chunk reuse the marks, and with them the
-    shuffle and sort of the scan before.
+    """Mark rows with their key (``_k``, equal also for NULL keys) and chunk (``_c``) and deal
+    them by both. Scans that are given ``"_c"`` as chunk reuse marks and shuffle.
     """
     k = F.struct(*keys) if keys else F.lit(0)
-    return df.withColumns({"_k": k, "_c": chunk})
+    return df.withColumns({"_k": k, "_c": chunk}).repartition("_k", "_c")
 
 
 def unchunk(df):
@@ -55,11 +53,12 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     row on); the positional kinds skip NULLs. ``chunk`` must be monotonic in
     ``order``. With ``inclusive=False`` the row itself is left out.
 
-    The input appears twice in the plan (rows and chunk totals); long chains of
-    scans should start from a written table.
+    The input is shuffled once, and read once: totals and windows share the exchange.
     """
     order = [col(o) for o in order]
     part = ["_k", "_c"]
+    # One shuffle by (key, chunk) serves the chunk totals and the windows; a scan that is
+    # given "_c" finds its rows dealt that way by the scan before.
     base = df if isinstance(chunk, str) else chunked(df, list(keys), chunk)
     names = {n: f"_v{i}" for i, n in enumerate(specs)}
     base = base.withColumns({names[n]: col(c) for n, (_, c) in specs.items()})
