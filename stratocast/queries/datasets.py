@@ -20,13 +20,14 @@ _SNAP = """
 WITH s AS (SELECT city, day, settle_f, epoch_us(day::TIMESTAMP) - 50400000000 AS lo, epoch_us(day::TIMESTAMP) + 86100000000 AS cl, epoch_us(day::TIMESTAMP) - 50400000000 + i * 1800000000 AS us FROM v_settle, range(76) r(i)),
 r AS (SELECT *, ((temp_f - 32) * 5 / 9 * atan(0.151977e0 * sqrt(humidity + 8.313659e0)) + atan((temp_f - 32) * 5 / 9 + humidity) - atan(humidity - 1.676331e0) + 0.00391838e0 * pow(humidity, 1.5e0) * atan(0.023101e0 * humidity) - 4.686035e0) * 9 / 5 + 32 AS wb,
  CASE WHEN count(*) OVER q >= 2 THEN covar_samp(temp_f, (us - 1704067200000000) / 6e7) OVER q / var_pop((us - 1704067200000000) / 6e7) OVER q * 60 END AS rate FROM v_obs WINDOW q AS (PARTITION BY city ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)),
-a AS (SELECT s.city, s.day, s.us, count(*) AS n, max(temp_f) AS mx, coalesce(stddev_samp(temp_f), 0) AS sd, last(rate ORDER BY r.us) AS rate, arg_max(humidity, r.us) AS hum, arg_max(wb, r.us) AS wb, max(r.us) AS lu FROM s JOIN r ON r.city = s.city AND r.us BETWEEN s.lo AND s.us GROUP BY s.city, s.day, s.us),
-x AS (SELECT a.city, a.day, a.us, (any_value(a.lu) - max(r.us)) / 6e7 AS sm FROM a JOIN r ON r.city = a.city AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us AND abs(r.temp_f - a.mx) < 0.01e0 GROUP BY a.city, a.day, a.us),
-y AS (SELECT a.city, a.day, a.us, sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7)) * temp_f) / sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7))) AS ema60, count(DISTINCT r.us // 3600000000) AS ho FROM a JOIN r ON r.city = a.city AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us GROUP BY a.city, a.day, a.us),
+r2 AS (SELECT *, day AS ev FROM r UNION ALL SELECT *, day + 1 AS ev FROM r),
+a AS (SELECT s.city, s.day, s.us, count(*) AS n, max(temp_f) AS mx, coalesce(stddev_samp(temp_f), 0) AS sd, last(rate ORDER BY r.us) AS rate, arg_max(humidity, r.us) AS hum, arg_max(wb, r.us) AS wb, max(r.us) AS lu FROM s JOIN r2 r ON r.city = s.city AND r.ev = s.day AND r.us BETWEEN s.lo AND s.us GROUP BY s.city, s.day, s.us),
+x AS (SELECT a.city, a.day, a.us, (any_value(a.lu) - max(r.us)) / 6e7 AS sm FROM a JOIN r2 r ON r.city = a.city AND r.ev = a.day AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us AND abs(r.temp_f - a.mx) < 0.01e0 GROUP BY a.city, a.day, a.us),
+y AS (SELECT a.city, a.day, a.us, sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7)) * temp_f) / sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7))) AS ema60, count(DISTINCT r.us // 3600000000) AS ho FROM a JOIN r2 r ON r.city = a.city AND r.ev = a.day AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us GROUP BY a.city, a.day, a.us),
 f AS (SELECT city, day, max(temp_f) AS fm FROM v_fcst_hourly GROUP BY city, day), h AS (SELECT city, day, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS ema FROM v_fcst WHERE lead BETWEEN 1 AND 6 GROUP BY city, day),
 eh AS (SELECT f.city, f.day, epoch_us(f.day::TIMESTAMP) + (f.hour + 1) * 3600000000 AS t, o.m - f.temp_f AS e FROM v_fcst_hourly f JOIN (SELECT city, day, hour, sum(CAST(round(temp_f * 100) AS BIGINT)) / count(temp_f) / 100 AS m FROM v_obs GROUP BY ALL) o USING (city, day, hour)),
 er AS (SELECT s.city, s.day, s.us, avg(e) AS em FROM s JOIN eh ON eh.city = s.city AND eh.day = s.day AND eh.t <= s.us GROUP BY s.city, s.day, s.us),
-g AS (SELECT s.city, s.day, s.us, arg_max(p.temp_f - q.temp_f, p.us) AS gap FROM s JOIN v_obs p ON p.city = s.city AND p.us BETWEEN s.lo AND s.us JOIN v_obs2 q ON q.event_id = p.event_id GROUP BY s.city, s.day, s.us),
+g AS (SELECT s.city, s.day, s.us, arg_max(p.temp_f - q.temp_f, p.us) AS gap FROM s JOIN r2 p ON p.city = s.city AND p.ev = s.day AND p.us BETWEEN s.lo AND s.us JOIN v_obs2 q ON q.event_id = p.event_id GROUP BY s.city, s.day, s.us),
 m AS (SELECT s.city, s.day, s.us, arg_max(bid, struct_pack(a := c.bucket_us, b := c.j)) AS bid FROM s JOIN v_candle c ON c.city = s.city AND c.day = s.day AND c.bucket_us < s.us GROUP BY s.city, s.day, s.us)
 SELECT s.city, s.day AS event_date, s.us, a.n AS num_samples_sofar, mx AS vc_max_f_sofar, sd AS vc_std_f_sofar, rate AS temp_rate_last_30min, sm AS minutes_since_max_observed, fm AS fcst_prev_max_f, ema AS fcst_multi_ema, em AS err_mean_sofar, gap AS station_city_temp_gap, bid AS market_yes_bid,
  hum AS humidity_last_obs, wb AS wetbulb_last_obs, fm - mx AS obs_fcst_max_gap, CASE WHEN rate > 0.5 THEN 1 WHEN rate IS NOT NULL THEN 0 WHEN hour(make_timestamp(s.us)) < 11 THEN 1 ELSE 0 END AS is_heating_phase, ln(1 + abs(fm - mx)) AS log_abs_obs_fcst_gap, mx * ((cl - s.us) / 3.6e9) AS temp_x_hours_remaining, y.ema60 AS temp_ema_60min, y.ho AS hours_observed,
