@@ -178,10 +178,20 @@ def links(codes, group, radius, budget=1 << 21):
             todo.append((q[alive], node[alive], far[alive], level - 1))
 
 
-def stars(codes, reps, group, radius):
-    """Edges (rep, smallest rep of its local component) for linked codes."""
+def stars(codes, reps, group, radius, sketch=None, total=None):
+    """Edges (rep, smallest rep of its local component) for linked codes.
+
+    With ``sketch`` (all tables' fingerprints of each code) a link also needs ``total``
+    or fewer differing bits over all tables together.
+    """
     label = reps.copy()
-    found = list(links(codes, group, radius))
+    found = []
+    for a, b in links(codes, group, radius):
+        if sketch is not None:
+            alike = np.bitwise_count(sketch[:, a] ^ sketch[:, b]).sum(0, dtype=np.int64) <= total
+            a, b = a[alike], b[alike]
+        if len(a):
+            found.append((a, b))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found))
@@ -201,7 +211,7 @@ def stars(codes, reps, group, radius):
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _search(routed, radius):
+def _search(routed, radius, others=(), total=None):
     """Star edges of every route; rows arrive sorted by route."""
 
     def run(iterator):
@@ -229,25 +239,30 @@ def _search(routed, radius):
         if not len(codes):
             return record(EDGES, a=[], b=[])
         order = np.lexsort((gray_rank(codes), group))
-        a, b = stars(codes[order], reps[order], group[order], radius)
+        sketch = np.stack([t.column(c).to_numpy().view(np.uint64)[shared][order] for c in others]) if others else None
+        a, b = stars(codes[order], reps[order], group[order], radius, sketch, total)
         return record(EDGES, a=a, b=b)
 
-    return routed.select("route", "key", "fp", "rep").mapInArrow(run, "a long, b long")
+    return routed.select("route", "key", "fp", "rep", *others).mapInArrow(run, "a long, b long")
 
 
-def edges(nodes, tables=1, radius=2, blocks=4, limit=65536):
-    """Star edges between representatives of (fp0, ..., rep): no link of any table is lost."""
+def edges(nodes, tables=1, radius=2, blocks=4, limit=65536, total=None):
+    """Star edges between representatives of (fp0, ..., rep): no link of any table is lost.
+
+    ``total``: bits that may differ over all tables together (None: no such condition).
+    """
+    others = [f"fp{t}" for t in range(tables)] if total is not None else []
     spark = nodes.sparkSession
     masks, parts = {}, []
     for t in range(tables):
         own = {len(masks) + i: m for i, m in enumerate(routes(range(64), radius, blocks))}
         masks.update(own)
         at = F.explode(F.array(*[F.struct(F.lit(i).alias("route"), F.lit(signed(m)).alias("mask")) for i, m in own.items()]))
-        parts.append(nodes.select(F.col(f"fp{t}").alias("fp"), "rep", at.alias("r")))
+        parts.append(nodes.select(F.col(f"fp{t}").alias("fp"), "rep", *others, at.alias("r")))
     todo = parts[0]
     for p in parts[1:]:
         todo = todo.unionByName(p)
-    todo = todo.select(F.col("r.route").alias("route"), F.col("fp").bitwiseAND(F.col("r.mask")).alias("key"), "fp", "rep")
+    todo = todo.select(F.col("r.route").alias("route"), F.col("fp").bitwiseAND(F.col("r.mask")).alias("key"), "fp", "rep", *others)
     done = None
     while True:
         crowded = written(todo.groupBy("route", "key").count().where(F.col("count") > limit).select("route", "key"), "simhash-crowded")
@@ -266,19 +281,20 @@ def edges(nodes, tables=1, radius=2, blocks=4, limit=65536):
                 masks[len(masks)] = masks[route] | m
         finer = spark.createDataFrame(finer, "route int, finer int, mask long")
         todo = todo.join(crowded, ["route", "key"], "left_semi").join(F.broadcast(finer), "route")  # a literal list of masks
-        todo = written(todo.select(F.col("finer").alias("route"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep"), "simhash-finer")
-    return _search(done.repartition(F.col("route"), F.col("key")).sortWithinPartitions("route", "key"), radius)
+        todo = written(todo.select(F.col("finer").alias("route"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep", *others), "simhash-finer")
+    return _search(done.repartition(F.col("route"), F.col("key")).sortWithinPartitions("route", "key"), radius, others, total)
 
 
-def near_duplicates(docs, shingle=3, radius=2, blocks=4, tables=1, limit=65536):
+def near_duplicates(docs, shingle=3, radius=2, blocks=4, tables=1, limit=65536, total=None):
     """(doc_id, fp, component_id) of every document; fp is that of the first table.
 
-    With several tables, documents link if their fingerprints of any table do.
+    With several tables, documents link if their fingerprints of any table do and, given
+    ``total``, no more than so many bits differ over all tables.
     """
     fps = [f"fp{t}" for t in range(tables)]
     prints = written(fingerprints(docs, shingle, tables), "simhash-prints")
     nodes = written(prints.groupBy(*fps).agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    named = components(edges(nodes.where("rep is not null"), tables, radius, blocks, limit), "simhash-edges")
+    named = components(edges(nodes.where("rep is not null"), tables, radius, blocks, limit, total), "simhash-edges")
     nodes = nodes.join(named, nodes["rep"] == named["node"], "left").select(*fps, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(nodes, fps).select("doc_id", F.col("fp0").alias("fp"), "component_id")
 

@@ -58,5 +58,5 @@ def test_stages_take_edge_cases(spark, documents):
 def test_similar_texts_share_a_component(spark, documents):
     words = [f"w{i}" for i in range(500)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:250] + ["new"] + words[250:])), (3, " ".join(reversed(words)))]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows), shingle=5, radius=6, blocks=8, tables=4).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows), shingle=5, radius=7, blocks=9, tables=4, total=42).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
