@@ -30,3 +30,20 @@ def trade_stats(totals, n="n", s="s", ss="ss", wins="w"):
     sd = F.sqrt(F.greatest(F.col(ss) / F.col(n) - mean * mean, F.lit(0.0)))
     return totals.withColumns({"mean_pnl": mean, "std_pnl": sd,
                                "sharpe": F.when(sd > 1e-9, mean / sd), "hit_rate": F.col(wins) / F.col(n)})
+
+
+def best_threshold(stats, min_trades=100, by="sharpe", name="thr"):
+    """One row ``best``: the smallest threshold with the largest ``by``, among those that
+    leave at least ``min_trades`` trades; NULL if none does."""
+    return stats.filter(F.col("n") >= min_trades).agg(F.max_by(name, F.struct(F.col(by), -F.col(name))).alias("best"))
+
+
+def with_enough(stats, columns, min_trades=200):
+    """``columns`` are NULL where fewer than ``min_trades`` trades stand behind them."""
+    return stats.withColumns({c: F.when(F.col("n") >= min_trades, F.col(c)) for c in columns})
+
+
+def grouped_results(trades, by, min_trades=10):
+    """Count, P&L and win rate of groups that have at least ``min_trades`` trades."""
+    g = trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl"), F.avg("won").alias("win_rate"))
+    return g.filter(F.col("n") >= min_trades)

@@ -11,7 +11,7 @@ from ..operators import audit as A
 from ..operators import metrics as M
 from ..operators import stats as S
 from ..operators.asof import asof
-from ..operators.sweep import threshold_totals, trade_stats
+from ..operators.sweep import best_threshold, grouped_results, threshold_totals, trade_stats, with_enough
 from .joins import _SNAPJ, snap_markets
 from .registry import query
 from .scalars import _RULE_SQL
@@ -173,8 +173,7 @@ def agg_annualised_sharpe(t):
 @query("agg_by_group", "city s, month d, n i, pnl i, win_rate f", """
 SELECT city, CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS n, sum(pnl) AS pnl, avg(won) AS win_rate FROM v_bt GROUP BY 1, 2 HAVING count(*) >= 10""")
 def agg_by_group(t):
-    return t.bt.groupBy("city", F.to_date(F.date_trunc("month", "day")).alias("month")).agg(
-        CNT().alias("n"), F.sum("pnl").alias("pnl"), F.avg("won").alias("win_rate")).filter("n >= 10")
+    return grouped_results(t.bt, ["city", F.to_date(F.date_trunc("month", "day")).alias("month")], min_trades=10)
 
 
 @query("agg_rule_stats", "rule s, n i, exact i, off_1 i, off_2plus i, mae f, accuracy f", f"""
@@ -304,8 +303,7 @@ WITH s AS (SELECT i * 0.5e0 AS thr, count(*) AS n, avg(pnl) AS mean_pnl, stddev_
 SELECT *, (thr = (SELECT thr FROM s WHERE n >= 100 ORDER BY sharpe DESC, thr LIMIT 1))::INT AS best FROM s""")
 def agg_threshold_sweep(t):
     s = sweep(t.bt, F.abs("edge"), [i * 0.5 for i in range(25)])
-    best = s.filter("n >= 100").agg(F.max_by("thr", F.struct(F.col("sharpe"), -F.col("thr"))).alias("_b"))
-    return s.withColumn("best", F.col("thr") == best.scalar())
+    return s.withColumn("best", F.col("thr") == best_threshold(s, min_trades=100).scalar())
 
 
 def sweep(bt, value, thresholds, by=()):
@@ -317,8 +315,7 @@ def sweep(bt, value, thresholds, by=()):
 SELECT CAST(i AS DOUBLE) / 100 AS thr, count(*) AS n, CASE WHEN count(*) >= 200 THEN avg(pnl) END AS mean_pnl, CASE WHEN count(*) >= 200 THEN avg(pnl) / stddev_pop(pnl) END AS sharpe, CASE WHEN count(*) >= 200 THEN avg(won) END AS hit_rate FROM v_bt, range(50, 100) r(i) WHERE prob >= CAST(i AS DOUBLE) / 100 GROUP BY i""")
 def agg_decision_threshold_curve(t):
     s = sweep(t.bt, "prob", [i / 100 for i in range(50, 100)])
-    ok = lambda c: F.when(F.col("n") >= 200, F.col(c)).alias(c)
-    return s.select("thr", "n", ok("mean_pnl"), ok("sharpe"), ok("hit_rate"))
+    return with_enough(s, ["mean_pnl", "sharpe", "hit_rate"], min_trades=200)
 
 
 @query("agg_auc", "n_pos i, n_neg i, auc f", """
