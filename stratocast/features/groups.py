@@ -150,6 +150,9 @@ def forecast(ctx):
     pk = stats.peak_window(ctx.curve, k).select(*k, F.col("peak_hour").alias("fcst_peak_hour_float"), F.col("band_width_min").cast("double").alias("fcst_peak_band_width_min"))
     mv = stats.multivar(ctx.curve, k)
     mv = mv.withColumnsRenamed({x: CONTRACT.get(x, "fcst_" + x.replace("cloud_", "cloudcover_").replace("dew_", "dewpoint_")) for x in mv.columns if x not in k})
+    frac = F.col("fcst_prev_max_f") - F.floor("fcst_prev_max_f")
+    c = c.withColumn("fcst_prev_distance_to_int", F.least(frac, 1 - frac))
+    c = c.withColumn("fcst_prev_near_boundary_flag", (F.col("fcst_prev_distance_to_int") < 0.25).cast("double"))
     per_event = c.join(pk, k).join(mv, k)
     if ctx.fcst is not None:
         mh = stats.multi_horizon(ctx.fcst, k)
@@ -171,8 +174,10 @@ def forecast_error(ctx):
     # At most 24 completed hours per event.
     w3 = Window.partitionBy(*KEY).orderBy("t").rowsBetween(-2, 0)
     e = e.withColumn("err_last3h_mean", F.when(F.count("e").over(w3) == 3, F.avg("e").over(w3)))
-    e = prefix_scan(e, KEY, ["t"], time_chunk("t", DAY), {"_n": ("count", "e"), "_s": ("sum", "e"), "_a": ("sum", F.abs("e")), "err_max_pos_sofar": ("max", "e"), "err_max_neg_sofar": ("min", "e")})
-    e = e.select(*KEY, "t", (F.col("_s") / F.col("_n")).alias("err_mean_sofar"), (F.col("_a") / F.col("_n")).alias("err_abs_mean_sofar"),
+    e = prefix_scan(e, KEY, ["t"], time_chunk("t", DAY), {"_n": ("count", "e"), "_s": ("sum", "e"), "_ss": ("sum", F.col("e") * F.col("e")), "_a": ("sum", F.abs("e")), "err_max_pos_sofar": ("max", "e"), "err_max_neg_sofar": ("min", "e")})
+    spread = F.greatest(F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n"), F.lit(0.0)) / (F.col("_n") - 1)
+    e = e.withColumn("err_std_sofar", F.when(F.col("_n") > 1, F.sqrt(spread)).when(F.col("_n") == 1, 0.0))
+    e = e.select(*KEY, "t", "err_std_sofar", (F.col("_s") / F.col("_n")).alias("err_mean_sofar"), (F.col("_a") / F.col("_n")).alias("err_abs_mean_sofar"),
                  "err_max_pos_sofar", "err_max_neg_sofar", F.col("e").alias("err_last1h"), "err_last3h_mean")
     return Source(e, "t", {c: c for c in e.columns if c not in (*KEY, "t")})
 

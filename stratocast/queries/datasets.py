@@ -26,17 +26,17 @@ x AS (SELECT a.city, a.day, a.us, (any_value(a.lu) - max(r.us)) / 6e7 AS sm FROM
 y AS (SELECT a.city, a.day, a.us, sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7)) * temp_f) / sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7))) AS ema60, count(DISTINCT r.us // 3600000000) AS ho FROM a JOIN r2 r ON r.city = a.city AND r.ev = a.day AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us GROUP BY a.city, a.day, a.us),
 f AS (SELECT city, day, max(temp_f) AS fm FROM v_fcst_hourly GROUP BY city, day), h AS (SELECT city, day, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS ema FROM v_fcst WHERE lead BETWEEN 1 AND 6 GROUP BY city, day),
 eh AS (SELECT f.city, f.day, epoch_us(f.day::TIMESTAMP) + (f.hour + 1) * 3600000000 AS t, o.m - f.temp_f AS e FROM v_fcst_hourly f JOIN (SELECT city, day, hour, sum(CAST(round(temp_f * 100) AS BIGINT)) / count(temp_f) / 100 AS m FROM v_obs GROUP BY ALL) o USING (city, day, hour)),
-er AS (SELECT s.city, s.day, s.us, avg(e) AS em FROM s JOIN eh ON eh.city = s.city AND eh.day = s.day AND eh.t <= s.us GROUP BY s.city, s.day, s.us),
+er AS (SELECT s.city, s.day, s.us, avg(e) AS em, coalesce(stddev_samp(e), 0) AS es FROM s JOIN eh ON eh.city = s.city AND eh.day = s.day AND eh.t <= s.us GROUP BY s.city, s.day, s.us),
 g AS (SELECT s.city, s.day, s.us, arg_max(p.temp_f - q.temp_f, p.us) AS gap FROM s JOIN r2 p ON p.city = s.city AND p.ev = s.day AND p.us BETWEEN s.lo AND s.us JOIN v_obs2 q ON q.event_id = p.event_id GROUP BY s.city, s.day, s.us),
 m AS (SELECT s.city, s.day, s.us, arg_max(bid, struct_pack(a := c.bucket_us, b := c.j)) AS bid FROM s JOIN v_candle c ON c.city = s.city AND c.day = s.day AND c.bucket_us < s.us GROUP BY s.city, s.day, s.us)
-SELECT s.city, s.day AS event_date, s.us, a.n AS num_samples_sofar, mx AS vc_max_f_sofar, sd AS vc_std_f_sofar, rate AS temp_rate_last_30min, sm AS minutes_since_max_observed, fm AS fcst_prev_max_f, ema AS fcst_multi_ema, em AS err_mean_sofar, gap AS station_city_temp_gap, bid AS market_yes_bid,
+SELECT s.city, s.day AS event_date, s.us, a.n AS num_samples_sofar, mx AS vc_max_f_sofar, sd AS vc_std_f_sofar, rate AS temp_rate_last_30min, sm AS minutes_since_max_observed, fm AS fcst_prev_max_f, ema AS fcst_multi_ema, em AS err_mean_sofar, CASE WHEN em IS NOT NULL THEN es END AS err_std_sofar, least(fm - floor(fm), 1 - (fm - floor(fm))) AS fcst_prev_distance_to_int, gap AS station_city_temp_gap, bid AS market_yes_bid,
  hum AS humidity_last_obs, wb AS wetbulb_last_obs, fm - mx AS obs_fcst_max_gap, CASE WHEN rate > 0.5 THEN 1 WHEN rate IS NOT NULL THEN 0 WHEN hour(make_timestamp(s.us)) < 11 THEN 1 ELSE 0 END AS is_heating_phase, ln(1 + abs(fm - mx)) AS log_abs_obs_fcst_gap, mx * ((cl - s.us) / 3.6e9) AS temp_x_hours_remaining, y.ema60 AS temp_ema_60min, y.ho AS hours_observed,
  s.settle_f, s.settle_f - CAST(round_even(fm, 0) AS BIGINT) AS delta
 FROM s LEFT JOIN a ON a.city = s.city AND a.us = s.us AND a.day = s.day LEFT JOIN x ON x.city = s.city AND x.us = s.us AND x.day = s.day LEFT JOIN y ON y.city = s.city AND y.us = s.us AND y.day = s.day LEFT JOIN f ON f.city = s.city AND f.day = s.day LEFT JOIN h ON h.city = s.city AND h.day = s.day
  LEFT JOIN er ON er.city = s.city AND er.day = s.day AND er.us = s.us LEFT JOIN g ON g.city = s.city AND g.day = s.day AND g.us = s.us LEFT JOIN m ON m.city = s.city AND m.day = s.day AND m.us = s.us"""
 
 
-@query("feature_snapshot", "city s, event_date d, us u, num_samples_sofar i, vc_max_f_sofar f, vc_std_f_sofar f, temp_rate_last_30min h, minutes_since_max_observed f, fcst_prev_max_f f, fcst_multi_ema f, err_mean_sofar f, station_city_temp_gap f, market_yes_bid f, humidity_last_obs f, wetbulb_last_obs f, obs_fcst_max_gap f, is_heating_phase i, log_abs_obs_fcst_gap f, temp_x_hours_remaining f, temp_ema_60min f, hours_observed i, settle_f i, delta i", _SNAP)
+@query("feature_snapshot", "city s, event_date d, us u, err_std_sofar f, fcst_prev_distance_to_int f, num_samples_sofar i, vc_max_f_sofar f, vc_std_f_sofar f, temp_rate_last_30min h, minutes_since_max_observed f, fcst_prev_max_f f, fcst_multi_ema f, err_mean_sofar f, station_city_temp_gap f, market_yes_bid f, humidity_last_obs f, wetbulb_last_obs f, obs_fcst_max_gap f, is_heating_phase i, log_abs_obs_fcst_gap f, temp_x_hours_remaining f, temp_ema_60min f, hours_observed i, settle_f i, delta i", _SNAP)
 def feature_snapshot(t):
     """All feature groups on a half-hourly spine."""
     return build(D.snapshots(t.settle, 30), D.inputs(t))
