@@ -68,7 +68,7 @@ class RunLengthIndex:
         key = (text * base + shifted(text, 1)) * base + shifted(text, 2)
         width, block = 3, None
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
             if block is None and width * 2 >= length:
@@ -82,7 +82,7 @@ class RunLengthIndex:
                 block = rank * n + shifted(rank, length - width)
             else:
                 rank_key = rank * n + shifted(rank, width)
-                o = np.argsort(rank_key, kind="stable")
+                o = np.argsort(rank_key)
                 rank = np.empty(n, dtype=np.int64)
                 rank[o] = np.cumsum(np.concatenate([[0], rank_key[o][1:] != rank_key[o][:-1]]))
                 width *= 2
@@ -236,16 +236,16 @@ class Scan:
         return s[cut], inverse, several
 
     def items(self, mark, n_routes):
-        """Stretches to look up: (first, last window, doc index, route, unit), by anchor marks."""
+        """Stretches to look up: (first, last window, doc index, route, key), by anchor marks."""
         plain, common = np.flatnonzero(mark == 1), np.flatnonzero(mark == 2)
         route = (self.hash % np.uint64(n_routes)).astype(np.int64)
-        unit = (self.hash >> np.uint64(40)).astype(np.int64) & 0xFFFF
+        key = (self.hash >> np.uint64(20)).astype(np.uint32)
         count = self.last[common] - self.first[common] + 1
         single = np.repeat(self.first[common] - np.cumsum(count) + count, count) + np.arange(count.sum())
         own = self.ranges(single, single)
         first = np.concatenate([self.first[plain], single])
         return (first, np.concatenate([self.last[plain], single]), np.searchsorted(self.ends, first, side="right"),
-                np.concatenate([route[plain], (own % np.uint64(n_routes)).astype(np.int64)]), np.concatenate([unit[plain], (own >> np.uint64(40)).astype(np.int64) & 0xFFFF]))
+                np.concatenate([route[plain], (own % np.uint64(n_routes)).astype(np.int64)]), np.concatenate([key[plain], (own >> np.uint64(20)).astype(np.uint32)]))
 
     def ranges(self, first, last):
         """64-bit hashes of the bytes [first, last + LENGTH), to tell stretches of a chunk apart."""
@@ -371,7 +371,7 @@ def shared_anchors(common):
 
 
 def chunk_items(row, told, n_routes):
-    """A chunk's scan, its looked-up stretches and their distinct groups."""
+    """A chunk's scan, its looked-up stretches with route and key, and their distinct groups."""
     scan = Scan(row)
     code, inverse, _ = scan.anchors(n_routes)
     mark = np.zeros(len(code), dtype=np.uint8)
@@ -380,14 +380,14 @@ def chunk_items(row, told, n_routes):
         n = cut[r + 1] - cut[r]
         one, two = np.unpackbits(np.frombuffer(body, dtype=np.uint8), count=2 * n).reshape(2, n)
         mark[cut[r]:cut[r + 1]] = one + 2 * two
-    first, last, doc, route, unit = scan.items(mark[inverse], n_routes)
+    first, last, doc, route, key = scan.items(mark[inverse], n_routes)
     order, groups, low = scan.distinct(first, last, doc, route)
-    return scan, first, last, doc, route, unit, order, groups, low
+    return scan, first, last, doc, route, key, order, groups, low
 
 
 def send_stretches(n_routes):
     def solve(row, told):
-        scan, first, last, _, route, unit, order, groups, low = chunk_items(row, told, n_routes)
+        scan, first, last, _, route, key, order, groups, low = chunk_items(row, told, n_routes)
         head = order[groups]
         cut = np.searchsorted(route[head], np.arange(n_routes + 1))
         out = []
@@ -396,7 +396,7 @@ def send_stretches(n_routes):
                 h = head[x:y]
                 size = last[h] + LENGTH - first[h]
                 at = np.repeat(first[h] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                body = size.astype(np.uint8).tobytes() + unit[h].astype(np.uint16).tobytes() + low[x:y].tobytes() + scan.data[at].tobytes()
+                body = size.astype(np.uint8).tobytes() + key[h].tobytes() + low[x:y].tobytes() + scan.data[at].tobytes()
                 out.append((r, row["chunk"], len(h).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)))
         yield _sent(out)
 
@@ -407,32 +407,40 @@ def earlier(index_bytes):
     """Per stretch a bit for each of its windows: found in a smaller document."""
 
     def solve(route, held):
-        counts, sizes, units, lows, strings = [], [], [], [], []
+        counts, sizes, keys, lows, strings = [], [], [], [], []
         for _, body in held:
             n = int.from_bytes(body[:8], "little")
             raw = zstandard.ZstdDecompressor().decompress(body[8:])
             size = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
             counts.append(n)
             sizes.append(size)
-            units.append(np.frombuffer(raw, dtype=np.uint16, count=n, offset=n))
-            lows.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=3 * n))
-            ends = np.cumsum(size) + 11 * n
+            keys.append(np.frombuffer(raw, dtype=np.uint32, count=n, offset=n))
+            lows.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=5 * n))
+            ends = np.cumsum(size) + 13 * n
             strings += [raw[e - s:e] for s, e in zip(size.tolist(), ends.tolist())]
-        size, unit, low = np.concatenate(sizes), np.concatenate(units).astype(np.int64), np.concatenate(lows)
-        n_units = max(1, math.ceil(size.sum() / index_bytes))
-        unit %= n_units
-        bits = np.zeros(len(size), dtype=np.uint32)
-        order = np.argsort(unit, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
-            place, which = {}, np.empty(len(own), dtype=np.int64)
-            for j, i in enumerate(own.tolist()):
-                which[j] = place.setdefault(strings[i], len(place))
-            docs = np.full(len(place), LAST, dtype=np.int64)
-            np.minimum.at(docs, which, low[own])
-            distinct = list(place)
-            found = RunLengthIndex(distinct, docs).statistics(np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)))
-            hit = found[which] < low[own][:, None]
-            bits[own] = (hit << np.arange(hit.shape[1], dtype=np.uint32)[None]).sum(1).astype(np.uint32)
+        size, low, key = np.concatenate(sizes), np.concatenate(lows), np.concatenate(keys)
+        place = {}
+        which = np.fromiter((place.setdefault(s, len(place)) for s in strings), dtype=np.int64, count=len(strings))
+        distinct = list(place)
+        docs = np.full(len(distinct), LAST, dtype=np.int64)
+        np.minimum.at(docs, which, low)
+        own_key = np.empty(len(distinct), dtype=np.int64)
+        own_key[which] = key
+        # Windows of equal bytes have equal anchors: a string alone under its key meets no other.
+        alone = np.unique(own_key, return_inverse=True, return_counts=True)
+        alone = alone[2][alone[1]] == 1
+        found = np.where(alone, docs, LAST)[:, None].repeat(SPREAD, 1)
+        n_units = max(1, math.ceil(sum(len(s) for s, a in zip(distinct, alone) if not a) / index_bytes))
+        order = np.flatnonzero(~alone)
+        order = order[np.argsort(own_key[order] % n_units, kind="stable")]
+        for own in np.split(order, np.flatnonzero(np.diff(own_key[order] % n_units)) + 1):
+            if len(own):
+                texts = [distinct[i] for i in own.tolist()]
+                got = RunLengthIndex(texts, docs[own]).statistics(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+                found[own, :got.shape[1]] = got
+        window = np.arange(SPREAD)[None] <= (size - LENGTH)[:, None]
+        hit = (found[which] < low[:, None]) & window
+        bits = (hit << np.arange(SPREAD, dtype=np.uint32)[None]).sum(1).astype(np.uint32)
         at = 0
         for (chunk, _), n in zip(held, counts):
             if bits[at:at + n].any():
