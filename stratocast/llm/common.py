@@ -32,10 +32,19 @@ def fresh(columns, base):
 def sample(df, max_rows):
     """At most ``max_rows`` rows of (doc_id, ...) on the driver, by a hash of the id.
 
-    The one thing that reaches the driver: a bounded training sample.
+    The one thing that reaches the driver: a bounded training sample. Ids are picked
+    first, so that no texts but the sample's move; of rows with one id the least stays.
     """
-    rows = df.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(17))).orderBy("_h", "doc_id").limit(max_rows)
-    return rows.drop("_h").toArrow().to_pylist()
+    ids = df.select("doc_id").where("doc_id is not null").withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(17)))
+    return fetched(df, ids.orderBy("_h", "doc_id").limit(max_rows).select("doc_id").distinct())
+
+
+def fetched(df, pick):
+    """Rows of the picked ids, one per id, in an order that only depends on the ids."""
+    rows = df.join(F.broadcast(pick), "doc_id")
+    rest = F.struct(*[c for c in rows.columns if c != "doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min(rest).alias("_r")).select("doc_id", "_r.*")
+    return sorted(rows.toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
 
 
 def labelled(docs, labels, label, max_rows, max_chars):
@@ -49,9 +58,7 @@ def labelled(docs, labels, label, max_rows, max_chars):
     y = y.where(remainder(F.col("doc_id"), 5) != 0)
     pick = y.withColumn("_h", F.xxhash64("doc_id", F.lit(17))).orderBy("_h", "doc_id").limit(max_rows).drop("_h")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.where(F.length("text") <= max_chars)
-    rows = sorted(d.join(F.broadcast(pick), "doc_id").toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
-    return rows[:max_rows]
+    return fetched(d.where(F.length("text") <= max_chars), pick)
 
 
 def batches(iterator, max_bytes=16 << 20):
