@@ -204,7 +204,7 @@ class Scan:
         edge = np.zeros(n + 1, dtype=np.int32)
         np.add.at(edge, np.maximum(self.begins, self.ends - LENGTH + 1), 1)
         np.add.at(edge, self.ends, -1)
-        valid = np.cumsum(edge[:-1]) == 0
+        valid = np.cumsum(edge[:-1], dtype=np.int32) == 0
         parts = []
         for a in range(0, n - LENGTH + 1, piece):
             b = min(a + piece, n - LENGTH + 1)
@@ -473,11 +473,13 @@ def cut_texts(n_routes, digest):
                 hit = (w > i) & (own >> np.uint32(i) & 1).astype(bool)
                 np.add.at(cover, f[hit] + i, 1)
                 np.add.at(cover, f[hit] + i + LENGTH, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         opens = gone & ~np.concatenate([[False], gone[:-1]])
         inner = scan.begins[scan.begins < scan.ends]
         opens[inner] = gone[inner]
-        total, starts = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(opens)])
+        total, starts = np.zeros((2, scan.n + 1), dtype=np.int32)
+        np.cumsum(gone, out=total[1:])
+        np.cumsum(opens, out=starts[1:])
         kept = []
         for a, b in zip(scan.begins.tolist(), scan.ends.tolist()):
             piece = scan.data[a:b]
