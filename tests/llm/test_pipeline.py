@@ -1,7 +1,9 @@
 """The pipeline's stages on a small corpus, and its contract."""
 
+import random
+
 import corpus_pipeline
-from stratocast.llm import pipeline, pii, simhash, word_bpe
+from stratocast.llm import jaccard, pipeline, pii, simhash, word_bpe
 from stratocast.llm.queries import vocabulary
 
 from .cases import SF, edge_rows
@@ -60,3 +62,31 @@ def test_similar_texts_share_a_component(spark, documents):
     rows = [(1, " ".join(words)), (2, " ".join(words[:250] + ["new"] + words[250:])), (3, " ".join(reversed(words)))]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows), shingle=5, radius=7, blocks=9, tables=4, total=42).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_links_are_those_of_brute_force(spark, documents):
+    """Pairs of Jaccard 0.6 to 0.95: every one of 0.8 or more links, and no other."""
+    draw = random.Random(7)
+    texts = []
+    for g in range(150):
+        words = [f"g{g}w{i}" for i in range(draw.randint(60, 400))]
+        other = list(words)
+        for at in draw.sample(range(len(words)), max(1, round(len(words) * draw.uniform(0.005, 0.05)))):
+            other[at] = f"x{at}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = {i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(0.8 <= s < 0.9 for s in near) > 20 and sum(0.6 <= s < 0.8 for s in near) > 20
+    found = {r.doc_id: r.component for r in jaccard.near_duplicates(documents(list(enumerate(texts))), pipeline.identity()).collect()}
+    assert {i for i in range(0, len(texts), 2) if found[i] == found[i + 1]} == alike
+    assert len(set(found.values())) == len(texts) - len(alike)
+    assert {r.doc_id for r in pipeline.one_of_each(spark, documents(list(enumerate(texts))), SF).collect()} == set(range(len(texts))) - {i + 1 for i in alike}
+
+
+def test_members_of_a_bucket_meet_beyond_the_chosen_one(spark):
+    """Chains: neighbours are alike, ends are not; and a large bucket gives no square of pairs."""
+    nodes = spark.createDataFrame([(i, [1] * 5) for i in range(12)], "node long, bands array<long>")
+    assert {(r.a, r.b) for r in jaccard.pairs(nodes).collect()} == {(i, j) for i in range(12) for j in range(i)}
+    nodes = spark.createDataFrame([(i, list(range(32))) for i in range(300)], "node long, bands array<long>")
+    assert jaccard.pairs(nodes).count() <= 300 * jaccard.CHOICES
