@@ -350,3 +350,12 @@ def test_run_length_index():
     text = [next(seps) if c is None else c for c in text]
     suffixes = [text[index.locate(r):] for r in range(index.n)]
     assert suffixes == sorted(suffixes)
+
+
+@pytest.mark.parametrize("size", [0, 127, 1000, 3_000_001])
+def test_matroska_level_is_of_the_whole_payload(documents, size):
+    text = "".join(random.Random(size).choices("abc xyz", k=size))
+    changed = text[:-2] + "zz" if size else text
+    rows = [(1, text), (2, changed)]
+    got = {r.doc_id: int(dict(x.split("=") for x in r.feature.split(";"))["level"]) for r in matroska.features(matroska.media(documents(rows))).collect()}
+    assert got == {i: sum(abs(x - 128) for x in matroska.padded(t.encode())) for i, t in rows}
