@@ -4,8 +4,9 @@ The base are four exact patterns (email, ip, card, phone). A bidirectional LSTM
 the characters of overlapping windows in both directions, a linear-chain CRF scores
 label transitions, and the best path of every window is decoded; where windows overlap,
 a position takes the label of the window in which it lies deeper, and runs of one label
-over the whole text become spans. A network span that touches no base span is added;
-base spans always stay.
+over the whole text become spans. A network span is added if, without blanks and
+punctuation at its ends, it touches no base span, has ``min_length`` (7) or more
+characters and, unless it is an email, holds an ASCII digit; base spans always stay.
 
 Trained in numpy on windows of a bounded sample (``max_docs``, texts up to
 ``max_chars``), labelled by the base spans, whose digits are redrawn at random so that
@@ -233,7 +234,7 @@ def find(texts, net, min_length=7):
             for a, kind, b in spans:
                 piece = texts[i][a:b]
                 b, a = b - len(piece) + len(piece.rstrip(" ,.;:\n\t")), a + len(piece) - len(piece.lstrip(" ,.;:\n\t"))
-                if b - a >= min_length and any(c in "0123456789" for c in texts[i][a:b]) and not any(a < y and x < b for x, _, y in found[i]):
+                if b - a >= min_length and (KINDS[kind] == "email" or any(c in "0123456789" for c in texts[i][a:b])) and not any(a < y and x < b for x, _, y in found[i]):
                     added[i].append((a, kind, b))
     return [sorted([(*s, True) for s in f] + [(*s, False) for s in x]) for f, x in zip(found, added)]
 

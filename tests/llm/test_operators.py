@@ -359,3 +359,17 @@ def test_matroska_level_is_of_the_whole_payload(documents, size):
     rows = [(1, text), (2, changed)]
     got = {r.doc_id: int(dict(x.split("=") for x in r.feature.split(";"))["level"]) for r in matroska.features(matroska.media(documents(rows))).collect()}
     assert got == {i: sum(abs(x - 128) for x in matroska.padded(t.encode())) for i, t in rows}
+
+
+def test_network_spans_need_a_digit_only_if_they_are_of_digits(monkeypatch):
+    text = "write to jane at example dot org or call soon about it"
+    a, b = text.index("jane"), text.index(" or call")
+
+    def labels(values, lengths, net, kind=None):
+        out = np.zeros(len(values), dtype=np.uint8)
+        out[a:b] = kind + 1
+        return out
+
+    for kind, name in enumerate(pii.KINDS):
+        monkeypatch.setattr(pii, "network_labels", lambda *x, kind=kind: labels(*x, kind=kind))
+        assert pii.find([text], {}) == [[(a, kind, b, False)] if name == "email" else []]
