@@ -90,3 +90,12 @@ def test_members_of_a_bucket_meet_beyond_the_chosen_one(spark):
     assert {(r.a, r.b) for r in jaccard.pairs(nodes).collect()} == {(i, j) for i in range(12) for j in range(i)}
     nodes = spark.createDataFrame([(i, list(range(32))) for i in range(300)], "node long, bands array<long>")
     assert jaccard.pairs(nodes).count() <= 300 * jaccard.CHOICES
+
+
+def test_unlike_texts_of_one_id_stay(spark, documents):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(300)) for c in "abc")
+    near = one.replace("a150", "other")
+    rows = [(5, one), (5, two), (3, near), (None, three), (None, three), (None, three.replace("c150", "other")), (7, two), (7, two), (9, three)]
+    got = sorted(((r.doc_id, r.text) for r in pipeline.one_of_each(spark, documents(rows, extra=True), SF).collect()), key=str)
+    assert (3, near) in got and (5, two) in got and (9, three) in got and len(got) == 4
+    assert [i for i, _ in got].count(None) == 1
