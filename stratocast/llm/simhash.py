@@ -185,25 +185,27 @@ def stars(codes, reps, group, radius, sketch=None, total=None):
     or fewer differing bits over all tables together.
     """
     label = reps.copy()
-    found = []
-    for a, b in links(codes, group, radius):
+    where = np.argsort(reps, kind="stable")
+
+    def root(x):
+        """The least rep each label leads to: a label is a rep of the same batch."""
+        while True:
+            x, before = label[where[np.searchsorted(reps, x, sorter=where)]], x
+            if (x == before).all():
+                return x
+
+    # Every block of pairs is joined as it comes and then forgotten.
+    for a, b in links(codes, group, radius, budget=1 << 18):
         if sketch is not None:
             alike = np.bitwise_count(sketch[:, a] ^ sketch[:, b]).sum(0, dtype=np.int64) <= total
             a, b = a[alike], b[alike]
-        if len(a):
-            found.append((a, b))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*found))
-    where = np.argsort(reps, kind="stable")
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        # A label is a rep of the same batch: follow it one step further.
-        label = label[where[np.searchsorted(reps, label, sorter=where)]]
-        if (label == before).all():
-            break
+        while len(a):
+            x, y = root(label[a]), root(label[b])
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            high = where[np.searchsorted(reps, np.maximum(x, y), sorter=where)]
+            np.minimum.at(label, high, np.minimum(x, y))
+    label = root(label)
     keep = label != reps
     return reps[keep], label[keep]
 
@@ -253,12 +255,17 @@ def edges(nodes, tables=1, radius=2, blocks=4, limit=65536, total=None):
     """
     others = [f"fp{t}" for t in range(tables)] if total is not None else []
     spark = nodes.sparkSession
-    masks, parts = {}, []
+    masks, parts, same = {}, [], []
     for t in range(tables):
+        distinct = nodes
+        if tables > 1 and total is None:
+            # Equal bits of one table link; their least rep alone is searched.
+            distinct = nodes.groupBy(f"fp{t}").agg(F.min("rep").alias("rep"))
+            same.append(nodes.join(distinct.withColumnRenamed("rep", "b"), f"fp{t}").where("rep <> b").select(F.col("rep").alias("a"), "b"))
         own = {len(masks) + i: m for i, m in enumerate(routes(range(64), radius, blocks))}
         masks.update(own)
         at = F.explode(F.array(*[F.struct(F.lit(i).alias("route"), F.lit(signed(m)).alias("mask")) for i, m in own.items()]))
-        parts.append(nodes.select(F.col(f"fp{t}").alias("fp"), "rep", *others, at.alias("r")))
+        parts.append(distinct.select(F.col(f"fp{t}").alias("fp"), "rep", *others, at.alias("r")))
     todo = parts[0]
     for p in parts[1:]:
         todo = todo.unionByName(p)
@@ -266,7 +273,8 @@ def edges(nodes, tables=1, radius=2, blocks=4, limit=65536, total=None):
     done = None
     while True:
         crowded = written(todo.groupBy("route", "key").count().where(F.col("count") > limit).select("route", "key"), "simhash-crowded")
-        # Routes are few by construction; those whose open bits bound a group are not cut again.
+        # Routes are few by construction; those whose open bits bound a group are not cut again
+        # (with ``total`` and several tables they do not bound it: see near_duplicates).
         hot = [r[0] for r in crowded.select("route").distinct().collect() if 64 - masks[r[0]].bit_count() > 16]
         crowded = crowded.where(F.col("route").isin(hot)) if hot else None
         ready = todo if crowded is None else todo.join(crowded, ["route", "key"], "left_anti")
@@ -282,14 +290,19 @@ def edges(nodes, tables=1, radius=2, blocks=4, limit=65536, total=None):
         finer = spark.createDataFrame(finer, "route int, finer int, mask long")
         todo = todo.join(crowded, ["route", "key"], "left_semi").join(F.broadcast(finer), "route")  # a literal list of masks
         todo = written(todo.select(F.col("finer").alias("route"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep", *others), "simhash-finer")
-    return _search(done.repartition(F.col("route"), F.col("key")).sortWithinPartitions("route", "key"), radius, others, total)
+    found = _search(done.repartition(F.col("route"), F.col("key")).sortWithinPartitions("route", "key"), radius, others, total)
+    for s in same:
+        found = found.unionByName(s)
+    return found
 
 
 def near_duplicates(docs, shingle=3, radius=2, blocks=4, tables=1, limit=65536, total=None):
     """(doc_id, fp, component_id) of every document; fp is that of the first table.
 
     With several tables, documents link if their fingerprints of any table do and, given
-    ``total``, no more than so many bits differ over all tables.
+    ``total``, no more than so many bits differ over all tables. Without ``total`` a route
+    holds each value of its table once. With it nodes that share one table's bits meet
+    whole in a task however many they are; no registered query asks for that.
     """
     fps = [f"fp{t}" for t in range(tables)]
     prints = written(fingerprints(docs, shingle, tables), "simhash-prints")

@@ -373,3 +373,24 @@ def test_network_spans_need_a_digit_only_if_they_are_of_digits(monkeypatch):
     for kind, name in enumerate(pii.KINDS):
         monkeypatch.setattr(pii, "network_labels", lambda *x, kind=kind: labels(*x, kind=kind))
         assert pii.find([text], {}) == [[(a, kind, b, False)] if name == "email" else []]
+
+
+def test_copies_of_one_table_are_one_code_of_its_routes(spark, monkeypatch):
+    """Nodes that share fp0 and nothing else: no route is split for them, and all link."""
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(77, simhash.signed(int(x)), i) for i, x in enumerate(rng.integers(0, 1 << 63, 60))], "fp0 long, fp1 long, rep long")
+    labels, keep = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, label: labels.append(label) or keep(df, label))
+    found = components(simhash.edges(nodes, 2, 2, 4, limit=50), "t").collect()
+    assert {(r.node, r.component) for r in found} == {(i, 0) for i in range(60)} and "simhash-finer" not in labels
+
+
+def test_pairs_of_a_dense_group_are_not_held():
+    import tracemalloc
+    codes = np.arange(8192, dtype=np.uint64)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    tracemalloc.start()
+    a, b = simhash.stars(codes, codes.astype(np.int64), np.ones(8192, np.int64), 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 8191 and not b.any() and peak < 500e6
