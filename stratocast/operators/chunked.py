@@ -49,7 +49,7 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     """Running aggregates per key in ``order``.
 
     ``specs`` maps an output name to (kind, column) with kind one of sum, count,
-    max, min, last, first, prev (last before this row) and next (first from this
+    max, min, xor, last, first, prev (last before this row) and next (first from this
     row on); the positional kinds skip NULLs. ``chunk`` must be monotonic in
     ``order``. With ``inclusive=False`` the row itself is left out.
 
@@ -85,6 +85,9 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
             parts = F.min_by(v, at), F.last(v, True).over(lead_out), F.last(v, True).over(here), F.coalesce(i, p)
         elif kind == "count":
             parts = F.count(v), F.sum(v).over(lead_in), F.count(v).over(to_here), F.coalesce(i, F.lit(0)) + F.coalesce(p, F.lit(0))
+        elif kind == "xor":
+            zero = F.lit(0).cast("long")
+            parts = F.bit_xor(v), F.bit_xor(v).over(lead_in), F.bit_xor(v).over(to_here), F.coalesce(i, zero).bitwiseXOR(F.coalesce(p, zero))
         else:
             f = MERGE[kind]
             joined = F.coalesce(i + p, i, p) if kind == "sum" else (F.greatest if kind == "max" else F.least)(i, p)
