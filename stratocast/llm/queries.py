@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: thin digests over whole tables."""
 
-from . import language, matroska, maxscore, mixing, pii, quality, runlength, simhash, toxicity, word_bpe
+from . import frames, improbable, language, matroska, maxscore, mixing, pii, quality, runlength, simhash, toxicity, turn_trie, word_bpe
 from .common import table
 
 
@@ -77,3 +77,24 @@ def op5_language_byte_gru(spark, sf_dir):
 @query
 def op10_run_length_repeats(spark, sf_dir):
     return runlength.digest(runlength.remove_repeats(table(spark, sf_dir, "documents"), digest=True))
+
+
+@query
+def op11_seekable_fill_in_middle(spark, sf_dir):
+    return frames.digest(frames.fill_in_middle(frames.stored(table(spark, sf_dir, "documents"))))
+
+
+ORACLE["op11_seekable_fill_in_middle"] = frames.ORACLE
+
+
+@query
+def op12_improbable_features(spark, sf_dir):
+    return improbable.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_depth_band_trie(spark, sf_dir):
+    return turn_trie.digest(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op13_depth_band_trie"] = turn_trie.ORACLE
