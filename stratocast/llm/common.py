@@ -67,6 +67,17 @@ def batches(iterator, max_bytes=16 << 20):
         step = max(1, b.num_rows * max_bytes // max(b.nbytes, 1)) if b.nbytes > max_bytes else max(1, b.num_rows)
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark, rows=1000):
+    """Hand rows with texts to Python in Arrow batches of at most ``rows`` from now on.
+
+    A session setting, as the job runs after the caller has returned; results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
 
 
 def record(schema, **columns):
