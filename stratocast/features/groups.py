@@ -5,7 +5,7 @@ per observation (running and trailing windows) and picked up by one as-of join,
 so the many snapshots of an event multiply only narrow rows.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Window
@@ -16,15 +16,18 @@ from ..functions import meteo
 from ..functions import timeutil as TU
 from ..functions.timeutil import DAY, HOUR, MINUTE
 from ..operators import rolling, stats
-from ..operators.asof import Source
+from ..operators.asof import Source, asof
 from ..operators.chunked import CHUNK_US, chunked, framed, prefix_scan, time_chunk, unchunk
 from ..operators.joins import lags_by_date
+from ..operators.order_stats import running_quantiles
+from ..operators.shape import SHAPE, running_shape
+from ..session import written
 from .registry import KEY, feature_group
 
 
 @dataclass
 class Inputs:
-    """Source frames of one build; any but ``obs`` may be None."""
+    """Source frames of one build; any but ``obs`` may be None (``complete`` makes it an empty frame)."""
     obs: Any
     city_obs: Any = None
     fcst: Any = None
@@ -32,10 +35,29 @@ class Inputs:
     candles: Any = None
     settle: Any = None
     guidance: Any = None
+    station: Any = None
     inclusive: bool = True
     open_hour: int = 10
 
 
+# Columns that the groups read of each optional frame.
+FRAMES = {
+    "city_obs": "city string, day date, us long, temp_f double",
+    "fcst": "city string, day date, lead int, tempmax_f double",
+    "curve": "city string, day date, hour int, us long, temp_f double, cloud double, humidity double, dew double",
+    "candles": "city string, day date, bucket_us long, mkt string, j int, bid long, ask long, volume long, oi long",
+    "settle": "city string, day date, di int, settle_f long, vc_max_f double",
+    "guidance": "city string, day date, model string, run_us long, run_id long, peak_f double",
+    "station": "city string, day date, tempmax_f double",
+}
+
+
+def complete(ctx, spark):
+    """``ctx`` with an empty frame for every absent source, so that a snapshot always has
+    all columns, those without a source as NULLs of their type."""
+    return replace(ctx, **{n: spark.createDataFrame([], s) for n, s in FRAMES.items() if getattr(ctx, n) is None})
+
+
 def event_rows(df, open_hour=10):
     """Rows of the event window: a row after the D-1 opening belongs to D and D+1."""
     d = df["day"]
@@ -55,7 +77,7 @@ def clock(s, ctx):
 @feature_group("observed", "series")
 def observed(ctx):
     """Partial-day, momentum, volatility, quality and weather features of the newest observation."""
-    o = ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "temp_f", "humidity", "wind", "cloud")
+    o = ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "event_id", "temp_f", "humidity", "wind", "gust", "cloud")
     o = o.withColumns({"wb": meteo.wet_bulb("temp_f", "humidity"), "wc": meteo.wind_chill("temp_f", "wind")})
 
     def trailing(w):
@@ -73,8 +95,13 @@ def observed(ctx):
                 out[f"temp_rate_last_{m}min"] = F.when(two, F.when(F.sqrt(v) < 0.001, 0.0).otherwise(
                     F.covar_samp(F.col("temp_f"), t).over(f) / F.nullif(v, F.lit(0.0)) * 60))
                 out[f"temp_volatility_{m}min"] = F.stddev_samp("temp_f").over(f)
-        h = back(60)
+        h, q = back(60), back(30)
+        two = F.count(F.lit(1)).over(q) >= 2
+        per_hour = lambda c: F.when(two, (F.col(c) - F.first(c).over(q)) / F.nullif((F.col("us") - F.first("us").over(q)) / 1e6, F.lit(0.0)) * 3600)
         out.update({
+            "windgust_max_last_60min": F.max("gust").over(h), "wetbulb_depression_mean_60min": F.avg(F.col("temp_f") - F.col("wb")).over(h),
+            "wetbulb_rate_last_30min": per_hour("wb"), "windchill_warming_rate": per_hour("wc"),
+            "cloudcover_rate_last_30min": F.when(two, (F.col("cloud") - F.first("cloud").over(q)) / 0.5),
             "humidity_mean_last_60min": F.avg("humidity").over(h), "windspeed_max_last_60min": F.max("wind").over(h),
             "humidity_std_last_60min": F.coalesce(F.stddev_samp("humidity").over(h), F.lit(0.0)),
             "cloudcover_mean_last_60min": F.avg("cloud").over(h), "cloudcover_volatility_60min": F.stddev_samp("cloud").over(h),
@@ -83,7 +110,9 @@ def observed(ctx):
             "wetbulb_mean_last_60min": F.avg("wb").over(h), "windchill_mean_last_60min": F.avg("wc").over(h)})
         return out
 
-    o = framed(o, ["city"], "us", ["us"], trailing, 120 * MINUTE)
+    o = written(framed(o, ["city"], "us", ["us"], trailing, 120 * MINUTE), "observed-trailing")
+    past = o.select("city", "us", F.col("temp_rate_last_30min").alias("r"))
+    o = asof(o, past, ["city"], F.col("us") - 30 * MINUTE, "us", {"_rate_past": "r"}).drop("match_us")
     o = event_rows(o, ctx.open_hour)
     v, h = F.col("temp_f"), F.floor(F.pmod(F.col("us"), F.lit(DAY)) / HOUR)
     o = chunked(o, KEY, time_chunk("us"))
@@ -91,13 +120,13 @@ def observed(ctx):
     # Decayed means as running sums of growing weights; the growth cancels in the ratio.
     d0 = F.datediff("event_date", F.lit("1970-01-01").cast("date")).cast("long") * DAY - DAY
     grow = lambda half: F.exp((F.col("us") - d0) / F.lit(float(MINUTE)) * (0.6931471805599453 / half))
-    o = prefix_scan(o, KEY, ["us"], "_c", {
+    o = prefix_scan(o, KEY, ["us", "event_id"], "_c", {
         "num_samples_sofar": ("count", v), "_s": ("sum", v), "_ss": ("sum", v * v), "vc_max_f_sofar": ("max", v), "vc_min_f_sofar": ("min", v),
         "max_morning_f_sofar": part(h < 12), "max_afternoon_f_sofar": part((h >= 12) & (h < 17)), "max_evening_f_sofar": part(h >= 17),
         "pred_c_first_sofar": ("max", X.via_celsius(v)), "_first": ("min", F.col("us")), "_prev": ("prev", F.col("us")),
         **{f"_w{m}": ("sum", grow(m)) for m in (30, 60)}, **{f"_wx{m}": ("sum", grow(m) * v) for m in (30, 60)}})
     near = F.when(F.abs(v - F.col("vc_max_f_sofar")) < 0.01, F.col("us"))
-    o = unchunk(prefix_scan(o, KEY, ["us"], "_c", {"_at": ("last", near), "_gap": ("max", F.col("us") - F.col("_prev")),
+    o = unchunk(prefix_scan(o, KEY, ["us", "event_id"], "_c", {"_at": ("last", near), "_gap": ("max", F.col("us") - F.col("_prev")),
         "hours_observed": ("sum", F.when(F.floor(F.col("_prev") / HOUR) == F.floor(F.col("us") / HOUR), 0).otherwise(1))}))
     n, mean = F.col("num_samples_sofar"), F.col("_s") / F.col("num_samples_sofar")
     var = F.greatest((F.col("_ss") - F.col("_s") * mean) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
@@ -121,15 +150,34 @@ def observed(ctx):
         "cloud_stability_score": F.when(F.col("cloudcover_volatility_60min").isNotNull(), 1 - F.least(F.lit(1.0), F.col("cloudcover_volatility_60min") / 100)),
         "clearing_trend_flag": (F.col("cloudcover_change_last_60min") < -20).cast("int"),
         "clouding_trend_flag": (F.col("cloudcover_change_last_60min") > 20).cast("int"),
+        "windchill_depression": F.when(v <= 50, v - F.col("wc")), "strong_windchill_flag": F.when(v <= 50, (v - F.col("wc") > 10).cast("int")),
+        "temp_acceleration": F.when(n >= 12, F.col("temp_rate_last_30min") - F.col("_rate_past")),
         "last_temp_f": v})
-    drop = {"day", "us", "humidity", "wind", "cloud", "wb", "wc", "temp_f", *KEY}
+    drop = {"day", "us", "event_id", "humidity", "wind", "gust", "cloud", "wb", "wc", "temp_f", *KEY}
     cols = {c: c for c in o.columns if c not in drop and not c.startswith("_")}
-    return Source(o.select(*KEY, "us", *cols), "us", cols, inclusive=ctx.inclusive)
+    return Source(o.select(*KEY, "us", "event_id", *cols), "us", cols, tie="event_id", inclusive=ctx.inclusive)
+
+
+@feature_group("shape", "series")
+def shape(ctx):
+    """Runs above the moving base, second maximum, slopes and plateau so far (``operators.shape``)."""
+    o = event_rows(ctx.obs.select("city", "day", "us", "event_id", "temp_f"), ctx.open_hour)
+    o = running_shape(o.drop("day"), KEY, "temp_f")
+    return Source(o.select(*KEY, "us", "event_id", *SHAPE), "us", {c: c for c in SHAPE}, tie="event_id", inclusive=ctx.inclusive)
+
+
+@feature_group("quantiles", "cutoffs")
+def quantiles(s, ctx):
+    """Quantiles of all temperatures so far, at every snapshot."""
+    ps = stats.QUANTILES
+    o = event_rows(ctx.obs.select("city", "day", "us", "temp_f"), ctx.open_hour)
+    q = running_quantiles(o, s, KEY, "us", "temp_f", ps, ctx.inclusive)
+    return q.select(*KEY, "us", *[F.col("q")[i].alias(f"vc_q{int(p * 100)}_f_sofar") for i, p in enumerate(ps)])
 
 
 @feature_group("rules")
 def rules(s, ctx):
-    p = ["pred_max_round_sofar", "pred_ceil_max_sofar", "pred_floor_max_sofar", "pred_c_first_sofar"]
+    p = ["pred_max_round_sofar", "pred_ceil_max_sofar", "pred_floor_max_sofar", "pred_c_first_sofar", "pred_plateau_20min_sofar"]
     d = X.rule_disagreement(p)
     return s.withColumns({"range_pred_rules_sofar": d["range_pred"], "num_distinct_preds_sofar": d["n_distinct"]})
 
@@ -147,7 +195,9 @@ def forecast(ctx):
         *k, F.col("max_f").alias("fcst_prev_max_f"), F.col("min_f").alias("fcst_prev_min_f"), F.col("mean_f").alias("fcst_prev_mean_f"),
         F.col("std_f").alias("fcst_prev_std_f"), *[F.col(f"q{q}_f").alias(f"fcst_prev_q{q}_f") for q in (10, 25, 50, 75, 90)],
         F.col("frac_part").alias("fcst_prev_frac_part"), F.col("t_base").alias("t_forecast_base"))
-    pk = stats.peak_window(ctx.curve, k).select(*k, F.col("peak_hour").alias("fcst_peak_hour_float"), F.col("band_width_min").cast("double").alias("fcst_peak_band_width_min"))
+    pk = stats.peak_window(ctx.curve, k).select(
+        *k, F.col("peak_f").alias("fcst_peak_temp_f"), F.col("peak_hour").alias("fcst_peak_hour_float"), F.floor("peak_hour").alias("fcst_prev_hour_of_max"),
+        F.col("band_width_min").cast("double").alias("fcst_peak_band_width_min"), F.lit(60.0).alias("fcst_peak_step_minutes"))
     mv = stats.multivar(ctx.curve, k)
     mv = mv.withColumnsRenamed({x: CONTRACT.get(x, "fcst_" + x.replace("cloud_", "cloudcover_").replace("dew_", "dewpoint_")) for x in mv.columns if x not in k})
     frac = F.col("fcst_prev_max_f") - F.floor("fcst_prev_max_f")
@@ -161,6 +211,9 @@ def forecast(ctx):
         dr = stats.drift(ctx.fcst.filter("lead >= 1"), k)
         dr = dr.withColumnsRenamed({x: CONTRACT.get(x, "fcst_drift_" + x + "_f") for x in dr.columns if x not in k})
         per_event = per_event.join(mh, k, "left").join(dr, k, "left")
+    if ctx.station is not None:
+        per_event = per_event.join(ctx.station.groupBy(*k).agg(F.max("tempmax_f").alias("fcst_station_max_f")), k, "left")
+        per_event = per_event.withColumn("fcst_city_station_gap", F.col("fcst_station_max_f") - F.col("fcst_prev_max_f"))
     return per_event.withColumnRenamed("day", "event_date")
 
 
@@ -189,8 +242,12 @@ def station_city(ctx):
     j = ctx.obs.select("city", "day", "us", "temp_f").join(b, ["city", "day", "us"])
     j = event_rows(j.withColumn("g", F.col("temp_f") - F.col("b")), ctx.open_hour)
     j = prefix_scan(j, KEY, ["us"], time_chunk("us"), {"_n": ("count", "g"), "_s": ("sum", "g"), "_ss": ("sum", F.col("g") * F.col("g")), "_a": ("max", "temp_f"), "_b": ("max", "b")})
+    # A row is the middle of the series of twice its number and of one more.
+    half = j.select(*KEY, F.explode(F.array(2 * F.col("_n"), 2 * F.col("_n") + 1)).alias("_n"), F.col("_n").alias("_h"), F.col("_s").alias("_hs"))
+    j = j.join(half, [*KEY, "_n"], "left")
+    trend = F.when(F.col("_n") >= 4, (F.col("_s") - F.col("_hs")) / (F.col("_n") - F.col("_h")) - F.col("_hs") / F.col("_h"))
     m = F.col("_s") / F.col("_n")
-    j = j.select(*KEY, "us", F.col("g").alias("station_city_temp_gap"), (F.col("_a") - F.col("_b")).alias("station_city_max_gap_sofar"), m.alias("station_city_mean_gap_sofar"),
+    j = j.select(*KEY, "us", trend.alias("station_city_gap_trend"), F.col("g").alias("station_city_temp_gap"), (F.col("_a") - F.col("_b")).alias("station_city_max_gap_sofar"), m.alias("station_city_mean_gap_sofar"),
                  F.sqrt(F.greatest(F.col("_ss") / F.col("_n") - m * m, F.lit(0.0))).alias("station_city_gap_std"), (F.col("g") < 0).cast("int").alias("city_warmer_flag"))
     return Source(j, "us", {c: c for c in j.columns if c not in (*KEY, "us")}, inclusive=ctx.inclusive)
 
@@ -223,10 +280,11 @@ def market(ctx):
 @feature_group("candles_micro", "series")
 def candles_micro(ctx):
     """Fifteen-minute microstructure of the event's quotes (see ``rolling.microstructure``)."""
-    c = ctx.candles.select("city", F.col("day").alias("event_date"), "bucket_us", (F.col("bucket_us") + F.col("j")).alias("_t"), "bid", "ask", "volume")
+    synthetic = F.col("is_synthetic").cast("double") if "is_synthetic" in ctx.candles.columns else F.lit(None).cast("double")
+    c = ctx.candles.select("city", F.col("day").alias("event_date"), "bucket_us", (F.col("bucket_us") + F.col("j")).alias("_t"), "bid", "ask", "volume", synthetic.alias("synthetic"))
     m = rolling.microstructure(c, KEY, "_t", 15, own_row=True)
     names = {"c_logit_mid_last": "logit_last", "c_logit_mom_15m": "logit_mom", "c_logit_vol_15m": "logit_vol", "c_logit_surprise_15m": "logit_surprise",
-             "c_spread_pct_mean_15m": "spread_pct", "c_mid_range_pct_15m": "mid_range_pct", "c_trade_frac_15m": "trade_frac"}
+             "c_spread_pct_mean_15m": "spread_pct", "c_mid_range_pct_15m": "mid_range_pct", "c_trade_frac_15m": "trade_frac", "c_synth_frac_15m": "synth_frac"}
     m = m.select(*KEY, "bucket_us", "_t", *[F.col(c).alias(n) for n, c in names.items()])
     return Source(m, "bucket_us", {n: n for n in names}, tie="_t", inclusive=False)
 

@@ -31,6 +31,7 @@ def feature_group(name, kind="columns"):
     """Register a group.
 
     series   fn(ctx) -> as-of source of (city, event_date) rows
+    cutoffs  fn(snapshots, ctx) -> one row per (city, event_date, us) of the snapshots
     event    fn(ctx) -> one row per (city, event_date)
     columns  fn(snapshots, ctx) -> snapshots with more columns
     """
@@ -43,7 +44,9 @@ def feature_group(name, kind="columns"):
 def build(snapshots, ctx, names=None):
     """Apply groups in order of kind: every series in one as-of join, then the event
     rows, then derived columns. Each series is written once before it is joined, so
-    the plan of a build stays small."""
+    the plan of a build stays small. Sources that ``ctx`` lacks give NULL columns."""
+    from .groups import complete
+    ctx = complete(ctx, snapshots.sparkSession)
     names = names or list(GROUPS)
     for n in names:
         if n not in GROUPS:
@@ -51,11 +54,19 @@ def build(snapshots, ctx, names=None):
     pick = lambda kind: [(n, GROUPS[n][1]) for n in names if GROUPS[n][0] == kind]
     sources = [(n, src) for n, fn in pick("series") if (src := fn(ctx)) is not None]
     # The series do not depend on each other: their jobs share the cluster.
-    with ThreadPoolExecutor(4) as pool:
+    cutoffs = pick("cutoffs")
+    if cutoffs:
+        snapshots = written(snapshots, "snapshots")
+    at_cutoffs = lambda g: written(g[1](snapshots, ctx), f"cutoffs-{g[0]}")
+    with ThreadPoolExecutor(6) as pool:
+        waiting = [pool.submit(at_cutoffs, g) for g in cutoffs]
         tables = list(pool.map(lambda s: written(s[1].df.select(*needed(s[1])), f"series-{s[0]}"), sources))
+        cutoffs = [w.result() for w in waiting]
     sources = [replace(src, df=df) for (_, src), df in zip(sources, tables)]
     if sources:
         snapshots = asof_many(snapshots, sources, KEY, "us")
+    for at in cutoffs:
+        snapshots = snapshots.join(at, [*KEY, "us"], "left")
     for _, fn in pick("event"):
         snapshots = snapshots.join(fn(ctx), KEY, "left")
     for _, fn in pick("columns"):

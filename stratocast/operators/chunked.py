@@ -51,7 +51,8 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     ``specs`` maps an output name to (kind, column) with kind one of sum, count,
     max, min, xor, last, first, prev (last before this row) and next (first from this
     row on); the positional kinds skip NULLs. ``chunk`` must be monotonic in
-    ``order``. With ``inclusive=False`` the row itself is left out.
+    ``order``. With ``inclusive=False`` the row itself is left out, with a kind that ends
+    in ``_before`` (``max_before``) from that output alone.
 
     The input is shuffled once, and read once: totals and windows share the exchange.
     """
@@ -69,9 +70,11 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     lead_out = Window.partitionBy("_k").orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
     up = Window.partitionBy(*part).orderBy(*order)
     down = Window.partitionBy(*part).orderBy(*[o.desc() for o in order])
-    to_here = up.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     partial, carried, running, final = [], [], {}, []
     for n, (kind, _) in specs.items():
+        own = inclusive and not kind.endswith("_before")
+        kind = kind.removesuffix("_before")
+        to_here = up.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
         v, t, i, p = F.col(names[n]), names[n], F.col("_i" + names[n]), F.col("_p" + names[n])
         at = F.when(v.isNotNull(), pos)
         if kind in ("last", "prev"):
@@ -108,6 +111,25 @@ def numbered(df, keys, order, chunk, name="rn"):
     return prefix_scan(df, keys, order, chunk, {name: ("count", F.lit(1))})
 
 
+def row_lag(df, order, column, n, name):
+    """Value ``n`` rows earlier in the whole series of a key; ``df`` comes from ``chunked``.
+
+    A chunk hands on its last ``n`` values, and the ``n`` chunks before a chunk (none is
+    empty) hold the values that its first rows need.
+    """
+    order = [col(o) for o in order]
+    up = Window.partitionBy("_k", "_c").orderBy(*order)
+    lead_in = Window.partitionBy("_k").orderBy("_c").rowsBetween(-n, -1)
+    item = F.struct(F.struct(*order).alias("p"), col(column).alias("v"))
+    d = df.withColumns({"_rn": F.row_number().over(up), "_lag": F.lag(column, n).over(up),
+                        "_tail": F.when(F.lead(F.lit(1), n).over(up).isNull(), item)})
+    carry = d.groupBy("_k", "_c").agg(F.array_sort(F.collect_list("_tail")).alias("_tails"))
+    carry = carry.select("_k", "_c", F.flatten(F.collect_list("_tails").over(lead_in)).alias("_tails"))
+    before = F.get("_tails", F.size("_tails") + F.col("_rn") - n - 1)["v"]
+    d = d.join(carry, ["_k", "_c"]).withColumn(name, F.when(F.col("_rn") > n, F.col("_lag")).otherwise(before))
+    return d.drop("_rn", "_lag", "_tail", "_tails")
+
+
 def halo(df, pos, width=CHUNK_US, before=0, after=0):
     """Copy rows into neighbouring chunks so that frames never cross a chunk.
 

@@ -162,7 +162,8 @@ def microstructure(candles, keys, us, minutes=15, bid="bid", ask="ask", min_rows
         when = lambda e: F.when(ok, e)
         return {"logit_last": when(F.last("_lm").over(f)), "logit_mom": when(mom), "logit_vol": when(vol),
                 "logit_surprise": when(F.abs(mom) / (vol + 1e-6)), "spread_pct": when(F.avg("_sp").over(f)),
-                "mid_range_pct": when(rng), "trade_frac": when(F.avg((F.col("volume") > 0).cast("double")).over(f))}
+                "mid_range_pct": when(rng), "trade_frac": when(F.avg((F.col("volume") > 0).cast("double")).over(f)),
+                **({"synth_frac": when(F.avg("synthetic").over(f))} if "synthetic" in candles.columns else {})}
 
     s = numbered(d, keys, [us], time_chunk(us))
     s = row_framed(s, keys, "rn", steps, 1, size=CHUNK_ROWS).drop("rn")

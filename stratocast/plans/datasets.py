@@ -12,7 +12,7 @@ from ..session import written
 def inputs(t, inclusive=True):
     """Inputs of the feature groups; settlements feed most of them and are written once."""
     t.settle = written(t.settle, "settle")
-    return Inputs(obs=t.obs, city_obs=t.obs2, fcst=t.fcst, curve=t.fcst_hourly, candles=t.candle, settle=t.settle, guidance=t.guidance, inclusive=inclusive)
+    return Inputs(obs=t.obs, city_obs=t.obs2, fcst=t.fcst, curve=t.fcst_hourly, candles=t.candle, settle=t.settle, guidance=t.guidance, station=t.fcst_station, inclusive=inclusive)
 
 
 def snapshots(events, step_min=5):

@@ -42,7 +42,7 @@ class Tables:
             F.when(e % 17 == 0, None).when(e % 29 == 0, -77.9).when(e % 31 == 0, 151.0)
             .otherwise(F.col("value")).alias("raw_f"),
             (F.col("user_id") % 101).cast("double").alias("humidity"),
-            ((e * 7) % 40).cast("double").alias("wind"),
+            ((e * 7) % 40).cast("double").alias("wind"), ((e * 7) % 40 + (e * 11) % 15).cast("double").alias("gust"),
             ((e * 13) % 101).cast("double").alias("cloud"),
         )
 
@@ -70,6 +70,12 @@ class Tables:
                     (F.col("settle_f") + (F.col("di") * F.col("lead")) % 7 - 3).cast("double").alias("tempmax_f"))
         )
 
+    @cached_property
+    def fcst_station(self):
+        """Forecast high of the station, made the day before."""
+        f = self.fcst.filter("lead = 1")
+        return f.select("city", "day", (F.col("tempmax_f") + F.col("di") % 3 - 1).alias("tempmax_f"))
+
     @cached_property
     def fcst_hourly(self):
         """Hourly forecast curve peaking near 15:00; some hours are missing."""

@@ -7,6 +7,7 @@ from ..features import GROUPS, build
 from ..features.registry import FAMILIES, KEY, feature_columns
 from ..functions import probs as PR
 from ..operators import audit as A
+from ..operators.stats import QUANTILES
 from ..plans import datasets as D
 from ..plans import views as V
 from .registry import RAW_SQL, query
@@ -16,27 +17,100 @@ from .strategies import _T3
 N = F.lit
 
 
-_SNAP = """
-WITH s AS (SELECT city, day, settle_f, epoch_us(day::TIMESTAMP) - 50400000000 AS lo, epoch_us(day::TIMESTAMP) + 86100000000 AS cl, epoch_us(day::TIMESTAMP) - 50400000000 + i * 1800000000 AS us FROM v_settle, range(76) r(i)),
-r AS (SELECT *, ((temp_f - 32) * 5 / 9 * atan(0.151977e0 * sqrt(humidity + 8.313659e0)) + atan((temp_f - 32) * 5 / 9 + humidity) - atan(humidity - 1.676331e0) + 0.00391838e0 * pow(humidity, 1.5e0) * atan(0.023101e0 * humidity) - 4.686035e0) * 9 / 5 + 32 AS wb,
- CASE WHEN count(*) OVER q >= 2 THEN covar_samp(temp_f, (us - 1704067200000000) / 6e7) OVER q / var_pop((us - 1704067200000000) / 6e7) OVER q * 60 END AS rate FROM v_obs WINDOW q AS (PARTITION BY city ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)),
-r2 AS (SELECT *, day AS ev FROM r UNION ALL SELECT *, day + 1 AS ev FROM r),
-a AS (SELECT s.city, s.day, s.us, count(*) AS n, max(temp_f) AS mx, coalesce(stddev_samp(temp_f), 0) AS sd, last(rate ORDER BY r.us) AS rate, arg_max(humidity, r.us) AS hum, arg_max(wb, r.us) AS wb, max(r.us) AS lu FROM s JOIN r2 r ON r.city = s.city AND r.ev = s.day AND r.us BETWEEN s.lo AND s.us GROUP BY s.city, s.day, s.us),
-x AS (SELECT a.city, a.day, a.us, (any_value(a.lu) - max(r.us)) / 6e7 AS sm FROM a JOIN r2 r ON r.city = a.city AND r.ev = a.day AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us AND abs(r.temp_f - a.mx) < 0.01e0 GROUP BY a.city, a.day, a.us),
-y AS (SELECT a.city, a.day, a.us, sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7)) * temp_f) / sum(exp(-0.6931471805599453e0 / 60 * ((a.lu - r.us) / 6e7))) AS ema60, count(DISTINCT r.us // 3600000000) AS ho FROM a JOIN r2 r ON r.city = a.city AND r.ev = a.day AND r.us BETWEEN epoch_us(a.day::TIMESTAMP) - 50400000000 AND a.us GROUP BY a.city, a.day, a.us),
-f AS (SELECT city, day, max(temp_f) AS fm FROM v_fcst_hourly GROUP BY city, day), h AS (SELECT city, day, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS ema FROM v_fcst WHERE lead BETWEEN 1 AND 6 GROUP BY city, day),
-eh AS (SELECT f.city, f.day, epoch_us(f.day::TIMESTAMP) + (f.hour + 1) * 3600000000 AS t, o.m - f.temp_f AS e FROM v_fcst_hourly f JOIN (SELECT city, day, hour, sum(CAST(round(temp_f * 100) AS BIGINT)) / count(temp_f) / 100 AS m FROM v_obs GROUP BY ALL) o USING (city, day, hour)),
-er AS (SELECT s.city, s.day, s.us, avg(e) AS em, coalesce(stddev_samp(e), 0) AS es FROM s JOIN eh ON eh.city = s.city AND eh.day = s.day AND eh.t <= s.us GROUP BY s.city, s.day, s.us),
-g AS (SELECT s.city, s.day, s.us, arg_max(p.temp_f - q.temp_f, p.us) AS gap FROM s JOIN r2 p ON p.city = s.city AND p.ev = s.day AND p.us BETWEEN s.lo AND s.us JOIN v_obs2 q ON q.event_id = p.event_id GROUP BY s.city, s.day, s.us),
-m AS (SELECT s.city, s.day, s.us, arg_max(bid, struct_pack(a := c.bucket_us, b := c.j)) AS bid FROM s JOIN v_candle c ON c.city = s.city AND c.day = s.day AND c.bucket_us < s.us GROUP BY s.city, s.day, s.us)
-SELECT s.city, s.day AS event_date, s.us, a.n AS num_samples_sofar, mx AS vc_max_f_sofar, sd AS vc_std_f_sofar, rate AS temp_rate_last_30min, sm AS minutes_since_max_observed, fm AS fcst_prev_max_f, ema AS fcst_multi_ema, em AS err_mean_sofar, CASE WHEN em IS NOT NULL THEN es END AS err_std_sofar, least(fm - floor(fm), 1 - (fm - floor(fm))) AS fcst_prev_distance_to_int, gap AS station_city_temp_gap, bid AS market_yes_bid,
- hum AS humidity_last_obs, wb AS wetbulb_last_obs, fm - mx AS obs_fcst_max_gap, CASE WHEN rate > 0.5 THEN 1 WHEN rate IS NOT NULL THEN 0 WHEN hour(make_timestamp(s.us)) < 11 THEN 1 ELSE 0 END AS is_heating_phase, ln(1 + abs(fm - mx)) AS log_abs_obs_fcst_gap, mx * ((cl - s.us) / 3.6e9) AS temp_x_hours_remaining, y.ema60 AS temp_ema_60min, y.ho AS hours_observed,
- s.settle_f, s.settle_f - CAST(round_even(fm, 0) AS BIGINT) AS delta
-FROM s LEFT JOIN a ON a.city = s.city AND a.us = s.us AND a.day = s.day LEFT JOIN x ON x.city = s.city AND x.us = s.us AND x.day = s.day LEFT JOIN y ON y.city = s.city AND y.us = s.us AND y.day = s.day LEFT JOIN f ON f.city = s.city AND f.day = s.day LEFT JOIN h ON h.city = s.city AND h.day = s.day
- LEFT JOIN er ON er.city = s.city AND er.day = s.day AND er.us = s.us LEFT JOIN g ON g.city = s.city AND g.day = s.day AND g.us = s.us LEFT JOIN m ON m.city = s.city AND m.day = s.day AND m.us = s.us"""
-
-
-@query("feature_snapshot", "city s, event_date d, us u, err_std_sofar f, fcst_prev_distance_to_int f, num_samples_sofar i, vc_max_f_sofar f, vc_std_f_sofar f, temp_rate_last_30min h, minutes_since_max_observed f, fcst_prev_max_f f, fcst_multi_ema f, err_mean_sofar f, station_city_temp_gap f, market_yes_bid f, humidity_last_obs f, wetbulb_last_obs f, obs_fcst_max_gap f, is_heating_phase i, log_abs_obs_fcst_gap f, temp_x_hours_remaining f, temp_ema_60min f, hours_observed i, settle_f i, delta i", _SNAP)
+_QS = (10, 25, 50, 75, 90)
+_SINCE = "(us - 1704067200000000) / 6e7"
+
+
+def _trailing(minutes, w):
+    rate = (f"CASE WHEN count(*) OVER {w} >= 2 THEN CASE WHEN sqrt(var_pop({_SINCE}) OVER {w}) < 0.001 THEN 0 ELSE covar_samp(temp_f, {_SINCE}) OVER {w} / "
+            f"nullif(var_pop({_SINCE}) OVER {w}, 0) * 60 END END AS temp_rate_last_{minutes}min, max(temp_f) OVER {w} AS temp_max_last_{minutes}min, " if minutes <= 60 else "")
+    return f"{rate}avg(temp_f) OVER {w} AS temp_mean_last_{minutes}min, coalesce(stddev_samp(temp_f) OVER {w}, 0) AS temp_std_last_{minutes}min"
+
+
+def _hourly(c):
+    return f"CASE WHEN count(*) OVER a >= 2 THEN ({c} - first({c}) OVER a) / nullif((us - first(us) OVER a) / 1e6, 0) * 3600 END"
+
+
+# Result columns by the part of the oracle that gives them: running statistics, shape, trailing windows, weather, forecast, errors, gaps, market, lags, derived.
+_SNAP_COLUMNS = ", ".join(f"{c} {k}" for k, names in [
+    ("i", "num_samples_sofar t_base hours_observed pred_ceil_max_sofar pred_floor_max_sofar"),
+    ("f", "vc_max_f_sofar vc_min_f_sofar vc_mean_f_sofar vc_std_f_sofar vc_frac_part_sofar intraday_range_sofar temp_cv_sofar minutes_since_max_observed "
+          "missing_fraction_sofar temp_ema_30min temp_ema_60min max_gap_minutes max_morning_f_sofar max_afternoon_f_sofar max_evening_f_sofar"),
+    ("f", " ".join(f"vc_q{q}_f_sofar" for q in _QS)),
+    ("i", "minutes_ge_base minutes_ge_base_m1 max_run_ge_base max_run_ge_base_m1 pred_plateau_20min_sofar edge_max_flag"),
+    ("f", "max_minus_second_max slope_max_30min_up_sofar slope_max_30min_down_sofar"),
+    ("f", "temp_mean_last_30min temp_std_last_30min temp_max_last_30min temp_mean_last_60min temp_std_last_60min temp_max_last_60min temp_mean_last_120min temp_std_last_120min"),
+    ("h", "temp_rate_last_30min temp_rate_last_60min temp_acceleration wetbulb_rate_last_30min windchill_warming_rate"),
+    ("f", "humidity_last_obs humidity_mean_last_60min humidity_std_last_60min windspeed_last_obs windspeed_max_last_60min windgust_max_last_60min cloudcover_last_obs "
+          "cloudcover_mean_last_60min cloudcover_volatility_60min cloudcover_rate_last_30min wetbulb_last_obs wetbulb_mean_last_60min wetbulb_depression "
+          "wetbulb_depression_mean_60min windchill_last_obs windchill_depression windchill_mean_last_60min"),
+    ("i", "strong_windchill_flag cloud_regime fcst_prev_hour_of_max"),
+    ("f", "fcst_prev_max_f fcst_prev_min_f fcst_prev_mean_f fcst_prev_std_f fcst_prev_distance_to_int fcst_peak_temp_f fcst_peak_step_minutes fcst_station_max_f fcst_city_station_gap fcst_multi_ema"),
+    ("f", " ".join(f"fcst_prev_q{q}_f" for q in _QS)),
+    ("f", "err_mean_sofar err_std_sofar err_abs_mean_sofar err_max_pos_sofar err_max_neg_sofar err_last1h"),
+    ("f", "station_city_temp_gap station_city_max_gap_sofar station_city_mean_gap_sofar station_city_gap_std station_city_gap_trend"),
+    ("f", "market_yes_bid market_yes_ask market_bid_ask_spread cumulative_volume_today volume_last_30min volume_last_60min bid_change_last_30min"),
+    ("i", "settle_f_lag1 settle_f_lag2 settle_f_lag7 is_heating_phase settle_f delta delta_obs"),
+    ("f", "obs_fcst_max_gap log_abs_obs_fcst_gap temp_x_hours_remaining"),
+] for c in names.split())
+
+# Each source is reduced by window functions along its own rows; the spine picks rows by as-of joins.
+_SNAP = f"""
+WITH s AS MATERIALIZED (SELECT city, day AS ev, settle_f, epoch_us(day::TIMESTAMP) + 86100000000 AS cl, epoch_us(day::TIMESTAMP) - 50400000000 + i * 1800000000 AS us FROM v_settle, range(76) r(i)),
+o AS MATERIALIZED (SELECT *, CASE WHEN humidity BETWEEN 0 AND 100 THEN ((temp_f - 32) * 5 / 9 * atan(0.151977e0 * sqrt(humidity + 8.313659e0)) + atan((temp_f - 32) * 5 / 9 + humidity) - atan(humidity - 1.676331e0) + 0.00391838e0 * pow(humidity, 1.5e0) * atan(0.023101e0 * humidity) - 4.686035e0) * 9 / 5 + 32 END AS wb,
+ CASE WHEN temp_f > 50 OR wind < 3 THEN temp_f ELSE 35.74e0 + 0.6215e0 * temp_f - 35.75e0 * pow(wind, 0.16e0) + 0.4275e0 * temp_f * pow(wind, 0.16e0) END AS wc FROM v_obs),
+q AS MATERIALIZED (SELECT *, {_trailing(30, "a")}, {_trailing(60, "b")}, {_trailing(120, "c")}, avg(humidity) OVER b AS humidity_mean_last_60min, coalesce(stddev_samp(humidity) OVER b, 0) AS humidity_std_last_60min,
+ max(wind) OVER b AS windspeed_max_last_60min, max(gust) OVER b AS windgust_max_last_60min, avg(cloud) OVER b AS cloudcover_mean_last_60min, stddev_samp(cloud) OVER b AS cloudcover_volatility_60min, avg(wb) OVER b AS wetbulb_mean_last_60min,
+ avg(temp_f - wb) OVER b AS wetbulb_depression_mean_60min, avg(wc) OVER b AS windchill_mean_last_60min, {_hourly("wb")} AS wetbulb_rate_last_30min, {_hourly("wc")} AS windchill_warming_rate, CASE WHEN count(*) OVER a >= 2 THEN (cloud - first(cloud) OVER a) / 0.5 END AS cloudcover_rate_last_30min
+ FROM o WINDOW a AS (PARTITION BY city ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW), b AS (PARTITION BY city ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), c AS (PARTITION BY city ORDER BY us RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW)),
+p AS MATERIALIZED (SELECT q.*, k.rate AS past FROM q ASOF LEFT JOIN (SELECT city, us, max(temp_rate_last_30min) AS rate FROM q GROUP BY city, us) k ON q.city = k.city AND q.us - 1800000000 >= k.us),
+e AS MATERIALIZED (SELECT *, day AS ev FROM p UNION ALL SELECT *, day + 1 AS ev FROM p WHERE us % 86400000000 >= 36000000000),
+w AS MATERIALIZED (SELECT *, row_number() OVER o AS n, max(temp_f) OVER o AS mx, min(temp_f) OVER o AS mn, avg(temp_f) OVER o AS mean, coalesce(stddev_samp(temp_f) OVER o, 0) AS sd, {", ".join(f"quantile_cont(temp_f, {q / 100}) OVER o AS vc_q{q}_f_sofar" for q in _QS)},
+ max(CASE WHEN hour < 12 THEN temp_f END) OVER o AS max_morning_f_sofar, max(CASE WHEN hour BETWEEN 12 AND 16 THEN temp_f END) OVER o AS max_afternoon_f_sofar, max(CASE WHEN hour >= 17 THEN temp_f END) OVER o AS max_evening_f_sofar,
+ {", ".join(f"sum(pow(2e0, (us - 1704067200000000 - (ev - DATE '2024-01-01') * 86400000000) / {m}e0 / 6e7) * temp_f) OVER o / sum(pow(2e0, (us - 1704067200000000 - (ev - DATE '2024-01-01') * 86400000000) / {m}e0 / 6e7)) OVER o AS temp_ema_{m}min" for m in (30, 60))},
+ us - lag(us) OVER t AS gap, temp_f - lag(temp_f, 6) OVER t AS rise, min(us) OVER o AS u0, CAST(round_even(temp_f, 0) AS BIGINT) AS k, CASE WHEN lag(us // 3600000000) OVER t = us // 3600000000 THEN 0 ELSE 1 END AS newhour
+ FROM e WINDOW o AS (PARTITION BY city, ev ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), t AS (PARTITION BY city, ev ORDER BY us, event_id)),
+x AS MATERIALIZED (SELECT *, lag(mx) OVER t AS m0, CAST(round_even(mx, 0) AS BIGINT) AS base, n - row_number() OVER (PARTITION BY city, ev, k ORDER BY n) AS isl FROM w WINDOW t AS (PARTITION BY city, ev ORDER BY n)),
+x2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY city, ev, k, isl ORDER BY n) AS len FROM x),
+y AS MATERIALIZED (SELECT *, mx - max(CASE WHEN m0 IS NOT NULL THEN least(temp_f, m0) END) OVER t AS second, max(CASE WHEN abs(temp_f - mx) < 0.01e0 THEN us END) OVER t AS near, max(gap) OVER t AS maxgap, max(rise) OVER t AS up, min(rise) OVER t AS down, sum(newhour) OVER t AS hours,
+ max(CASE WHEN m0 IS NULL OR temp_f > m0 THEN n END) OVER t AS top, max(CASE WHEN len >= 4 THEN k END) OVER t AS held FROM x2 WINDOW t AS (PARTITION BY city, ev ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pairs AS MATERIALIZED (SELECT a.city, a.ev, a.n, b.n AS bn, b.temp_f >= a.base AS f, b.temp_f >= a.base - 1 AS f1 FROM y a JOIN y b ON a.city = b.city AND a.ev = b.ev AND b.n <= a.n),
+islands AS MATERIALIZED (SELECT city, ev, n, f, f1, bn - row_number() OVER (PARTITION BY city, ev, n, f ORDER BY bn) AS i, bn - row_number() OVER (PARTITION BY city, ev, n, f1 ORDER BY bn) AS i1 FROM pairs),
+r0 AS (SELECT city, ev, n, max(c) * 5 AS run, sum(c) * 5 AS total FROM (SELECT city, ev, n, i, count(*) AS c FROM islands WHERE f GROUP BY city, ev, n, i) GROUP BY city, ev, n),
+r1 AS (SELECT city, ev, n, max(c) * 5 AS run, sum(c) * 5 AS total FROM (SELECT city, ev, n, i1, count(*) AS c FROM islands WHERE f1 GROUP BY city, ev, n, i1) GROUP BY city, ev, n),
+z AS (SELECT y.*, CASE WHEN y.n >= 2 THEN coalesce(r0.run, 0) END AS run0, CASE WHEN y.n >= 2 THEN coalesce(r0.total, 0) END AS all0, CASE WHEN y.n >= 2 THEN coalesce(r1.run, 0) END AS run1, CASE WHEN y.n >= 2 THEN coalesce(r1.total, 0) END AS all1
+ FROM y LEFT JOIN r0 ON r0.city = y.city AND r0.ev = y.ev AND r0.n = y.n LEFT JOIN r1 ON r1.city = y.city AND r1.ev = y.ev AND r1.n = y.n QUALIFY row_number() OVER (PARTITION BY y.city, y.ev, y.us ORDER BY y.n DESC) = 1),
+f AS (SELECT city, day AS ev, max(temp_f) AS fmax, min(temp_f) AS fmin, avg(temp_f) AS fmean, coalesce(stddev_samp(temp_f), 0) AS fstd, arg_max(hour, struct_pack(a := temp_f, b := -hour)) AS peak, {", ".join(f"quantile_cont(temp_f, {q / 100}) AS fcst_prev_q{q}_f" for q in _QS)} FROM v_fcst_hourly GROUP BY city, day),
+h AS (SELECT city, day AS ev, sum(exp(-0.15e0 * (lead - 1)) * tempmax_f) / sum(exp(-0.15e0 * (lead - 1))) AS ema FROM v_fcst WHERE lead BETWEEN 1 AND 6 GROUP BY city, day),
+eh AS (SELECT f.city, f.day AS ev, epoch_us(f.day::TIMESTAMP) + (f.hour + 1) * 3600000000 AS us, o.m - f.temp_f AS e FROM v_fcst_hourly f JOIN (SELECT city, day, hour, sum(CAST(round(temp_f * 100) AS BIGINT)) / count(temp_f) / 100 AS m FROM v_obs GROUP BY ALL) o USING (city, day, hour)),
+er AS (SELECT *, avg(e) OVER t AS em, coalesce(stddev_samp(e) OVER t, 0) AS es, avg(abs(e)) OVER t AS ea, max(e) OVER t AS ep, min(e) OVER t AS en FROM eh WINDOW t AS (PARTITION BY city, ev ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+gr AS (SELECT e.city, e.ev, e.us, e.temp_f AS a, v.temp_f AS b, e.temp_f - v.temp_f AS g FROM e JOIN v_obs2 v ON v.event_id = e.event_id),
+gs AS (SELECT *, row_number() OVER t AS n, max(a) OVER t - max(b) OVER t AS gm, avg(g) OVER t AS ga, stddev_pop(g) OVER t AS gd, sum(g) OVER t AS gt FROM gr WINDOW t AS (PARTITION BY city, ev ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT x.*, CASE WHEN x.n >= 4 THEN (x.gt - m.gt) / (x.n - m.n) - m.gt / m.n END AS trend FROM gs x LEFT JOIN gs m ON m.city = x.city AND m.ev = x.ev AND m.n = x.n // 2),
+c AS (SELECT *, bucket_us + j AS t, sum(volume) OVER (PARTITION BY city, day ORDER BY bucket_us, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(volume) OVER a AS v30, sum(volume) OVER b AS v60, CASE WHEN count(bid) OVER a >= 2 THEN bid - first(bid) OVER a END AS chg FROM v_candle
+ WINDOW a AS (PARTITION BY city, day ORDER BY bucket_us + j RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW), b AS (PARTITION BY city, day ORDER BY bucket_us + j RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, day AS ev FROM c QUALIFY row_number() OVER (PARTITION BY city, day, bucket_us ORDER BY j DESC) = 1),
+u AS (SELECT s.city, s.ev, s.us, s.cl, s.settle_f, z.* EXCLUDE (city, ev, us), z.us AS zu FROM s ASOF LEFT JOIN z ON s.city = z.city AND s.ev = z.ev AND s.us >= z.us),
+u1 AS (SELECT u.*, er.em, er.es, er.ea, er.ep, er.en, er.e FROM u ASOF LEFT JOIN er ON u.city = er.city AND u.ev = er.ev AND u.us >= er.us),
+u2 AS (SELECT u1.*, g.g, g.gm, g.ga, g.gd, g.trend FROM u1 ASOF LEFT JOIN g ON u1.city = g.city AND u1.ev = g.ev AND u1.us >= g.us),
+u3 AS (SELECT u2.*, m.bid, m.ask, m.cum, m.v30, m.v60, m.chg FROM u2 ASOF LEFT JOIN m ON u2.city = m.city AND u2.ev = m.ev AND u2.us > m.bucket_us)
+SELECT u.city, u.ev AS event_date, u.us, n AS num_samples_sofar, base AS t_base, hours AS hours_observed, ceil(mx) AS pred_ceil_max_sofar, floor(mx) AS pred_floor_max_sofar, mx AS vc_max_f_sofar, mn AS vc_min_f_sofar, mean AS vc_mean_f_sofar, sd AS vc_std_f_sofar, mx - base AS vc_frac_part_sofar,
+ mx - mn AS intraday_range_sofar, CASE WHEN mean > 0 AND n > 1 THEN sd / mean END AS temp_cv_sofar, (zu - near) / 6e7 AS minutes_since_max_observed, 1 - n / greatest(floor((zu - u0) / 3e8) + 1, n) AS missing_fraction_sofar, maxgap / 6e7 AS max_gap_minutes,
+ all0 AS minutes_ge_base, all1 AS minutes_ge_base_m1, run0 AS max_run_ge_base, run1 AS max_run_ge_base_m1, coalesce(held, base) AS pred_plateau_20min_sofar, CASE WHEN n >= 3 THEN CAST(top <= greatest(1, n // 10) OR top > n - greatest(1, n // 10) AS INT) END AS edge_max_flag,
+ second AS max_minus_second_max, up AS slope_max_30min_up_sofar, down AS slope_max_30min_down_sofar, CASE WHEN n >= 12 THEN temp_rate_last_30min - past END AS temp_acceleration, humidity AS humidity_last_obs, wind AS windspeed_last_obs, cloud AS cloudcover_last_obs, wb AS wetbulb_last_obs, temp_f - wb AS wetbulb_depression,
+ CASE WHEN temp_f <= 50 THEN wc END AS windchill_last_obs, CASE WHEN temp_f <= 50 THEN temp_f - wc END AS windchill_depression, CASE WHEN temp_f <= 50 THEN CAST(temp_f - wc > 10 AS INT) END AS strong_windchill_flag, CASE WHEN cloud < 20 THEN 0 WHEN cloud < 70 THEN 1 WHEN cloud IS NOT NULL THEN 2 END AS cloud_regime,
+ peak AS fcst_prev_hour_of_max, fmax AS fcst_prev_max_f, fmin AS fcst_prev_min_f, fmean AS fcst_prev_mean_f, fstd AS fcst_prev_std_f, least(fmax - floor(fmax), 1 - (fmax - floor(fmax))) AS fcst_prev_distance_to_int, fmax AS fcst_peak_temp_f, CASE WHEN fmax IS NOT NULL THEN 60 END AS fcst_peak_step_minutes,
+ st.tempmax_f AS fcst_station_max_f, st.tempmax_f - fmax AS fcst_city_station_gap, h.ema AS fcst_multi_ema, em AS err_mean_sofar, CASE WHEN em IS NOT NULL THEN es END AS err_std_sofar, ea AS err_abs_mean_sofar, ep AS err_max_pos_sofar, en AS err_max_neg_sofar, e AS err_last1h,
+ g AS station_city_temp_gap, gm AS station_city_max_gap_sofar, ga AS station_city_mean_gap_sofar, gd AS station_city_gap_std, trend AS station_city_gap_trend, bid AS market_yes_bid, ask AS market_yes_ask, ask - bid AS market_bid_ask_spread, cum AS cumulative_volume_today, v30 AS volume_last_30min, v60 AS volume_last_60min, chg AS bid_change_last_30min,
+ l1.settle_f AS settle_f_lag1, l2.settle_f AS settle_f_lag2, l7.settle_f AS settle_f_lag7, CASE WHEN temp_rate_last_30min > 0.5 THEN 1 WHEN temp_rate_last_30min IS NOT NULL THEN 0 WHEN hour(make_timestamp(u.us)) < 11 THEN 1 ELSE 0 END AS is_heating_phase,
+ u.settle_f, u.settle_f - CAST(round_even(fmax, 0) AS BIGINT) AS delta, u.settle_f - base AS delta_obs, fmax - mx AS obs_fcst_max_gap, ln(1 + abs(fmax - mx)) AS log_abs_obs_fcst_gap, mx * ((cl - u.us) / 3.6e9) AS temp_x_hours_remaining,
+ {", ".join(["temp_ema_30min", "temp_ema_60min", "max_morning_f_sofar", "max_afternoon_f_sofar", "max_evening_f_sofar", "humidity_mean_last_60min", "humidity_std_last_60min", "windspeed_max_last_60min", "windgust_max_last_60min", "cloudcover_mean_last_60min", "cloudcover_volatility_60min", "cloudcover_rate_last_30min", "wetbulb_mean_last_60min", "wetbulb_depression_mean_60min", "wetbulb_rate_last_30min", "windchill_mean_last_60min", "windchill_warming_rate",
+             *[f"temp_{k}_last_{m}min" for m in (30, 60, 120) for k in ("mean", "std", "max", "rate") if m < 120 or k in ("mean", "std")], *[f"vc_q{q}_f_sofar" for q in _QS], *[f"fcst_prev_q{q}_f" for q in _QS]])}
+FROM u3 u LEFT JOIN f ON f.city = u.city AND f.ev = u.ev LEFT JOIN h ON h.city = u.city AND h.ev = u.ev LEFT JOIN v_fcst_station st ON st.city = u.city AND st.day = u.ev
+ LEFT JOIN v_settle l1 ON l1.city = u.city AND l1.day = u.ev - 1 LEFT JOIN v_settle l2 ON l2.city = u.city AND l2.day = u.ev - 2 LEFT JOIN v_settle l7 ON l7.city = u.city AND l7.day = u.ev - 7"""
+
+
+@query("feature_snapshot", f"city s, event_date d, us u, {_SNAP_COLUMNS}", _SNAP)
 def feature_snapshot(t):
     """All feature groups on a half-hourly spine."""
     return build(D.snapshots(t.settle, 30), D.inputs(t))
@@ -110,6 +184,8 @@ def registry_features(t):
     for name, (kind, fn) in GROUPS.items():
         if kind == "series":
             owner.update({c: (name, kind) for c in fn(ctx).values})
+        elif kind == "cutoffs":
+            owner.update({f"vc_q{int(p * 100)}_f_sofar": (name, kind) for p in QUANTILES})
         elif kind == "event":
             owner.update({c: (name, kind) for c in fn(ctx).columns if c not in KEY})
     d = build(s, ctx, [n for n, (k, _) in GROUPS.items() if k != "columns"])

@@ -8,7 +8,7 @@ VIEWS = {
     "v_obs": """
 SELECT event_type AS city, ts, CAST(ts AS DATE) AS day, hour(ts) AS hour, epoch_us(ts) AS us, event_id, value AS temp_f,
   CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 29 = 0 THEN -77.9 WHEN event_id % 31 = 0 THEN 151.0 ELSE value END::DOUBLE AS raw_f,
-  CAST(user_id % 101 AS DOUBLE) AS humidity, CAST((event_id * 7) % 40 AS DOUBLE) AS wind, CAST((event_id * 13) % 101 AS DOUBLE) AS cloud
+  CAST(user_id % 101 AS DOUBLE) AS humidity, CAST((event_id * 7) % 40 AS DOUBLE) AS wind, CAST((event_id * 7) % 40 + (event_id * 11) % 15 AS DOUBLE) AS gust, CAST((event_id * 13) % 101 AS DOUBLE) AS cloud
 FROM events""",
     "v_obs2": "SELECT * REPLACE (temp_f - event_id % 5 AS temp_f) FROM v_obs",
     "v_settle": """
@@ -17,6 +17,7 @@ FROM v_obs GROUP BY city, day""",
     "v_fcst": """
 SELECT city, day, di, lead, day - CAST(lead AS INTEGER) AS basis, CAST(settle_f + (di * lead) % 7 - 3 AS DOUBLE) AS tempmax_f
 FROM v_settle, range(7) r(lead) WHERE (di + lead) % 11 <> 0""",
+    "v_fcst_station": "SELECT city, day, tempmax_f + di % 3 - 1 AS tempmax_f FROM v_fcst WHERE lead = 1",
     "v_fcst_hourly": """
 SELECT city, day, di, hour, epoch_us(CAST(day AS TIMESTAMP)) + hour * 3600000000 AS us,
   settle_f - 0.2::DOUBLE * (hour - 15) * (hour - 15) + ((di + hour) % 3) * 0.5::DOUBLE AS temp_f,
