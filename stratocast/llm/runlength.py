@@ -17,8 +17,8 @@ is cut by content and not by size:
 4. Chunks mark the matches in their texts, and cut.
 
 Equal strings have equal anchors, so no match is lost, and a match is decided by the
-index on bytes, never by a hash of them. Anchors that occur in very many chunks (a very
-common line) are routed by their single 50-byte strings instead, so that what surrounds
+index on bytes, never by a hash of them. Anchors that occur in very many chunks or with very
+many different surroundings (a very common line) are routed by their single 50-byte strings instead, so that what surrounds
 the line in a third of all documents does not meet in one index.
 
 Defined cases: NULL text counts as empty; texts under 50 bytes are kept whole; matches
@@ -63,8 +63,8 @@ class RunLengthIndex:
         text[body] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int64) + count
         text[ends] = np.arange(count)
         # Ranks of prefixes of 3, 6, 12 ... symbols; separators make long ones unique.
+        # Three symbols fit a key below two million strings; an index is given far fewer.
         base = count + 257
-        assert base < 1 << 20, "an index holds under a million strings"
         key = (text * base + shifted(text, 1)) * base + shifted(text, 2)
         width, block = 3, None
         while True:
@@ -235,6 +235,16 @@ class Scan:
         several = d[cut] != d[np.append(cut[1:], len(s)) - 1] if len(s) else np.zeros(0, bool)
         return s[cut], inverse, several
 
+    def crowded(self, inverse, n, least):
+        """(anchors with over ``least`` stretches in this chunk, how many distinct ones each has)."""
+        many = np.flatnonzero(np.bincount(inverse, minlength=n) > least)
+        at = np.flatnonzero(np.isin(inverse, many))
+        code = np.searchsorted(many, inverse[at])
+        h = self.ranges(self.first[at], self.last[at])
+        order = np.lexsort((h, code))
+        new = np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (h[order][1:] != h[order][:-1])]) if len(at) else np.zeros(0, bool)
+        return many, np.bincount(code[order][new], minlength=len(many))
+
     def items(self, mark, n_routes):
         """Stretches to look up: (first, last window, doc index, route, key), by anchor marks."""
         plain, common = np.flatnonzero(mark == 1), np.flatnonzero(mark == 2)
@@ -326,30 +336,44 @@ def by_chunk(chunks, messages, n_chunks, solve, ddl):
     return both.mapInArrow(run, ddl)
 
 
-def send_anchors(chunks, n_routes):
+def send_anchors(chunks, n_routes, least=64):
+    """Distinct anchors of each chunk to their routes: keys, whether in several documents, and
+    the number of distinct stretches of those with over ``least``."""
+
     def run(iterator):
         for b in iterator:
             for row in _rows(b, "chunk", "ids", "sizes", "blob"):
-                code, _, several = Scan(row).anchors(n_routes)
+                scan = Scan(row)
+                code, inverse, several = scan.anchors(n_routes)
+                many, stretches = scan.crowded(inverse, len(code), least)
                 route = (code >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(route, np.arange(n_routes + 1))
-                yield _sent((r, row["chunk"], code[x:y].astype(np.uint32).tobytes() + np.packbits(several[x:y]).tobytes())
-                            for r, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x)
+                inside = np.searchsorted(many, cut)
+
+                def body(r):
+                    (x, y), (i, j) = cut[r:r + 2], inside[r:r + 2]
+                    return (int(y - x).to_bytes(8, "little") + code[x:y].astype(np.uint32).tobytes() + np.packbits(several[x:y]).tobytes()
+                            + (many[i:j] - x).astype(np.uint32).tobytes() + stretches[i:j].astype(np.uint32).tobytes())
+
+                yield _sent((int(r), row["chunk"], body(r)) for r in np.flatnonzero(np.diff(cut)))
 
     return chunks.select("chunk", "ids", "sizes", "blob").mapInArrow(run, MESSAGE)
 
 
-def shared_anchors(common):
-    """Marks per anchor of a chunk: 0 one document only, 1 repeated, 2 in over ``common`` chunks."""
+def shared_anchors(common, crowd):
+    """Marks per anchor of a chunk: 0 one document only, 1 repeated, 2 in over ``common`` chunks
+    or with over ``crowd`` distinct stretches in the chunks that have many."""
 
     def solve(route, held):
-        keys, several = [], []
+        keys, several, stretches = [], [], []
         for _, body in held:
-            n = len(body) * 8 // 33
-            while 4 * n + (n + 7) // 8 < len(body):
-                n += 1
-            keys.append(np.frombuffer(body, dtype=np.uint32, count=n))
-            several.append(np.unpackbits(np.frombuffer(body, dtype=np.uint8, offset=4 * n), count=n).astype(bool))
+            n = int.from_bytes(body[:8], "little")
+            at = 8 + 4 * n + (n + 7) // 8
+            keys.append(np.frombuffer(body, dtype=np.uint32, count=n, offset=8))
+            several.append(np.unpackbits(np.frombuffer(body, dtype=np.uint8, offset=8 + 4 * n, count=(n + 7) // 8), count=n).astype(bool))
+            place, number = np.frombuffer(body, dtype=np.uint32, offset=at).reshape(2, -1) if len(body) > at else np.zeros((2, 0), np.uint32)
+            stretches.append(np.zeros(n, dtype=np.int64))
+            stretches[-1][place] = number
         all_keys = np.concatenate(keys)
         order = np.argsort(all_keys, kind="stable")
         s = all_keys[order]
@@ -357,7 +381,7 @@ def shared_anchors(common):
         cut = np.flatnonzero(new)
         count = np.diff(np.append(cut, len(s)))
         mark = ((count > 1) | np.logical_or.reduceat(np.concatenate(several)[order], cut)).astype(np.uint8)
-        mark[count > common] = 2
+        mark[(count > common) | (np.add.reduceat(np.concatenate(stretches)[order], cut) > crowd)] = 2
         out = np.empty(len(s), dtype=np.uint8)
         out[order] = np.repeat(mark, count)
         at = 0
@@ -491,15 +515,19 @@ def cut_texts(n_routes, digest):
     return solve
 
 
-def remove_repeats(docs, chunk_bytes=8 << 20, index_bytes=1 << 20, common=512, digest=False):
-    """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` bytes, or with ``digest`` their sha256."""
+def remove_repeats(docs, chunk_bytes=8 << 20, index_bytes=1 << 20, common=512, crowd=4096, digest=False):
+    """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` bytes, or with ``digest`` their sha256.
+
+    ``common`` chunks or ``crowd`` distinct stretches make an anchor common. So the stretches
+    of any other anchor, which all meet in one index, are fewer than 64 * ``common`` + ``crowd``.
+    """
     chunks = written(pack(docs, chunk_bytes), "repeats-chunks")
     total, n_chunks = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     n_chunks = max(1, n_chunks)
     # Chunks and routes both grow with the root of the corpus beyond some GB, so that a
     # message keeps a useful size; an index inside a route is bounded by index_bytes.
     n_routes = max(1, min(math.ceil(total / (1 << 20)), math.ceil(4 * math.sqrt(total / (1 << 20)))))
-    marks = written(by_route(send_anchors(chunks, n_routes), n_routes, shared_anchors(common)), "repeats-marks")
+    marks = written(by_route(send_anchors(chunks, n_routes), n_routes, shared_anchors(common, crowd)), "repeats-marks")
     stretches = by_chunk(chunks, marks, n_chunks, send_stretches(n_routes), MESSAGE)
     found = by_route(stretches, n_routes, earlier(index_bytes))
     # To the last step a chunk's marks come as even routes, the bits of its windows as odd ones.

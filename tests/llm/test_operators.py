@@ -319,7 +319,7 @@ def plain_removal(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("settings", [{}, {"chunk_bytes": 30_000, "index_bytes": 5_000, "common": 2}])
+@pytest.mark.parametrize("settings", [{}, {"chunk_bytes": 30_000, "index_bytes": 5_000, "common": 2}, {"index_bytes": 5_000, "crowd": 3}])
 def test_repeats_by_brute_force(spark, documents, corpus, settings):
     rng = random.Random(5)
     words = ["alpha", "beta", "gam", "de", "x", " " * 60, "a line that many documents have, and it is long enough to count\n", "é", "\0"]
@@ -330,6 +330,27 @@ def test_repeats_by_brute_force(spark, documents, corpus, settings):
     assert sorted(map(tuple, got.collect()), key=str) == plain_removal([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_a_line_with_very_many_surroundings(spark):
+    """One line of 60 bytes inside 200,000 short documents, nothing else in common, at default settings."""
+    line = "this one line stands in every document of the whole table.\n"
+    docs = spark.range(200_000).selectExpr("id as doc_id", f"concat(md5(cast(id as string)), '{line}', md5(cast(-id - 1 as string))) as text")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in runlength.remove_repeats(docs, digest=True).collect()}
+    # The line goes with what its neighbours have in common with those of any smaller document.
+    md5 = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    seen_left, seen_right = set(), set()
+
+    def shared(text, seen):
+        n = 0
+        while text[:n + 1] in seen:
+            n += 1
+        seen.update(text[:k] for k in range(1, 16))
+        return n
+
+    for i in range(200_000):
+        left, right = shared(md5(i)[::-1], seen_left), shared(md5(-i - 1), seen_right)
+        assert got[i] == ((len(line) + left + right, 1) if i else (0, 0))
+
+
 def test_repeats_of_an_empty_table(documents):
     assert runlength.remove_repeats(documents([])).count() == 0
 
