@@ -8,20 +8,22 @@ number and the copies are dealt to partitions and ordered there by a second hash
 which is a global random order without a sampling pass.
 
 Defined cases: a NULL source is a source of its own (its weight is given under NULL);
-a NULL doc_id hashes as the text ``null``; repeated rows of one doc_id get equal
-counts; a source without a positive weight contributes nothing; NULL and empty texts
+a NULL doc_id hashes as ``null`` and the md5 of its text; repeated rows of one doc_id get
+equal counts; a source without a positive weight contributes nothing; NULL and empty texts
 are rows like any other; an empty table gives an empty table; further columns pass
 through and helper columns take names that the input does not use.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import fresh
 
 #: Rates above this are split into equal parts whose Poisson variates add up, so that
 #: exp(-rate) never underflows and the cumulative table keeps a fixed length.
 PART_RATE = 16.0
+#: Sources up to which their table (under a kilobyte a row) is broadcast; more are joined by shuffle.
+BROADCAST_SOURCES = 10_000
 #: Entries of the cumulative table; the tail beyond them is below 1e-30 at PART_RATE.
 TERMS = 96
 
@@ -47,9 +49,10 @@ def poisson_mix(docs, weights=None, size=None, seed=42, source="source", doc_id=
         w = weights.select(F.col("source").alias("s"), F.col("weight").cast("double").alias("w")).where("w > 0 and w < double('infinity')")
         w = w.groupBy("s").agg(F.sum("w").alias("weight"))
         here = rows.join(w, F.col(key).eqNullSafe(F.col("s")), "left").drop("s")
-    every = Window.partitionBy()  # one row per source, after the counts
-    size = F.lit(float(size)) if size is not None else F.sum("n").over(every).cast("double")
-    table = here.withColumn(rates, F.col("weight") / F.sum("weight").over(every) * size / F.col("n")).where("weight is not null")
+    here = written(here, "mixing-sources")
+    n_sources, n_rows, total = here.agg(F.count(F.lit(1)), F.sum("n"), F.sum("weight")).first()
+    size = float(n_rows or 0) if size is None else float(size)
+    table = here.where("weight is not null").withColumn(rates, F.col("weight") / F.lit(total or 1.0) * size / F.col("n"))
     table = table.withColumn(parts, F.greatest(F.lit(1), F.ceil(F.col(rates) / PART_RATE)).cast("int"))
     rate = F.col(rates) / F.col(parts)
     terms = F.aggregate(
@@ -58,17 +61,21 @@ def poisson_mix(docs, weights=None, size=None, seed=42, source="source", doc_id=
         lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * rate / k)).alias("c")),
     )
     table = table.select(F.col(key), F.col(rates), F.col(parts), terms["c"].alias(cdf))
+    table = F.broadcast(table) if n_sources <= BROADCAST_SOURCES else table
     joined = docs.join(table, F.col(source).eqNullSafe(F.col(key)), "inner")
 
+    text = F.col("text").cast("string") if "text" in docs.columns else F.lit("")
+    identity = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
     def drawn(part):
-        u = uniform(seed, part, F.col(doc_id))
+        u = uniform(seed, part, identity)
         return F.size(F.filter(F.col(cdf), lambda c: c <= u))  # the smallest k with u < CDF(k)
 
     n = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, i: acc + drawn(i))
     copy, out_rate, order = (fresh(docs.columns, c) for c in ("copy", "rate", "shuffle_key"))
     out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(rates).alias(out_rate), F.posexplode(F.array_repeat(F.lit(0), n)).alias(copy, copies))
     out = out.withColumn(copy, F.col(copy) + 1).drop(copies)
-    out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(copy).cast("string")).cast("binary")))
+    out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(f"order{seed}"), identity, F.col(copy).cast("string")).cast("binary")))
     dealt = out.repartition(F.col(order)) if partitions is None else out.repartition(partitions, F.col(order))
     return dealt.sortWithinPartitions(order)
 

@@ -300,6 +300,14 @@ def test_mixing_edge_cases(spark, documents):
     assert mixing.poisson_mix(docs, spark.createDataFrame([], "source string, weight double")).count() == 0
 
 
+def test_rows_without_id_are_drawn_one_by_one(documents):
+    docs = documents([(None, f"text {i}") for i in range(400)])
+    n = [r["count"] for r in mixing.poisson_mix(docs).groupBy("text").count().collect()]
+    assert 200 < len(n) < 300 and max(n) > 2  # neither all nor none of them
+    plan = mixing.poisson_mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 # ---------------------------------------------------------------- repeats
 
 def plain_removal(rows):
