@@ -17,10 +17,11 @@ from ..functions import timeutil as TU
 from ..functions.timeutil import DAY, HOUR, MINUTE
 from ..operators import rolling, stats
 from ..operators.asof import Source, asof
-from ..operators.chunked import CHUNK_US, chunked, framed, prefix_scan, time_chunk, unchunk
+from ..operators.chunked import chunked, prefix_scan, time_chunk, unchunk
 from ..operators.joins import lags_by_date
 from ..operators.order_stats import running_quantiles
 from ..operators.shape import SHAPE, running_shape
+from ..operators.sliding import Edge, Extreme, Moments, sliding, slope, std
 from ..session import written
 from .registry import KEY, feature_group
 
@@ -80,37 +81,29 @@ def observed(ctx):
     o = ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "event_id", "temp_f", "humidity", "wind", "gust", "cloud")
     o = o.withColumns({"wb": meteo.wet_bulb("temp_f", "humidity"), "wc": meteo.wind_chill("temp_f", "wind")})
 
-    def trailing(w):
-        back = lambda m: w.rangeBetween(-m * MINUTE, 0)
-        out = {}
-        t = (F.col("us") - F.col("_c") * CHUNK_US) / F.lit(float(MINUTE))
-        for m in (30, 60, 120):
-            f = back(m)
-            out[f"temp_mean_last_{m}min"] = F.avg("temp_f").over(f)
-            out[f"temp_std_last_{m}min"] = F.coalesce(F.stddev_samp("temp_f").over(f), F.lit(0.0))
-            if m <= 60:
-                v = F.var_pop(t).over(f)
-                two = F.count("temp_f").over(f) >= 2
-                out[f"temp_max_last_{m}min"] = F.max("temp_f").over(f)
-                out[f"temp_rate_last_{m}min"] = F.when(two, F.when(F.sqrt(v) < 0.001, 0.0).otherwise(
-                    F.covar_samp(F.col("temp_f"), t).over(f) / F.nullif(v, F.lit(0.0)) * 60))
-                out[f"temp_volatility_{m}min"] = F.stddev_samp("temp_f").over(f)
-        h, q = back(60), back(30)
-        two = F.count(F.lit(1)).over(q) >= 2
-        per_hour = lambda c: F.when(two, (F.col(c) - F.first(c).over(q)) / F.nullif((F.col("us") - F.first("us").over(q)) / 1e6, F.lit(0.0)) * 3600)
-        out.update({
-            "windgust_max_last_60min": F.max("gust").over(h), "wetbulb_depression_mean_60min": F.avg(F.col("temp_f") - F.col("wb")).over(h),
-            "wetbulb_rate_last_30min": per_hour("wb"), "windchill_warming_rate": per_hour("wc"),
-            "cloudcover_rate_last_30min": F.when(two, (F.col("cloud") - F.first("cloud").over(q)) / 0.5),
-            "humidity_mean_last_60min": F.avg("humidity").over(h), "windspeed_max_last_60min": F.max("wind").over(h),
-            "humidity_std_last_60min": F.coalesce(F.stddev_samp("humidity").over(h), F.lit(0.0)),
-            "cloudcover_mean_last_60min": F.avg("cloud").over(h), "cloudcover_volatility_60min": F.stddev_samp("cloud").over(h),
-            "cloudcover_change_last_60min": F.col("cloud") - F.first("cloud").over(h),
-            "humidity_change_last_60min": F.col("humidity") - F.first("humidity").over(h),
-            "wetbulb_mean_last_60min": F.avg("wb").over(h), "windchill_mean_last_60min": F.avg("wc").over(h)})
-        return out
-
-    o = written(framed(o, ["city"], "us", ["us"], trailing, 120 * MINUTE), "observed-trailing")
+    x, n = F.col("temp_f"), Moments(F.lit(1.0))
+    specs = {**{f"_x{m}": (m, Moments(x)) for m in (30, 60, 120)}, **{f"_hi{m}": (m, Extreme("max", x)) for m in (30, 60)},
+             **{f"_t{m}": (m, Moments(rolling.elapsed("us"), x)) for m in (30, 60)},
+             **{f"_{c}": (60, Moments(F.col(c))) for c in ("humidity", "cloud", "wb", "wc")}, "_dep": (60, Moments(x - F.col("wb"))),
+             "_wind": (60, Extreme("max", F.col("wind"))), "_gust": (60, Extreme("max", F.col("gust"))), "_n30": (30, n),
+             "_first60": (60, Edge(F.struct("cloud", "humidity"), "us")), "_first30": (30, Edge(F.struct("us", "cloud", "wb", "wc"), "us"))}
+    o = sliding(o, ["city"], "us", specs)
+    zero, two = F.lit(0.0), F.col("_n30.n") >= 2
+    early, hour = F.col("_first30.v.v"), F.col("_first60.v.v")
+    per_hour = lambda c: F.when(two, (F.col(c) - early[c]) / F.nullif((F.col("us") - early["us"]) / 1e6, zero) * 3600)
+    out = {}
+    for m in (30, 60, 120):
+        out.update({f"temp_mean_last_{m}min": F.col(f"_x{m}.x"), f"temp_std_last_{m}min": F.coalesce(std(F.col(f"_x{m}")), zero)})
+        if m <= 60:
+            out.update({f"temp_max_last_{m}min": F.col(f"_hi{m}.v"), f"temp_rate_last_{m}min": slope(F.col(f"_t{m}")), f"temp_volatility_{m}min": std(F.col(f"_x{m}"))})
+    out.update({
+        "windgust_max_last_60min": F.col("_gust.v"), "windspeed_max_last_60min": F.col("_wind.v"), "wetbulb_depression_mean_60min": F.col("_dep.x"),
+        "wetbulb_rate_last_30min": per_hour("wb"), "windchill_warming_rate": per_hour("wc"), "cloudcover_rate_last_30min": F.when(two, (F.col("cloud") - early["cloud"]) / 0.5),
+        "humidity_mean_last_60min": F.col("_humidity.x"), "humidity_std_last_60min": F.coalesce(std(F.col("_humidity")), zero),
+        "cloudcover_mean_last_60min": F.col("_cloud.x"), "cloudcover_volatility_60min": std(F.col("_cloud")),
+        "cloudcover_change_last_60min": F.col("cloud") - hour["cloud"], "humidity_change_last_60min": F.col("humidity") - hour["humidity"],
+        "wetbulb_mean_last_60min": F.col("_wb.x"), "windchill_mean_last_60min": F.col("_wc.x")})
+    o = written(o.withColumns(out).drop(*specs), "observed-trailing")
     past = o.select("city", "us", F.col("temp_rate_last_30min").alias("r"))
     o = asof(o, past, ["city"], F.col("us") - 30 * MINUTE, "us", {"_rate_past": "r"}).drop("match_us")
     o = event_rows(o, ctx.open_hour)
@@ -257,17 +250,13 @@ def market(ctx):
     """Quotes of the event's brackets strictly before the cutoff, newest (time, ticker) last."""
     c = ctx.candles.select("city", F.col("day").alias("event_date"), "bucket_us", "mkt", "bid", "ask", "volume", "oi", "j")
 
-    def trailing(w):
-        out = {}
-        for m in (30, 60):
-            f = w.rangeBetween(-m * MINUTE, 0)
-            out[f"bid_change_last_{m}min"] = F.when(F.count("bid").over(f) >= 2, F.col("bid") - F.first("bid").over(f)).cast("double")
-            out[f"volume_last_{m}min"] = F.coalesce(F.sum("volume").over(f), F.lit(0)).cast("double")
-        return out
-
-    # Range frames order by one column; equal minutes of two brackets are told apart by bracket index.
+    # Equal minutes of two brackets are told apart by bracket index.
     c = c.withColumn("_t", F.col("bucket_us") + F.col("j"))
-    c = framed(c, KEY, "_t", ["_t"], trailing, 60 * MINUTE)
+    specs = {k: p for m in (30, 60) for k, p in ((f"_n{m}", (m, Moments(F.col("bid")))), (f"_f{m}", (m, Edge("bid", "_t"))), (f"_v{m}", (m, Extreme("sum", F.col("volume")))))}
+    c = sliding(c, KEY, "_t", specs)
+    c = c.withColumns({n: v for m in (30, 60) for n, v in (
+        (f"bid_change_last_{m}min", F.when(F.col(f"_n{m}.n") >= 2, F.col("bid") - F.col(f"_f{m}.v.v")).cast("double")),
+        (f"volume_last_{m}min", F.coalesce(F.col(f"_v{m}.v"), F.lit(0)).cast("double")))}).drop(*specs)
     c = prefix_scan(c, KEY, ["_t"], time_chunk("_t"), {"cumulative_volume_today": ("sum", "volume")})
     c = c.select(*KEY, "bucket_us", "j", F.col("bid").cast("double").alias("market_yes_bid"), F.col("ask").cast("double").alias("market_yes_ask"),
                  (F.col("ask") - F.col("bid")).cast("double").alias("market_bid_ask_spread"), ((F.col("ask") + F.col("bid")) / 2).alias("market_mid_price"),

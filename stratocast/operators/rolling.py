@@ -5,35 +5,31 @@ from pyspark.sql import functions as F
 from ..functions import meteo
 from ..functions.timeutil import MINUTE, col
 from .asof import asof
-from .chunked import CHUNK_ROWS, CHUNK_US, chunked, framed, numbered, prefix_scan, row_framed, time_chunk, unchunk
-
-
-def _back(w, minutes):
-    return w.rangeBetween(-minutes * MINUTE, 0)
+from .chunked import CHUNK_ROWS, chunked, framed, numbered, prefix_scan, row_framed, time_chunk, unchunk
+from .sliding import Edge, Extreme, Moments, sliding, slope, std
 
 
 def time_stats(df, keys, us, x, minutes=(30, 60, 120)):
     """Mean, sample std (0 for one row) and max of the last n minutes, own row included."""
-    def exprs(w):
-        out = {}
-        for m in minutes:
-            f = _back(w, m)
-            out[f"mean_{m}"] = F.avg(x).over(f)
-            out[f"std_{m}"] = F.coalesce(F.stddev_samp(x).over(f), F.lit(0.0))
-            out[f"max_{m}"] = F.max(x).over(f)
-        return out
-    return framed(df, keys, us, [us], exprs, max(minutes) * MINUTE)
+    v = col(x)
+    specs = {k: p for m in minutes for k, p in ((f"_s{m}", (m, Moments(v))), (f"_x{m}", (m, Extreme("max", v))))}
+    d = sliding(df, keys, us, specs)
+    out = {}
+    for m in minutes:
+        s = F.col(f"_s{m}")
+        out.update({f"mean_{m}": s["x"], f"std_{m}": F.coalesce(std(s), F.lit(0.0)), f"max_{m}": F.col(f"_x{m}.v")})
+    return d.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def elapsed(us):
+    """Minutes within the day of 2024 that holds a time, small enough for exact moments."""
+    return (col(us) - F.lit(1_704_067_200_000_000)) / F.lit(float(MINUTE))
 
 
 def rate(df, keys, us, x, minutes, name):
     """Steep slope per hour (sample covariance / population variance) in a trailing frame."""
-    def exprs(w):
-        f = _back(w, minutes)
-        t = (F.col(us) - F.col("_c") * CHUNK_US) / F.lit(float(MINUTE))
-        v = F.var_pop(t).over(f)
-        return {name: F.when(F.count(x).over(f) >= 2, F.when(F.sqrt(v) < 0.001, 0.0).otherwise(
-            F.covar_samp(col(x), t).over(f) / F.nullif(v, F.lit(0.0)) * 60))}
-    return framed(df, keys, us, [us], exprs, minutes * MINUTE)
+    d = sliding(df, keys, us, {"_s": (minutes, Moments(elapsed(us), col(x)))})
+    return d.select(*df.columns, slope(F.col("_s")).alias(name))
 
 
 def acceleration(df, keys, us, x, minutes=30, min_rows=12):
@@ -46,9 +42,8 @@ def acceleration(df, keys, us, x, minutes=30, min_rows=12):
 
 def volatility(df, keys, us, x):
     """Std of the last 30/60 minutes, running range and coefficient of variation."""
-    def exprs(w):
-        return {f"vol_{m}": F.stddev_samp(x).over(_back(w, m)) for m in (30, 60)}
-    d = framed(df, keys, us, [us], exprs, 60 * MINUTE)
+    d = sliding(df, keys, us, {f"_v{m}": (m, Moments(col(x))) for m in (30, 60)})
+    d = d.select(*df.columns, *[std(F.col(f"_v{m}")).alias(f"vol_{m}") for m in (30, 60)])
     v = col(x)
     d = prefix_scan(d, keys, [us], time_chunk(us), {
         "_n": ("count", v), "_s": ("sum", v), "_ss": ("sum", v * v), "_mx": ("max", v), "_mn": ("min", v)})
@@ -92,49 +87,45 @@ def row_slope(df, keys, order, us, x, n=6):
 
 def meteo_window(df, keys, us):
     """Last value and 60-minute statistics of humidity, wind and cloud, with flags."""
-    def exprs(w):
-        f = _back(w, 60)
-        return {
-            "humidity_mean_60": F.avg("humidity").over(f),
-            "humidity_std_60": F.coalesce(F.stddev_samp("humidity").over(f), F.lit(0.0)),
-            "wind_max_60": F.max("wind").over(f), "cloud_mean_60": F.avg("cloud").over(f),
-            "high_humidity": (F.col("humidity") > 80).cast("int"), "strong_wind": (F.col("wind") > 15).cast("int"),
-            "high_cloud": (F.col("cloud") > 70).cast("int"), "clear_sky": (F.col("cloud") < 20).cast("int")}
-    return framed(df, keys, us, [us], exprs, 60 * MINUTE)
+    d = sliding(df, keys, us, {"_h": (60, Moments(F.col("humidity"))), "_w": (60, Extreme("max", F.col("wind"))), "_cl": (60, Moments(F.col("cloud")))})
+    return d.withColumns({
+        "humidity_mean_60": F.col("_h.x"), "humidity_std_60": F.coalesce(std(F.col("_h")), F.lit(0.0)),
+        "wind_max_60": F.col("_w.v"), "cloud_mean_60": F.col("_cl.x"),
+        "high_humidity": (F.col("humidity") > 80).cast("int"), "strong_wind": (F.col("wind") > 15).cast("int"),
+        "high_cloud": (F.col("cloud") > 70).cast("int"), "clear_sky": (F.col("cloud") < 20).cast("int")}).drop("_h", "_w", "_cl")
 
 
 def meteo_trends(df, keys, us):
     """First-to-last change of the last 60 minutes; NULL with fewer than two rows."""
-    def exprs(w):
-        f = _back(w, 60)
-        two = F.count(F.lit(1)).over(f) >= 2
-        ch = lambda c: F.last(c, True).over(f) - F.first(c, True).over(f)
-        return {"cloud_change": F.when(two, ch("cloud")), "humidity_change": F.when(two, ch("humidity")),
-                "wind_increasing": F.when(two, (ch("wind") > 2).cast("int"))}
-    return framed(df, keys, us, [us], exprs, 60 * MINUTE)
+    names = ("cloud", "humidity", "wind")
+    ends = {f"_{'l' if last else 'f'}_{c}": (60, Edge(c, us, last, known=True)) for c in names for last in (False, True)}
+    d = sliding(df, keys, us, {"_n": (60, Moments(F.lit(1.0))), **ends})
+    two = F.col("_n.n") >= 2
+    ch = lambda c: F.when(two, F.col(f"_l_{c}.v.v") - F.col(f"_f_{c}.v.v"))
+    return d.withColumns({"cloud_change": ch("cloud"), "humidity_change": ch("humidity"), "wind_increasing": F.when(two, (ch("wind") > 2).cast("int"))}).drop("_n", *ends)
 
 
 def meteo_advanced(df, keys, us):
     """Wet-bulb, wind-chill and cloud features at every row."""
     d = df.withColumns({"wb": meteo.wet_bulb("temp_f", "humidity"), "wc": meteo.wind_chill("temp_f", "wind")})
-
-    def exprs(w):
-        h, q = _back(w, 60), _back(w, 30)
-        n60, n30 = F.count(F.lit(1)).over(h), F.count(F.lit(1)).over(q)
-        secs = (F.col(us) - F.first(us).over(q)) / 1e6
-        rate = lambda c: F.when(n30 >= 2, (F.col(c) - F.first(c).over(q)) / F.nullif(secs, F.lit(0.0)) * 3600)
-        cold = F.col("temp_f") <= 50
-        vol = F.when(n60 > 1, F.stddev_samp("cloud").over(h))
-        d60 = F.when(n60 >= 2, F.col("cloud") - F.first("cloud").over(h))
-        return {
-            "wb_mean_60": F.avg("wb").over(h), "wb_depression": F.col("temp_f") - F.col("wb"),
-            "wb_depression_mean_60": F.avg(F.col("temp_f") - F.col("wb")).over(h), "high_wb": (F.col("wb") > 75).cast("int"),
-            "wb_rate_30": rate("wb"), "wc_last": F.when(cold, F.col("wc")), "wc_depression": F.when(cold, F.col("temp_f") - F.col("wc")),
-            "strong_wc": F.when(cold, (F.col("temp_f") - F.col("wc") > 10).cast("int")), "wc_mean_60": F.avg("wc").over(h),
-            "wc_rate_30": rate("wc"), "cloud_rate_30": F.when(n30 >= 2, (F.col("cloud") - F.first("cloud").over(q)) / 0.5),
-            "cloud_vol_60": vol, "cloud_stability": 1.0 - F.least(F.lit(1.0), vol / 100.0),
-            "clearing": (d60 < -20).cast("int"), "clouding": (d60 > 20).cast("int"), "cloud_regime": meteo.cloud_regime("cloud")}
-    return framed(d, keys, us, [us], exprs, 60 * MINUTE)
+    s = sliding(d, keys, us, {"_wb": (60, Moments(F.col("wb"))), "_dep": (60, Moments(F.col("temp_f") - F.col("wb"))), "_wc": (60, Moments(F.col("wc"))), "_cl": (60, Moments(F.col("cloud"))),
+                              "_n60": (60, Moments(F.lit(1.0))), "_n30": (30, Moments(F.lit(1.0))), "_f60": (60, Edge("cloud", us)),
+                              "_f30": (30, Edge(F.struct(F.col(us).alias("us"), "wb", "wc", "cloud"), us))})
+    n60, n30, first = F.col("_n60.n"), F.col("_n30.n"), F.col("_f30.v.v")
+    secs = (F.col(us) - first["us"]) / 1e6
+    rate = lambda c: F.when(n30 >= 2, (F.col(c) - first[c]) / F.nullif(secs, F.lit(0.0)) * 3600)
+    cold = F.col("temp_f") <= 50
+    vol = std(F.col("_cl"))
+    d60 = F.when(n60 >= 2, F.col("cloud") - F.col("_f60.v.v"))
+    return s.withColumns({
+        "wb_mean_60": F.col("_wb.x"), "wb_depression": F.col("temp_f") - F.col("wb"),
+        "wb_depression_mean_60": F.col("_dep.x"), "high_wb": (F.col("wb") > 75).cast("int"),
+        "wb_rate_30": rate("wb"), "wc_last": F.when(cold, F.col("wc")), "wc_depression": F.when(cold, F.col("temp_f") - F.col("wc")),
+        "strong_wc": F.when(cold, (F.col("temp_f") - F.col("wc") > 10).cast("int")), "wc_mean_60": F.col("_wc.x"),
+        "wc_rate_30": rate("wc"), "cloud_rate_30": F.when(n30 >= 2, (F.col("cloud") - first["cloud"]) / 0.5),
+        "cloud_vol_60": vol, "cloud_stability": 1.0 - F.least(F.lit(1.0), vol / 100.0),
+        "clearing": (d60 < -20).cast("int"), "clouding": (d60 > 20).cast("int"), "cloud_regime": meteo.cloud_regime("cloud")
+    }).drop("_wb", "_dep", "_wc", "_cl", "_n60", "_n30", "_f60", "_f30")
 
 
 def microstructure(candles, keys, us, minutes=15, bid="bid", ask="ask", min_rows=3, own_row=False):
@@ -172,14 +163,13 @@ def microstructure(candles, keys, us, minutes=15, bid="bid", ask="ask", min_rows
 
 def market_momentum(candles, keys, us, windows=(30, 60)):
     """Quote, spread, mid, bid change and volume of trailing windows; cumulative volume."""
-    def exprs(w):
-        out = {"spread": F.col("ask") - F.col("bid"), "mid": (F.col("ask") + F.col("bid")) / 2}
-        for m in windows:
-            f = _back(w, m)
-            out[f"bid_change_{m}"] = F.when(F.count(F.lit(1)).over(f) >= 2, F.col("bid") - F.first("bid").over(f))
-            out[f"volume_{m}"] = F.coalesce(F.sum("volume").over(f), F.lit(0))
-        out["recent_trade"] = (F.coalesce(F.sum("volume").over(_back(w, windows[0])), F.lit(0)) > 0).cast("int")
-        return out
-    d = framed(candles, keys, us, [us], exprs, max(windows) * MINUTE)
+    specs = {k: p for m in windows for k, p in ((f"_n{m}", (m, Moments(F.lit(1.0)))), (f"_f{m}", (m, Edge("bid", us))), (f"_v{m}", (m, Extreme("sum", F.col("volume")))))}
+    d = sliding(candles, keys, us, specs)
+    out = {"spread": F.col("ask") - F.col("bid"), "mid": (F.col("ask") + F.col("bid")) / 2}
+    for m in windows:
+        out[f"bid_change_{m}"] = F.when(F.col(f"_n{m}.n") >= 2, F.col("bid") - F.col(f"_f{m}.v.v"))
+        out[f"volume_{m}"] = F.coalesce(F.col(f"_v{m}.v"), F.lit(0))
+    out["recent_trade"] = (F.coalesce(F.col(f"_v{windows[0]}.v"), F.lit(0)) > 0).cast("int")
+    d = d.withColumns(out).drop(*specs)
     d = prefix_scan(d, keys, [us], time_chunk(us), {"cum_volume": ("sum", "volume")})
     return d.withColumn("momentum", F.col(f"bid_change_{windows[0]}") * 2)

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..features import build
 from ..features.groups import Inputs
+from ..functions.quality import valid_temp
 from ..functions.timeutil import DAY, HOUR, MINUTE
+from ..operators.fill import interpolate_small_gaps
 from ..operators.spine import event_spine
 from ..session import written
 
@@ -36,6 +38,18 @@ def hourly_dataset(events, ctx, min_obs=12, groups=None, lo=10, hi=23):
     return s.filter(F.col("num_samples_sofar") >= min_obs)
 
 
+def repaired(obs, limit=3):
+    """Observations of valid readings, short gaps of a day filled from both sides by at most
+    ``limit`` rows; what stays unknown is left out by the feature groups."""
+    o = interpolate_small_gaps(obs.withColumn("raw_f", F.when(valid_temp("raw_f"), F.col("raw_f"))), ["city", "day"], "us", "event_id", "raw_f", "_fixed", limit)
+    return o.withColumn("temp_f", F.col("_fixed")).drop("_fixed")
+
+
+def quarter_hours_dataset(events, ctx, min_obs=1, groups=None, lo=10, hi=23):
+    """Snapshots every fifteen minutes of the event day (the context's opening hour says which rows count)."""
+    return build(quarter_hours(events, lo, hi), ctx, groups).filter(F.col("num_samples_sofar") >= min_obs)
+
+
 def quarter_hours(events, lo=10, hi=23):
     d0 = F.datediff("event_date", F.lit("1970-01-01").cast("date")).cast("long") * DAY
     e = events.select("city", F.col("day").alias("event_date"))

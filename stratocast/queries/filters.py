@@ -151,10 +151,9 @@ def distinct_combos(t):
 
 
 @query("set_union_dates", "day d", """
-SELECT day FROM v_obs WHERE city = 'click' UNION SELECT day FROM v_run WHERE city = '1-URGENT'""")
+SELECT day FROM v_obs UNION SELECT day FROM v_run""")
 def set_union_dates(t):
-    return t.obs.filter("city = 'click'").select("day").union(
-        t.run.filter("city = '1-URGENT'").select("day")).distinct()
+    return t.obs.select("day").union(t.run.select("day")).distinct()
 
 
 @query("set_except", "city s, day d, lead i", """

@@ -19,13 +19,19 @@ def join_fcst_obs_hour(t):
     return J.forecast_with_hourly_obs(t.fcst_hourly, t.obs)
 
 
+def gaps(settle):
+    """Every ninth day of the settlements moved past the others: gaps without dropping a row."""
+    move = F.when(F.col("di") % 9 == 4, 40).otherwise(0)
+    return settle.withColumns({"day": F.date_add("day", move), "di": F.col("di") + move})
+
+
 @query("join_lags_left", "city s, day d, hour i, settle_f_lag1 i, settle_f_lag2 i, settle_f_lag7 i, vc_max_f_lag1 f", """
-WITH d AS (SELECT * FROM v_settle WHERE di % 9 <> 4)
+WITH d AS (SELECT city, CASE WHEN di % 9 = 4 THEN day + 40 ELSE day END AS day, settle_f, vc_max_f FROM v_settle)
 SELECT s.city, s.day, s.hour, a.settle_f AS settle_f_lag1, b.settle_f AS settle_f_lag2, c.settle_f AS settle_f_lag7, a.vc_max_f AS vc_max_f_lag1
 FROM v_snap s LEFT JOIN d x ON x.city = s.city AND x.day = s.day
 LEFT JOIN d a ON a.city = x.city AND a.day = x.day - 1 LEFT JOIN d b ON b.city = x.city AND b.day = x.day - 2 LEFT JOIN d c ON c.city = x.city AND c.day = x.day - 7""")
 def join_lags_left(t):
-    daily = t.settle.filter("di % 9 <> 4").select("city", "day", "settle_f", "vc_max_f")
+    daily = gaps(t.settle).select("city", "day", "settle_f", "vc_max_f")
     lags = J.lags_by_date(daily, ["city"], "day", ["settle_f", "vc_max_f"], [1, 2, 7]).drop("settle_f", "vc_max_f")
     return t.snap.select("city", "day", "hour").join(lags, ["city", "day"], "left")
 

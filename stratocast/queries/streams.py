@@ -16,7 +16,8 @@ N = F.lit
 
 
 def events(t):
-    return SRC.read_events(t.spark, t.dir)
+    """The event table as five micro-batches in the order of event time."""
+    return SRC.replayed_events(t.spark, t.events)
 
 
 @query("stream_raw_ingest", "id i, stream s, topic s, bad i", """
@@ -46,7 +47,7 @@ _ST = f"""SELECT mkt, arg_max(bid, us) FILTER (bid IS NOT NULL) AS bid, arg_max(
 SELECT s.*, h.n_hist, h.sum_bid FROM ({_ST}) s LEFT JOIN (SELECT mkt, count(*) AS n_hist, sum(bid) AS sum_bid FROM (SELECT * FROM ({_SQ}) WHERE bid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mkt ORDER BY us DESC, event_id DESC) <= 100) GROUP BY mkt) h USING (mkt)""")
 def stream_quote_state(t):
     q = SRC.quotes(events(t))
-    s = R.run_updates(t.spark, ST.latest_known(q, ["mkt"], ["bid", "ask", "volume"], ["us", "event_id"]), ["mkt"], "quote_state")
+    s = R.run_updates(t.spark, ST.latest_known(q, ["mkt"], ["bid", "ask", "volume"], ["us", "event_id"], "1 day"), ["mkt"], "quote_state")
     R.use_rocksdb(t.spark)
     h = R.run_to_parquet(t.spark, ST.price_history(q, "mkt"), "quote_history")
     h = h.groupBy("mkt").agg(F.max_by(F.struct("n_hist", "sum_bid"), F.struct("newest_us", "n_hist")).alias("h")).select("mkt", "h.*")
@@ -82,7 +83,8 @@ def stream_lifecycle_state(t):
 @query("stream_first_seen", "mkt s, first_us u, first_id i", f"SELECT mkt, min(us) AS first_us, arg_min(event_id, us) AS first_id FROM ({_SQ}) GROUP BY mkt")
 def stream_first_seen(t):
     """First open event of each market, once, however late duplicates arrive."""
-    s = SRC.quotes(events(t)).groupBy("mkt").agg(F.min("us").alias("first_us"), F.min_by("event_id", F.struct("us", "event_id")).alias("first_id"))
+    s = ST.per_event_day(SRC.quotes(events(t)), ["mkt"]).agg(F.min("us").alias("first_us"), F.min_by("event_id", F.struct("us", "event_id")).alias("first_id"))
+    s = s.select("mkt", "first_us", "first_id")
     return R.run_updates(t.spark, s, ["mkt"], "first_seen")
 
 
@@ -144,7 +146,7 @@ def stream_static_enrich(t):
 
 def market_snapshot(t):
     q = SRC.quotes(events(t))
-    s = R.run_updates(t.spark, ST.latest_known(q, ["mkt"], ["bid", "ask", "volume"], ["us", "event_id"]), ["mkt"], "snapshot_state")
+    s = R.run_updates(t.spark, ST.latest_known(q, ["mkt"], ["bid", "ask", "volume"], ["us", "event_id"], "1 day"), ["mkt"], "snapshot_state")
     return s.join(t.market, "mkt")
 
 

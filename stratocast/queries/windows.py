@@ -11,17 +11,18 @@ from ..operators import fill, rolling
 from ..operators.chunked import numbered, prefix_scan, runs, time_chunk
 from ..operators.joins import lags_by_date
 from .aggregates import _BAD
+from .joins import gaps
 from .registry import query
 
 N = F.lit
 
 
 def daily(t):
-    return t.settle.filter("di % 9 <> 4").select("city", "day", "di", "settle_f", "vc_max_f")
+    return gaps(t.settle).select("city", "day", "di", "settle_f", "vc_max_f")
 
 
 @query("win_lag_rows", "city s, day d, lag1 i, lag2 i, lag7 i", """
-SELECT city, day, lag(settle_f) OVER w AS lag1, lag(settle_f, 2) OVER w AS lag2, lag(settle_f, 7) OVER w AS lag7 FROM v_settle WHERE di % 9 <> 4 WINDOW w AS (PARTITION BY city ORDER BY day)""")
+SELECT city, day, lag(settle_f) OVER w AS lag1, lag(settle_f, 2) OVER w AS lag2, lag(settle_f, 7) OVER w AS lag7 FROM (SELECT city, CASE WHEN di % 9 = 4 THEN day + 40 ELSE day END AS day, settle_f FROM v_settle) WINDOW w AS (PARTITION BY city ORDER BY day)""")
 def win_lag_rows(t):
     """One row per (city, day): bounded by the calendar."""
     w = Window.partitionBy("city").orderBy("day")
@@ -29,7 +30,7 @@ def win_lag_rows(t):
 
 
 @query("win_lag_calendar", "city s, day d, settle_f_lag1 i, settle_f_lag2 i, settle_f_lag7 i", """
-WITH d AS (SELECT * FROM v_settle WHERE di % 9 <> 4) SELECT x.city, x.day, a.settle_f AS settle_f_lag1, b.settle_f AS settle_f_lag2, c.settle_f AS settle_f_lag7 FROM d x
+WITH d AS (SELECT city, CASE WHEN di % 9 = 4 THEN day + 40 ELSE day END AS day, settle_f FROM v_settle) SELECT x.city, x.day, a.settle_f AS settle_f_lag1, b.settle_f AS settle_f_lag2, c.settle_f AS settle_f_lag7 FROM d x
 LEFT JOIN d a ON a.city = x.city AND a.day = x.day - 1 LEFT JOIN d b ON b.city = x.city AND b.day = x.day - 2 LEFT JOIN d c ON c.city = x.city AND c.day = x.day - 7""")
 def win_lag_calendar(t):
     return lags_by_date(daily(t), ["city"], "day", ["settle_f"], [1, 2, 7])
@@ -243,13 +244,13 @@ def win_interpolate_positional(t):
 
 
 @query("win_interpolate_time", "city s, us u, cc f, regime s, regime_code i, clear_flag i", """
-WITH h AS (SELECT city, us, avg(cloud) AS v FROM (SELECT city, us, cloud FROM v_fcst_hourly WHERE hour % 3 = 0 UNION ALL SELECT city, us, cloud + 2 FROM v_fcst_hourly WHERE hour % 6 = 0) GROUP BY ALL),
+WITH h AS (SELECT city, us, avg(cloud) AS v FROM (SELECT city, us, cloud FROM v_fcst_hourly UNION ALL SELECT city, us, cloud + 2 FROM v_fcst_hourly) GROUP BY ALL),
 u AS (SELECT DISTINCT city, us FROM (SELECT city, us FROM v_snap UNION ALL SELECT city, us FROM h)), n AS (SELECT u.city, u.us, h.v, row_number() OVER (PARTITION BY u.city ORDER BY u.us) AS rn FROM u LEFT JOIN h USING (city, us)), k AS (SELECT * FROM n WHERE v IS NOT NULL),
 j AS (SELECT n.city, n.us, n.rn, a.rn AS r0, a.v AS v0, b.rn AS r1, b.v AS v1 FROM n ASOF LEFT JOIN k a ON n.city = a.city AND n.rn >= a.rn ASOF LEFT JOIN k b ON n.city = b.city AND n.rn <= b.rn),
 c AS (SELECT s.city, s.us, CASE WHEN r0 IS NULL THEN v1 WHEN r1 IS NULL OR r1 = r0 THEN v0 ELSE v0 + (rn - r0) * 1.0e0 / (r1 - r0) * (v1 - v0) END AS cc FROM v_snap s JOIN j ON s.city = j.city AND s.us = j.us)
 SELECT *, CASE WHEN cc <= 20 THEN 'clear' WHEN cc <= 70 THEN 'partly' WHEN cc <= 101 THEN 'overcast' END AS regime, CASE WHEN cc < 20 THEN 0 WHEN cc < 70 THEN 1 ELSE 2 END AS regime_code, (cc < 20)::INT AS clear_flag FROM c""")
 def win_interpolate_time(t):
-    h = t.fcst_hourly.filter("hour % 3 = 0").select("city", "us", "cloud").union(t.fcst_hourly.filter("hour % 6 = 0").select("city", "us", F.col("cloud") + 2))
+    h = t.fcst_hourly.select("city", "us", "cloud").union(t.fcst_hourly.select("city", "us", F.col("cloud") + 2))
     c = fill.interpolate_positional(t.snap.select("city", "us"), h, ["city"], "us", "us", "cloud", "cc")
     return c.withColumns({"regime": cloud_bins("cc"), "regime_code": cloud_regime("cc"), "clear_flag": F.col("cc") < 20})
 

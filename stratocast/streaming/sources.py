@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import MINUTE, epoch_us
+from ..session import scratch
 from ..sources.readers import SCHEMAS
 
 
@@ -13,6 +14,29 @@ def read_events(spark, base, files_per_trigger=50):
     return s.withColumns({"us": epoch_us("ts"), "ets": F.timestamp_micros(epoch_us("ts"))})
 
 
+def replay(spark, table, time, parts=5):
+    """A stored table as a stream of ``parts`` micro-batches in the order of ``time``.
+
+    Equal slices by count (their borders from one quantile sketch) are written one after the
+    other as files of a new folder, which a file stream then takes one slice at a time; rows
+    within a slice arrive in any order.
+    """
+    borders = table.agg(F.percentile_approx(time, F.array(*[F.lit(i / parts) for i in range(1, parts)]))).first()[0] or []
+    folder = scratch(spark, "replay")
+    slot = F.lit(0)
+    for b in sorted(set(borders)):
+        slot = slot + (F.col(time) > b).cast("int")
+    for i in range(len(set(borders)) + 1):
+        table.where(slot == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def replayed_events(spark, events, parts=5):
+    """The event table replayed in the order of its event time, columns as of ``read_events``."""
+    with_us = events.withColumn("us", epoch_us("ts"))
+    return replay(spark, with_us, "us", parts).withColumn("ets", F.timestamp_micros("us"))
+
+
 def quotes(events):
     """Quote messages; absent fields are NULL."""
     e = F.col("event_id")

@@ -4,26 +4,38 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.timeutil import MINUTE
+from ..functions.timeutil import DAY, MINUTE
 from ..sources.upsert import latest
 
 HISTORY = 100
 
 
-def latest_known(stream, keys, fields, order):
+def per_event_day(stream, keys, late="1 day"):
+    """Grouping of messages that belong to one event day per key (a market does): state of a
+    day goes when the watermark has passed its end, messages that come later still are dropped."""
+    return stream.withWatermark("ets", late).groupBy(F.window("ets", "1 day"), *keys)
+
+
+def latest_known(stream, keys, fields, order, late=None):
     """Newest non-NULL value of every field per key, whatever the arrival order.
 
-    One state row per key; partial aggregates are combined before the shuffle.
+    One state row per key; partial aggregates are combined before the shuffle. ``late``: how
+    long after its event day a key is kept (``per_event_day``), None for ever.
     """
     pos = F.struct(*order)
-    return stream.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), pos)).alias(f) for f in fields],
-                                     F.max(order[0]).alias("last_us"), F.count(F.lit(1)).alias("n_msgs"))
+    groups = stream.groupBy(*keys) if late is None else per_event_day(stream, keys, late)
+    return groups.agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), pos)).alias(f) for f in fields],
+                      F.max(order[0]).alias("last_us"), F.count(F.lit(1)).alias("n_msgs")).select(*keys, *fields, "last_us", "n_msgs")
 
 
 class PriceHistory(StatefulProcessor):
-    """Keeps the newest ``HISTORY`` prices of a key, by time; arrival order does not matter."""
+    """Keeps the newest ``HISTORY`` prices of a market, by time; arrival order does not matter.
+
+    A timer at the end of the market's event day, in event time, drops its state.
+    """
 
     def init(self, handle):
+        self.handle = handle
         self.prices = handle.getValueState("prices", "us array<bigint>, id array<bigint>, bid array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -34,18 +46,25 @@ class PriceHistory(StatefulProcessor):
             kept = pdf if kept.empty else pd.concat([kept, pdf]) if len(pdf) else kept
             kept = kept.sort_values(["us", "event_id"]).tail(HISTORY)
         if len(kept):
+            if not held[0]:
+                self.handle.registerTimer(int(kept["us"].iloc[0]) // DAY * (DAY // 1000) + DAY // 1000)
             self.prices.update((kept["us"].astype("int64").tolist(), kept["event_id"].astype("int64").tolist(), kept["bid"].astype(float).tolist()))
             yield pd.DataFrame({"mkt": [key[0]], "n_hist": [len(kept)], "sum_bid": [float(kept["bid"].sum())],
                                 "newest_us": [int(kept["us"].iloc[-1])]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.prices.clear()
+        yield from ()
+
     def close(self):
         pass
 
 
-def price_history(stream, key):
-    return stream.select(key, "us", "event_id", F.col("bid").cast("double").alias("bid")).groupBy(key).transformWithStateInPandas(
+def price_history(stream, key, late="1 day"):
+    s = stream.withWatermark("ets", late).select(key, "us", "ets", "event_id", F.col("bid").cast("double").alias("bid"))
+    return s.groupBy(key).transformWithStateInPandas(
         PriceHistory(), outputStructType=f"{key} string, n_hist long, sum_bid double, newest_us long",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 def merge_days(spark, df, batch_id, root, keys, version, day):
