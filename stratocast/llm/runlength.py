@@ -237,9 +237,10 @@ class Scan:
 
     def crowded(self, inverse, n, least):
         """(anchors with over ``least`` stretches in this chunk, how many distinct ones each has)."""
-        many = np.flatnonzero(np.bincount(inverse, minlength=n) > least)
-        at = np.flatnonzero(np.isin(inverse, many))
-        code = np.searchsorted(many, inverse[at])
+        crowded = np.bincount(inverse, minlength=n) > least
+        many = np.flatnonzero(crowded)
+        at = np.flatnonzero(crowded[inverse])
+        code = (np.cumsum(crowded) - 1)[inverse[at]]
         h = self.ranges(self.first[at], self.last[at])
         order = np.lexsort((h, code))
         new = np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (h[order][1:] != h[order][:-1])]) if len(at) else np.zeros(0, bool)
