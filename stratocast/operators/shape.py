@@ -11,7 +11,7 @@ just this base. All scans share one shuffle.
 from pyspark.sql import functions as F
 
 from ..session import written
-from .chunked import chunked, prefix_scan, row_lag, time_chunk
+from .chunked import chunked, prefix_scan, row_lag, time_chunk, unchunk
 
 
 def running_shape(rows, keys, x, order=("us", "event_id"), step=5, plateau_rows=4, lag=6):
@@ -27,12 +27,11 @@ def running_shape(rows, keys, x, order=("us", "event_id"), step=5, plateau_rows=
     keys, order = list(keys), list(order)
     v, n = F.col(x), F.col("_n")
     k = F.bround(v, 0).cast("long")
-    scan = lambda d, specs: prefix_scan(d, keys, order, time_chunk(order[0]), specs).drop("_k", "_c")
+    scan = lambda d, specs: prefix_scan(d, keys, order, "_c", specs)
     d = row_lag(chunked(rows.where(v.isNotNull()), keys, time_chunk(order[0])), order, x, lag, "_lag_n")
     rise = v - F.col("_lag_n")
-    d = prefix_scan(d, keys, order, "_c", {"_n": ("count", v), "_m": ("max", v), "_m0": ("max_before", v), "_k0": ("prev", k),
-                 "slope_max_30min_up_sofar": ("max", rise), "slope_max_30min_down_sofar": ("min", rise)}).drop("_lag_n", "_k", "_c")
-    d = written(d, "shape-max")
+    d = scan(d, {"_n": ("count", v), "_m": ("max", v), "_m0": ("max_before", v), "_k0": ("prev", k),
+                 "slope_max_30min_up_sofar": ("max", rise), "slope_max_30min_down_sofar": ("min", rise)}).drop("_lag_n")
     d = d.withColumns({"_b": F.bround("_m", 0).cast("long"), "_b0": F.bround("_m0", 0).cast("long")})
     b, b0 = F.col("_b"), F.col("_b0")
     first = b0.isNull() | (b != b0)
@@ -41,24 +40,23 @@ def running_shape(rows, keys, x, order=("us", "event_id"), step=5, plateau_rows=
                  "_break1": ("last", F.when(hit1 == 0, n)), "_start": ("last", F.when(first, n)), "_start0": ("prev", F.when(first, n)),
                  "_second": ("max", F.when(F.col("_m0").isNotNull(), F.least(v, "_m0"))), "_top": ("last", F.when(F.col("_m0").isNull() | (v > F.col("_m0")), n)),
                  "_held": ("last", F.when(F.col("_k0").isNull() | (k != F.col("_k0")), n))})
-    d = written(d, "shape-segments")
+    d = written(d.drop("_k", "_c"), "shape-segments")
     # Hits before the segment, and before the segment that ended with the row before.
     before, before1 = F.when(first, F.col("_hits") - hit), F.when(first, F.col("_hits1") - hit1)
     d = chunked(d, keys, time_chunk(order[0]))
-    d = prefix_scan(d, keys, order, "_c", {"_base_hits": ("last", before), "_base_hits0": ("prev", before), "_base_hits1": ("last", before1),
+    d = scan(d, {"_base_hits": ("last", before), "_base_hits0": ("prev", before), "_base_hits1": ("last", before1),
                  "_plateau": ("max", F.when(n - F.col("_held") + 1 >= plateau_rows, k))})
     run = n - F.greatest("_break", F.col("_start") - 1)
     run1 = n - F.greatest("_break1", F.col("_start") - 1)
     unbroken = F.coalesce(F.col("_break1") < F.col("_start"), F.lit(True))
     # As the base never falls, the greatest (base, length) belongs to the present segment.
     best = lambda c: F.struct(b.alias("b"), c.alias("n"))
-    d = prefix_scan(d, keys, order, "_c", {"_run": ("max", best(run)), "_run0": ("max_before", best(run)), "_run1": ("max", best(run1)),
-                                           "_lead": ("max", best(F.when(unbroken, run1).otherwise(0)))}).drop("_k", "_c")
-    d = written(d, "shape-runs")
+    d = scan(d, {"_run": ("max", best(run)), "_run0": ("max_before", best(run)), "_run1": ("max", best(run1)), "_lead": ("max", best(F.when(unbroken, run1).otherwise(0)))})
+    d = chunked(written(d.drop("_k", "_c"), "shape-runs"), keys, time_chunk(order[0]))
     ended = F.struct((n - 1 - F.greatest("_break0", F.col("_start0") - 1)).alias("run"), F.col("_run0.n").alias("best"),
                      (F.col("_hits") - hit - F.col("_base_hits0")).alias("hits"))
     none = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("hits"))
-    d = scan(d, {"_past": ("last", F.when(first, F.when(b0 == b - 1, ended).otherwise(none)))})
+    d = unchunk(scan(d, {"_past": ("last", F.when(first, F.when(b0 == b - 1, ended).otherwise(none)))}))
     two = lambda c: F.when(n >= 2, c)
     edge = F.greatest(F.lit(1), F.floor(n / 10))
     d = d.withColumns({

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,9 +46,42 @@ def shared_dir(spark):
     return _LOCAL[app]
 
 
+_SCOPES = []
+
+
 def scratch(spark, label):
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, noted by the innermost open scope."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark):
+    """Whatever is written below the shared folder in this scope is removed at its end.
+
+    For a job that commits its result elsewhere: inside, build and write; outside, no frame
+    built inside may be read again. Yields the list of paths. A job that fails removes them
+    too; what a lost driver leaves behind goes with the shared folder.
+    """
+    paths = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            at = hadoop.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def commit(spark, make, path, mode="error"):
+    """Write ``make()`` to ``path`` and remove the intermediate tables it needed."""
+    with intermediates(spark):
+        make().write.mode(mode).parquet(path)
+    return spark.read.parquet(path)
 
 
 def written(df, label):
