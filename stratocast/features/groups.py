@@ -75,9 +75,9 @@ def clock(s, ctx):
     return s.withColumns({"hour": F.col("snapshot_hour"), "day_fraction": F.col("minutes_since_midnight") / 1440.0})
 
 
-@feature_group("observed", "series")
-def observed(ctx):
-    """Partial-day, momentum, volatility, quality and weather features of the newest observation."""
+@feature_group("trailing", "series")
+def trailing(ctx):
+    """Momentum, volatility and weather of the newest observation and of the minutes before it."""
     o = ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "event_id", "temp_f", "humidity", "wind", "gust", "cloud")
     o = o.withColumns({"wb": meteo.wet_bulb("temp_f", "humidity"), "wc": meteo.wind_chill("temp_f", "wind")})
 
@@ -106,7 +106,27 @@ def observed(ctx):
     o = written(o.withColumns(out).drop(*specs), "observed-trailing")
     past = o.select("city", "us", F.col("temp_rate_last_30min").alias("r"))
     o = asof(o, past, ["city"], F.col("us") - 30 * MINUTE, "us", {"_rate_past": "r"}).drop("match_us")
-    o = event_rows(o, ctx.open_hour)
+    v = F.col("temp_f")
+    o = o.withColumns({
+        "humidity_last_obs": F.col("humidity"), "windspeed_last_obs": F.col("wind"), "cloudcover_last_obs": F.col("cloud"),
+        "high_humidity_flag": (F.col("humidity") > 80).cast("int"), "strong_wind_flag": (F.col("wind") > 15).cast("int"),
+        "high_cloud_flag": (F.col("cloud") > 70).cast("int"), "clear_sky_flag": (F.col("cloud") < 20).cast("int"),
+        "wetbulb_last_obs": F.col("wb"), "wetbulb_depression": v - F.col("wb"), "high_wetbulb_flag": (F.col("wb") > 75).cast("int"),
+        "windchill_last_obs": F.when(v <= 50, F.col("wc")), "cloud_regime": meteo.cloud_regime("cloud"),
+        "cloud_stability_score": F.when(F.col("cloudcover_volatility_60min").isNotNull(), 1 - F.least(F.lit(1.0), F.col("cloudcover_volatility_60min") / 100)),
+        "clearing_trend_flag": (F.col("cloudcover_change_last_60min") < -20).cast("int"),
+        "clouding_trend_flag": (F.col("cloudcover_change_last_60min") > 20).cast("int"),
+        "windchill_depression": F.when(v <= 50, v - F.col("wc")), "strong_windchill_flag": F.when(v <= 50, (v - F.col("wc") > 10).cast("int")),
+        "_acceleration": F.col("temp_rate_last_30min") - F.col("_rate_past")})
+    drop = {"city", "day", "us", "event_id", "humidity", "wind", "gust", "cloud", "wb", "wc", "temp_f", "_rate_past"}
+    cols = {c: c for c in o.columns if c not in drop}
+    return Source(event_rows(o, ctx.open_hour).select(*KEY, "us", "event_id", *cols), "us", cols, tie="event_id", inclusive=ctx.inclusive)
+
+
+@feature_group("observed", "series")
+def observed(ctx):
+    """Partial-day statistics and quality of the observations so far."""
+    o = event_rows(ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "event_id", "temp_f"), ctx.open_hour).drop("day")
     v, h = F.col("temp_f"), F.floor(F.pmod(F.col("us"), F.lit(DAY)) / HOUR)
     o = chunked(o, KEY, time_chunk("us"))
     part = lambda c: ("max", F.when(c, v))
@@ -118,6 +138,7 @@ def observed(ctx):
         "max_morning_f_sofar": part(h < 12), "max_afternoon_f_sofar": part((h >= 12) & (h < 17)), "max_evening_f_sofar": part(h >= 17),
         "pred_c_first_sofar": ("max", X.via_celsius(v)), "_first": ("min", F.col("us")), "_prev": ("prev", F.col("us")),
         **{f"_w{m}": ("sum", grow(m)) for m in (30, 60)}, **{f"_wx{m}": ("sum", grow(m) * v) for m in (30, 60)}})
+    o = chunked(written(unchunk(o), "observed-totals"), KEY, time_chunk("us"))
     near = F.when(F.abs(v - F.col("vc_max_f_sofar")) < 0.01, F.col("us"))
     o = unchunk(prefix_scan(o, KEY, ["us", "event_id"], "_c", {"_at": ("last", near), "_gap": ("max", F.col("us") - F.col("_prev")),
         "hours_observed": ("sum", F.when(F.floor(F.col("_prev") / HOUR) == F.floor(F.col("us") / HOUR), 0).otherwise(1))}))
@@ -135,16 +156,6 @@ def observed(ctx):
         "hours_coverage_fraction": F.col("hours_observed") / 38.0,
         "max_gap_minutes": F.col("_gap") / F.lit(float(MINUTE)),
         "pred_max_round_sofar": base.cast("long"), "pred_ceil_max_sofar": F.ceil("vc_max_f_sofar"), "pred_floor_max_sofar": F.floor("vc_max_f_sofar"),
-        "humidity_last_obs": F.col("humidity"), "windspeed_last_obs": F.col("wind"), "cloudcover_last_obs": F.col("cloud"),
-        "high_humidity_flag": (F.col("humidity") > 80).cast("int"), "strong_wind_flag": (F.col("wind") > 15).cast("int"),
-        "high_cloud_flag": (F.col("cloud") > 70).cast("int"), "clear_sky_flag": (F.col("cloud") < 20).cast("int"),
-        "wetbulb_last_obs": F.col("wb"), "wetbulb_depression": v - F.col("wb"), "high_wetbulb_flag": (F.col("wb") > 75).cast("int"),
-        "windchill_last_obs": F.when(v <= 50, F.col("wc")), "cloud_regime": meteo.cloud_regime("cloud"),
-        "cloud_stability_score": F.when(F.col("cloudcover_volatility_60min").isNotNull(), 1 - F.least(F.lit(1.0), F.col("cloudcover_volatility_60min") / 100)),
-        "clearing_trend_flag": (F.col("cloudcover_change_last_60min") < -20).cast("int"),
-        "clouding_trend_flag": (F.col("cloudcover_change_last_60min") > 20).cast("int"),
-        "windchill_depression": F.when(v <= 50, v - F.col("wc")), "strong_windchill_flag": F.when(v <= 50, (v - F.col("wc") > 10).cast("int")),
-        "temp_acceleration": F.when(n >= 12, F.col("temp_rate_last_30min") - F.col("_rate_past")),
         "last_temp_f": v})
     drop = {"day", "us", "event_id", "humidity", "wind", "gust", "cloud", "wb", "wc", "temp_f", *KEY}
     cols = {c: c for c in o.columns if c not in drop and not c.startswith("_")}
@@ -168,6 +179,14 @@ def quantiles(s, ctx):
     return q.select(*KEY, "us", *[F.col("q")[i].alias(f"vc_q{int(p * 100)}_f_sofar") for i, p in enumerate(ps)])
 
 
+@feature_group("acceleration")
+def acceleration(s, ctx):
+    """Change of the half-hour slope, once an hour of samples has been seen."""
+    if "_acceleration" not in s.columns or "num_samples_sofar" not in s.columns:
+        return s
+    return s.withColumn("temp_acceleration", F.when(F.col("num_samples_sofar") >= 12, F.col("_acceleration"))).drop("_acceleration")
+
+
 @feature_group("rules")
 def rules(s, ctx):
     p = ["pred_max_round_sofar", "pred_ceil_max_sofar", "pred_floor_max_sofar", "pred_c_first_sofar", "pred_plateau_20min_sofar"]

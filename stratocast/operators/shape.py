@@ -31,7 +31,8 @@ def running_shape(rows, keys, x, order=("us", "event_id"), step=5, plateau_rows=
     d = row_lag(chunked(rows.where(v.isNotNull()), keys, time_chunk(order[0])), order, x, lag, "_lag_n")
     rise = v - F.col("_lag_n")
     d = scan(d, {"_n": ("count", v), "_m": ("max", v), "_m0": ("max_before", v), "_k0": ("prev", k),
-                 "slope_max_30min_up_sofar": ("max", rise), "slope_max_30min_down_sofar": ("min", rise)}).drop("_lag_n")
+                 "slope_max_30min_up_sofar": ("max", rise), "slope_max_30min_down_sofar": ("min", rise)}).drop("_lag_n", "_k", "_c")
+    d = chunked(written(d, "shape-max"), keys, time_chunk(order[0]))
     d = d.withColumns({"_b": F.bround("_m", 0).cast("long"), "_b0": F.bround("_m0", 0).cast("long")})
     b, b0 = F.col("_b"), F.col("_b0")
     first = b0.isNull() | (b != b0)

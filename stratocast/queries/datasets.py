@@ -136,14 +136,14 @@ def dataset_market_clock(t):
 _NUMERIC = [c.split()[0] for c in _SNAP_COLUMNS.split(", ")]
 
 
-@query("dataset_market_clock_columns", "column_name s, n_present i, total h", f"""
+@query("dataset_market_clock_columns", "column_name s, n_present i, mean h", f"""
 WITH d AS MATERIALIZED (SELECT * FROM ({_snap(456, 5)}) WHERE num_samples_sofar >= 1)
-""" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_present, sum({c}::DOUBLE) AS total FROM d" for c in _NUMERIC))
+""" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_present, avg({c}::DOUBLE) AS mean FROM d" for c in _NUMERIC))
 def dataset_market_clock_columns(t):
-    """Values and their sum of every compared column of the five-minute dataset, all events."""
+    """Values and their mean of every compared column of the five-minute dataset, all events."""
     d = D.market_clock_dataset(t.settle, D.inputs(t), 5)
-    a = d.agg(*[F.struct(F.count(c).alias("n"), F.sum(F.col(c).cast("double")).alias("s")).alias(f"_{i}") for i, c in enumerate(_NUMERIC)])
-    cells = F.array(*[F.struct(N(c).alias("column_name"), F.col(f"_{i}.n").alias("n_present"), F.col(f"_{i}.s").alias("total")) for i, c in enumerate(_NUMERIC)])
+    a = d.agg(*[F.struct(F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("s")).alias(f"_{i}") for i, c in enumerate(_NUMERIC)])
+    cells = F.array(*[F.struct(N(c).alias("column_name"), F.col(f"_{i}.n").alias("n_present"), F.col(f"_{i}.s").alias("mean")) for i, c in enumerate(_NUMERIC)])
     return a.select(F.explode(cells).alias("c")).select("c.*")
 
 

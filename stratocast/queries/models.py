@@ -17,7 +17,7 @@ NUM = ["vc_max_f_sofar", "vc_mean_f_sofar", "fcst_prev_max_f", "temp_mean_last_6
 
 def training_rows(t):
     """Hourly snapshots with the clipped older label, written once for all fits."""
-    d = D.hourly_dataset(t.settle, D.inputs(t), 5, groups=["clock", "observed", "forecast", "market", "derived", "labels"])
+    d = D.hourly_dataset(t.settle, D.inputs(t), 5, groups=["clock", "trailing", "observed", "forecast", "market", "derived", "labels"])
     d = d.select("city", F.col("event_date").alias("day"), "us", *[F.col(c).cast("double").alias(c) for c in NUM],
                  F.greatest(N(-3), F.least(N(3), F.col("delta_obs"))).cast("int").alias("y"))
     return written(d, "training").filter("y IS NOT NULL")
