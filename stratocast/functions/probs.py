@@ -46,12 +46,6 @@ def temp_map(p, classes, base):
     return F.map_from_arrays(F.transform(col(classes), lambda k: k + b), col(p))
 
 
-def prefix_sums(p):
-    """[0, p1, p1+p2, ...]"""
-    return F.aggregate(col(p), F.array(F.lit(0.0)),
-                       lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-
 def shortest_interval(p, classes, level):
     """Narrowest (lo, hi) class pair with mass >= level; the lowest start wins ties.
 

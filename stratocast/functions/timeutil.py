@@ -39,12 +39,6 @@ def day_index(day, origin="2024-01-01"):
     return F.datediff(col(day), F.lit(origin).cast("date"))
 
 
-def floor_us(us, step):
-    """Start of the fixed-width bucket that holds ``us``."""
-    us = col(us)
-    return us - F.pmod(us, F.lit(step))
-
-
 def floor_minutes(ts, n):
     """Floor a timestamp to an ``n``-minute wall-clock grid within the hour."""
     ts = col(ts)

@@ -10,7 +10,3 @@ def event_spine(events, day, step_min=5, open_hour=10):
     d0 = epoch_us(F.col(day).cast("timestamp_ntz"))
     grid = F.sequence(d0 - DAY + open_hour * HOUR, d0 + 23 * HOUR + 55 * MINUTE, F.lit(step_min * MINUTE))
     return events.select("*", F.explode(grid).alias("us"))
-
-
-def minute_grid(df, lo, hi, step=MINUTE):
-    return df.select("*", F.explode(F.sequence(F.col(lo), F.col(hi), F.lit(step))).alias("grid_us"))
