@@ -14,13 +14,15 @@ def read_events(spark, base, files_per_trigger=50):
     return s.withColumns({"us": epoch_us("ts"), "ets": F.timestamp_micros(epoch_us("ts"))})
 
 
-def replay(spark, table, time, parts=5):
-    """A stored table as a stream of ``parts`` micro-batches in the order of ``time``.
+def replay(spark, table, time, parts=5, most=5_000_000):
+    """A stored table as a stream of ``parts`` micro-batches in the order of ``time``, or of as
+    many as keep a batch to about ``most`` rows.
 
     Equal slices by count (their borders from one quantile sketch) are written one after the
     other as files of a new folder, which a file stream then takes one slice at a time; rows
     within a slice arrive in any order.
     """
+    parts = max(parts, -(-table.count() // most))
     borders = table.agg(F.percentile_approx(time, F.array(*[F.lit(i / parts) for i in range(1, parts)]))).first()[0] or []
     folder = scratch(spark, "replay")
     slot = F.lit(0)
