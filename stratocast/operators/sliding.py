@@ -162,6 +162,11 @@ def std(s):
     return F.when(s["n"] > 1, F.sqrt(F.greatest(s["xx"], F.lit(0.0)) * s["n"] / (s["n"] - 1)))
 
 
-def slope(s):
-    """Sample covariance over population variance of time (x), per hour; 0 without spread, NULL below two rows."""
-    return F.when(s["n"] >= 2, F.when(F.sqrt(s["xx"]) < 0.001, 0.0).otherwise(s["xy"] * s["n"] / (s["n"] - 1) / F.nullif(s["xx"], F.lit(0.0)) * 60))
+def slope(s, still=0.001):
+    """Sample covariance over population variance of time (x), per hour; NULL below two rows.
+
+    0 where the deviation of time (minutes) is below ``still``; with None every spread counts,
+    and rows of one time have no slope: NaN, as 0 / 0 is in SQL.
+    """
+    flat = F.when(s["xx"] == 0, float("nan")) if still is None else F.when(F.sqrt(s["xx"]) < still, 0.0)
+    return F.when(s["n"] >= 2, flat.otherwise(s["xy"] * s["n"] / (s["n"] - 1) / F.nullif(s["xx"], F.lit(0.0)) * 60))

@@ -24,6 +24,12 @@ def _columns(spec):
     return [tuple(c.split()) for c in spec.split(",")]
 
 
+def _nudged(c, scale):
+    """Nearest place, ties up; beyond whole numbers (NaN and infinity too) floor changes nothing, while Spark's would end at a long."""
+    y = c.cast("double") * scale + 0.5001
+    return F.when(F.abs(y) < float(1 << 53), F.floor(y)).otherwise(y) / F.lit(scale)
+
+
 def _spark_project(df, cols):
     out = []
     for name, k in cols:
@@ -31,9 +37,9 @@ def _spark_project(df, cols):
         if k == "i":
             c = c.cast("long")
         elif k == "f":
-            c = F.floor(c.cast("double") * 1e6 + 0.5001) / F.lit(1e6)
+            c = _nudged(c, 1e6)
         elif k == "h":
-            c = F.floor(c.cast("double") * 1e3 + 0.5001) / F.lit(1e3)
+            c = _nudged(c, 1e3)
         elif k == "d":
             c = F.date_format(c, "yyyy-MM-dd")
         elif k == "t":

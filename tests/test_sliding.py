@@ -1,5 +1,6 @@
 """Trailing frames by windows and by merged partials against plain loops."""
 
+import math
 import random
 
 import numpy as np
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratocast.functions.timeutil import MINUTE
-from stratocast.operators.rolling import elapsed, time_stats
+from stratocast.operators.rolling import acceleration, elapsed, time_stats
 from stratocast.operators.sliding import Edge, Extreme, Moments, dense, sliding, slope, std
+from stratocast.queries.registry import _spark_project
 
 
 def rows_of(seed, n=500):
@@ -75,3 +77,20 @@ def test_both_ways_agree_and_density_decides(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "city string, us long, x double")
     assert sliding(d, ["city"], "us", {"s": (5, Moments(F.col("x")))}).count() == 0
+
+
+def test_acceleration_of_equal_times_and_of_small_spread(spark):
+    """As SQL: 0 / 0 at one time, and a slope however close two times are."""
+    at = [0] * 13 + [50, 40 * MINUTE, 40 * MINUTE]
+    d = spark.createDataFrame([("a", 1_704_067_200_000_000 + t, i, 70.0 + i) for i, t in enumerate(at)], "city string, us long, i int, x double")
+    got = {r.i: r for r in _spark_project(acceleration(d, ["city"], "us", "x"), [("i", "i"), ("rate", "h"), ("accel", "h")]).collect()}
+    assert all(math.isnan(got[i].rate) for i in (*range(13), 14, 15)) and all(got[i].accel is None for i in range(14))
+    f = np.array([(t / MINUTE, 70.0 + i) for i, t in enumerate(at[:14])]).T
+    assert got[13].rate == pytest.approx(np.cov(f)[0, 1] / np.var(f[0]) * 60, rel=1e-4)
+    assert math.isnan(got[14].accel) and math.isnan(got[15].accel)
+
+
+def test_places_of_numbers_without_any(spark):
+    d = spark.createDataFrame([(x,) for x in (math.nan, math.inf, 1e20, -1.25, None)], "x double")
+    nan, *rest = [r.x for r in _spark_project(d, [("x", "f")]).collect()]
+    assert math.isnan(nan) and rest == [math.inf, 1e20, -1.25, None]
