@@ -99,3 +99,16 @@ def test_unlike_texts_of_one_id_stay(spark, documents):
     got = sorted(((r.doc_id, r.text) for r in pipeline.one_of_each(spark, documents(rows, extra=True), SF).collect()), key=str)
     assert (3, near) in got and (5, two) in got and (9, three) in got and len(got) == 4
     assert [i for i, _ in got].count(None) == 1
+
+
+def test_simhash_index_proposes_and_the_full_sets_decide(spark, documents, monkeypatch):
+    """Without MinHash: texts within two bits still meet, and those of one fingerprint but unlike sets stay apart."""
+    monkeypatch.setattr(jaccard, "pairs", lambda nodes: spark.createDataFrame([], "a long, b long"))
+    base = [f"w{i}" for i in range(2000)]
+    one, two = " ".join(base), " ".join(base[:900] + ["other"] + base[901:])
+    line = "a b c " * 3000
+    three, four = line + " ".join(f"x{i}" for i in range(60)), line + " ".join(f"y{i}" for i in range(60))
+    far = lambda a, b: (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count()
+    assert 0 < far(one, two) <= 2 and far(three, four) == 0
+    found = {r.doc_id: r.component for r in jaccard.near_duplicates(documents(list(enumerate([one, two, three, four]))), pipeline.identity()).collect()}
+    assert found[0] == found[1] and len(set(found.values())) == 3
