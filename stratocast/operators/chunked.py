@@ -16,6 +16,8 @@ from ..functions.timeutil import HOUR, col
 CHUNK_US = 6 * HOUR
 CHUNK_ROWS = 500_000
 EVEN_CHUNKS = 10_000
+#: Rows that a task of a sorted window holds on average.
+TASK_ROWS = 200_000
 MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
@@ -33,6 +35,15 @@ def even_chunk(df, pos, parts=EVEN_CHUNKS):
     return F.floor((col(pos) - F.lit(lo)) / F.lit((hi - lo) // parts + 1)).cast("long")
 
 
+def dealt(df, by, rows):
+    """``df`` dealt by ``by`` into as many parts as keep a task at ``TASK_ROWS``, so that its memory
+    does not grow with the table; as it is for a table of few rows or of unknown ``rows``."""
+    if not rows or rows <= TASK_ROWS:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(-(-rows // TASK_ROWS), least), *by)
+
+
 def chunked(df, keys, chunk):
     """Mark rows with their key (``_k``, equal also for NULL keys) and chunk (``_c``) and deal
     them by both. Scans that are given ``"_c"`` as chunk reuse marks and shuffle.
@@ -145,14 +156,15 @@ def halo(df, pos, width=CHUNK_US, before=0, after=0):
     ).drop("_own")
 
 
-def framed(df, keys, us, order, exprs, before, after=0, width=CHUNK_US):
+def framed(df, keys, us, order, exprs, before, after=0, width=CHUNK_US, rows=None):
     """Window expressions whose frames look at most ``before``/``after`` in time.
 
     ``exprs`` receives a window over (keys, chunk) ordered by ``order`` and
     returns a dict of columns; it sets the frame itself. Rows are returned once.
+    ``rows``: number of rows, where known (see ``dealt``).
     """
     w = Window.partitionBy(*keys, "_c").orderBy(*[col(o) for o in order])
-    out = halo(df, us, width, before, after).withColumns(exprs(w))
+    out = dealt(halo(df, us, width, before, after), [*keys, "_c"], rows).withColumns(exprs(w))
     return out.filter("_core").drop("_c", "_core")
 
 

@@ -17,13 +17,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import MINUTE, col
-from .chunked import framed
+from .chunked import dealt, framed
 
 #: Rows of a minute and key up to which frames are aggregated directly.
 SPARSE = 16
 
 
-
 class Moments:
     """Count, means and centred second moments of one or two columns; merged without cancellation."""
 
@@ -83,10 +82,15 @@ class Edge:
         return {"v": (F.greatest if self.last else F.least)(a["v"], b["v"])}
 
 
+def density(df, keys, us):
+    """Most rows of a minute and key, and all rows: one count by key and minute."""
+    most, rows = df.groupBy(*keys, F.floor(col(us) / MINUTE).alias("_m")).count().agg(F.max("count"), F.sum("count")).first()
+    return most or 0, rows or 0
+
+
 def dense(df, keys, us, rows=SPARSE):
-    """Whether some minute of a key holds over ``rows`` rows: one count by key and minute."""
-    most = df.groupBy(*keys, F.floor(col(us) / MINUTE).alias("_m")).count().agg(F.max("count")).first()[0]
-    return (most or 0) > rows
+    """Whether some minute of a key holds over ``rows`` rows."""
+    return density(df, keys, us)[0] > rows
 
 
 def sliding(df, keys, us, specs, own=True, partials=None):
@@ -95,8 +99,9 @@ def sliding(df, keys, us, specs, own=True, partials=None):
     A frame covers [t - minutes, t] with all rows of equal time; with ``own=False`` it ends
     before t. ``partials``: whether to merge partials, None to decide by ``dense``.
     """
-    if dense(df, keys, us) if partials is None else partials:
-        return from_partials(df, keys, us, specs, own)
+    most, rows = density(df, keys, us) if partials is None else (0, None)
+    if most > SPARSE if partials is None else partials:
+        return from_partials(df, keys, us, specs, own, rows)
 
     def frames(w):
         out = {}
@@ -105,10 +110,10 @@ def sliding(df, keys, us, specs, own=True, partials=None):
             out[name] = F.struct(*[v.alias(k) for k, v in agg.parts(lambda a, f=f: a.over(f)).items()])
         return out
 
-    return framed(df, keys, us, [us], frames, max(m for m, _ in specs.values()) * MINUTE)
+    return framed(df, keys, us, [us], frames, max(m for m, _ in specs.values()) * MINUTE, rows=rows)
 
 
-def from_partials(df, keys, us, specs, own=True):
+def from_partials(df, keys, us, specs, own=True, rows=None):
     keys = list(keys)
     t = col(us)
     widths = sorted({m for m, _ in specs.values()})
@@ -123,6 +128,7 @@ def from_partials(df, keys, us, specs, own=True):
     # Each row stands in its own minute and, for every width, in the one whose frames begin in its minute.
     copies = F.explode(F.array(F.lit(0), *[F.lit(m) for m in widths]))
     d = base.withColumn("_back", copies).withColumns({"_m": F.col("_m") + F.col("_back"), "_at": place})
+    d = dealt(d, [*keys, "_m"], rows and rows * (1 + len(widths)))
     part = Window.partitionBy(*keys, "_m").orderBy("_at")
     up = part.rangeBetween(Window.unboundedPreceding, 0 if own else -1)
     down = Window.partitionBy(*keys, "_m").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)

@@ -94,3 +94,17 @@ def test_places_of_numbers_without_any(spark):
     d = spark.createDataFrame([(x,) for x in (math.nan, math.inf, 1e20, -1.25, None)], "x double")
     nan, *rest = [r.x for r in _spark_project(d, [("x", "f")]).collect()]
     assert math.isnan(nan) and rest == [math.inf, 1e20, -1.25, None]
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Rows of a task do not grow with the table, in both ways; results stay."""
+    from stratocast.operators import chunked
+    for gap in (MINUTE // 3, MINUTE // 300):
+        d = spark.range(6000).selectExpr("if(id % 2 = 0, 'a', 'b') as city", f"id * {gap} as us", "double(id * 37 % 101) as x")
+        run = lambda: sliding(d, ["city"], "us", {"h": (3, Extreme("max", F.col("x")))})
+        monkeypatch.setattr(chunked, "TASK_ROWS", 200_000)
+        want = sorted((r.us, r.h.v) for r in run().collect())
+        monkeypatch.setattr(chunked, "TASK_ROWS", 500)
+        few = run()
+        assert few.rdd.getNumPartitions() >= 12
+        assert sorted((r.us, r.h.v) for r in few.collect()) == want
