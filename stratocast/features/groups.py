@@ -16,11 +16,12 @@ from ..functions import meteo
 from ..functions import timeutil as TU
 from ..functions.timeutil import DAY, HOUR, MINUTE
 from ..operators import rolling, stats
-from ..operators.asof import Source, asof
-from ..operators.chunked import chunked, prefix_scan, time_chunk, unchunk
+from ..operators.asof import Source
+from ..operators.chunked import prefix_scan, time_chunk
+from ..operators.cutoffs import first_cutoff, frames_at
 from ..operators.joins import lags_by_date
-from ..operators.order_stats import running_quantiles
-from ..operators.shape import SHAPE, running_shape
+from ..operators.order_stats import marked_quantiles
+from ..operators.shape import SHAPE, shape_at
 from ..operators.sliding import Edge, Extreme, Moments, sliding, slope, std
 from ..session import written
 from .registry import KEY, feature_group
@@ -39,6 +40,10 @@ class Inputs:
     station: Any = None
     inclusive: bool = True
     open_hour: int = 10
+    #: Set by ``at_cutoffs``: the snapshots, the observations with the first snapshot that sees them, and one row per such snapshot.
+    cuts: Any = None
+    seen: Any = None
+    slots: Any = None
 
 
 # Columns that the groups read of each optional frame.
@@ -59,6 +64,18 @@ def complete(ctx, spark):
     return replace(ctx, **{n: spark.createDataFrame([], s) for n, s in FRAMES.items() if getattr(ctx, n) is None})
 
 
+def at_cutoffs(ctx, snapshots):
+    """``ctx`` with the observations of every event marked by the first snapshot that sees them (``_cut``), and per
+    such mark the maximum so far and the time of the newest row. Both are written once for all groups that read them."""
+    cuts = snapshots.select(*KEY, F.col("us").alias("_cut")).distinct()
+    o = event_rows(ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "event_id", "temp_f"), ctx.open_hour).drop("day")
+    seen = written(first_cutoff(o, cuts, KEY, inclusive=ctx.inclusive), "seen")
+    slots = seen.groupBy(*KEY, "_cut").agg(F.max("temp_f").alias("_top"), F.max("us").alias("_us"))
+    # At most one row per snapshot of the event.
+    w = Window.partitionBy(*KEY).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
+    return replace(ctx, cuts=cuts, seen=seen, slots=written(slots.withColumn("_top", F.max("_top").over(w)), "slots"))
+
+
 def event_rows(df, open_hour=10):
     """Rows of the event window: a row after the D-1 opening belongs to D and D+1."""
     d = df["day"]
@@ -77,7 +94,7 @@ def clock(s, ctx):
 
 @feature_group("trailing", "series")
 def trailing(ctx):
-    """Momentum, volatility and weather of the newest observation and of the minutes before it."""
+    """Momentum, volatility and weather of the newest observation and of the minutes before it, at the snapshots."""
     o = ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "event_id", "temp_f", "humidity", "wind", "gust", "cloud")
     o = o.withColumns({"wb": meteo.wet_bulb("temp_f", "humidity"), "wc": meteo.wind_chill("temp_f", "wind")})
 
@@ -87,7 +104,18 @@ def trailing(ctx):
              **{f"_{c}": (60, Moments(F.col(c))) for c in ("humidity", "cloud", "wb", "wc")}, "_dep": (60, Moments(x - F.col("wb"))),
              "_wind": (60, Extreme("max", F.col("wind"))), "_gust": (60, Extreme("max", F.col("gust"))), "_n30": (30, n),
              "_first60": (60, Edge(F.struct("cloud", "humidity"), "us")), "_first30": (30, Edge(F.struct("us", "cloud", "wb", "wc"), "us"))}
-    o = sliding(o, ["city"], "us", specs)
+    # Only the newest row at a snapshot is read, and the one half an hour before it.
+    newest = ctx.slots.select("city", F.col("_us").alias("us")).distinct()
+    cuts = newest.select("city", "us", (F.col("us") - 30 * MINUTE).alias("_cut"))
+    past = first_cutoff(o.select("city", "us"), cuts, ["city"]).groupBy("city", "_cut").agg(F.max("us").alias("_past"))
+    past = prefix_scan(cuts.join(past, ["city", "_cut"], "left"), ["city"], ["_cut"], time_chunk("_cut"), {"_past": ("max", "_past")})
+    past = written(past.select("city", "us", "_past"), "observed-past")
+    at = past.select("city", "us").union(past.where("_past is not null").select("city", "_past"))
+    own = [c for c in o.columns if c not in ("city", "us", "day", "event_id")]
+    rows = o.join(past.select("city", "us"), ["city", "us"]).groupBy("city", "us").agg(F.max_by(F.struct(*own), "event_id").alias("_own"))
+    o = written(frames_at(o, at, ["city"], "us", specs), "observed-frames")
+    rates = o.select("city", F.col("us").alias("_past"), slope(F.col("_t30")).alias("_rate_past"))
+    o = o.join(rows, ["city", "us"]).join(past, ["city", "us"]).join(rates, ["city", "_past"], "left").select("*", "_own.*").drop("_own", "_past")
     zero, two = F.lit(0.0), F.col("_n30.n") >= 2
     early, hour = F.col("_first30.v.v"), F.col("_first60.v.v")
     per_hour = lambda c: F.when(two, (F.col(c) - early[c]) / F.nullif((F.col("us") - early["us"]) / 1e6, zero) * 3600)
@@ -103,9 +131,7 @@ def trailing(ctx):
         "cloudcover_mean_last_60min": F.col("_cloud.x"), "cloudcover_volatility_60min": std(F.col("_cloud")),
         "cloudcover_change_last_60min": F.col("cloud") - hour["cloud"], "humidity_change_last_60min": F.col("humidity") - hour["humidity"],
         "wetbulb_mean_last_60min": F.col("_wb.x"), "windchill_mean_last_60min": F.col("_wc.x")})
-    o = written(o.withColumns(out).drop(*specs), "observed-trailing")
-    past = o.select("city", "us", F.col("temp_rate_last_30min").alias("r"))
-    o = asof(o, past, ["city"], F.col("us") - 30 * MINUTE, "us", {"_rate_past": "r"}).drop("match_us")
+    o = o.withColumns(out).drop(*specs)
     v = F.col("temp_f")
     o = o.withColumns({
         "humidity_last_obs": F.col("humidity"), "windspeed_last_obs": F.col("wind"), "cloudcover_last_obs": F.col("cloud"),
@@ -118,30 +144,41 @@ def trailing(ctx):
         "clouding_trend_flag": (F.col("cloudcover_change_last_60min") > 20).cast("int"),
         "windchill_depression": F.when(v <= 50, v - F.col("wc")), "strong_windchill_flag": F.when(v <= 50, (v - F.col("wc") > 10).cast("int")),
         "_acceleration": F.col("temp_rate_last_30min") - F.col("_rate_past")})
-    drop = {"city", "day", "us", "event_id", "humidity", "wind", "gust", "cloud", "wb", "wc", "temp_f", "_rate_past"}
+    drop = {"city", "us", "humidity", "wind", "gust", "cloud", "wb", "wc", "temp_f", "_rate_past"}
     cols = {c: c for c in o.columns if c not in drop}
-    return Source(event_rows(o, ctx.open_hour).select(*KEY, "us", "event_id", *cols), "us", cols, tie="event_id", inclusive=ctx.inclusive)
+    o = ctx.slots.join(o.withColumnRenamed("us", "_us"), ["city", "_us"])
+    return Source(o.select(*KEY, "_cut", *cols), "_cut", cols)
 
 
 @feature_group("observed", "series")
 def observed(ctx):
-    """Partial-day statistics and quality of the observations so far."""
-    o = event_rows(ctx.obs.filter("temp_f IS NOT NULL").select("city", "day", "us", "event_id", "temp_f"), ctx.open_hour).drop("day")
+    """Partial-day statistics and quality of the observations so far, at the snapshots."""
     v, h = F.col("temp_f"), F.floor(F.pmod(F.col("us"), F.lit(DAY)) / HOUR)
-    o = chunked(o, KEY, time_chunk("us"))
-    part = lambda c: ("max", F.when(c, v))
+    part = lambda c: F.max(F.when(c, v))
     # Decayed means as running sums of growing weights; the growth cancels in the ratio.
     d0 = F.datediff("event_date", F.lit("1970-01-01").cast("date")).cast("long") * DAY - DAY
     grow = lambda half: F.exp((F.col("us") - d0) / F.lit(float(MINUTE)) * (0.6931471805599453 / half))
-    o = prefix_scan(o, KEY, ["us", "event_id"], "_c", {
-        "num_samples_sofar": ("count", v), "_s": ("sum", v), "_ss": ("sum", v * v), "vc_max_f_sofar": ("max", v), "vc_min_f_sofar": ("min", v),
-        "max_morning_f_sofar": part(h < 12), "max_afternoon_f_sofar": part((h >= 12) & (h < 17)), "max_evening_f_sofar": part(h >= 17),
-        "pred_c_first_sofar": ("max", X.via_celsius(v)), "_first": ("min", F.col("us")), "_prev": ("prev", F.col("us")),
-        **{f"_w{m}": ("sum", grow(m)) for m in (30, 60)}, **{f"_wx{m}": ("sum", grow(m) * v) for m in (30, 60)}})
-    o = chunked(written(unchunk(o), "observed-totals"), KEY, time_chunk("us"))
-    near = F.when(F.abs(v - F.col("vc_max_f_sofar")) < 0.01, F.col("us"))
-    o = unchunk(prefix_scan(o, KEY, ["us", "event_id"], "_c", {"_at": ("last", near), "_gap": ("max", F.col("us") - F.col("_prev")),
-        "hours_observed": ("sum", F.when(F.floor(F.col("_prev") / HOUR) == F.floor(F.col("us") / HOUR), 0).otherwise(1))}))
+    # No row after the newest one near the maximum raises it, so "near" may be read against the maximum at the snapshot.
+    near = F.when(F.abs(v - F.col("_top")) < 0.01, F.col("us"))
+    o = ctx.seen.join(ctx.slots, [*KEY, "_cut"]).groupBy(*KEY, "_cut", "_top", "_us").agg(
+        F.count(v).alias("num_samples_sofar"), F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"), F.min(v).alias("vc_min_f_sofar"), part(h < 12).alias("max_morning_f_sofar"),
+        part((h >= 12) & (h < 17)).alias("max_afternoon_f_sofar"), part(h >= 17).alias("max_evening_f_sofar"), F.max(X.via_celsius(v)).alias("pred_c_first_sofar"),
+        F.min("us").alias("_first"), F.max(near).alias("_at"), F.max_by(v, F.when(F.col("us") == F.col("_us"), F.col("event_id"))).alias("_last"),
+        *[F.sum(grow(m)).alias(f"_w{m}") for m in (30, 60)], *[F.sum(grow(m) * v).alias(f"_wx{m}") for m in (30, 60)])
+    o = o.withColumnRenamed("_top", "vc_max_f_sofar")
+    # Gaps lie within an hour of a snapshot's rows or between two such hours.
+    hour = F.floor(F.col("us") / HOUR)
+    w = Window.partitionBy(*KEY, "_cut", "_h").orderBy("us")
+    g = ctx.seen.select(*KEY, "_cut", "us", hour.alias("_h")).withColumn("_gap", F.col("us") - F.lag("us").over(w))
+    g = g.groupBy(*KEY, "_cut", "_h").agg(F.max("_gap").alias("_gap"), F.min("us").alias("_from"), F.max("us").alias("_to"))
+    w = Window.partitionBy(*KEY).orderBy("_cut", "_h")
+    g = g.withColumns({"_gap": F.greatest("_gap", F.col("_from") - F.lag("_to").over(w)), "_new": F.when(F.lag("_h").over(w) == F.col("_h"), 0).otherwise(1)})
+    g = g.groupBy(*KEY, "_cut").agg(F.max("_gap").alias("_gap"), F.sum("_new").alias("hours_observed"))
+    # At most one row per snapshot of the event.
+    up = Window.partitionBy(*KEY).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
+    fold = {F.sum: ["num_samples_sofar", "_s", "_ss", "_w30", "_w60", "_wx30", "_wx60", "hours_observed"], F.min: ["vc_min_f_sofar", "_first"],
+            F.max: ["max_morning_f_sofar", "max_afternoon_f_sofar", "max_evening_f_sofar", "pred_c_first_sofar", "_at", "_gap"]}
+    o = o.join(g, [*KEY, "_cut"]).withColumns({c: f(c).over(up) for f, names in fold.items() for c in names})
     n, mean = F.col("num_samples_sofar"), F.col("_s") / F.col("num_samples_sofar")
     var = F.greatest((F.col("_ss") - F.col("_s") * mean) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
     base = F.bround("vc_max_f_sofar", 0)
@@ -150,32 +187,30 @@ def observed(ctx):
         "vc_frac_part_sofar": F.col("vc_max_f_sofar") - base, "t_base": base.cast("long"),
         "intraday_range_sofar": F.col("vc_max_f_sofar") - F.col("vc_min_f_sofar"),
         "temp_cv_sofar": F.when((mean > 0) & (n > 1), F.sqrt(var) / mean),
-        "minutes_since_max_observed": (F.col("us") - F.col("_at")) / F.lit(float(MINUTE)),
-        "missing_fraction_sofar": 1 - n / F.greatest(F.floor((F.col("us") - F.col("_first")) / (5 * MINUTE)) + 1, n),
+        "minutes_since_max_observed": (F.col("_us") - F.col("_at")) / F.lit(float(MINUTE)),
+        "missing_fraction_sofar": 1 - n / F.greatest(F.floor((F.col("_us") - F.col("_first")) / (5 * MINUTE)) + 1, n),
         "temp_ema_30min": F.col("_wx30") / F.col("_w30"), "temp_ema_60min": F.col("_wx60") / F.col("_w60"),
         "hours_coverage_fraction": F.col("hours_observed") / 38.0,
         "max_gap_minutes": F.col("_gap") / F.lit(float(MINUTE)),
         "pred_max_round_sofar": base.cast("long"), "pred_ceil_max_sofar": F.ceil("vc_max_f_sofar"), "pred_floor_max_sofar": F.floor("vc_max_f_sofar"),
-        "last_temp_f": v})
-    drop = {"day", "us", "event_id", "humidity", "wind", "gust", "cloud", "wb", "wc", "temp_f", *KEY}
-    cols = {c: c for c in o.columns if c not in drop and not c.startswith("_")}
-    return Source(o.select(*KEY, "us", "event_id", *cols), "us", cols, tie="event_id", inclusive=ctx.inclusive)
+        "last_temp_f": F.col("_last")})
+    cols = {c: c for c in o.columns if c not in KEY and not c.startswith("_")}
+    return Source(o.select(*KEY, "_cut", *cols), "_cut", cols)
 
 
 @feature_group("shape", "series")
 def shape(ctx):
-    """Runs above the moving base, second maximum, slopes and plateau so far (``operators.shape``)."""
-    o = event_rows(ctx.obs.select("city", "day", "us", "event_id", "temp_f"), ctx.open_hour)
-    o = running_shape(o.drop("day"), KEY, "temp_f")
-    return Source(o.select(*KEY, "us", "event_id", *SHAPE), "us", {c: c for c in SHAPE}, tie="event_id", inclusive=ctx.inclusive)
+    """Runs above the moving base, second maximum, slopes and plateau so far (``operators.shape``), at the snapshots."""
+    tops = ctx.slots.select(*KEY, "_cut", F.bround("_top", 0).cast("long").alias("_b"))
+    o = shape_at(ctx.seen.join(tops, [*KEY, "_cut"]), KEY, "temp_f", "_b")
+    return Source(o, "_cut", {c: c for c in SHAPE})
 
 
 @feature_group("quantiles", "cutoffs")
 def quantiles(s, ctx):
     """Quantiles of all temperatures so far, at every snapshot."""
     ps = stats.QUANTILES
-    o = event_rows(ctx.obs.select("city", "day", "us", "temp_f"), ctx.open_hour)
-    q = running_quantiles(o, s, KEY, "us", "temp_f", ps, ctx.inclusive)
+    q = marked_quantiles(ctx.seen, ctx.cuts, KEY, "us", "temp_f", ps)
     return q.select(*KEY, "us", *[F.col("q")[i].alias(f"vc_q{int(p * 100)}_f_sofar") for i, p in enumerate(ps)])
 
 

@@ -41,36 +41,52 @@ def feature_group(name, kind="columns"):
     return add
 
 
-def build(snapshots, ctx, names=None):
+#: Groups that read the observations at the snapshots.
+AT_CUTOFFS = {"trailing", "observed", "shape", "quantiles"}
+
+
+def build(snapshots, ctx, names=None, owners=None):
     """Apply groups in order of kind: every series in one as-of join, then the event
     rows, then derived columns. Each series is written once before it is joined, so
-    the plan of a build stays small. Sources that ``ctx`` lacks give NULL columns."""
-    from .groups import complete
+    the plan of a build stays small. Sources that ``ctx`` lacks give NULL columns.
+    A dict ``owners`` receives (group, kind) of every column that a group adds."""
+    from .groups import at_cutoffs, complete
     ctx = complete(ctx, snapshots.sparkSession)
-    names = names or list(GROUPS)
+    names, owners = names or list(GROUPS), {} if owners is None else owners
     for n in names:
         if n not in GROUPS:
             raise KeyError(f"unknown feature group {n!r}; known: {sorted(GROUPS)}")
     pick = lambda kind: [(n, GROUPS[n][1]) for n in names if GROUPS[n][0] == kind]
-    sources = [(n, src) for n, fn in pick("series") if (src := fn(ctx)) is not None]
-    # The series do not depend on each other: their jobs share the cluster.
-    cutoffs = pick("cutoffs")
-    if cutoffs:
+    if AT_CUTOFFS & set(names):
         snapshots = written(snapshots, "snapshots")
-    at_cutoffs = lambda g: written(g[1](snapshots, ctx), f"cutoffs-{g[0]}")
+        ctx = at_cutoffs(ctx, snapshots)
+
+    def series(group):
+        src = group[1](ctx)
+        return src and replace(src, df=written(src.df.select(*needed(src)), f"series-{group[0]}"))
+
+    # The series do not depend on each other: their jobs share the cluster.
     with ThreadPoolExecutor(6) as pool:
-        waiting = [pool.submit(at_cutoffs, g) for g in cutoffs]
-        tables = list(pool.map(lambda s: written(s[1].df.select(*needed(s[1])), f"series-{s[0]}"), sources))
+        waiting = [pool.submit(lambda g: written(g[1](snapshots, ctx), f"cutoffs-{g[0]}"), g) for g in pick("cutoffs")]
+        sources = dict(zip([n for n, _ in pick("series")], pool.map(series, pick("series"))))
         cutoffs = [w.result() for w in waiting]
-    sources = [replace(src, df=df) for (_, src), df in zip(sources, tables)]
+    sources = {n: src for n, src in sources.items() if src is not None}
     if sources:
-        snapshots = asof_many(snapshots, sources, KEY, "us")
-    for at in cutoffs:
+        snapshots = asof_many(snapshots, list(sources.values()), KEY, "us")
+    own = lambda columns, name: owners.update({c: (name, GROUPS[name][0]) for c in columns if c not in (*KEY, "us")})
+    for n, src in sources.items():
+        own(src.values, n)
+    for (n, _), at in zip(pick("cutoffs"), cutoffs):
+        own(at.columns, n)
         snapshots = snapshots.join(at, [*KEY, "us"], "left")
-    for _, fn in pick("event"):
-        snapshots = snapshots.join(fn(ctx), KEY, "left")
-    for _, fn in pick("columns"):
+    for n, fn in pick("event"):
+        rows = fn(ctx)
+        own(rows.columns, n)
+        snapshots = snapshots.join(rows, KEY, "left")
+    for n, fn in pick("columns"):
+        before = set(snapshots.columns)
         snapshots = fn(snapshots, ctx)
+        own([c for c in snapshots.columns if c not in before], n)
     return snapshots
 
 

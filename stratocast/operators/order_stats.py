@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import written
-from .asof import asof
 from .chunked import prefix_scan, time_chunk
+from .cutoffs import first_cutoff
 
 DIGIT = 3
 #: Counts of a key up to which one task solves it.
@@ -38,9 +38,14 @@ def running_quantiles(rows, cuts, keys, us, x, ps, inclusive=True, width=1.0, sm
     counts up to which a key is solved in one task."""
     keys = list(keys)
     cuts = cuts.select(*keys, F.col(us).alias("_cut")).distinct()
-    r = rows.select(*keys, F.col(us).alias("_us"), F.col(x).cast("double").alias("_x")).where("_x is not null")
-    r = asof(r, cuts, keys, "_us", "_cut", {}, inclusive=inclusive, direction="forward", matched="_cut").where("_cut is not null")
-    e = written(r.groupBy(*keys, "_x", "_cut").agg(F.count(F.lit(1)).alias("_n")), "quantile-counts")
+    r = rows.select(*keys, F.col(us).alias("_us"), F.col(x).alias("_x")).where("_x is not null")
+    return marked_quantiles(first_cutoff(r, cuts, keys, "_us", inclusive), cuts, keys, us, "_x", ps, width, small)
+
+
+def marked_quantiles(rows, cuts, keys, us, x, ps, width=1.0, small=SMALL):
+    """As ``running_quantiles`` for rows that carry ``_cut``, the first cutoff that sees them."""
+    keys = list(keys)
+    e = written(rows.groupBy(*keys, F.col(x).cast("double").alias("_x"), "_cut").agg(F.count(F.lit(1)).alias("_n")), "quantile-counts")
     large = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > small).drop("_size")
     if not large.limit(1).count():
         return in_one_task(e, cuts, keys, us, ps)

@@ -5,11 +5,10 @@ from dataclasses import replace
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..features import GROUPS, build
-from ..features.registry import FAMILIES, KEY, feature_columns
+from ..features import build
+from ..features.registry import FAMILIES, feature_columns
 from ..functions import probs as PR
 from ..operators import audit as A
-from ..operators.stats import QUANTILES
 from ..plans import datasets as D
 from ..plans import views as V
 from .aggregates import _BAD
@@ -217,21 +216,8 @@ def parity_check(t):
 @query("registry_features", "grp s, kind s, column_name s, n_rows i, n_present i")
 def registry_features(t):
     """Every column that a registered group adds, with the rows that have a value."""
-    s, ctx = D.hourly(t.settle), D.inputs(t)
     owner = {}
-    for name, (kind, fn) in GROUPS.items():
-        if kind == "series":
-            owner.update({c: (name, kind) for c in fn(ctx).values})
-        elif kind == "cutoffs":
-            owner.update({f"vc_q{int(p * 100)}_f_sofar": (name, kind) for p in QUANTILES})
-        elif kind == "event":
-            owner.update({c: (name, kind) for c in fn(ctx).columns if c not in KEY})
-    d = build(s, ctx, [n for n, (k, _) in GROUPS.items() if k != "columns"])
-    for name, (kind, fn) in GROUPS.items():
-        if kind == "columns":
-            before = set(d.columns)
-            d = fn(d, ctx)
-            owner.update({c: (name, kind) for c in d.columns if c not in before})
+    d = build(D.hourly(t.settle), D.inputs(t), owners=owner)
     return per_column(d, [c for c in owner if c in d.columns]).join(
         t.spark.createDataFrame([(c, *v) for c, v in owner.items()], "column_name string, grp string, kind string"), "column_name")
 
