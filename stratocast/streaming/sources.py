@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import MINUTE, epoch_us
-from ..session import scratch
+from ..session import intermediates, scratch
 from ..sources.readers import SCHEMAS
 
 
@@ -14,23 +14,39 @@ def read_events(spark, base, files_per_trigger=50):
     return s.withColumns({"us": epoch_us("ts"), "ets": F.timestamp_micros(epoch_us("ts"))})
 
 
-def replay(spark, table, time, parts=5, most=5_000_000):
+def replay(spark, table, time, parts=5, most=5_000_000, file_rows=50_000):
     """A stored table as a stream of ``parts`` micro-batches in the order of ``time``, or of as
     many as keep a batch to about ``most`` rows.
 
     Equal slices by count (their borders from one quantile sketch) are written one after the
     other as files of a new folder, which a file stream then takes one slice at a time; rows
-    within a slice arrive in any order.
+    within a slice arrive in any order. The table is read once and dealt by slice; every slice
+    has the same number of files, about one for ``file_rows`` rows of the smallest, so that
+    the tasks of a micro-batch share its rows.
     """
     parts = max(parts, -(-table.count() // most))
     borders = table.agg(F.percentile_approx(time, F.array(*[F.lit(i / parts) for i in range(1, parts)]))).first()[0] or []
     folder = scratch(spark, "replay")
     slot = F.lit(0)
     for b in sorted(set(borders)):
-        slot = slot + (F.col(time) > b).cast("int")
-    for i in range(len(set(borders)) + 1):
-        table.where(slot == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        slot = slot + F.coalesce((F.col(time) > b).cast("int"), F.lit(0))
+    with intermediates(spark):
+        stage = scratch(spark, "slices")
+        table.withColumn("_slot", slot).write.partitionBy("_slot").parquet(stage)
+        staged = spark.read.schema(table.withColumn("_slot", slot).schema).parquet(stage)
+        rows = sorted((r["_slot"], r["count"]) for r in staged.groupBy("_slot").count().collect())
+        files = max(1, min((n for _, n in rows), default=0) // file_rows)
+        for i, _ in rows:
+            # Rows are dealt in turn, so with ``file_rows`` rows and more for a file none stays empty.
+            part = staged.where(F.col("_slot") == i).drop("_slot")
+            part = part.repartition(files) if files > 1 else part.coalesce(1)
+            part.write.mode("append").option("maxRecordsPerFile", 0).parquet(folder)
+        if not rows:
+            table.coalesce(1).write.mode("append").parquet(folder)
+        found = len(spark.read.schema(table.schema).parquet(folder).inputFiles())
+        if found != files * max(len(rows), 1):
+            raise RuntimeError(f"{found} files for {len(rows)} slices of {files}: micro-batches would not end with a slice")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def replayed_events(spark, events, parts=5):
