@@ -163,8 +163,9 @@ SELECT o.event_id // 2 AS order_id, epoch_us(o.ts) AS order_us, epoch_us(f.ts) A
 def stream_fill_matching(t):
     """Stream-stream join of fills to orders by id within 30 minutes."""
     oid = F.floor(F.col("event_id") / 2)
-    o = events(t).filter("event_id % 2 = 0").select(oid.alias("order_id"), F.col("us").alias("order_us"), F.col("ets").alias("o_ts")).withWatermark("o_ts", "1 hour")
-    f = events(t).filter("event_id % 2 = 1").select(oid.alias("fill_id"), F.col("us").alias("fill_us"), F.col("ets").alias("f_ts"), (F.col("user_id") % 2 == 0).cast("int").alias("taker")).withWatermark("f_ts", "1 hour")
+    e = events(t)
+    o = e.filter("event_id % 2 = 0").select(oid.alias("order_id"), F.col("us").alias("order_us"), F.col("ets").alias("o_ts")).withWatermark("o_ts", "1 hour")
+    f = e.filter("event_id % 2 = 1").select(oid.alias("fill_id"), F.col("us").alias("fill_us"), F.col("ets").alias("f_ts"), (F.col("user_id") % 2 == 0).cast("int").alias("taker")).withWatermark("f_ts", "1 hour")
     j = o.join(f, F.expr("order_id = fill_id AND f_ts >= o_ts AND f_ts <= o_ts + INTERVAL 30 MINUTES"))
     return R.run_to_parquet(t.spark, j, "fill_matching")
 

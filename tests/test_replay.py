@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from stratocast.session import scratch
+from stratocast.queries import QUERIES
+from stratocast.session import intermediates, scratch
 from stratocast.streaming import sources
 
+SF = "/root/testdata/sf0.001"
+
 
 def batches(spark, stream):
     seen = []
@@ -30,3 +33,9 @@ def test_rows_without_time_are_replayed(spark):
 
 def test_an_empty_table_is_replayed(spark):
     assert sum(s[0] for s in batches(spark, sources.replay(spark, spark.range(0).select(F.col("id").alias("us")), "us"))) == 0
+
+
+def test_both_sides_of_the_fill_join_read_one_replay(spark):
+    with intermediates(spark) as paths:
+        QUERIES["stream_fill_matching"](spark, SF)
+        assert sum("/replay-" in p for p in paths) == 1
