@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.timeutil import DAY, MINUTE
+from ..session import written
 from ..sources.upsert import latest
 
 HISTORY = 100
@@ -89,6 +90,7 @@ def extend_dense(spark, bars, batch_id, root, key, prices, close, us="bucket_us"
     The state is one row per market (its last minute and prices), written per
     cycle; rows already emitted are never rewritten.
     """
+    bars = written(bars, "bars")  # one row per market and minute, read several times below
     now = bars.agg(F.max(us)).first()[0]
     if now is None:
         if batch_id > 0:

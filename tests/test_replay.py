@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from stratocast.functions.timeutil import MINUTE
 from stratocast.queries import QUERIES
 from stratocast.session import intermediates, scratch
-from stratocast.streaming import sources
+from stratocast.streaming import sources, state
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,18 @@ def test_both_sides_of_the_fill_join_read_one_replay(spark):
     with intermediates(spark) as paths:
         QUERIES["stream_fill_matching"](spark, SF)
         assert sum("/replay-" in p for p in paths) == 1
+
+
+def test_a_fill_cycle_makes_its_bars_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    rows = [("x", 0, 5, 9 * MINUTE), ("x", 2 * MINUTE, 6, 9 * MINUTE)]
+    bars = spark.createDataFrame(rows, "mkt string, bucket_us long, bid int, close_us long")
+    bars = bars.withColumn("bid", F.udf(count, "int")("bid"))
+    root = scratch(spark, "cycles")
+    state.extend_dense(spark, bars, 0, root, "mkt", ["bid"], "close_us")
+    assert made.value == 2 and spark.read.parquet(f"{root}/dense").count() == 3
