@@ -44,19 +44,21 @@ def dealt(df, by, rows):
     return df.repartition(max(-(-rows // TASK_ROWS), least), *by)
 
 
-def chunked(df, keys, chunk):
+def chunked(df, keys, chunk, rows=None):
     """Mark rows with their key (``_k``, equal also for NULL keys) and chunk (``_c``) and deal
-    them by both. Scans that are given ``"_c"`` as chunk reuse marks and shuffle.
+    them by both, into parts of bounded size where the number of ``rows`` is known (``dealt``).
+    Scans that are given ``"_c"`` as chunk reuse marks and shuffle.
     """
     k = F.struct(*keys) if keys else F.lit(0)
-    return df.withColumns({"_k": k, "_c": chunk}).repartition("_k", "_c")
+    d = df.withColumns({"_k": k, "_c": chunk})
+    return dealt(d, ["_k", "_c"], rows) if rows and rows > TASK_ROWS else d.repartition("_k", "_c")
 
 
 def unchunk(df):
     return df.drop("_k", "_c")
 
 
-def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
+def prefix_scan(df, keys, order, chunk, specs, inclusive=True, rows=None):
     """Running aggregates per key in ``order``.
 
     ``specs`` maps an output name to (kind, column) with kind one of sum, count,
@@ -66,12 +68,13 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
     in ``_before`` (``max_before``) from that output alone.
 
     The input is shuffled once, and read once: totals and windows share the exchange.
+    ``rows``: number of rows, where known (see ``dealt``).
     """
     order = [col(o) for o in order]
     part = ["_k", "_c"]
     # One shuffle by (key, chunk) serves the chunk totals and the windows; a scan that is
     # given "_c" finds its rows dealt that way by the scan before.
-    base = df if isinstance(chunk, str) else chunked(df, list(keys), chunk)
+    base = df if isinstance(chunk, str) else chunked(df, list(keys), chunk, rows)
     names = {n: f"_v{i}" for i, n in enumerate(specs)}
     base = base.withColumns({names[n]: col(c) for n, (_, c) in specs.items()})
 
@@ -111,7 +114,8 @@ def prefix_scan(df, keys, order, chunk, specs, inclusive=True):
         running["_i" + t] = parts[2]
         final.append(parts[3].alias(n))
 
-    carry = base.groupBy(*part).agg(*partial).select(*part, *carried)
+    totals = base.groupBy(*part).agg(*partial)
+    carry = (dealt(totals, ["_k"], rows) if keys else totals).select(*part, *carried)
     out = base.withColumns(running).join(carry, part)
     kept = [c for c in df.columns if c not in specs]
     return out.select(*kept, *final)

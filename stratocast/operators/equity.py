@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import col
-from .chunked import chunked, even_chunk, prefix_scan, unchunk
+from .chunked import EVEN_CHUNKS, TASK_ROWS, chunked, even_chunk, prefix_scan, unchunk
 
 
 def day_chunk(df, day, pos, parts=64):
@@ -15,9 +15,14 @@ def day_chunk(df, day, pos, parts=64):
 
 
 def cumulative_pnl(trades, keys, order, pnl, limit):
-    """Running P&L per key and whether the loss limit has been reached."""
-    chunk = even_chunk(trades, order[0])
-    d = prefix_scan(trades, keys, order, chunk, {"cum_pnl": ("sum", pnl)})
+    """Running P&L per key and whether the loss limit has been reached.
+
+    As many chunks as a single key with all rows would need, so that there are far fewer
+    totals than rows where keys are many.
+    """
+    rows = trades.count()
+    chunk = even_chunk(trades, order[0], min(max(-(-rows // TASK_ROWS), 1), EVEN_CHUNKS))
+    d = prefix_scan(trades, keys, order, chunk, {"cum_pnl": ("sum", pnl)}, rows=rows)
     return d.withColumn("halted", (F.col("cum_pnl") <= -abs(limit)).cast("int"))
 
 
@@ -26,9 +31,9 @@ def open_positions(opens, closes, keys, pos, ids, limits):
     ev = opens.select(*keys, *ids, col(pos).alias("pos_at"), F.lit(1).alias("sign")).unionByName(
         closes.select(*keys, *ids, col(pos).alias("pos_at"), F.lit(-1).alias("sign")))
     order = ["pos_at", "sign", *ids]
-    chunk = even_chunk(ev, "pos_at")
-    ev = prefix_scan(ev, keys, order, chunk, {"n_open": ("sum", "sign")})
-    ev = prefix_scan(ev, [], order + list(keys), chunk, {"n_total": ("sum", "sign")})
+    chunk, rows = even_chunk(ev, "pos_at"), ev.count()
+    ev = prefix_scan(ev, keys, order, chunk, {"n_open": ("sum", "sign")}, rows=rows)
+    ev = prefix_scan(ev, [], order + list(keys), chunk, {"n_total": ("sum", "sign")}, rows=rows)
     return ev.withColumn("allowed", ((F.col("n_open") < limits[0]) & (F.col("n_total") < limits[1])).cast("int"))
 
 
@@ -36,7 +41,7 @@ def drawdown(trades, keys, order, pnl, day, start=10000.0):
     """Equity curve summary: final equity, drawdown, profit factor, daily Sharpe.
     ``order`` is the day followed by an integer position."""
     chunk = day_chunk(trades, day, order[1])
-    d = prefix_scan(chunked(trades, keys, chunk), keys, order, "_c", {"_cum": ("sum", pnl)})
+    d = prefix_scan(chunked(trades, keys, chunk, trades.count()), keys, order, "_c", {"_cum": ("sum", pnl)})
     d = d.withColumn("equity", F.col("_cum") + start)
     d = unchunk(prefix_scan(d, keys, order, "_c", {"_pk": ("max", "equity")}))
     d = d.withColumn("peak", F.greatest(F.col("_pk"), F.lit(start))).withColumn("dd", F.col("equity") - F.col("peak"))
