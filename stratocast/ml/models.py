@@ -1,15 +1,19 @@
 """Ordinal and trade-filter models on pyspark.ml."""
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from ..operators import metrics as M
+from ..operators.chunked import prefix_scan, value_chunk
 from ..operators.sweep import threshold_totals, trade_stats
+from ..session import written
 
 
 def preprocessor(numeric, categorical):
@@ -103,6 +107,70 @@ class TradeFilter:
         return trade_stats(s)
 
 
+def cut_points(counted, names, bins, weight="n"):
+    """Per input, up to ``bins - 1`` cuts between neighbouring values that part the weight evenly.
+
+    An input of at most ``bins`` values is cut between all of them. Otherwise a cut precedes the first
+    value whose middle lies beyond the next of the even shares; a value that spans several shares
+    passes its spare cuts on to the values after it. These are the split candidates of the trees of
+    ``pyspark.ml`` where they see every row (they sample beyond 10,000). All values count here.
+    """
+    x = counted.select(weight, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([weight], names, "input", "x")
+    x = written(x.groupBy("input", "x").agg(F.sum(weight).alias("_w")), "input-values")
+    size = x.groupBy("input").agg(F.count(F.lit(1)).alias("_size"), F.sum("_w").alias("_all"))
+    rows = x.count()
+    r = prefix_scan(value_chunk(x, "x", rows), ["input"], ["x"], F.col("_band"),
+                    {"_i": ("count", F.lit(1)), "_to": ("sum", "_w"), "_before": ("prev", "x")}, rows=rows).join(size, "input")
+    # Shares passed up to a value; cuts made up to it are the least of them plus the values since.
+    passed = F.ceil((2 * F.col("_to") - F.col("_w")) * bins / (2 * F.col("_all"))) - 1
+    passed = F.when(F.col("_i") == 1, 0).when(F.col("_size") <= bins, F.col("_i") - 1).otherwise(passed)
+    r = prefix_scan(r.withColumn("_lag", passed - F.col("_i")), ["input"], ["x"], F.col("_band"),
+                    {"_here": ("min", "_lag"), "_there": ("min_before", "_lag")}, rows=rows)
+    cuts = {c: [] for c in names}
+    for c, at in r.filter((F.col("_i") > 1) & (F.col("_here") + 1 > F.col("_there"))).select("input", (F.col("_before") + F.col("x")) / 2).collect():
+        cuts[c].append(at)
+    return {c: sorted(v) for c, v in cuts.items()}
+
+
+class BinnedTrees:
+    """Boosted trees on counted rows: inputs become bins, equal rows one weighted row.
+
+    The trees read at most ``2 * bins ** len(names)`` rows however many there are, and split where
+    trees on all rows would with the same candidates (``cut_points``).
+    """
+
+    def __init__(self, names, bins=32, make=None):
+        self.names, self.bins, self.make = list(names), bins, make or gbt
+
+    def fit(self, df, label="label", weight="n"):
+        self.cuts = cut_points(df, self.names, self.bins, weight)
+        cells = self._binned(df).groupBy(*self._ins, F.col(label).cast("double").alias("label")).agg(F.sum(weight).cast("double").alias("n"))
+        cells = written(cells, "cells")
+        self.n_cells = cells.count()
+        # As many bins as make the trees look for their candidates in all cells instead of a sample.
+        self.fitted = self.make(maxBins=max(self.bins, math.isqrt(self.n_cells) + 1), weightCol="n").fit(self._vector(cells))
+        return self
+
+    @property
+    def _ins(self):
+        return [f"_bin_{c}" for c in self.names]
+
+    def _binned(self, df):
+        # A value equal to a cut belongs below it, as in the trees.
+        cut = {c: [-math.inf, *[math.nextafter(x, math.inf) for x in v], math.inf] for c, v in self.cuts.items() if v}
+        if cut:
+            df = Bucketizer(inputCols=list(cut), outputCols=[f"_bin_{c}" for c in cut], splitsArray=list(cut.values())).transform(df)
+        for c in cut:  # marked as categories by the bucketizer; bins are ordered
+            df = df.withMetadata(f"_bin_{c}", {})
+        return df.withColumns({f"_bin_{c}": F.lit(0.0) for c in self.names if c not in cut})
+
+    def _vector(self, df):
+        return VectorAssembler(inputCols=self._ins, outputCol="features").transform(df).drop(*self._ins)
+
+    def transform(self, df):
+        return self.fitted.transform(self._vector(self._binned(df.drop("features"))))
+
+
 def evaluation(scored, classes, y="y"):
     """Delta and ordinal metrics plus log loss, in one row."""
     o = M.ordinal_metrics(scored, y)
@@ -113,6 +181,7 @@ def evaluation(scored, classes, y="y"):
 
 def importances(model, names):
     """(feature, weight) of a fitted tree or linear model; one row per feature."""
+    model = getattr(model, "fitted", model)
     v = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
     return [(n, float(abs(x))) for n, x in zip(names, v.toArray())]
 

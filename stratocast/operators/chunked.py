@@ -8,6 +8,7 @@ one row per (key, chunk). That table is bounded by the covered time range, not
 by the number of rows.
 """
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,17 @@ def even_chunk(df, pos, parts=EVEN_CHUNKS):
     return F.floor((col(pos) - F.lit(lo)) / F.lit((hi - lo) // parts + 1)).cast("long")
 
 
+def value_chunk(df, x, rows, name="_band"):
+    """``df`` with a chunk ``name`` by its column ``x``, for ``rows`` values that may lie close together:
+    bands of about ``TASK_ROWS`` rows. Approximate quantiles place the borders, and nothing else
+    depends on them; equal values share a band."""
+    parts = -(-rows // TASK_ROWS)
+    if parts <= 1:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    q = QuantileDiscretizer(numBuckets=parts, relativeError=1 / (4 * parts), inputCol=x, outputCol=name).fit(df)
+    return q.transform(df).withColumn(name, F.col(name).cast("long"))
+
+
 def dealt(df, by, rows):
     """``df`` dealt by ``by`` into as many parts as keep a task at ``TASK_ROWS``, so that its memory
     does not grow with the table; as it is for a table of few rows or of unknown ``rows``."""

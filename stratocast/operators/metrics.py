@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from ..functions.timeutil import col
-from .chunked import prefix_scan
+from ..session import written
+from .chunked import TASK_ROWS, prefix_scan, value_chunk
 
 
 def delta_metrics(df, y, pred, by=()):
@@ -69,16 +70,22 @@ def expected_calibration_error(long, prob="p", hit="hit", cls="k", bins=10):
     return c.agg((F.sum(F.col("n") * F.abs(F.col("mean_pred") - F.col("observed"))) / F.sum("n")).alias("ece"))
 
 
-def auc(df, score, label, bands=1000):
-    """Exact rank-sum ROC AUC.
+def auc(df, score, label, bands=1000, weight=None):
+    """Exact rank-sum ROC AUC; ``weight`` counts equal rows.
 
     Scores are first counted per distinct value (map-side), so a score shared by
     very many rows is one row; the running negatives are then accumulated over
-    score bands in [0, 1], not in one global sort.
+    score bands in [0, 1], not in one global sort. More distinct scores than a task
+    should hold may lie within one such band: they are dealt by their number.
     """
-    c = df.groupBy(col(score).alias("s")).agg(F.sum(col(label)).alias("pos"), F.sum(1 - col(label)).alias("neg"))
+    w = F.lit(1) if weight is None else col(weight)
+    c = df.groupBy(col(score).alias("s")).agg(F.sum(w * col(label)).alias("pos"), F.sum(w * (1 - col(label))).alias("neg"))
+    c = written(c, "scores")
+    n = c.count()
     band = F.floor(F.col("s") * bands).cast("long")
-    r = prefix_scan(c, [], ["s"], band, {"below": ("sum", "neg")}, inclusive=False)
+    if n > TASK_ROWS:
+        c, band = value_chunk(c, "s", n), F.col("_band")
+    r = prefix_scan(c, [], ["s"], band, {"below": ("sum", "neg")}, inclusive=False, rows=n)
     wins = F.sum(F.col("pos") * (F.coalesce("below", F.lit(0)) + F.col("neg") / 2))
     return r.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), (wins / F.sum("pos") / F.sum("neg")).alias("auc"))
 

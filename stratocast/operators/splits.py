@@ -17,11 +17,12 @@ def by_date(df, day, cutoff):
 
 
 def by_ratio(df, day, ratio):
-    """Last max(1, floor(n*ratio)) distinct days are test."""
-    r = day_ranks(df, day)
+    """Last max(1, floor(n*ratio)) distinct days are test; rows without a day are left out.
+
+    The first test day is one value of the plan, so the rows are not shuffled by day."""
     test = F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))
-    tag = r.select("_d", F.when(F.col("_k") > F.col("_n") - test, "test").otherwise("train").alias("part"))
-    return df.join(tag, df[day] == tag["_d"]).drop("_d")
+    first = day_ranks(df, day).filter(F.col("_k") > F.col("_n") - test).agg(F.min("_d").alias("_d"))
+    return df.filter(F.col(day).isNotNull()).withColumn("part", F.when(F.col(day) >= first.scalar(), "test").otherwise("train"))
 
 
 def last_days(df, day, n):

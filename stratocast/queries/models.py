@@ -60,19 +60,21 @@ def ml_edge_filter(t):
 
 @query("ml_score_and_compare", "model s, n i, auc f, brier f, top_feature s, top_weight f")
 def ml_score_and_compare(t):
-    """Two classifiers on one split: AUC, Brier score and strongest input."""
+    """Two classifiers on one split: AUC, Brier score and strongest input. Equal rows are counted once and weigh as many."""
     from ..operators.metrics import auc
     names = ["edge", "prob", "pr"]
-    b = VectorAssembler(inputCols=names, outputCol="features").transform(t.bt.withColumn("pr", F.col("price").cast("double")).withColumn("label", F.col("won").cast("double")))
-    b = written(S.by_ratio(b, "day", 0.2).select("part", "features", "label", "won"), "compare")
+    b = S.by_ratio(t.bt.withColumn("pr", F.col("price").cast("double")), "day", 0.2)
+    b = written(b.groupBy("part", *names, "won").agg(F.count(N(1)).alias("n")), "compare").withColumn("label", F.col("won").cast("double"))
+    b = VectorAssembler(inputCols=names, outputCol="features").transform(b)
     train, test = b.filter("part = 'train'"), b.filter("part = 'test'")
     out = None
-    for name, est in (("logistic", ML.LogisticRegression(maxIter=100)), ("gbt", ML.gbt())):
+    for name, est in (("logistic", ML.LogisticRegression(maxIter=100, weightCol="n")), ("gbt", ML.BinnedTrees(names))):
         m = est.fit(train)
-        s = m.transform(test).select("won", vector_to_array("probability")[1].alias("q"))
+        s = m.transform(test).select("won", "n", vector_to_array("probability")[1].alias("q"))
+        s = written(s.groupBy("q", "won").agg(F.sum("n").alias("n")), "scored")
         e = F.col("q") - F.col("won")
         top = max(ML.importances(m, names), key=lambda x: x[1])
-        r = s.agg(F.count(N(1)).alias("n"), F.avg(e * e).alias("brier")).withColumn("auc", auc(s, "q", "won").select("auc").scalar()).select(
+        r = s.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * e * e) / F.sum("n")).alias("brier")).withColumn("auc", auc(s, "q", "won", weight="n").select("auc").scalar()).select(
             N(name).alias("model"), "n", "auc", "brier", N(top[0]).alias("top_feature"), N(top[1]).alias("top_weight"))
         out = r if out is None else out.unionByName(r)
     return out
