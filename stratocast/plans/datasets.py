@@ -1,5 +1,7 @@
 """Snapshot datasets: spine plus feature groups, all cities and days in one plan."""
 
+from copy import copy
+
 from pyspark.sql import functions as F
 
 from ..features import build
@@ -12,7 +14,9 @@ from ..session import written
 
 
 def inputs(t, inclusive=True):
-    """Inputs of the feature groups; settlements feed most of them and are written once."""
+    """Inputs of the feature groups; settlements feed most of them and are written once. The caller's
+    tables stay as they are, as the written one may go with its scope (``session.intermediates``)."""
+    t = copy(t)
     t.settle = written(t.settle, "settle")
     return Inputs(obs=t.obs, city_obs=t.obs2, fcst=t.fcst, curve=t.fcst_hourly, candles=t.candle, settle=t.settle, guidance=t.guidance, station=t.fcst_station, inclusive=inclusive)
 

@@ -1,5 +1,7 @@
 """SQL views over the domain tables."""
 
+from copy import copy
+
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import HOUR, MINUTE, epoch_us
@@ -38,6 +40,7 @@ def midnight_path(t):
 
 def decision_points(t, window_min=60):
     """Three decision rows per event with forecast, observation and maximum at that time."""
+    t = copy(t)  # the caller's tables stay as they are
     t.settle = written(t.settle, "settle")  # it feeds nearly every other table
     b = midnight_path(t).select("city", "day", "t0", "weighted_hour", "settle_f")
     at = lambda h, name: F.struct(F.lit(name).alias("kind"), h.alias("hour_f"))
