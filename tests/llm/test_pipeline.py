@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from stratocast.llm import jaccard, pipeline, pii, simhash, word_bpe
 from stratocast.llm.queries import vocabulary
@@ -112,3 +114,72 @@ def test_simhash_index_proposes_and_the_full_sets_decide(spark, documents, monke
     assert 0 < far(one, two) <= 2 and far(three, four) == 0
     found = {r.doc_id: r.component for r in jaccard.near_duplicates(documents(list(enumerate([one, two, three, four]))), pipeline.identity()).collect()}
     assert found[0] == found[1] and len(set(found.values())) == 3
+
+
+def sets_of(texts):
+    return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+
+
+def classes(texts, tenths=8):
+    """For each text the least index that is reachable by alike pairs, by brute force."""
+    sets, at = sets_of(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= tenths * (len(sets[i]) + len(sets[j]) - both) and at[i] != at[j]:
+                old, new = max(at[i], at[j]), min(at[i], at[j])
+                at = [new if x == old else x for x in at]
+    return at
+
+
+def same_classes(found, expected):
+    pairs = set(zip(found, expected))
+    return len(pairs) == len(set(found)) == len(set(expected))
+
+
+def test_members_of_a_star_meet_beyond_its_centre(spark, documents, monkeypatch):
+    """Without MinHash: one fingerprint for all texts, whose pairs are alike, but unlike those of other pairs."""
+    monkeypatch.setattr(jaccard, "pairs", lambda nodes: spark.createDataFrame([], "a long, b long"))
+    line = "a b c " * 3000
+    texts = [line + " ".join(f"{c}{i}" for i in range(60)) + end for c in "uvwxyz" for end in ("", " end")]
+    assert len({simhash.fingerprint(t.encode()) for t in texts}) == 1
+    found = {r.doc_id: r.component for r in jaccard.near_duplicates(documents(list(enumerate(texts))), pipeline.identity()).collect()}
+    assert len(set(found.values())) == 6 and all(found[i] == found[i + 1] for i in range(0, 12, 2))
+
+
+def test_templated_texts_without_sketches(spark, documents, monkeypatch):
+    """What no sketch proposes is found too: chains, sizes at the limit, texts of one template at 0.6 to 0.95."""
+    none = "a long, b long"
+    monkeypatch.setattr(jaccard, "pairs", lambda nodes: spark.createDataFrame([], none))
+    monkeypatch.setattr(jaccard, "close", lambda found, nodes: spark.createDataFrame([], none))
+    draw = random.Random(11)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for g in range(120):
+        words = list(template)
+        for at in draw.sample(range(200), draw.randint(1, 9)):
+            words[at] = f"g{g}x{at}"
+        texts.append(" ".join(words))
+    chain = [f"c{i}" for i in range(100)]
+    texts += [" ".join(chain[:k]) for k in range(20, 101, 4)] + ["one two", "one two three", "one two three four five", "one two three four five six"]
+    found = {r.doc_id: r.component for r in jaccard.near_duplicates(documents(list(enumerate(texts))), pipeline.identity()).collect()}
+    expected = classes(texts)
+    assert 5 < len(set(expected)) < len(texts) - 20
+    assert same_classes([found[i] for i in range(len(texts))], expected)
+
+
+def test_first_shingles_and_parts_keep_alike_pairs():
+    """Sets at the limit share a first shingle in any order; the bound by a part is never below the truth."""
+    draw = np.random.default_rng(3)
+    for n in [*range(1, 30), 200, 1000]:
+        for _ in range(20):
+            union = draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            both = -(-8 * n // 10)
+            cut = draw.integers(both, n + 1)
+            a, b = np.unique(union[:cut]), np.unique(np.concatenate([union[:both], union[cut:]]))
+            often = np.sort(draw.choice(union, n // 2, replace=False))
+            known = often, draw.integers(2, 5, len(often))
+            assert jaccard.alike(a, b, 8)
+            assert np.intersect1d(jaccard.firsts(a, 8, known), jaccard.firsts(b, 8, known)).size
+            part = lambda h: (h[h < jaccard.QUARTER] >> np.uint64(32)).astype(np.uint32)
+            assert jaccard.may_be_alike(part(a), part(b), len(a), len(b), 8)
