@@ -9,15 +9,20 @@ is cut by content and not by size:
    distinct anchors, four bytes each, to their routes; anchors known to one document
    only are dropped there, which leaves the repeated part of the corpus.
 3. The stretches of text owned by the other anchors (all their 50-byte strings, 50 to 76
-   bytes) go to the routes, distinct per chunk, with their smallest doc_id. A route
-   builds a run-compressed Burrows-Wheeler transform over its distinct stretches, with
+   bytes) are told apart by 64-bit hashes, which go to the routes, distinct per chunk, with
+   their smallest doc_id. A stretch that is the only one under its anchor needs no bytes,
+   however many documents have it. Of the others one chunk each sends the bytes.
+4. A route builds a run-compressed Burrows-Wheeler transform over these stretches, with
    suffix-array samples at run ends, and streams every stretch through it backwards;
    each step yields the matching statistic of one position: whether 50 bytes match, and
    the smallest document in which they do.
-4. Chunks mark the matches in their texts, and cut.
+5. Chunks mark the matches in their texts, and cut.
 
-Equal strings have equal anchors, so no match is lost, and a match is decided by the
-index on bytes, never by a hash of them. Anchors that occur in very many chunks or with very
+So copies of a text cost 14 bytes for each anchor and not its stretch. What an exchange
+left on the disks is removed as soon as its step is written.
+
+Equal strings have equal anchors, so no match is lost. Whole stretches of one anchor are
+equal if their hashes are; matches of parts are decided by the index on bytes. Anchors that occur in very many chunks or with very
 many different surroundings (a very common line) are routed by their single 50-byte strings instead, so that what surrounds
 the line in a third of all documents does not meet in one index.
 
@@ -35,7 +40,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import shuffles_removed, written
 from .common import record
 
 LENGTH, GRAM = 50, 24
@@ -272,13 +277,13 @@ class Scan:
         return out * np.uint64(0xFF51AFD7ED558CCD) ^ size.astype(np.uint64)
 
     def distinct(self, first, last, doc, route):
-        """Distinct stretches by route: (order of items, group starts, smallest id per group)."""
+        """Distinct stretches by route: (order of items, group starts, smallest id and hash per group)."""
         h = self.ranges(first, last)
         ids = self.ids[doc]
         order = np.lexsort((ids, last - first, h, route))
         r, x, w = route[order], h[order], (last - first)[order]
         cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (w[1:] != w[:-1])])) if len(order) else np.zeros(0, np.int64)
-        return order, cut, ids[order[cut]]
+        return order, cut, ids[order[cut]], x[cut]
 
 
 # ------------------------------------------------------------------ steps
@@ -406,23 +411,107 @@ def chunk_items(row, told, n_routes):
         one, two = np.unpackbits(np.frombuffer(body, dtype=np.uint8), count=2 * n).reshape(2, n)
         mark[cut[r]:cut[r + 1]] = one + 2 * two
     first, last, doc, route, key = scan.items(mark[inverse], n_routes)
-    order, groups, low = scan.distinct(first, last, doc, route)
-    return scan, first, last, doc, route, key, order, groups, low
+    return scan, first, last, doc, route, key, *scan.distinct(first, last, doc, route)
 
 
-def send_stretches(n_routes):
+def planes(values):
+    """Bytes of longs, the first of each, then the second ...: those of small numbers compress to little."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(raw, n, offset):
+    return np.frombuffer(raw, dtype=np.uint8, count=8 * n, offset=offset).reshape(8, n).T.copy().view(np.int64).ravel()
+
+
+def described(key, h, low):
+    """Stretches as a message: how many, then their keys, hashes and smallest ids."""
+    return len(key).to_bytes(8, "little") + key.tobytes() + h.tobytes() + planes(low)
+
+
+def read_described(raw):
+    """(keys, hashes, smallest ids, where the message goes on)."""
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw, dtype=np.uint32, count=n, offset=8), np.frombuffer(raw[8 + 4 * n:8 + 12 * n], dtype=np.uint64), unplaned(raw, n, 8 + 12 * n), 8 + 20 * n
+
+
+#: Answers on a stretch: nothing to do; all of it is in a smaller document; to be looked up; to be looked up, and its bytes are to be sent.
+ALL, LOOK, SEND = 1, 2, 3
+
+
+def send_hashes(n_routes):
     def solve(row, told):
-        scan, first, last, _, route, key, order, groups, low = chunk_items(row, told, n_routes)
+        _, _, _, _, route, key, order, groups, low, h = chunk_items(row, told, n_routes)
         head = order[groups]
         cut = np.searchsorted(route[head], np.arange(n_routes + 1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        yield _sent((r, row["chunk"], pack(described(key[head[x:y]], h[x:y], low[x:y]))) for r, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x)
+
+    return solve
+
+
+def asked(route, held):
+    """Answers per chunk, two bits for each of its stretches."""
+    sent = [read_described(zstandard.ZstdDecompressor().decompress(body))[:3] for _, body in held]
+    key, h, low = (np.concatenate(x) for x in zip(*sent))
+    order = np.lexsort((low, h, key))
+    k, x = key[order], h[order]
+    first = np.concatenate([[True], k[1:] != k[:-1]])
+    new = first | np.concatenate([[True], x[1:] != x[:-1]])
+    # Windows of equal bytes have equal anchors: a stretch alone under its key meets no other.
+    alone = (np.add.reduceat(new, np.flatnonzero(first), dtype=np.int64) == 1)[np.cumsum(first) - 1]
+    least = low[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    answer = np.empty(len(order), dtype=np.uint8)
+    answer[order] = np.where(alone, np.where(least < low[order], ALL, 0), np.where(new, SEND, LOOK))
+    at = 0
+    for (chunk, _), (own, _, _) in zip(held, sent):
+        mine = answer[at:at + len(own)]
+        at += len(own)
+        if mine.any():
+            yield route, chunk, np.packbits(np.stack([mine & 1, mine >> 1])).tobytes()
+
+
+def answers(told, route, n_routes):
+    """The answer on each stretch of a chunk, whose routes are given in order."""
+    out = np.zeros(len(route), dtype=np.uint8)
+    cut = np.searchsorted(route, np.arange(n_routes + 1))
+    for r, body in told.items():
+        n = cut[r + 1] - cut[r]
+        one, two = np.unpackbits(np.frombuffer(body, dtype=np.uint8), count=2 * n).reshape(2, n)
+        out[cut[r]:cut[r + 1]] = one + 2 * two
+    return out
+
+
+KINDS = 3  # messages to a chunk: marks of anchors, answers on stretches, bits of windows
+
+
+def of_kind(messages, kind):
+    return messages.select("chunk", (F.col("route") * KINDS + kind).alias("route"), "body")
+
+
+def by_kind(told):
+    return [{r // KINDS: b for r, b in told.items() if r % KINDS == kind} for kind in range(KINDS)]
+
+
+def send_stretches(n_routes):
+    """Stretches to be looked up, with the bytes of those that were asked for."""
+
+    def solve(row, told):
+        marks, told, _ = by_kind(told)
+        scan, first, last, _, route, key, order, groups, low, h = chunk_items(row, marks, n_routes)
+        head = order[groups]
+        answer = answers(told, route[head], n_routes)
+        look = np.flatnonzero(answer >= LOOK)
+        cut = np.searchsorted(route[head[look]], np.arange(n_routes + 1))
         out = []
         for r, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
             if y > x:
-                h = head[x:y]
-                size = last[h] + LENGTH - first[h]
-                at = np.repeat(first[h] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                body = size.astype(np.uint8).tobytes() + key[h].tobytes() + low[x:y].tobytes() + scan.data[at].tobytes()
-                out.append((r, row["chunk"], len(h).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)))
+                own = look[x:y]
+                send = answer[own] == SEND
+                i = head[own[send]]
+                size = last[i] + LENGTH - first[i]
+                at = np.repeat(first[i] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                body = described(key[head[own]], h[own], low[own]) + np.packbits(send).tobytes() + size.astype(np.uint8).tobytes() + scan.data[at].tobytes()
+                out.append((r, row["chunk"], zstandard.ZstdCompressor(level=1).compress(body)))
         yield _sent(out)
 
     return solve
@@ -432,45 +521,44 @@ def earlier(index_bytes):
     """Per stretch a bit for each of its windows: found in a smaller document."""
 
     def solve(route, held):
-        counts, sizes, keys, lows, strings = [], [], [], [], []
+        keys, codes, lows, sent, sizes, strings = [], [], [], [], [], []
         for _, body in held:
-            n = int.from_bytes(body[:8], "little")
-            raw = zstandard.ZstdDecompressor().decompress(body[8:])
-            size = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
-            counts.append(n)
-            sizes.append(size)
-            keys.append(np.frombuffer(raw, dtype=np.uint32, count=n, offset=n))
-            lows.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=5 * n))
-            ends = np.cumsum(size) + 13 * n
+            raw = zstandard.ZstdDecompressor().decompress(body)
+            key, h, low, at = read_described(raw)
+            n = len(key)
+            send = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=(n + 7) // 8, offset=at), count=n).astype(bool)
+            at += (n + 7) // 8
+            size = np.frombuffer(raw, dtype=np.uint8, count=int(send.sum()), offset=at).astype(np.int64)
+            ends = np.cumsum(size) + at + len(size)
             strings += [raw[e - s:e] for s, e in zip(size.tolist(), ends.tolist())]
-        size, low, key = np.concatenate(sizes), np.concatenate(lows), np.concatenate(keys)
-        place = {}
-        which = np.fromiter((place.setdefault(s, len(place)) for s in strings), dtype=np.int64, count=len(strings))
-        distinct = list(place)
-        docs = np.full(len(distinct), LAST, dtype=np.int64)
-        np.minimum.at(docs, which, low)
-        own_key = np.empty(len(distinct), dtype=np.int64)
-        own_key[which] = key
-        # Windows of equal bytes have equal anchors: a string alone under its key meets no other.
-        alone = np.unique(own_key, return_inverse=True, return_counts=True)
-        alone = alone[2][alone[1]] == 1
-        found = np.where(alone, docs, LAST)[:, None].repeat(SPREAD, 1)
-        n_units = max(1, math.ceil(sum(len(s) for s, a in zip(distinct, alone) if not a) / index_bytes))
-        order = np.flatnonzero(~alone)
-        order = order[np.argsort(own_key[order] % n_units, kind="stable")]
+            for x, y in zip((keys, codes, lows, sent, sizes), (key, h, low, send, size)):
+                x.append(y)
+        key, h, low, send, size = map(np.concatenate, (keys, codes, lows, sent, sizes))
+        # Equal stretches are one; the first of them brought the bytes.
+        order = np.lexsort((h, key))
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])])
+        which = np.empty(len(key), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        docs = np.minimum.reduceat(low[order], np.flatnonzero(new))
+        own_key = key[order][new].astype(np.int64)
+        text = np.empty(len(docs), dtype=np.int64)
+        text[which[send]] = np.arange(len(strings))
+        size = size[text]
+        n_units = max(1, math.ceil(int(size.sum()) / index_bytes))
+        found = np.full((len(docs), SPREAD), LAST, dtype=np.int64)
+        order = np.argsort(own_key % n_units, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(own_key[order] % n_units)) + 1):
-            if len(own):
-                texts = [distinct[i] for i in own.tolist()]
-                got = RunLengthIndex(texts, docs[own]).statistics(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
-                found[own, :got.shape[1]] = got
-        window = np.arange(SPREAD)[None] <= (size - LENGTH)[:, None]
+            got = RunLengthIndex([strings[i] for i in text[own].tolist()], docs[own]).statistics(size[own])
+            found[own, :got.shape[1]] = got
+        window = np.arange(SPREAD)[None] <= (size[which] - LENGTH)[:, None]
         hit = (found[which] < low[:, None]) & window
         bits = (hit << np.arange(SPREAD, dtype=np.uint32)[None]).sum(1).astype(np.uint32)
         at = 0
-        for (chunk, _), n in zip(held, counts):
-            if bits[at:at + n].any():
-                yield route, chunk, bits[at:at + n].tobytes()
-            at += n
+        for (chunk, _), own in zip(held, keys):
+            mine = bits[at:at + len(own)]
+            at += len(own)
+            if mine.any():
+                yield route, chunk, mine.tobytes()
 
     return solve
 
@@ -482,15 +570,16 @@ def cut_texts(n_routes, digest):
     """Documents of a chunk without the marked bytes; ``kept`` as bytes or as their sha256."""
 
     def solve(row, told):
-        marks = {r // 2: b for r, b in told.items() if r % 2 == 0}
-        bits_of = {r // 2: b for r, b in told.items() if r % 2}
-        scan, first, last, doc, route, _, order, groups, low = chunk_items(row, marks, n_routes)
+        marks, told, bits_of = by_kind(told)
+        scan, first, last, doc, route, _, order, groups, low, _ = chunk_items(row, marks, n_routes)
         cover = np.zeros(scan.n + 1, dtype=np.int32)
         if len(order):
-            bits = np.zeros(len(groups), dtype=np.uint32)
-            cut = np.searchsorted(route[order[groups]], np.arange(n_routes + 1))
+            answer = answers(told, route[order[groups]], n_routes)
+            bits = np.where(answer == ALL, np.uint32(0xFFFFFFFF), np.uint32(0))
+            look = np.flatnonzero(answer >= LOOK)
+            cut = np.searchsorted(route[order[groups[look]]], np.arange(n_routes + 1))
             for r, body in bits_of.items():
-                bits[cut[r]:cut[r + 1]] = np.frombuffer(body, dtype=np.uint32)
+                bits[look[cut[r]:cut[r + 1]]] = np.frombuffer(body, dtype=np.uint32)
             group = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(order))))
             own = np.where(scan.ids[doc[order]] > low[group], np.uint32(0xFFFFFFFF), bits[group])
             f, w = first[order], (last - first)[order] + 1
@@ -528,11 +617,16 @@ def remove_repeats(docs, chunk_bytes=8 << 20, index_bytes=1 << 20, common=512, c
     # Chunks and routes both grow with the root of the corpus beyond some GB, so that a
     # message keeps a useful size; an index inside a route is bounded by index_bytes.
     n_routes = max(1, min(math.ceil(total / (1 << 20)), math.ceil(4 * math.sqrt(total / (1 << 20)))))
-    marks = written(by_route(send_anchors(chunks, n_routes), n_routes, shared_anchors(common, crowd)), "repeats-marks")
-    stretches = by_chunk(chunks, marks, n_chunks, send_stretches(n_routes), MESSAGE)
-    found = by_route(stretches, n_routes, earlier(index_bytes))
-    # To the last step a chunk's marks come as even routes, the bits of its windows as odd ones.
-    told = marks.select("chunk", (F.col("route") * 2).alias("route"), "body").unionByName(found.select("chunk", (F.col("route") * 2 + 1).alias("route"), "body"))
+    def step(messages, label):
+        with shuffles_removed(docs.sparkSession):
+            return written(messages, label)
+
+    marks = step(by_route(send_anchors(chunks, n_routes), n_routes, shared_anchors(common, crowd)), "repeats-marks")
+    told = of_kind(marks, 0)
+    asks = step(by_route(by_chunk(chunks, marks, n_chunks, send_hashes(n_routes), MESSAGE), n_routes, asked), "repeats-asks")
+    told = told.unionByName(of_kind(asks, 1))
+    found = step(by_route(by_chunk(chunks, told, n_chunks, send_stretches(n_routes), MESSAGE), n_routes, earlier(index_bytes)), "repeats-found")
+    told = told.unionByName(of_kind(found, 2))
     return by_chunk(chunks, told, n_chunks, cut_texts(n_routes, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -84,6 +84,21 @@ def commit(spark, make, path, mode="error"):
     return spark.read.parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark):
+    """What a job that is started in this scope has shuffled is removed when the job ends.
+
+    For steps that are written and read back; frames that run again would shuffle again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df, label):
     """Write a stage result below the shared folder and continue from the table.
 

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratocast.llm import matroska, maxscore, mixing, pii, runlength, simhash, word_bpe
@@ -359,6 +360,23 @@ def test_a_line_with_very_many_surroundings(spark):
         assert got[i] == ((len(line) + left + right, 1) if i else (0, 0))
 
 
+def test_copies_do_not_send_their_stretches(documents, monkeypatch):
+    """Ten copies of each text, in chunks of their own: what goes to the routes is no multiple of the texts."""
+    rng, sent, by_route = random.Random(4), [], runlength.by_route
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=3000)) for _ in range(40)]
+    texts = [t if c % 2 else t[:1500] + str(c) + t[1500:] for c in range(10) for t in texts]
+
+    def measured(messages, n_routes, solve):
+        sent.append(messages.agg(F.sum(F.length("body"))).first()[0] or 0)
+        return by_route(messages, n_routes, solve)
+
+    monkeypatch.setattr(runlength, "by_route", measured)
+    rows = list(enumerate(texts))
+    got = runlength.digest(runlength.remove_repeats(documents(rows), chunk_bytes=120_000, digest=True)).collect()
+    assert sorted(map(tuple, got), key=str) == plain_removal([(i, t.encode()) for i, t in rows])
+    assert sum(sent) < 2 * sum(map(len, texts))
+
+
 def test_repeats_of_an_empty_table(documents):
     assert runlength.remove_repeats(documents([])).count() == 0
 
